@@ -80,3 +80,125 @@ h3 AS (SELECT page_id, link, min(i) AS first_i FROM h2 GROUP BY page_id, link),
 h4 AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY first_i) AS rank FROM h3),
 h5 AS (SELECT page_id, link, rank FROM h4 WHERE rank <= {max_links}),
 kept AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS pos FROM h5 {where})"""
+
+
+# Unicode white space (Java's (?U)\s), spelled out for RE2.
+WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+TITLE_EXPR = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
+         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def unescape_named(expr: str) -> str:
+    """Entity decoding for the entities occurring in the test pages' titles
+    (&amp; last so '&amp;lt;' stays '&lt;')."""
+    out = expr
+    for ent, ch in NAMED:
+        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
+    return out
+
+
+ER = ("er AS (SELECT 'user:' || CAST(user_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d') AS entity_id, "
+      "event_id, user_id, ts AS observed_at, event_type, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END "
+      "AS status_code, sha256(props) AS content_hash, CASE WHEN event_type = 'error' THEN 'server error' END "
+      "AS error, value FROM events)")
+
+DR = ("dr AS (SELECT 'doc:' || CAST(d.doc_id AS VARCHAR) AS entity_id, d.doc_id, d.text, d.lang, d.source, "
+      "d.n_chars, l.quality, l.toxic, sha256(d.text) AS content_hash FROM documents d "
+      "LEFT JOIN labels l ON d.doc_id = l.doc_id)")
+
+FL = ("fl AS (SELECT event_id, event_type || '.example.com' AS host, 'https://' || event_type || "
+      "'.example.com/e/' || CAST(event_id AS VARCHAR) AS source_url, ts AS fetched_at, CASE WHEN "
+      "event_type = 'error' THEN 500 ELSE 200 END AS status_code FROM events)")
+
+SUMMARY = ("sm AS (SELECT (SELECT count(*) FROM er) AS records, (SELECT coalesce(sum(n - 1), 0) FROM "
+           "(SELECT entity_id, count(*) AS n FROM er WHERE entity_id <> '' GROUP BY 1 HAVING count(*) > 1)) AS dup, "
+           "(SELECT coalesce(sum(n - 1), 0) FROM (SELECT content_hash, count(*) AS n FROM er WHERE "
+           "content_hash <> '' GROUP BY 1 HAVING count(*) > 1)) AS shared, (SELECT count(*) FROM er WHERE "
+           "error IS NOT NULL AND error <> '') AS errs)")
+
+
+def _notes_values() -> str:
+    from strata.operators.quality import NOTE_RULES, NOTE_TEXT
+    rows = ", ".join(f"({i + 1}, {lit(k)}, {lit(NOTE_TEXT[k])})" for i, k in enumerate(NOTE_RULES))
+    return f"VALUES {rows}"
+
+
+NOTES_VALUES = _notes_values()
+
+DR_FIELDS = [("content_hash", "s"), ("doc_id", "n"), ("entity_id", "s"), ("lang", "s"), ("n_chars", "n"),
+             ("quality", "n"), ("source", "s"), ("text", "s"), ("toxic", "n")]
+
+
+def missing_values_sql() -> str:
+    parts = []
+    for name, kind in DR_FIELDS:
+        cond = f"{name} IS NULL OR {name} = ''" if kind == "s" else f"{name} IS NULL"
+        parts.append(f"SELECT {lit(name)} AS field, CAST(count(*) FILTER (WHERE {cond}) AS BIGINT) AS missing, "
+                     f"round(CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE {cond}) AS DOUBLE) * 100.0 / "
+                     f"count(*) ELSE 0.0 END, 4) AS rate FROM dr")
+    return f"WITH {DR} " + " UNION ALL ".join(parts)
+
+
+DOC_LINES = (
+    "lines AS (SELECT DISTINCT source AS grp, doc_id AS key, line FROM (SELECT source, doc_id, "
+    f"trim(regexp_replace(raw, {lit(WS)}, ' ', 'g')) AS line FROM (SELECT source, doc_id, "
+    "unnest(string_split(text, chr(10))) AS raw FROM documents)) WHERE line <> ''), "
+    "per_line AS (SELECT grp, line, count(*) AS pages_with_line FROM lines GROUP BY 1, 2), "
+    "per_group AS (SELECT grp, count(*) AS pages FROM (SELECT DISTINCT source AS grp, doc_id AS key "
+    "FROM documents) GROUP BY 1), "
+    "bp AS (SELECT l.grp, l.line, l.pages_with_line, g.pages FROM per_line l JOIN per_group g USING (grp) "
+    "WHERE g.pages >= 3 AND l.pages_with_line >= g.pages * 0.5), "
+    "per_key AS (SELECT key, count(*) AS n_lines, count(bp.line) AS n_bp FROM lines LEFT JOIN bp "
+    "USING (grp, line) GROUP BY key)")
+
+BATCH = ("req AS (SELECT page_id * 1000 AS seq, url AS source_url FROM pages UNION ALL "
+         "SELECT page_id * 1000 + pos, link FROM kept), arch AS (SELECT url AS source_url, 200 AS status_code, "
+         "sha256(html) AS content_hash FROM pages), batch AS (SELECT r.seq, r.source_url, a.status_code, "
+         "a.content_hash, CASE WHEN a.source_url IS NULL THEN 'no archived response' END AS error, "
+         "CASE WHEN a.source_url IS NULL THEN 1 ELSE 0 END AS row_kind FROM req r LEFT JOIN arch a "
+         "ON r.source_url = a.source_url)")
+
+OBS_COLUMNS = ["entity_id", "城市", "月份", "日期", "AQI", "质量等级", "PM2.5", "PM10", "SO2", "NO2", "CO", "O3",
+               "排名", "数据状态", "extraction_errors", "event_id"]
+
+OBS = (
+    "ev AS (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS city, strftime(ts, '%Y%m') AS month, "
+    "strftime(ts, '%Y-%m-%d') AS tp, json_extract_string(props, '$.k') AS aqi, CAST(value AS VARCHAR) AS pm25, "
+    "CAST(user_id AS VARCHAR) AS rnk, event_type NOT IN ('error', 'signup') AS ok FROM events), "
+    "obs AS (SELECT CASE WHEN ok THEN 'aqistudy:' || city || ':' || tp ELSE 'aqistudy:' || city || ':' || month "
+    "|| ':no_data' END AS entity_id, city AS \"城市\", month AS \"月份\", CASE WHEN ok THEN tp ELSE '' END AS \"日期\", "
+    "CASE WHEN ok THEN coalesce(aqi, '') ELSE '' END AS \"AQI\", CASE WHEN ok THEN event_type ELSE '' END AS "
+    "\"质量等级\", CASE WHEN ok THEN pm25 ELSE '' END AS \"PM2.5\", '' AS \"PM10\", '' AS \"SO2\", '' AS \"NO2\", "
+    "'' AS \"CO\", '' AS \"O3\", CASE WHEN ok THEN rnk ELSE '' END AS \"排名\", CASE WHEN ok THEN 'ok' ELSE "
+    "'no_items' END AS \"数据状态\", CASE WHEN ok THEN NULL WHEN event_type = 'error' THEN 'upstream error' "
+    "ELSE 'API returned no day-level items' END AS extraction_errors, event_id FROM ev)")
+
+
+def safe_columns_sql(pairs) -> str:
+    cols = ", ".join(f'"{src}" AS "{safe}"' for src, (safe, _) in zip(OBS_COLUMNS, pairs))
+    return f"WITH {OBS} SELECT {cols} FROM obs"
+
+
+ROBOTS_SQL = (
+    f"WITH u AS (SELECT page_id, url, {host('url')} AS h, CASE WHEN regexp_extract(url, "
+    "'^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, "
+    "'^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) END AS path FROM pages), "
+    f"hosts AS (SELECT DISTINCT {host('url')} AS host FROM pages WHERE {host('url')} LIKE 'blog.%'), "
+    "rules AS (SELECT host, r.prefix, r.allow FROM hosts, (VALUES ('/', true), ('/en/', false), ('/en/1', true)) "
+    "r(prefix, allow)), m AS (SELECT u.page_id, arg_max(r.allow, length(r.prefix) * 2 + CAST(r.allow AS INTEGER)) "
+    "AS win FROM u JOIN rules r ON u.h = r.host AND starts_with(u.path, r.prefix) GROUP BY u.page_id) "
+    "SELECT u.page_id, u.url, coalesce(m.win, true) AS allowed FROM u LEFT JOIN m ON u.page_id = m.page_id")
+
+
+def _minimize_sql() -> str:
+    from strata.operators.columns import MASKS, REDACTED
+    out = "text"
+    for _, pattern in MASKS:
+        out = f"regexp_replace({out}, {lit(pattern)}, {lit(REDACTED)}, 'g')"
+    return f"SELECT doc_id, {out} AS text FROM documents"
+
+
+MINIMIZE_SQL = _minimize_sql()

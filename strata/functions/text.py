@@ -70,8 +70,8 @@ def parse_amount(c) -> Column:
     s = F.trim(col_of(c))
     number = F.regexp_extract(s, r"(-?[0-9][0-9,]*(?:\.[0-9]+)?)", 1)
     scale = F.when(s.rlike(r"[0-9]\s*亿"), F.lit(100000000)).when(s.rlike(r"[0-9]\s*万"), F.lit(10000)).otherwise(F.lit(1))
-    base = F.try_cast(F.nullif(F.regexp_replace(number, ",", ""), F.lit("")), "decimal(20,4)")
-    amount = F.try_cast(base * scale, "decimal(18,2)")
+    base = F.nullif(F.regexp_replace(number, ",", ""), F.lit("")).try_cast("decimal(20,4)")
+    amount = (base * scale).try_cast("decimal(18,2)")
     currency = F.nullif(F.regexp_extract(s, r"(¥|￥|\$|€|£|RMB|CNY|USD|EUR|GBP|元)", 1), F.lit(""))
     unit = F.nullif(F.regexp_extract(s, r"/\s*([^/\s]+)\s*$", 1), F.lit(""))
     return F.struct(amount.alias("amount"), currency.alias("currency"), unit.alias("unit"))

@@ -89,35 +89,87 @@ def _remove_dots(segs: Column) -> Column:
     return F.when(joined == "", F.lit("/")).otherwise(joined)
 
 
-def resolve_url(base, href) -> Column:
-    """FN-4: resolve ``href`` against ``base`` (both string columns)."""
+def href_struct(href) -> Column:
+    """Parse a (cleaned) reference once into its parts."""
+    h = col_of(href)
+    return F.struct(
+        h.alias("h"),
+        h.rlike(_HAS_SCHEME).alias("has_scheme"),
+        F.lower(F.regexp_extract(h, _SCHEME, 1)).alias("scheme"),
+        F.regexp_extract(h, _AUTH, 1).alias("netloc"),
+        h.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//").alias("has_auth"),
+        F.regexp_extract(h, _PATH, 1).alias("path"),
+        F.regexp_extract(h, _QUERY, 1).alias("query"),
+        F.regexp_extract(h, _FRAGMENT, 1).alias("fragment"),
+    )
+
+
+def base_struct(base) -> Column:
+    """Parse a base URL once: its parts plus its directory."""
     b = _clean(col_of(base))
-    h = _clean(col_of(href))
-    bp, hp = url_parts(b), url_parts(h)
-    h_has_scheme = h.rlike(_HAS_SCHEME)
-    scheme = F.when(h_has_scheme, hp["scheme"]).otherwise(bp["scheme"])
-    h_has_netloc = h.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//") & (hp["netloc"] != "")
-
-    # relative path: merge with the base directory, collapse, drop dot segments
-    h_path = hp["path"]
-    base_dir = F.regexp_replace(bp["path"], r"[^/]*$", "")
-    merged = F.when(h_path.startswith("/"), h_path).otherwise(F.concat(base_dir, h_path))
-    needs_work = merged.rlike(_DOT_SEGMENT) | (~h_path.startswith("/") & merged.contains("//"))
-    segs = F.when(h_path.startswith("/"), F.split(h_path, "/")).otherwise(
-        _collapse_middle(F.concat(F.split(base_dir, "/"), F.split(h_path, "/"))))
-    path = F.when(~needs_work, F.when(merged == "", F.lit("/")).otherwise(merged)).otherwise(_remove_dots(segs))
-
-    empty_path = F.when(hp["query"] != "", hp["query"]).otherwise(bp["query"])
+    p = url_parts(b)
+    return F.struct(b.alias("b"), p["scheme"].alias("scheme"), p["netloc"].alias("netloc"),
+                    p["path"].alias("path"), p["query"].alias("query"),
+                    F.regexp_replace(p["path"], r"[^/]*$", "").alias("dir"))
+
+
+def resolve_parts(bp: Column, hp: Column) -> Column:
+    """FN-4 from pre-parsed parts (``base_struct``, ``href_struct``)."""
+    h, h_path = hp["h"], hp["path"]
+    scheme = F.when(hp["has_scheme"], hp["scheme"]).otherwise(bp["scheme"])
+    absolute = h_path.startswith("/")
+    merged = F.when(absolute, h_path).otherwise(F.concat(bp["dir"], h_path))
+    simple = ~merged.rlike(_DOT_SEGMENT) & (absolute | ~merged.contains("//"))
+    segs = F.when(absolute, F.split(h_path, "/")).otherwise(
+        _collapse_middle(F.concat(F.split(bp["dir"], "/"), F.split(h_path, "/"))))
+    path = F.when(simple, F.when(merged == "", F.lit("/")).otherwise(merged)).otherwise(_remove_dots(segs))
+    empty_path_query = F.when(hp["query"] != "", hp["query"]).otherwise(bp["query"])
     return (
-        F.when(b == "", h)
-        .when(h == "", b)
-        .when(h_has_scheme & ((scheme != bp["scheme"]) | ~scheme.isin(USES_RELATIVE)), h)
-        .when(h_has_netloc & scheme.isin(USES_NETLOC), _unsplit(scheme, hp["netloc"], h_path, hp["query"], hp["fragment"]))
-        .when(h_path == "", _unsplit(scheme, bp["netloc"], bp["path"], empty_path, hp["fragment"]))
+        F.when(bp["b"] == "", h)
+        .when(h == "", bp["b"])
+        .when(hp["has_scheme"] & ((scheme != bp["scheme"]) | ~scheme.isin(USES_RELATIVE)), h)
+        .when(hp["has_auth"] & (hp["netloc"] != "") & scheme.isin(USES_NETLOC),
+              _unsplit(scheme, hp["netloc"], h_path, hp["query"], hp["fragment"]))
+        .when(h_path == "", _unsplit(scheme, bp["netloc"], bp["path"], empty_path_query, hp["fragment"]))
         .otherwise(_unsplit(scheme, bp["netloc"], path, hp["query"], hp["fragment"]))
     )
 
 
+# References whose resolution is a plain concatenation / identity: a
+# root-relative path, or an absolute lower-case http(s) URL with a host; no
+# dot segments, no empty '?' or '#'. Checked before the general resolver,
+# so the common case costs one regex match.
+_FAST_ROOT = r"^/[^/?#][^?#]*(\?[^#]+)?(#.+)?$"
+_FAST_ABS = r"^https?://[^/?#]+(/[^?#]*)?(\?[^#]+)?(#.+)?$"
+_DOTS_ANYWHERE = r"(^|/)\.\.?(/|$|\?|#)"
+
+
+def resolve_fast(bp: Column, href: Column) -> Column:
+    """FN-4 for one cleaned reference with a fast path for common forms."""
+    h = href
+    fast_root = h.rlike(_FAST_ROOT) & ~h.rlike(_DOTS_ANYWHERE) & (bp["netloc"] != "") & bp["scheme"].isin(USES_RELATIVE)
+    fast_abs = h.rlike(_FAST_ABS) & ~h.rlike(_DOTS_ANYWHERE)
+    origin = F.concat(bp["scheme"], F.lit("://"), bp["netloc"])
+    return (F.when(fast_root, F.concat(origin, h))
+            .when(fast_abs & ((F.split_part(h, F.lit(":"), F.lit(1)) != bp["scheme"]) | (bp["b"] != "")), h)
+            .otherwise(resolve_parts(bp, href_struct(h))))
+
+
+def resolve_url(base, href) -> Column:
+    """FN-4: resolve ``href`` against ``base`` (both string columns).
+
+    For large tables prefer ``with_resolved_url`` / ``resolve_parts``, which
+    parse each side once.
+    """
+    return resolve_parts(base_struct(base), href_struct(_clean(col_of(href))))
+
+
+def with_resolved_url(df, base: str, href: str, out: str = "url_resolved"):
+    """Add ``out`` = FN-4(base, href), parsing each side in its own projection."""
+    staged = df.withColumn("__bp", base_struct(base)).withColumn("__hp", href_struct(_clean(F.col(href))))
+    return staged.withColumn(out, resolve_parts(F.col("__bp"), F.col("__hp"))).drop("__bp", "__hp")
+
+
 def url_host(url) -> Column:
     """Lower-cased host of an absolute URL ('' when there is none)."""
     return F.lower(F.regexp_extract(col_of(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))

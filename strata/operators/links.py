@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions._util import col_of
 from strata.functions.text import unescape
-from strata.functions.urls import resolve_url
+from strata.functions.urls import base_struct, resolve_fast
 
 # Anchors' href attribute values (the default selector ``a::attr(href)``),
 # quoted with either quote character; case-insensitive.
@@ -32,12 +32,13 @@ def link_array(html, base, max_links: int | None = DEFAULT_MAX_LINKS,
                allow: str | None = None, deny: str | None = None) -> Column:
     """Per-row ``array<string>``: resolved, first-seen, capped, then filtered.
 
+    ``base`` is a ``base_struct`` column (parsed once per listing).
+
     The cap is applied before allow/deny, so fewer than ``max_links`` may
     remain. ``max_links=None`` means no cap; ``0`` means no links.
     """
-    raw = F.transform(href_values(html), lambda h: F.trim(unescape(h)))
-    raw = F.filter(raw, lambda h: h != "")
-    resolved = F.transform(raw, lambda h: resolve_url(col_of(base), h))
+    raw = F.transform(href_values(html), lambda h: F.trim(F.regexp_replace(unescape(h), r"[\t\r\n]", "")))
+    resolved = F.transform(F.filter(raw, lambda h: h != ""), lambda h: resolve_fast(col_of(base), h))
     links = F.array_distinct(resolved)
     if max_links is not None:
         links = F.slice(links, 1, max_links) if max_links > 0 else F.array().cast("array<string>")
@@ -59,8 +60,9 @@ def discover_links(pages: DataFrame, html: str = "html", base: str = "url",
 
     ``pos`` is the 1-based position among the kept links of the listing.
     """
-    arr = link_array(html, base, max_links, allow, deny)
-    return (pages.select(*keys, F.posexplode(arr).alias("pos0", "link"))
+    staged = pages.select(*keys, html, base_struct(base).alias("__bp"))
+    arr = link_array(html, "__bp", max_links, allow, deny)
+    return (staged.select(*keys, F.posexplode(arr).alias("pos0", "link"))
             .select(*keys, (F.col("pos0") + 1).alias("pos"), "link"))
 
 
