@@ -24,6 +24,7 @@ from strata.functions import text as TX  # noqa: E402
 from strata.functions import urls as U  # noqa: E402
 from strata.operators import columns as C  # noqa: E402
 from strata.operators import filters as FL  # noqa: E402
+from strata.operators import html as H  # noqa: E402
 from strata.operators import joins as J  # noqa: E402
 from strata.operators import links as LK  # noqa: E402
 from strata.operators import quality as Q  # noqa: E402
@@ -451,8 +452,8 @@ def _robots_allowed(spark, d):
      "GROUP BY 1) SELECT p.page_id, CASE WHEN len(coalesce(a.l, [])) = 1 THEN a.l[1] ELSE "
      "CAST(to_json(coalesce(a.l, []::VARCHAR[])) AS VARCHAR) END AS links FROM pages p LEFT JOIN agg a ON p.page_id = a.page_id")
 def _flatten_nested(spark, d):
-    p = load(spark, d, "pages").select("page_id", "html", U.base_struct("url").alias("__bp"))
-    arr = p.select("page_id", LK.link_array("html", "__bp", 20).alias("links"))
+    p = LK.with_link_inputs(load(spark, d, "pages"))
+    arr = p.select("page_id", LK.link_array("__refs", "__bp", 20).alias("links"))
     return C.flatten_nested(arr, scalarize=["links"])
 
 
@@ -571,6 +572,41 @@ def _extract_months(spark, d):
     return m.select("page_id", F.explode("months").alias("month"))
 
 
+# ---------------------------------------------------------------- HTML extraction (EXT-1/2/3/5)
+
+SELECT_SPEC = {"title": "title::text", "heading": "article h1::text", "nav": "nav a::attr(href)"}
+
+
+@reg("shred_anchor_counts", "SELECT page_id, count(*) AS anchors FROM (SELECT page_id, unnest(regexp_extract_all("
+     "html, '(?i)<a[\\s>]')) AS m FROM pages) GROUP BY 1")
+def _shred_anchor_counts(spark, d):
+    nodes = H.shred_elements(load(spark, d, "pages"))
+    return nodes.filter(F.col("tag") == "a").groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
+
+
+@reg("select_fields", "SELECT page_id, 'title' AS field, " + O.unescape_named(O.TITLE_EXPR) + " AS value, "
+     "CAST(NULL AS VARCHAR) AS error FROM pages UNION ALL SELECT page_id, 'heading', " +
+     O.unescape_named("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + ", NULL FROM pages "
+     "UNION ALL SELECT page_id, 'nav', CAST(to_json(regexp_extract_all(regexp_extract(html, "
+     "'(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) AS VARCHAR), NULL FROM pages")
+def _select_fields(spark, d):
+    nodes = H.shred_elements(load(spark, d, "pages"))
+    return H.field_records(H.select_fields(nodes, SELECT_SPEC))
+
+
+@reg("extract_title_text", None)  # EXT-1: checked against hand-written pages in tests
+def _extract_title_text(spark, d):
+    return H.extract_title_text(load(spark, d, "pages"))
+
+
+@reg("extract_scoped_names", "SELECT DISTINCT page_id, trim(name) AS name FROM (SELECT page_id, "
+     "unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*/[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS name "
+     "FROM pages) WHERE trim(name) <> ''")
+def _extract_scoped_names(spark, d):
+    nodes = H.shred_elements(load(spark, d, "pages"))
+    return H.extract_scoped_names(nodes, "/").select("page_id", "name")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _REG.items()}
 

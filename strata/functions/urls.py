@@ -144,15 +144,25 @@ _FAST_ABS = r"^https?://[^/?#]+(/[^?#]*)?(\?[^#]+)?(#.+)?$"
 _DOTS_ANYWHERE = r"(^|/)\.\.?(/|$|\?|#)"
 
 
-def resolve_fast(bp: Column, href: Column) -> Column:
-    """FN-4 for one cleaned reference with a fast path for common forms."""
-    h = href
+def resolve_common(bp: Column, h: Column) -> Column:
+    """FN-4 for the common forms only (root-relative path, absolute
+    lower-case http(s) URL); null for every other reference."""
     fast_root = h.rlike(_FAST_ROOT) & ~h.rlike(_DOTS_ANYWHERE) & (bp["netloc"] != "") & bp["scheme"].isin(USES_RELATIVE)
     fast_abs = h.rlike(_FAST_ABS) & ~h.rlike(_DOTS_ANYWHERE)
     origin = F.concat(bp["scheme"], F.lit("://"), bp["netloc"])
-    return (F.when(fast_root, F.concat(origin, h))
-            .when(fast_abs & ((F.split_part(h, F.lit(":"), F.lit(1)) != bp["scheme"]) | (bp["b"] != "")), h)
-            .otherwise(resolve_parts(bp, href_struct(h))))
+    return F.when(fast_root, F.concat(origin, h)).when(fast_abs & (bp["b"] != ""), h)
+
+
+def resolve_array(bp: Column, refs: Column) -> Column:
+    """FN-4 over an array of cleaned references against one parsed base.
+
+    Every element first takes the cheap common-form expression; only rows
+    holding some other reference pay for the general resolver, which works
+    on parts parsed once per element (a materialised array of structs).
+    """
+    common = F.transform(refs, lambda h: resolve_common(bp, h))
+    general = F.transform(F.transform(refs, href_struct), lambda hp: resolve_parts(bp, hp))
+    return F.when(F.forall(common, lambda x: x.isNotNull()), common).otherwise(general)
 
 
 def resolve_url(base, href) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions._util import col_of
 from strata.functions.text import unescape
-from strata.functions.urls import base_struct, resolve_fast
+from strata.functions.urls import base_struct, resolve_array
 
 # Anchors' href attribute values (the default selector ``a::attr(href)``),
 # quoted with either quote character; case-insensitive.
@@ -28,23 +28,36 @@ def href_values(html) -> Column:
     return F.regexp_extract_all(col_of(html), F.lit(HREF_PATTERN), 1)
 
 
-def link_array(html, base, max_links: int | None = DEFAULT_MAX_LINKS,
+def clean_hrefs(html) -> Column:
+    """Anchors' href values: entity-decoded, tab/line breaks removed,
+    trimmed, blanks dropped; document order kept."""
+    raw = F.transform(href_values(html), lambda h: F.trim(F.regexp_replace(unescape(h), r"[\t\r\n]", "")))
+    return F.filter(raw, lambda h: h != "")
+
+
+def link_array(refs, base, max_links: int | None = DEFAULT_MAX_LINKS,
                allow: str | None = None, deny: str | None = None) -> Column:
     """Per-row ``array<string>``: resolved, first-seen, capped, then filtered.
 
-    ``base`` is a ``base_struct`` column (parsed once per listing).
-
+    ``refs`` is a ``clean_hrefs`` column and ``base`` a ``base_struct``
+    column, each materialised in an earlier projection (see
+    ``with_link_inputs``) so neither is recomputed per use.
     The cap is applied before allow/deny, so fewer than ``max_links`` may
     remain. ``max_links=None`` means no cap; ``0`` means no links.
     """
-    raw = F.transform(href_values(html), lambda h: F.trim(F.regexp_replace(unescape(h), r"[\t\r\n]", "")))
-    resolved = F.transform(F.filter(raw, lambda h: h != ""), lambda h: resolve_fast(col_of(base), h))
-    links = F.array_distinct(resolved)
+    links = F.array_distinct(resolve_array(col_of(base), col_of(refs)))
     if max_links is not None:
         links = F.slice(links, 1, max_links) if max_links > 0 else F.array().cast("array<string>")
     return filter_link_array(links, allow, deny)
 
 
+def with_link_inputs(pages: DataFrame, html: str = "html", base: str = "url",
+                     keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Project ``keep`` plus the parsed base (``__bp``) and cleaned hrefs
+    (``__refs``); the html column is dropped here, before anything else."""
+    return pages.select(*keep, base_struct(base).alias("__bp"), clean_hrefs(html).alias("__refs"))
+
+
 def filter_link_array(links: Column, allow: str | None, deny: str | None) -> Column:
     if allow:
         links = F.filter(links, lambda u: u.rlike(allow))
@@ -60,8 +73,8 @@ def discover_links(pages: DataFrame, html: str = "html", base: str = "url",
 
     ``pos`` is the 1-based position among the kept links of the listing.
     """
-    staged = pages.select(*keys, html, base_struct(base).alias("__bp"))
-    arr = link_array(html, "__bp", max_links, allow, deny)
+    staged = with_link_inputs(pages, html, base, keys)
+    arr = link_array("__refs", "__bp", max_links, allow, deny)
     return (staged.select(*keys, F.posexplode(arr).alias("pos0", "link"))
             .select(*keys, (F.col("pos0") + 1).alias("pos"), "link"))
 
