@@ -35,6 +35,11 @@ from strata.plans import panel as PN  # noqa: E402
 from strata.sources import api as API  # noqa: E402
 from strata.sources.archive import archive_from_pages, with_archive_paths  # noqa: E402
 from strata.sources.tables import load  # noqa: E402
+from strata.sources import files as SRC  # noqa: E402
+from strata.sinks import writers as SK  # noqa: E402
+from strata.functions import charset as CS  # noqa: E402
+from strata.streaming import jobs as ST  # noqa: E402
+from strata.session import scratch_path  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -607,6 +612,134 @@ def _extract_scoped_names(spark, d):
     return H.extract_scoped_names(nodes, "/").select("page_id", "name")
 
 
+# ---------------------------------------------------------------- charset decoding (FN-2)
+
+@reg("decode_bodies", "SELECT page_id, html AS text FROM pages")
+def _decode_bodies(spark, d):
+    pages = load(spark, d, "pages")
+    utf16 = U.url_host("url").startswith("blog.")  # these archives hold UTF-16 bodies, declared in the header
+    bodies = pages.select(
+        "page_id",
+        F.when(utf16, F.encode("html", "UTF-16")).otherwise(F.encode("html", "UTF-8")).alias("body"),
+        F.create_map(F.lit("Content-Type"), F.when(utf16, F.lit("text/html; charset=utf-16"))
+                     .otherwise(F.lit("text/html"))).alias("headers"))
+    return CS.decode_bodies(bodies).select("page_id", "text")
+
+
+# ---------------------------------------------------------------- sources and sinks (SRC-*, SNK-*, JN-9)
+
+ER_OUT = ["entity_id", "event_id", "user_id", "observed_at", "event_type", "status_code", "content_hash",
+          "error", "value"]
+ER_OUT_SQL = (f"WITH {O.ER} SELECT entity_id, event_id, user_id, strftime(observed_at, '%Y-%m-%d %H:%M:%S.%f') "
+              "AS observed_at, event_type, status_code, content_hash, error, value FROM er")
+
+
+def _er_out(df):
+    return df.select(*[ts(c).alias(c) if c == "observed_at" else F.col(c) for c in ER_OUT])
+
+
+@reg("jsonl_roundtrip", ER_OUT_SQL)
+def _jsonl_roundtrip(spark, d):
+    er = _er(spark, d)
+    path = SK.write_jsonl(er, scratch_path(spark, "records") + "/records.jsonl")
+    return _er_out(SRC.read_records(spark, path, schema=er.schema))
+
+
+@reg("parquet_roundtrip", ER_OUT_SQL)
+def _parquet_roundtrip(spark, d):
+    path = SK.write_parquet(_er(spark, d), scratch_path(spark, "records") + "/records.parquet")
+    return _er_out(SRC.read_structured(spark, path, "parquet"))
+
+
+@reg("table_roundtrip", ER_OUT_SQL)
+def _table_roundtrip(spark, d):
+    name = "records_" + os.urandom(4).hex()
+    SK.write_table(_er(spark, d), name, scratch_path(spark, "table"))
+    return _er_out(spark.table(name))
+
+
+@reg("publish_formats", ER_OUT_SQL)
+def _publish_formats(spark, d):
+    root = scratch_path(spark, "publish")
+    out = SK.publish(_er(spark, d), root + "/processed", root + "/final", ["jsonl", "csv", "parquet"])
+    return _er_out(spark.read.parquet(out["final_parquet"]))
+
+
+@reg("csv_roundtrip", f"WITH {O.DR} SELECT " + ", ".join(
+    f"CAST({c} AS VARCHAR) AS {c}" for c in ["entity_id", "doc_id", "text", "lang", "source", "n_chars", "quality",
+                                              "toxic", "content_hash"]) + " FROM dr")
+def _csv_roundtrip(spark, d):
+    path = SK.write_csv(_dr(spark, d), scratch_path(spark, "records") + "/records.csv")
+    return SRC.read_records(spark, path)
+
+
+@reg("url_list", "SELECT url FROM pages")
+def _url_list(spark, d):
+    path = scratch_path(spark, "urls") + "/urls.csv"
+    load(spark, d, "pages").select("url").write.option("header", True).csv(path)
+    return SRC.read_url_list(spark, path, "url").select("url")
+
+
+@reg("archive_roundtrip", "SELECT 'raw/' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 10), "
+     "'%Y-%m-%dT%H%M%SZ0000') || '_' || substr(sha256(html), 1, 16) || '.html' AS raw_file_path, 'ok' AS status, "
+     "'[redacted]' AS cookie FROM pages")
+def _archive_roundtrip(spark, d):
+    arch = with_archive_paths(archive_from_pages(load(spark, d, "pages")), "raw")
+    arch = arch.withColumn("headers", F.map_concat("headers", F.create_map(F.lit("Set-Cookie"), F.lit("sid=1"))))
+    path = SK.write_archive(arch, scratch_path(spark, "archive"))
+    stored = spark.read.parquet(path)
+    checked = J.verify_archive(stored, stored.select(F.col("raw_file_path").alias("path"), F.col("body").alias("content")))
+    return checked.join(stored.select("raw_file_path", F.col("headers")["Set-Cookie"].alias("cookie")), "raw_file_path") \
+        .select("raw_file_path", "status", "cookie")
+
+
+# ---------------------------------------------------------------- streaming (STR-*)
+
+@reg("stream_archive", "SELECT event_id FROM events")
+def _stream_archive(spark, d):
+    sink, ck = scratch_path(spark, "stream-archive"), scratch_path(spark, "stream-ck")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    for _ in range(2):  # the second run resumes from the checkpoint and ingests nothing twice
+        ST.stream_archive(spark, d, schema, sink, ck, ts="ts", glob="events.parquet").awaitTermination()
+    return spark.read.parquet(sink).select("event_id")
+
+
+@reg("stream_dedup", "SELECT DISTINCT 'https://u' || CAST(user_id AS VARCHAR) || '.example.com/' AS source_url, "
+     "sha256(event_type) AS content_hash FROM events")
+def _stream_dedup(spark, d):
+    src = ST.table_stream(spark, d, "events").select(
+        F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/")).alias("source_url"),
+        R.content_hash("event_type").alias("content_hash"), "ts")
+    path = ST.run_to_table(ST.stream_dedup(src, "ts", ["source_url", "content_hash"]),
+                           scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-ck"))
+    return spark.read.parquet(path).select("source_url", "content_hash")
+
+
+@reg("stream_health", "WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type AS status, count(*) AS n "
+     "FROM events GROUP BY 1, 2) SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, "
+     "strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS window_end, status, n FROM b "
+     "WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+def _stream_health(spark, d):
+    src = ST.table_stream(spark, d, "events")
+    path = ST.run_to_table(ST.stream_health(src, "ts", "event_type"), scratch_path(spark, "stream-health"),
+                           scratch_path(spark, "stream-ck"))
+    out = spark.read.parquet(path)
+    return out.select(ts("window.start").alias("window_start"), ts("window.end").alias("window_end"), "status", "n")
+
+
+@reg("stream_changes", "SELECT CAST(user_id AS VARCHAR) AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, "
+     "h AS content_hash, prev AS prev_hash, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' END AS change FROM "
+     "(SELECT user_id, ts, sha256(event_type) AS h, lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts, "
+     "event_id) AS prev FROM events) WHERE prev IS NULL OR prev <> h")
+def _stream_changes(spark, d):
+    ST.use_rocksdb_state(spark)
+    src = ST.table_stream(spark, d, "events").withColumn("h", R.content_hash("event_type"))
+    path = ST.run_to_table(ST.stream_changes(src, "user_id", "ts", "h", tiebreak="event_id"),
+                           scratch_path(spark, "stream-changes"), scratch_path(spark, "stream-ck"))
+    out = spark.read.parquet(path)
+    return out.select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: fn for k, (fn, _) in _REG.items()}
 

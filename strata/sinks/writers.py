@@ -12,11 +12,13 @@ from strata.functions.records import redact_headers
 from strata.operators.columns import flatten_nested
 
 FORMATS = ("jsonl", "csv", "parquet", "table")
+# ISO-8601 with microseconds and offset, so text round trips keep full precision.
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """SNK-1: one JSON object per row, non-ASCII kept, nulls written."""
-    df.write.mode(mode).option("ignoreNullFields", False).json(path)
+    df.write.mode(mode).option("ignoreNullFields", False).option("timestampFormat", TS_FORMAT).json(path)
     return path
 
 
@@ -24,7 +26,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """SNK-2: header row, quotes doubled, missing -> empty. Nested values
     are flattened to JSON text first (PRJ-1). No BOM is written."""
     flat = flatten_nested(df)
-    (flat.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
+    (flat.write.mode(mode).option("header", True).option("timestampFormat", TS_FORMAT).option("escape", '"').option("quoteAll", False)
      .option("emptyValue", "").option("nullValue", "").csv(path))
     return path
 

@@ -15,7 +15,7 @@ def read_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     low = path.lower().rstrip("/")
     if low.endswith(".jsonl") or low.endswith(".json"):
         reader = spark.read.schema(schema) if schema is not None else spark.read
-        return reader.json(path)
+        return reader.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     if low.endswith(".csv"):
         return spark.read.options(**_CSV).csv(path)
     raise ValueError(f"Unsupported input format: {path}")
