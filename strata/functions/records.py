@@ -34,7 +34,7 @@ def entity_id(source: str, *parts) -> Column:
 def header_value(headers, name: str) -> Column:
     """Value of the first header whose name matches case-insensitively."""
     hit = F.map_filter(col_of(headers), lambda k, v: F.lower(k) == name.lower())
-    return F.element_at(F.map_values(hit), 1)
+    return F.try_element_at(F.map_values(hit), F.lit(1))
 
 
 def guess_extension(headers) -> Column:
