@@ -27,11 +27,34 @@ def fallback_short_page(df: DataFrame, html: str, own: list[str], fallback: list
     return out
 
 
-def text_lines(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
-    """Non-blank, whitespace-collapsed lines of a text column, one row each,
-    distinct per (group, key, line)."""
-    return (df.select(qcol(group).alias("grp"), qcol(key).alias("key"), F.explode(F.split(qcol(text), "\n")).alias("raw"))
-            .select("grp", "key", collapse_ws("raw").alias("line")).filter("line != ''").distinct())
+def line_key(line) -> Column:
+    """96-bit fingerprint of a line (xxhash64 + murmur3): what is shuffled
+    instead of the line text. Collisions are negligible (about 1e-5 expected
+    at a trillion distinct lines)."""
+    c = col_of(line)
+    return F.struct(F.xxhash64(c).alias("h1"), F.hash(c).alias("h2"))
+
+
+def text_lines(df: DataFrame, key: str, group: str, text: str, keep_text: bool = False) -> DataFrame:
+    """Non-blank, whitespace-collapsed lines of a text column: one row per
+    (group, key, line), the line as its fingerprint ``lk`` (plus the text
+    when ``keep_text``). De-duplicated map-side before the shuffle."""
+    lines = (df.select(qcol(group).alias("grp"), qcol(key).alias("key"),
+                       F.explode(F.split(qcol(text), "\n")).alias("raw"))
+             .select("grp", "key", collapse_ws("raw").alias("line")).filter("line != ''"))
+    cols = ["grp", "key", line_key("line").alias("lk")] + (["line"] if keep_text else [])
+    return lines.select(*cols).dropDuplicates(["grp", "key", "lk"])
+
+
+def boilerplate_keys(df: DataFrame, key: str, group: str, text: str,
+                     min_share: float = 0.5, min_pages: int = 3) -> DataFrame:
+    """(group, line fingerprint, pages_with_line, pages) of boilerplate lines."""
+    lines = text_lines(df, key, group, text)
+    per_line = lines.groupBy("grp", "lk").agg(F.count(F.lit(1)).alias("pages_with_line"))
+    per_group = (df.select(qcol(group).alias("grp"), qcol(key).alias("key")).distinct()
+                 .groupBy("grp").agg(F.count(F.lit(1)).alias("pages")))
+    return (per_line.join(per_group, "grp")
+            .filter((F.col("pages") >= min_pages) & (F.col("pages_with_line") >= F.col("pages") * min_share)))
 
 
 def boilerplate_lines(df: DataFrame, key: str, group: str, text: str,
@@ -39,31 +62,37 @@ def boilerplate_lines(df: DataFrame, key: str, group: str, text: str,
     """AGG-9: lines found on at least ``min_share`` of a group's (host's)
     pages, for groups with at least ``min_pages`` pages.
 
-    Lines are de-duplicated per page, then counted per (group, line) with a
-    map-side partial count, so a hot host adds partial rows, not shuffle.
+    Counting runs on line fingerprints (12 bytes a line, de-duplicated per
+    page map-side, partial counts per (group, line)), so a hot host adds
+    partial rows, not text, to the shuffle. The text of the winning lines
+    is fetched afterwards with a semi join on the (small) winner set.
     """
-    lines = text_lines(df, key, group, text)
-    per_line = lines.groupBy("grp", "line").agg(F.count(F.lit(1)).alias("pages_with_line"))
-    per_group = (df.select(qcol(group).alias("grp"), qcol(key).alias("key")).distinct()
-                 .groupBy("grp").agg(F.count(F.lit(1)).alias("pages")))
-    return (per_line.join(per_group, "grp")
-            .filter((F.col("pages") >= min_pages) & (F.col("pages_with_line") >= F.col("pages") * min_share))
+    keys = boilerplate_keys(df, key, group, text, min_share, min_pages)
+    lines = (df.select(qcol(group).alias("grp"), F.explode(F.split(qcol(text), "\n")).alias("raw"))
+             .select("grp", collapse_ws("raw").alias("line")).filter("line != ''")
+             .withColumn("lk", line_key("line")))
+    texts = (lines.join(keys.select("grp", "lk"), ["grp", "lk"], "left_semi")
+             .groupBy("grp", "lk").agg(F.any_value("line").alias("line")))
+    return (keys.join(texts, ["grp", "lk"])
             .select(F.col("grp").alias(group), "line", "pages_with_line", "pages"))
 
 
 def flag_text(df: DataFrame, key: str, group: str, title: str | None, text: str,
-              boilerplate: DataFrame | None = None) -> DataFrame:
+              boilerplate: DataFrame | None = None, min_share: float = 0.5, min_pages: int = 3) -> DataFrame:
     """FLT-5: empty title, blocked/captcha text, boilerplate-only body.
 
     boilerplate-only = every non-blank line of the text is a boilerplate line
-    of its group (AGG-9). Lines are joined to the boilerplate set on
-    (group, line) and folded back per key with one aggregation.
+    of its group (AGG-9). Line fingerprints are joined to the boilerplate
+    set on (group, fingerprint) and folded back per key with one
+    aggregation; no line text is shuffled.
     """
     if boilerplate is None:
-        boilerplate = boilerplate_lines(df, key, group, text)
-    bp = boilerplate.select(F.col(group).alias("grp"), "line", F.lit(True).alias("is_bp"))
+        bp = boilerplate_keys(df, key, group, text, min_share, min_pages).select("grp", "lk")
+    else:
+        bp = boilerplate.select(F.col(group).alias("grp"), line_key("line").alias("lk"))
+    bp = bp.withColumn("is_bp", F.lit(True))
     lines = text_lines(df, key, group, text)
-    per_key = (lines.join(bp, ["grp", "line"], "left")
+    per_key = (lines.join(bp, ["grp", "lk"], "left")
                .groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"),
                                    F.count_if(F.col("is_bp").isNotNull()).alias("n_bp")))
     title_blank = (collapse_ws(qcol(title)) == "") | qcol(title).isNull() if title else F.lit(False)

@@ -88,19 +88,25 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataF
     """JN-8: per host the longest matching path prefix decides; equal
     length -> allow; a host without a matching rule is allowed.
 
-    Rules ``(host, prefix, allow)`` are joined on host (equi part), then
-    filtered by ``startswith`` (theta part); the winner per URL is one
-    ``max_by`` aggregation keyed by the URL row."""
-    r = rules.select(F.lower("host").alias("__host"), F.col("prefix").alias("__prefix"),
-                     F.col("allow").alias("__allow"))
+    Rules ``(host, prefix, allow)``. The prefix test is turned into an equi
+    join: each distinct URL yields its path prefixes of exactly the lengths
+    that occur among its host's rules (a small, broadcast table), and those
+    join the rules on (host, length, prefix). No URL is paired with every
+    rule of its host; the winner per URL is one ``max_by`` aggregation."""
+    r = rules.select(F.lower("host").alias("__h"), F.col("prefix").alias("__prefix"),
+                     F.length("prefix").alias("__len"), F.col("allow").alias("__allow"))
+    lens = bounded_broadcast(r.select("__h", "__len").distinct())
     path = F.regexp_extract(F.col("__u"), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^#]*)", 1)
     distinct_urls = urls.select(qcol(url).alias("__u")).distinct().select(
         "__u", url_host(F.col("__u")).alias("__h"),
         F.when(path == "", F.lit("/")).otherwise(path).alias("__path"))
-    matches = (distinct_urls.join(bounded_broadcast(r), F.col("__h") == F.col("__host"))
-               .filter(F.col("__path").startswith(F.col("__prefix"))))
+    # only the URL prefixes whose length some rule of the host has
+    cands = (distinct_urls.join(lens, "__h")
+             .filter(F.length("__path") >= F.col("__len"))
+             .select("__u", "__h", "__len", F.substring("__path", F.lit(1), F.col("__len")).alias("__prefix")))
+    matches = cands.join(r, ["__h", "__len", "__prefix"])
     winner = matches.groupBy("__u").agg(
-        F.max_by("__allow", F.struct(F.length("__prefix"), F.col("__allow"))).alias("__win"))
+        F.max_by("__allow", F.struct(F.col("__len"), F.col("__allow"))).alias("__win"))
     return (urls.join(winner, qcol(url) == F.col("__u"), "left")
             .withColumn("allowed", F.coalesce(F.col("__win"), F.lit(True)))
             .drop("__u", "__win"))

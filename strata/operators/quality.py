@@ -100,9 +100,13 @@ def record_summary(df: DataFrame) -> DataFrame:
     """AGG-1: records, fields, duplicate ids, shared-hash rows, error rows."""
     base = df.agg(F.count(F.lit(1)).alias("records"),
                   F.count_if(has_error(df)).alias("error_records"))
-    return (base.crossJoin(duplicate_entities(df)).crossJoin(shared_hash_rows(df))
-            .select("records", F.lit(len(df.columns)).cast("bigint").alias("fields"),
-                    "duplicate_entity_ids", "shared_hash_rows", "error_records"))
+    # three one-row results folded into one row (union + max), no join
+    parts = (base.unionByName(duplicate_entities(df), allowMissingColumns=True)
+             .unionByName(shared_hash_rows(df), allowMissingColumns=True))
+    return parts.agg(F.max("records").alias("records"), F.lit(len(df.columns)).cast("bigint").alias("fields"),
+                     F.max("duplicate_entity_ids").alias("duplicate_entity_ids"),
+                     F.max("shared_hash_rows").alias("shared_hash_rows"),
+                     F.max("error_records").alias("error_records"))
 
 
 def status_distribution(df: DataFrame, fields: list[str] = STATUS_FIELDS) -> DataFrame:

@@ -146,3 +146,15 @@ def test_batch_extract_failures_follow_records(spark):
     out = J.batch_extract(urls, recs).orderBy("row_kind", "seq").collect()
     assert [(r.seq, r.row_kind, r.status_code, r.error) for r in out] == [
         (1, 0, 404, None), (3, 0, 404, None), (2, 1, None, "no archived response")]
+
+
+def test_boilerplate_lines_and_flag_text(spark):
+    from strata.operators import filters as FL
+    rows = [(1, "h", "Menu\nReal text one\n© Site"), (2, "h", "Menu\nOther text\n© Site"),
+            (3, "h", "Menu\n  © Site  "), (4, "h", "Solve the CAPTCHA to continue"),
+            (5, "g", "Menu\nMenu")]
+    df = spark.createDataFrame(rows, "id long, host string, text string")
+    bp = {(r.host, r.line): (r.pages_with_line, r.pages) for r in FL.boilerplate_lines(df, "id", "host", "text").collect()}
+    assert bp == {("h", "Menu"): (3, 4), ("h", "© Site"): (3, 4)}  # g has fewer than 3 pages
+    flags = {r.id: (r.blocked, r.boilerplate_only) for r in FL.flag_text(df, "id", "host", None, "text").collect()}
+    assert flags == {1: (False, False), 2: (False, False), 3: (False, True), 4: (True, False), 5: (False, False)}
