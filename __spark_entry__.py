@@ -521,6 +521,39 @@ def _merge_extracted(spark, d):
                     F.array_join("extraction_errors", "; ").alias("extraction_errors"))
 
 
+@reg("stamp_provenance", f"WITH {O.OBS}, m AS (SELECT event_id AS eid, 'https://api.example.com/history?city=' || "
+     "CAST(user_id AS VARCHAR) || '&month=' || strftime(ts, '%Y%m') AS api_url, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') "
+     "AS fetched, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, sha256(props) AS h, "
+     "'https://www.example.com/daydata.php?city=' || CAST(user_id AS VARCHAR) || '&month=' || strftime(ts, '%Y%m') "
+     "AS page FROM events) SELECT obs.entity_id, \"城市\", \"月份\", \"日期\", \"AQI\", \"质量等级\", "
+     "\"PM2.5\", \"PM10\", \"SO2\", \"NO2\", \"CO\", \"O3\", \"排名\", \"数据状态\", api_url AS source_url, "
+     "api_url AS final_url, page AS page_url, fetched AS fetched_at, status AS status_code, h AS content_hash, "
+     "'raw/api/' || CAST(eid AS VARCHAR) || '.json' AS raw_file_path, 'raw/page/' || \"城市\" || '_' || \"月份\" "
+     "|| '.html' AS page_raw_file_path, 'meta/api/' || CAST(eid AS VARCHAR) || '.json' AS metadata_file_path, "
+     "'history-api' AS extractor_name, '0.1.0' AS extractor_version, 'getHistory' AS api_method, "
+     "obs.extraction_errors, obs.event_id FROM obs JOIN m ON obs.event_id = m.eid")
+def _stamp_provenance(spark, d):
+    ev = load(spark, d, "events")
+    obs = PN.api_observations(ev)
+    meta = ev.select(
+        F.col("event_id").alias("eid"),
+        U.build_url(F.lit("https://api.example.com/history"), {
+            "city": F.col("user_id").cast("string"), "month": F.date_format("ts", "yyyyMM")}).alias("api_url"),
+        ts("ts").alias("fetched"),
+        F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
+        R.content_hash("props").alias("h"),
+        U.build_url(F.lit("https://www.example.com/daydata.php"), {
+            "city": F.col("user_id").cast("string"), "month": F.date_format("ts", "yyyyMM")}).alias("page"))
+    j = obs.join(meta, F.col("event_id") == F.col("eid"))
+    api = {"source_url": F.col("api_url"), "final_url": F.col("api_url"), "fetched_at": F.col("fetched"),
+           "status_code": F.col("status"), "content_hash": F.col("h"),
+           "raw_file_path": F.concat(F.lit("raw/api/"), F.col("eid").cast("string"), F.lit(".json")),
+           "metadata_file_path": F.concat(F.lit("meta/api/"), F.col("eid").cast("string"), F.lit(".json"))}
+    page_raw = F.concat(F.lit("raw/page/"), F.col("`城市`"), F.lit("_"), F.col("`月份`"), F.lit(".html"))
+    stamped = C.stamp_provenance(j, api, page_raw, F.col("page"), "history-api", "0.1.0", "getHistory")
+    return C.project_columns(stamped.drop("eid", "api_url", "fetched", "status", "h", "page"))
+
+
 # ---------------------------------------------------------------- scalar functions (FN-*)
 
 @reg("content_hash", "SELECT page_id, sha256(html) AS content_hash FROM pages")

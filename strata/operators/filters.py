@@ -39,8 +39,11 @@ def text_lines(df: DataFrame, key: str, group: str, text: str, keep_text: bool =
     """Non-blank, whitespace-collapsed lines of a text column: one row per
     (group, key, line), the line as its fingerprint ``lk`` (plus the text
     when ``keep_text``). De-duplicated map-side before the shuffle."""
-    lines = (df.select(qcol(group).alias("grp"), qcol(key).alias("key"),
-                       F.explode(F.split(qcol(text), "\n")).alias("raw"))
+    # explicit null filters keep every consumer's plan identical, so Spark
+    # reuses one shuffle of the lines instead of exploding the texts twice
+    lines = (df.filter(qcol(group).isNotNull() & qcol(key).isNotNull())
+             .select(qcol(group).alias("grp"), qcol(key).alias("key"),
+                     F.explode(F.split(qcol(text), "\n")).alias("raw"))
              .select("grp", "key", collapse_ws("raw").alias("line")).filter("line != ''"))
     cols = ["grp", "key", line_key("line").alias("lk")] + (["line"] if keep_text else [])
     return lines.select(*cols).dropDuplicates(["grp", "key", "lk"])

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from strata.functions._util import qcol
 from strata.functions.records import content_hash
 from strata.functions.urls import url_host
-from strata.operators.windows import union_records
 from strata.plans.sizing import bounded_broadcast
 
 NO_ARCHIVE = "no archived response"
@@ -22,13 +21,26 @@ NO_ARCHIVE = "no archived response"
 def batch_extract(urls: DataFrame, records: DataFrame, url: str = "url", seq: str = "seq",
                   key: str = "source_url") -> DataFrame:
     """JN-1: every requested URL ends as a record or a failure row
-    ``(source_url, error)``; failures follow all records (``row_kind`` 0/1,
-    then ``seq``). An HTTP error status is a record, not a failure."""
+    ``(source_url, error)``; failures follow all records (order by
+    ``row_kind`` 0/1, then ``seq``). An HTTP error status is a record, not a
+    failure."""
     req = urls.select(qcol(seq).alias(seq), qcol(url).alias(key))
-    ok = req.join(records, key, "inner").withColumn("row_kind", F.lit(0))
-    failed = (req.join(records.select(key), key, "left_anti")
-              .withColumn("error", F.lit(NO_ARCHIVE)).withColumn("row_kind", F.lit(1)))
-    return union_records(ok, failed)
+    return _records_or_failures(req, records, key)
+
+
+def _records_or_failures(req: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """One left outer join: matched rows are records (``row_kind`` 0), the
+    rest failure rows (``row_kind`` 1, ``error``). The request side is
+    computed once, not once per branch of a union."""
+    rec = records.withColumn("__found", F.lit(True))
+    j = req.join(rec, key, "left")
+    missing = F.col("__found").isNull()
+    cols = [c for c in j.columns if c != "__found"]
+    extra_error = "error" in records.columns
+    out = j.select(*[F.col(c) for c in cols if not (extra_error and c == "error")],
+                   F.when(missing, F.lit(NO_ARCHIVE)).otherwise(F.col("error") if extra_error else F.lit(None).cast("string")).alias("error"),
+                   F.when(missing, F.lit(1)).otherwise(F.lit(0)).alias("row_kind"))
+    return out
 
 
 def listing_details(links: DataFrame, records: DataFrame, link: str = "link",
@@ -36,11 +48,7 @@ def listing_details(links: DataFrame, records: DataFrame, link: str = "link",
     """JN-2: each discovered link joined to its archived detail record, with
     ``listing_url`` and ``listing_content_hash``; links without an archive
     row become failure rows that also carry ``listing_url``."""
-    l = links.withColumnRenamed(link, key)
-    ok = l.join(records, key, "inner").withColumn("row_kind", F.lit(0))
-    failed = (l.join(records.select(key), key, "left_anti")
-              .withColumn("error", F.lit(NO_ARCHIVE)).withColumn("row_kind", F.lit(1)))
-    return union_records(ok, failed)
+    return _records_or_failures(links.withColumnRenamed(link, key), records, key)
 
 
 def seed_or_discovered(requested: DataFrame, discovered: DataFrame, key: str, seq: str,
