@@ -628,7 +628,9 @@ def _shred_anchor_counts(spark, d):
      "UNION ALL SELECT page_id, 'nav', CAST(to_json(regexp_extract_all(regexp_extract(html, "
      "'(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) AS VARCHAR), NULL FROM pages")
 def _select_fields(spark, d):
-    nodes = H.shred_elements(load(spark, d, "pages"))
+    # the node table feeds several branches: parse once, cut lineage with a
+    # reliable checkpoint in the shared checkpoint folder
+    nodes = H.shred_elements(load(spark, d, "pages")).checkpoint()
     return H.field_records(H.select_fields(nodes, SELECT_SPEC))
 
 
@@ -641,7 +643,7 @@ def _extract_title_text(spark, d):
      "unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*/[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS name "
      "FROM pages) WHERE trim(name) <> ''")
 def _extract_scoped_names(spark, d):
-    nodes = H.shred_elements(load(spark, d, "pages"))
+    nodes = H.shred_elements(load(spark, d, "pages")).checkpoint()
     return H.extract_scoped_names(nodes, "/").select("page_id", "name")
 
 
