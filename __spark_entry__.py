@@ -39,7 +39,7 @@ from strata.sources import files as SRC  # noqa: E402
 from strata.sinks import writers as SK  # noqa: E402
 from strata.functions import charset as CS  # noqa: E402
 from strata.streaming import jobs as ST  # noqa: E402
-from strata.session import scratch_path  # noqa: E402
+from strata.session import reliable_checkpoint, scratch_path  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -630,7 +630,7 @@ def _shred_anchor_counts(spark, d):
 def _select_fields(spark, d):
     # the node table feeds several branches: parse once, cut lineage with a
     # reliable checkpoint in the shared checkpoint folder
-    nodes = H.shred_elements(load(spark, d, "pages")).checkpoint()
+    nodes = reliable_checkpoint(H.shred_elements(load(spark, d, "pages")))
     return H.field_records(H.select_fields(nodes, SELECT_SPEC))
 
 
@@ -643,7 +643,7 @@ def _extract_title_text(spark, d):
      "unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*/[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS name "
      "FROM pages) WHERE trim(name) <> ''")
 def _extract_scoped_names(spark, d):
-    nodes = H.shred_elements(load(spark, d, "pages")).checkpoint()
+    nodes = reliable_checkpoint(H.shred_elements(load(spark, d, "pages")))
     return H.extract_scoped_names(nodes, "/").select("page_id", "name")
 
 

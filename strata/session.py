@@ -65,3 +65,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if path.startswith("file:"):
         os.makedirs(path[len("file:"):], exist_ok=True)
     return path
+
+
+def reliable_checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared checkpoint
+    folder (never ``localCheckpoint``): an expensive stage reused by several
+    branches is computed once and survives executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
