@@ -158,3 +158,17 @@ def test_boilerplate_lines_and_flag_text(spark):
     assert bp == {("h", "Menu"): (3, 4), ("h", "© Site"): (3, 4)}  # g has fewer than 3 pages
     flags = {r.id: (r.blocked, r.boilerplate_only) for r in FL.flag_text(df, "id", "host", None, "text").collect()}
     assert flags == {1: (False, False), 2: (False, False), 3: (False, True), 4: (True, False), 5: (False, False)}
+
+
+def test_properties_on_driver_tables(spark):
+    """failures + records = requested; status counts sum to the records."""
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+    b = E.queries()["batch_extract"](spark, SF_SMALL)
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
+    links = E.queries()["discover_links"](spark, SF_SMALL).count()
+    assert b.count() == pages + links
+    st = E.queries()["status_distribution"](spark, SF_SMALL).agg(F.sum("n")).first()[0]
+    assert st == E.queries()["record_summary"](spark, SF_SMALL).first().records
+    fs = E.queries()["first_seen"](spark, SF_SMALL)
+    assert W.first_seen(fs, "role", "turn", per="conv_id").count() == fs.count()  # idempotent
