@@ -76,7 +76,7 @@ def discover_links(pages: DataFrame, html: str = "html", base: str = "url",
     staged = with_link_inputs(pages, html, base, keys)
     arr = link_array("__refs", "__bp", max_links, allow, deny)
     return (staged.select(*keys, F.posexplode(arr).alias("pos0", "link"))
-            .select(*keys, (F.col("pos0") + 1).alias("pos"), "link"))
+            .select(*keys, (F.col("pos0") + 1).cast("long").alias("pos"), "link"))
 
 
 def filter_links(df: DataFrame, allow: str | None = None, deny: str | None = None,
