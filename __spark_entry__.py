@@ -32,6 +32,7 @@ from strata.operators import windows as W  # noqa: E402
 from strata.plans import datasets as DS  # noqa: E402
 from strata.plans import listing as LS  # noqa: E402
 from strata.plans import panel as PN  # noqa: E402
+from strata.plans import flows as FLOWS  # noqa: E402
 from strata.sources import api as API  # noqa: E402
 from strata.sources.archive import archive_from_pages, with_archive_paths  # noqa: E402
 from strata.sources.tables import load  # noqa: E402
@@ -647,6 +648,22 @@ def _extract_scoped_names(spark, d):
     return H.extract_scoped_names(nodes, "/").select("page_id", "name")
 
 
+EXTRACT_SPEC = {"heading": "article h1::text", "nav": "nav a::attr(href)", "hover": "a:hover"}
+
+
+@reg("extract_records", "SELECT 'raw/' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 10), "
+     "'%Y-%m-%dT%H%M%SZ0000') || '_' || substr(sha256(html), 1, 16) || '.html' AS raw_file_path, url AS source_url, "
+     "200 AS status_code, sha256(html) AS content_hash, " +
+     O.unescape_named("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + " AS heading, "
+     "CAST(to_json(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) "
+     "AS VARCHAR) AS nav, 'hover: unsupported selector: ''a:hover''' AS extraction_errors FROM pages")
+def _extract_records(spark, d):  # FN-2 + EXT-2/3 + PRJ-5 flow over archived bodies
+    arch = with_archive_paths(archive_from_pages(load(spark, d, "pages")), "raw")
+    recs = FLOWS.extract_records(arch, EXTRACT_SPEC)
+    return recs.select("raw_file_path", "source_url", "status_code", "content_hash", "heading", "nav",
+                       F.array_join("extraction_errors", "; ").alias("extraction_errors"))
+
+
 # ---------------------------------------------------------------- charset decoding (FN-2)
 
 @reg("decode_bodies", "SELECT page_id, html AS text FROM pages")
