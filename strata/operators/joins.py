@@ -52,14 +52,18 @@ def listing_details(links: DataFrame, records: DataFrame, link: str = "link",
 
 
 def seed_or_discovered(requested: DataFrame, discovered: DataFrame, key: str, seq: str,
-                       max_n: int | None = None) -> DataFrame:
+                       max_n: int | None = None, require: bool = False) -> DataFrame:
     """JN-4: the explicit seed list wins when non-empty, else the discovered
-    list; first ``max_n`` in order. The choice is a one-row aggregate."""
+    list; first ``max_n`` in order. The choice is a one-row aggregate.
+    ``require=True`` raises when both lists are empty (a bounded check that
+    reads at most one row)."""
     both = (requested.select(qcol(key), qcol(seq)).withColumn("__prio", F.lit(0))
             .unionByName(discovered.select(qcol(key), qcol(seq)).withColumn("__prio", F.lit(1))))
     best = both.agg(F.min("__prio").alias("__best"))
     chosen = both.join(F.broadcast(best), F.col("__prio") == F.col("__best")).drop("__best", "__prio")
     ordered = chosen.orderBy(seq)
+    if require and not both.limit(1).count():
+        raise ValueError("no seeds given and none discovered")
     return ordered.limit(max_n) if max_n else ordered
 
 

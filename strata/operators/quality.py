@@ -110,10 +110,11 @@ def record_summary(df: DataFrame) -> DataFrame:
 
 
 def status_distribution(df: DataFrame, fields: list[str] = STATUS_FIELDS) -> DataFrame:
-    """AGG-2: count per status as text; blank -> 'missing'."""
+    """AGG-2: count per status as text; blank -> 'missing'; sorted by text
+    (the sort runs on the one-row-per-status result only)."""
     s = first_text(df, fields)
     return (df.groupBy(F.when(s == "", F.lit("missing")).otherwise(s).alias("status"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.count(F.lit(1)).alias("n")).orderBy("status"))
 
 
 def missing_values(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -130,7 +131,7 @@ def missing_values(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     long = wide.selectExpr("__n", f"stack({len(names)}, {stack}) AS (field, missing)")
     return long.select("field", F.col("missing").cast("bigint").alias("missing"),
                        F.when(F.col("__n") > 0, F.col("missing") * 100.0 / F.col("__n"))
-                       .otherwise(F.lit(0.0)).alias("rate"))
+                       .otherwise(F.lit(0.0)).alias("rate")).orderBy("field")
 
 
 def _sql_str(s: str) -> str:

@@ -172,3 +172,31 @@ def test_properties_on_driver_tables(spark):
     assert st == E.queries()["record_summary"](spark, SF_SMALL).first().records
     fs = E.queries()["first_seen"](spark, SF_SMALL)
     assert W.first_seen(fs, "role", "turn", per="conv_id").count() == fs.count()  # idempotent
+
+
+def test_flows_on_hand_written_archives(spark):
+    from strata.plans import flows as FL
+    from strata.session import scratch_path
+    body = "<html><head><title>T</title></head><body><nav><a href='/d1'>1</a><a href='/d2'>2</a></nav></body></html>"
+    detail = "<html><head><title>Detail</title></head><body><p>x</p></body></html>"
+    arch = spark.createDataFrame([
+        ("raw/a.html", "http://h.com/list", "http://h.com/list", 200, {"Content-Type": "text/html"}, body.encode()),
+        ("raw/b.html", "http://h.com/d1", "http://h.com/d1", 404, {}, detail.encode()),
+        ("raw/c.html", "http://h.com/e", "http://h.com/e", 200, {}, b"")],
+        "raw_file_path string, source_url string, final_url string, status_code int, headers map<string,string>, body binary")
+    recs = {r.raw_file_path: r for r in FL.extract_records(arch).collect()}
+    assert recs["raw/a.html"].title == "T" and recs["raw/b.html"].text == "Detail\nx"
+    assert recs["raw/c.html"].extraction_errors == ["empty response body"]
+    listings = arch.filter("raw_file_path = 'raw/a.html'").select("source_url", "final_url", F.decode("body", "UTF-8").alias("html"))
+    out = sorted((r.source_url, r.row_kind, r.status_code, r.listing_url) for r in
+                 FL.listing_dataset(listings, arch.select("source_url", "status_code")).collect())
+    assert out == [("http://h.com/d1", 0, 404, "http://h.com/list"), ("http://h.com/d2", 1, None, "http://h.com/list")]
+    rep = FL.quality_report(FL.extract_records(arch))
+    assert [r.status for r in rep["status"].collect()] == ["200", "404"]
+    d = scratch_path(spark, "urls").replace("file:", "")
+    import os
+    os.makedirs(d, exist_ok=True)
+    with open(f"{d}/u.csv", "w") as fh:
+        fh.write("url\nhttp://h.com/e\nhttp://h.com/missing\n")
+    got = sorted((r.source_url, r.row_kind) for r in FL.url_list_dataset(spark, d, arch.select("source_url", "status_code")).collect())
+    assert got == [("http://h.com/e", 0), ("http://h.com/missing", 1)]
