@@ -24,11 +24,14 @@ from strata.functions._util import qcol
 
 def stream_archive(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                    fmt: str = "parquet", ts: str | None = None, partition_by: list[str] | None = None,
-                   available_now: bool = True, glob: str | None = None) -> StreamingQuery:
+                   available_now: bool = True, glob: str | None = None,
+                   max_files_per_trigger: int | None = None) -> StreamingQuery:
     """STR-1: new archive files are ingested once into ``sink``; re-running
     with the same checkpoint picks up only files not seen before. Naive
     timestamps are read as session-zone timestamps so watermarks apply."""
     reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:  # files of ``source`` matching ``glob`` (a folder holding other tables too)
         reader = reader.option("basePath", source).option("pathGlobFilter", glob)
     df = reader.load(source)
@@ -122,12 +125,18 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return path
 
 
-def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, name: str,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream over one table file of a folder (``<folder>/<name>.parquet``),
-    with naive timestamps read as session-zone timestamps."""
+    with naive timestamps read as session-zone timestamps.
+    ``max_files_per_trigger`` bounds a micro-batch (and so the rows of one
+    key handed to a stateful handler at once)."""
     schema = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").schema
     glob = f"{folder.rstrip('/')}/{name[:-1]}[{name[-1]}].parquet"
-    df = spark.readStream.schema(schema).option("basePath", folder).parquet(glob)
+    reader = spark.readStream.schema(schema).option("basePath", folder)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.parquet(glob)
     return df.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz"
                        else F.col(f.name) for f in schema.fields])
 
