@@ -214,6 +214,19 @@ def _flag_text(spark, d):
     return FL.flag_text(load(spark, d, "documents"), "doc_id", "source", None, "text")
 
 
+@reg("boilerplate_lines_10pct", f"WITH {O.doc_lines(0.1)} SELECT grp AS source, line, pages_with_line, pages FROM bp")
+def _boilerplate_lines_10pct(spark, d):  # AGG-9 at a 10 % share, so the set is not empty on the driver tables
+    return FL.boilerplate_lines(load(spark, d, "documents"), "doc_id", "source", "text", min_share=0.1)
+
+
+@reg("flag_text_10pct", f"WITH {O.doc_lines(0.1)} SELECT dd.doc_id, false AS empty_title, "
+     f"regexp_matches(dd.text, {O.lit(FL.BLOCK_PATTERN)}) AS blocked, "
+     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only "
+     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key")
+def _flag_text_10pct(spark, d):  # FLT-5 against the 10 % boilerplate set
+    return FL.flag_text(load(spark, d, "documents"), "doc_id", "source", None, "text", min_share=0.1)
+
+
 @reg("flag_price", "WITH st AS (SELECT o_orderpriority AS cat, count(o_totalprice) AS n, "
      "quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1) "
      "SELECT o.o_orderkey, o.o_orderpriority, o.o_totalprice, o.o_totalprice IS NULL AS unparseable, "
@@ -356,6 +369,27 @@ def _new_and_gone(spark, d):
     return W.new_and_gone(ev.filter(F.col("ts") < cut), ev.filter(F.col("ts") >= cut), "user_id")
 
 
+@reg("new_and_gone_daily", "WITH p AS (SELECT DISTINCT user_id FROM events WHERE date_trunc('day', ts) = "
+     "TIMESTAMP '2024-01-01'), c AS (SELECT DISTINCT user_id FROM events WHERE date_trunc('day', ts) = "
+     "TIMESTAMP '2024-01-02') SELECT user_id, 'new' AS status FROM c WHERE user_id NOT IN (SELECT user_id FROM p) "
+     "UNION ALL SELECT user_id, 'gone' FROM p WHERE user_id NOT IN (SELECT user_id FROM c)")
+def _new_and_gone_daily(spark, d):  # SET-2 between two consecutive day waves
+    ev = load(spark, d, "events").withColumn("wave", F.date_trunc("day", "ts"))
+    return W.new_and_gone(ev.filter(F.col("wave") == F.lit("2024-01-01").cast("timestamp")),
+                          ev.filter(F.col("wave") == F.lit("2024-01-02").cast("timestamp")), "user_id")
+
+
+@reg("coverage_drops_5pct", "WITH c AS (SELECT date_trunc('day', ts) AS wave, count(DISTINCT user_id) AS entities "
+     "FROM events GROUP BY 1), l AS (SELECT wave, entities, lag(entities) OVER (ORDER BY wave) AS prev_entities "
+     "FROM c) SELECT strftime(wave, '%Y-%m-%d %H:%M:%S.%f') AS wave, entities, prev_entities, "
+     "round(1 - entities / prev_entities, 6) AS drop_share FROM l WHERE prev_entities IS NOT NULL "
+     "AND 1 - entities / prev_entities > 0.05")
+def _coverage_drops_5pct(spark, d):  # WIN-6 at a 5 % threshold
+    cov = Q.wave_coverage(load(spark, d, "events"), "user_id", "ts", "day")
+    out = W.coverage_drops(cov, 0.05)
+    return out.select(ts("wave").alias("wave"), "entities", "prev_entities", F.round("drop_share", 6).alias("drop_share"))
+
+
 # ---------------------------------------------------------------- joins (JN-*, SET-1, AGG-7)
 
 def _arch_meta(pages):

@@ -142,17 +142,22 @@ def missing_values_sql() -> str:
     return f"WITH {DR} " + " UNION ALL ".join(parts)
 
 
-DOC_LINES = (
-    "lines AS (SELECT DISTINCT source AS grp, doc_id AS key, line FROM (SELECT source, doc_id, "
-    f"trim(regexp_replace(raw, {lit(WS)}, ' ', 'g')) AS line FROM (SELECT source, doc_id, "
-    "unnest(string_split(text, chr(10))) AS raw FROM documents)) WHERE line <> ''), "
-    "per_line AS (SELECT grp, line, count(*) AS pages_with_line FROM lines GROUP BY 1, 2), "
-    "per_group AS (SELECT grp, count(*) AS pages FROM (SELECT DISTINCT source AS grp, doc_id AS key "
-    "FROM documents) GROUP BY 1), "
-    "bp AS (SELECT l.grp, l.line, l.pages_with_line, g.pages FROM per_line l JOIN per_group g USING (grp) "
-    "WHERE g.pages >= 3 AND l.pages_with_line >= g.pages * 0.5), "
-    "per_key AS (SELECT key, count(*) AS n_lines, count(bp.line) AS n_bp FROM lines LEFT JOIN bp "
-    "USING (grp, line) GROUP BY key)")
+def doc_lines(min_share: float = 0.5, min_pages: int = 3) -> str:
+    """Lines per (source, doc), boilerplate set, per-doc line counts."""
+    return (
+        "lines AS (SELECT DISTINCT source AS grp, doc_id AS key, line FROM (SELECT source, doc_id, "
+        f"trim(regexp_replace(raw, {lit(WS)}, ' ', 'g')) AS line FROM (SELECT source, doc_id, "
+        "unnest(string_split(text, chr(10))) AS raw FROM documents)) WHERE line <> ''), "
+        "per_line AS (SELECT grp, line, count(*) AS pages_with_line FROM lines GROUP BY 1, 2), "
+        "per_group AS (SELECT grp, count(*) AS pages FROM (SELECT DISTINCT source AS grp, doc_id AS key "
+        "FROM documents) GROUP BY 1), "
+        "bp AS (SELECT l.grp, l.line, l.pages_with_line, g.pages FROM per_line l JOIN per_group g USING (grp) "
+        f"WHERE g.pages >= {min_pages} AND l.pages_with_line >= g.pages * {min_share}), "
+        "per_key AS (SELECT key, count(*) AS n_lines, count(bp.line) AS n_bp FROM lines LEFT JOIN bp "
+        "USING (grp, line) GROUP BY key)")
+
+
+DOC_LINES = doc_lines()
 
 BATCH = ("req AS (SELECT page_id * 1000 AS seq, url AS source_url FROM pages UNION ALL "
          "SELECT page_id * 1000 + pos, link FROM kept), arch AS (SELECT url AS source_url, 200 AS status_code, "
