@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions._util import col_of, qcol
+from strata.functions._util import qcol
 
 
 def _cols(names) -> list[str]:
@@ -30,7 +30,8 @@ def _cols(names) -> list[str]:
 def split_lag(df: DataFrame, keys, order: list[str], cols: list[str], bucket: Column,
               prefix: str = "prev_") -> DataFrame:
     """``lag(c)`` for each ``c`` in ``cols`` per ``keys`` ordered by ``order``
-    (the last order column should make it total), computed in slices."""
+    (the last order column should make it total), computed in slices; plus
+    ``<prefix>exists``: whether the row has a predecessor at all."""
     keys = _cols(keys)
     staged = df.withColumn("__b", bucket)
     w_in = Window.partitionBy(*keys, "__b").orderBy(*order)
@@ -43,7 +44,8 @@ def split_lag(df: DataFrame, keys, order: list[str], cols: list[str], bucket: Co
     out = inner.join(carry, [*keys, "__b"], "left")
     prev = [F.when(F.col("__rn") == 1, F.col("__carry")[c]).otherwise(F.col(f"__in_{c}")).alias(prefix + c)
             for c in cols]
-    return out.select(*[qcol(c) for c in df.columns], *prev)
+    has_prev = ((F.col("__rn") > 1) | F.col("__carry").isNotNull()).alias(prefix + "exists")
+    return out.select(*[qcol(c) for c in df.columns], *prev, has_prev)
 
 
 def split_row_number(df: DataFrame, keys, order: list[str], bucket: Column,
@@ -101,7 +103,7 @@ def pacing_violations(log: DataFrame, host: str, ts: str, delay_seconds: float =
     order = [ts] + ([tiebreak] if tiebreak else [])
     lagged = split_lag(log, host, order, [ts], F.date_trunc(grain, qcol(ts)))
     gap = F.unix_micros(qcol(ts)) - F.unix_micros(F.col("prev_" + ts))
-    return (lagged.withColumn("gap_s", gap / 1e6)
+    return (lagged.drop("prev_exists").withColumn("gap_s", gap / 1e6)
             .filter(F.col("gap_s").isNotNull() & (F.col("gap_s") < delay_seconds)))
 
 
@@ -133,10 +135,9 @@ def unit_changes(df: DataFrame, entity: str, ts: str, unit_cols: list[str],
     changed = F.lit(False)
     for c in unit_cols:
         changed = changed | ~qcol(c).eqNullSafe(F.col("prev_" + c))
-    first = F.col("prev_" + unit_cols[0]).isNull()
-    for c in unit_cols[1:]:
-        first = first & F.col("prev_" + c).isNull()
-    return lagged.withColumn("unit_status", F.when(first, "new").when(changed, "changed").otherwise("same"))
+    first = ~F.col("prev_exists")
+    return (lagged.withColumn("unit_status", F.when(first, "new").when(changed, "changed").otherwise("same"))
+            .drop("prev_exists"))
 
 
 def content_changes(df: DataFrame, entity: str, ts: str, chash: str, grain: str = "day",

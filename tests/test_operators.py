@@ -113,7 +113,8 @@ def test_split_lag_equals_plain_window(spark):
     df = spark.createDataFrame(rows, "k string, t long, i long, u string")
     got = W.split_lag(df, "k", ["t", "i"], ["u", "t"], F.floor(F.col("t") / 700))
     w = Window.partitionBy("k").orderBy("t", "i")
-    exp = df.select("*", F.lag("u").over(w).alias("prev_u"), F.lag("t").over(w).alias("prev_t"))
+    exp = df.select("*", F.lag("u").over(w).alias("prev_u"), F.lag("t").over(w).alias("prev_t"),
+                    (F.row_number().over(w) > 1).alias("prev_exists"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
     got_rn = W.split_row_number(df, "k", ["t", "i"], F.floor(F.col("t") / 500))
     exp_rn = df.withColumn("position", F.row_number().over(w).cast("long"))
@@ -200,3 +201,14 @@ def test_flows_on_hand_written_archives(spark):
         fh.write("url\nhttp://h.com/e\nhttp://h.com/missing\n")
     got = sorted((r.source_url, r.row_kind) for r in FL.url_list_dataset(spark, d, arch.select("source_url", "status_code")).collect())
     assert got == [("http://h.com/e", 0), ("http://h.com/missing", 1)]
+
+
+def test_unit_changes_with_null_units(spark):
+    df = spark.createDataFrame([("e", 1, None), ("e", 2, None), ("e", 3, "kg"), ("f", 1, "kg")],
+                               "e string, t long, unit string")
+    ts = df.withColumn("ts", F.timestamp_seconds(F.col("t") * 3600))
+    got = {(r.e, r.t): r.unit_status for r in W.unit_changes(ts, "e", "ts", ["unit"]).collect()}
+    assert got == {("e", 1): "new", ("e", 2): "same", ("e", 3): "changed", ("f", 1): "new"}
+    lagged = W.split_lag(df, "e", ["t"], ["unit"], F.floor(F.col("t") / 2))
+    rows = {(r.e, r.t): (r.prev_unit, r.prev_exists) for r in lagged.collect()}
+    assert rows == {("e", 1): (None, False), ("e", 2): (None, True), ("e", 3): (None, True), ("f", 1): (None, False)}

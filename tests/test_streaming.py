@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import scratch_path
