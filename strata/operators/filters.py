@@ -16,6 +16,17 @@ BLOCK_PHRASES = ["captcha", "access denied", "forbidden", "verify you are human"
 BLOCK_PATTERN = "(?i)(" + "|".join(BLOCK_PHRASES) + ")"
 
 
+def blocked_text(text) -> Column:
+    """Case-insensitive presence of any block phrase: the text is lower-cased
+    once and each phrase found by a plain substring search (several times
+    faster than a case-insensitive regex alternation over long texts)."""
+    low = F.lower(col_of(text))
+    out = F.lit(False)
+    for phrase in BLOCK_PHRASES:
+        out = out | low.contains(phrase)
+    return out
+
+
 def fallback_short_page(df: DataFrame, html: str, own: list[str], fallback: list[str],
                         min_chars: int = 1000) -> DataFrame:
     """FLT-4: when the page text is shorter than ``min_chars``, take the
@@ -100,7 +111,7 @@ def flag_text(df: DataFrame, key: str, group: str, title: str | None, text: str,
                                    F.count_if(F.col("is_bp").isNotNull()).alias("n_bp")))
     title_blank = (collapse_ws(qcol(title)) == "") | qcol(title).isNull() if title else F.lit(False)
     base = df.select(qcol(key).alias("key"), title_blank.alias("empty_title"),
-                     qcol(text).rlike(BLOCK_PATTERN).alias("blocked"))
+                     blocked_text(qcol(text)).alias("blocked"))
     return (base.join(per_key, "key", "left")
             .select(F.col("key").alias(key), "empty_title", "blocked",
                     ((F.coalesce(F.col("n_lines"), F.lit(0)) > 0) & (F.col("n_lines") == F.col("n_bp")))
