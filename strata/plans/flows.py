@@ -40,11 +40,12 @@ def extract_records(archive: DataFrame, fields: dict[str, str] | None = None,
     else:
         nodes = reliable_checkpoint(H.shred_elements(pages))
         vals = H.field_records(H.select_fields(nodes, fields))
-        ex = (vals.groupBy("page_id").pivot("field", list(fields))
-              .agg(F.first("value"))
-              .join(vals.filter(F.col("error").isNotNull()).groupBy("page_id")
-                    .agg(F.sort_array(F.collect_list("error")).alias("extraction_errors")), "page_id", "left")
-              .withColumnRenamed("page_id", key))
+        # one pivot pass: each field's value and error side by side
+        wide = vals.groupBy("page_id").pivot("field", list(fields)).agg(
+            F.first("value").alias("v"), F.first("error").alias("e"))
+        errs = F.filter(F.array(*[F.col(f"`{f}_e`") for f in fields]), lambda x: x.isNotNull())
+        ex = wide.select(F.col("page_id").alias(key), *[F.col(f"`{f}_v`").alias(f) for f in fields],
+                         errs.alias("extraction_errors"))
     return C.merge_extracted(meta, ex, key, body_len="__body_len").drop("__body_len")
 
 
