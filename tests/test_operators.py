@@ -212,3 +212,50 @@ def test_unit_changes_with_null_units(spark):
     lagged = W.split_lag(df, "e", ["t"], ["unit"], F.floor(F.col("t") / 2))
     rows = {(r.e, r.t): (r.prev_unit, r.prev_exists) for r in lagged.collect()}
     assert rows == {("e", 1): (None, False), ("e", 2): (None, True), ("e", 3): (None, True), ("f", 1): (None, False)}
+
+
+def test_price_and_date_flags(spark):
+    from strata.functions.text import parse_amount
+    from strata.operators import filters as FL
+    prices = [("a", f"¥{100 + i},00/件".replace(",00", "")) for i in range(12)] + \
+             [("a", "abc"), ("a", "-5"), ("a", "¥1,200,000/件"), ("b", "¥7")]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(prices)], "id int, cat string, t string")
+    df = df.withColumn("amount", parse_amount("t")["amount"].cast("double"))
+    got = {r.id: (r.unparseable, r.negative, r.outlier) for r in FL.flag_price(df, "amount", "cat").collect()}
+    assert got[12] == (True, False, False)          # 'abc'
+    assert got[13] == (False, True, True)           # negative, and far below the quartiles
+    assert got[14] == (False, False, True)          # extreme outlier
+    assert got[15] == (False, False, False)         # category 'b' has too few rows to judge
+    assert all(not any(v) for k, v in got.items() if k < 12)
+    dates = spark.createDataFrame([(1, "2024-06-30"), (2, "2024-06-31"), (3, "2031-01-01"), (4, "1901-05-05"), (5, None)],
+                                  "id int, d string")
+    got = {r.id: (r.unparseable_date, r.future_date, r.too_old)
+           for r in FL.flag_date(dates, "d", as_of="2025-01-01", fmt="yyyy-MM-dd").collect()}
+    assert got == {1: (False, False, False), 2: (True, False, False), 3: (False, True, False),
+                   4: (False, False, True), 5: (False, False, False)}
+
+
+def test_conform_flags_bad_casts(spark):
+    df = spark.createDataFrame([("e1", "12.5", "2024-01-01 10:00:00"), ("e2", "n/a", "bad")],
+                               "entity_id string, `价格` string, observed_at string")
+    rows = {r.entity_id: r for r in C.conform(df, "price").collect()}
+    assert C.conform(df, "price").columns[:3] == ["entity_id", "observed_at", "商品名称"]
+    assert float(rows["e1"]["价格"]) == 12.5 and rows["e1"].conform_errors == []
+    assert rows["e2"]["价格"] is None and sorted(rows["e2"].conform_errors) == ["observed_at", "价格"]
+
+
+def test_verify_archive_statuses(spark):
+    from strata.functions.records import content_hash
+    recs = spark.createDataFrame([("p1", b"a"), ("p2", b"b"), ("p3", b"c")], "raw_file_path string, body binary") \
+        .withColumn("content_hash", content_hash("body")).drop("body")
+    files = spark.createDataFrame([("p1", b"a"), ("p2", b"B"), ("p4", b"d")], "path string, content binary")
+    got = {r.raw_file_path: r.status for r in J.verify_archive(recs, files).collect()}
+    assert got == {"p1": "ok", "p2": "altered", "p3": "missing_file", "p4": "unrecorded"}
+
+
+def test_fallback_short_page_boundary(spark):
+    from strata.operators import filters as FL
+    df = spark.createDataFrame([(1, "x" * 999, "day1", "month1"), (2, "x" * 1000, "day2", "month2")],
+                               "id int, html string, meta string, month_meta string")
+    got = {r.id: (r.used_fallback, r.meta) for r in FL.fallback_short_page(df, "html", ["meta"], ["month_meta"]).collect()}
+    assert got == {1: (True, "month1"), 2: (False, "day2")}
