@@ -441,6 +441,15 @@ def _assemble_panel(spark, d):
     return PN.assemble_panel(load(spark, d, "events"))
 
 
+@reg("panel_publish", f"WITH {O.OBS} SELECT \"城市\" AS city, \"日期\" AS date, \"AQI\" AS aqi, "
+     "\"PM2.5\" AS pm2_5, '' AS wind, extraction_errors FROM obs WHERE (\"城市\", \"月份\") IN "
+     "(SELECT (CAST(user_id AS VARCHAR), max(strftime(ts, '%Y%m'))) FROM events GROUP BY user_id)")
+def _panel_publish(spark, d):  # JN-3 -> PRJ-2/3 -> SNK-5: the published final Parquet, read back
+    root = scratch_path(spark, "panel")
+    PN.panel_dataset(load(spark, d, "events"), root + "/processed", root + "/final", PROJECT_REQUEST, "en")
+    return spark.read.parquet(root + "/final/panel.parquet")
+
+
 @reg("seed_or_discovered", "WITH b AS (SELECT c_name, c_custkey, 0 AS prio FROM customer WHERE c_mktsegment = 'SEED' "
      "UNION ALL SELECT c_name, c_custkey, 1 FROM customer) SELECT c_name, c_custkey FROM b "
      "WHERE prio = (SELECT min(prio) FROM b) ORDER BY c_custkey LIMIT 50")

@@ -57,3 +57,19 @@ def assemble_panel(events: DataFrame, requested_month: str = "latest",
     picked = docs.join(chosen, ["city", "month"], "inner")
     parsed = parse_api_documents(picked, "body_text")
     return observations_from_api(parsed, "doc", "city", "month", keep=["event_id"])
+
+
+def panel_dataset(events: DataFrame, processed_dir: str, final_dir: str | None,
+                  requested: list[str] | None = None, language: str = "en",
+                  formats: tuple[str, ...] = ("jsonl", "csv", "parquet"), stem: str = "panel",
+                  requested_month: str = "latest", as_of: str = "2024-02-01") -> tuple[DataFrame, dict]:
+    """The whole city-day flow: panel -> requested columns -> localized
+    names -> published in every format to the processed and final folders
+    -> audit tables. Returns the published dataset and the report tables."""
+    from strata.operators.columns import localize_columns, project_columns
+    from strata.plans.flows import quality_report
+    from strata.sinks.writers import publish
+    obs = assemble_panel(events, requested_month, as_of)
+    ds = localize_columns(project_columns(obs, requested), language)
+    publish(ds, processed_dir, final_dir, list(formats), stem=stem)
+    return ds, quality_report(ds)
