@@ -409,8 +409,9 @@ def _batch_extract(spark, d):
     return _batch(spark, d).select("seq", "source_url", "status_code", "content_hash", "error", "row_kind")
 
 
-@reg("failure_counts", f"WITH {O.links_cte(20)}, {O.BATCH} SELECT 'failed_request' AS kind, error, count(*) AS n "
-     "FROM batch WHERE error IS NOT NULL AND error <> '' GROUP BY error")
+@reg("failure_counts", f"WITH {O.links_cte(20)}, {O.BATCH} SELECT kind, error, count(*) AS n, "
+     "CAST(GROUPING(kind, error) AS INTEGER) AS level FROM (SELECT 'failed_request' AS kind, error FROM batch "
+     "WHERE error IS NOT NULL AND error <> '') GROUP BY ROLLUP (kind, error)")
 def _failure_counts(spark, d):
     return Q.failure_counts(_batch(spark, d))
 

@@ -139,14 +139,17 @@ def _sql_str(s: str) -> str:
 
 
 def failure_counts(df: DataFrame, error_col: str = "error") -> DataFrame:
-    """AGG-7: failed requests and extraction-error rows, overall and by text."""
+    """AGG-7: failed requests and extraction-error rows, by error text, per
+    kind and overall (a rollup; ``level`` 0 = per text, 1 = per kind,
+    3 = all)."""
     err = qcol(error_col) if error_col in df.columns else F.lit(None).cast("string")
     extraction = has_error(df, ["extraction_errors", "抽取错误"])
     kind = (F.when(err.isNotNull() & (err != ""), F.lit("failed_request"))
             .when(extraction, F.lit("extraction_error")))
     text = F.when(err.isNotNull() & (err != ""), err).otherwise(first_text(df, ["extraction_errors", "抽取错误"]))
     return (df.select(kind.alias("kind"), text.alias("error")).filter(F.col("kind").isNotNull())
-            .groupBy("kind", "error").agg(F.count(F.lit(1)).alias("n")))
+            .rollup("kind", "error")
+            .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level")))
 
 
 # Note codes of the summary rule table, in rule order.
