@@ -86,7 +86,7 @@ def _filter_links(spark, d):
     return LK.discover_links(load(spark, d, "pages"), max_links=5, allow=ALLOW, deny=DENY)
 
 
-@reg("iri_to_uri", None)  # FN-5; percent-encoding checked against the stdlib in tests
+@reg("iri_to_uri", f"WITH {O.links_cte(None)} SELECT page_id, pos, {O.iri_to_uri('link')} AS uri FROM kept")  # FN-5
 def _iri_to_uri(spark, d):
     links = LK.discover_links(load(spark, d, "pages"), max_links=None)
     return links.select("page_id", "pos", U.iri_to_uri("link").alias("uri"))

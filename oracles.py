@@ -63,7 +63,7 @@ def host(expr: str) -> str:
     return f"lower({rx(expr, HOST)})"
 
 
-def links_cte(max_links: int = 20, allow: str | None = None, deny: str | None = None) -> str:
+def links_cte(max_links: int | None = 20, allow: str | None = None, deny: str | None = None) -> str:
     """Kept links per page: first-seen order, capped, then filtered."""
     flt = []
     if allow:
@@ -78,7 +78,7 @@ h1 AS (SELECT page_id, url, i, {href} AS href FROM hr, range(1, len(hrefs) + 1)
 h2 AS (SELECT page_id, i, {resolve('url', 'href')} AS link FROM h1 WHERE href <> ''),
 h3 AS (SELECT page_id, link, min(i) AS first_i FROM h2 GROUP BY page_id, link),
 h4 AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY first_i) AS rank FROM h3),
-h5 AS (SELECT page_id, link, rank FROM h4 WHERE rank <= {max_links}),
+h5 AS (SELECT page_id, link, rank FROM h4 {"" if max_links is None else f"WHERE rank <= {max_links}"}),
 kept AS (SELECT page_id, link, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS pos FROM h5 {where})"""
 
 
@@ -207,3 +207,27 @@ def _minimize_sql() -> str:
 
 
 MINIMIZE_SQL = _minimize_sql()
+
+
+def _quote(expr: str, safe: str) -> str:
+    """Percent-encoding like the standard library's quote(x, safe):
+    DuckDB's url_encode encodes everything but unreserved characters, then
+    the safe ones are restored ('%' last)."""
+    out = f"url_encode({expr})"
+    for ch in [c for c in safe if c != "%"]:
+        out = f"replace({out}, {lit('%%%02X' % ord(ch))}, {lit(ch)})"
+    if "%" in safe:
+        out = f"replace({out}, '%25', '%')"
+    return out
+
+
+def iri_to_uri(u: str) -> str:
+    scheme, netloc = f"lower({rx(u, SCHEME)})", rx(u, AUTH)
+    path = _quote(rx(u, PATH), "/%")
+    query = _quote(rx(u, QUERY), "=&?/%:+")
+    frag = _quote(rx(u, FRAGMENT), "")
+    body = (f"(CASE WHEN {netloc} <> '' THEN '//' || {netloc} || (CASE WHEN {path} <> '' AND NOT "
+            f"starts_with({path}, '/') THEN '/' || {path} ELSE {path} END) ELSE {path} END)")
+    return (f"(CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END || {body} || "
+            f"(CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END) || "
+            f"(CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END))")
