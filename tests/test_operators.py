@@ -259,3 +259,24 @@ def test_fallback_short_page_boundary(spark):
                                "id int, html string, meta string, month_meta string")
     got = {r.id: (r.used_fallback, r.meta) for r in FL.fallback_short_page(df, "html", ["meta"], ["month_meta"]).collect()}
     assert got == {1: (True, "month1"), 2: (False, "day2")}
+
+
+def test_months_and_latest_month(spark):
+    from strata.sources.api import extract_months
+    pages = spark.createDataFrame([
+        ("bj", "<a href='daydata.php?city=bj&month=202402'>x</a><a href=\"daydata.php?city=bj&month=202401\">"
+               "<a href='daydata.php?city=bj&month=202402'>"),
+        ("sh", "<a href='daydata.php?city=sh&amp;month=202403'>escaped separator</a>"),
+        ("gz", "no links")], "city string, html string")
+    months = {r.city: r.months for r in extract_months(pages, "html").collect()}
+    assert months == {"bj": ["202401", "202402"], "sh": [], "gz": []}
+    flat = extract_months(pages, "html").select("city", F.explode_outer("months").alias("m"))
+    latest = {r.city: r.month for r in Q.latest_month(flat, "city", "m", as_of="2024-05-15").collect()}
+    assert latest == {"bj": "202402", "sh": "202405", "gz": "202405"}  # none available -> month of as_of
+    fixed = {r.city: r.month for r in Q.latest_month(flat, "city", "m", requested="202312").collect()}
+    assert fixed == {"bj": "202312", "sh": "202312", "gz": "202312"}
+    try:
+        Q.latest_month(flat, "city", "m", requested="2023-12")
+        raise AssertionError("malformed month must fail")
+    except ValueError:
+        pass
