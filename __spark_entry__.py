@@ -40,7 +40,7 @@ from strata.sources import files as SRC  # noqa: E402
 from strata.sinks import writers as SK  # noqa: E402
 from strata.functions import charset as CS  # noqa: E402
 from strata.streaming import jobs as ST  # noqa: E402
-from strata.session import reliable_checkpoint, scratch_path  # noqa: E402
+from strata.session import materialize, scratch_path  # noqa: E402
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -674,8 +674,8 @@ def _shred_anchor_counts(spark, d):
      "'(?s)<nav>(.*?)</nav>', 1), 'href=\"([^\"]*)\"', 1)) AS VARCHAR), NULL FROM pages")
 def _select_fields(spark, d):
     # the node table feeds several branches: parse once, cut lineage with a
-    # reliable checkpoint in the shared checkpoint folder
-    nodes = reliable_checkpoint(H.shred_elements(load(spark, d, "pages")))
+    # Parquet table in the shared checkpoint folder (branches read only their columns)
+    nodes = materialize(H.shred_elements(load(spark, d, "pages")), "nodes")
     return H.field_records(H.select_fields(nodes, SELECT_SPEC))
 
 
@@ -688,7 +688,7 @@ def _extract_title_text(spark, d):
      "unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"[^\"]*/[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS name "
      "FROM pages) WHERE trim(name) <> ''")
 def _extract_scoped_names(spark, d):
-    nodes = reliable_checkpoint(H.shred_elements(load(spark, d, "pages")))
+    nodes = materialize(H.shred_elements(load(spark, d, "pages")), "nodes")
     return H.extract_scoped_names(nodes, "/").select("page_id", "name")
 
 

@@ -21,7 +21,7 @@ from strata.operators import html as H
 from strata.operators import joins as J
 from strata.operators import links as LK
 from strata.operators import quality as Q
-from strata.session import reliable_checkpoint
+from strata.session import materialize
 from strata.sources.files import read_url_list
 
 
@@ -38,7 +38,7 @@ def extract_records(archive: DataFrame, fields: dict[str, str] | None = None,
         ex = H.extract_title_text(pages).withColumnRenamed("page_id", key) \
               .withColumn("extraction_errors", F.lit(None).cast("array<string>"))
     else:
-        nodes = reliable_checkpoint(H.shred_elements(pages))
+        nodes = materialize(H.shred_elements(pages), "nodes")
         vals = H.field_records(H.select_fields(nodes, fields))
         # one pivot pass: each field's value and error side by side
         wide = vals.groupBy("page_id").pivot("field", list(fields)).agg(

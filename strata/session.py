@@ -73,3 +73,13 @@ def reliable_checkpoint(df):
     branches is computed once and survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, name: str):
+    """Cut lineage with a written Parquet table in the shared checkpoint
+    folder and read it back. Unlike ``checkpoint()`` the result is columnar:
+    each later branch reads only its columns and pushes its filters into the
+    scan."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
