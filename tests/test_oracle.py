@@ -59,3 +59,10 @@ def test_query_matches_oracle(spark, duck, name):
     dcols = [d[0] for d in res.description]
     assert sorted(scols) == sorted(dcols)
     assert _rows(scols, srows) == _rows(dcols, res.fetchall())
+
+
+def test_contract_every_query_has_an_oracle():
+    q, sql = E.queries(), E.oracle_sql()
+    assert set(q) == set(sql)
+    assert all(callable(f) for f in q.values()) and all(isinstance(s, str) and s.strip() for s in sql.values())
+    assert not [n for n in q if n.startswith("op") or "pipeline" in n]
