@@ -40,7 +40,15 @@ from strata.sources import files as SRC  # noqa: E402
 from strata.sinks import writers as SK  # noqa: E402
 from strata.functions import charset as CS  # noqa: E402
 from strata.streaming import jobs as ST  # noqa: E402
-from strata.session import materialize, scratch_path  # noqa: E402
+from strata.session import materialize, scratch_path, ship_package  # noqa: E402
+
+try:  # the operators of the training-data pipeline are a part that may be left out
+    import corpus_pipeline as PIPELINE  # noqa: E402
+    from strata.llm import queries as LLM  # noqa: E402
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "strata.llm"):
+        raise
+    PIPELINE = LLM = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 
@@ -836,11 +844,26 @@ def _stream_changes(spark, d):
     return out.select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
 
 
+def _shipping(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: fn for k, (fn, _) in _REG.items()}
+    out = {k: fn for k, (fn, _) in _REG.items()}
+    if LLM:
+        out |= {**LLM.QUERIES, "pipeline": PIPELINE.run}
+    return {k: _shipping(fn) for k, fn in out.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: sql for k, (_, sql) in _REG.items() if sql}
     out["safe_columns"] = O.safe_columns_sql(C.safe_names(O.OBS_COLUMNS))
+    if LLM:
+        out |= LLM.ORACLE_SQL
+        if PIPELINE.ORACLE_SQL:
+            out["pipeline"] = PIPELINE.ORACLE_SQL
     return out
