@@ -89,7 +89,7 @@ FROM w LEFT JOIN kept USING (doc_id)"""
 _OP9_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 b AS (SELECT page_id, h, CAST(CAST(unhex(sha1(h)) AS BIT) AS VARCHAR) AS bits FROM p),
-d AS (SELECT page_id, h, array_to_string(list_transform(range(32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+d AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       CAST(1 + 16 * CAST(substr(bits, 5 * k + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * k + 2, 1) AS INT)
       + 4 * CAST(substr(bits, 5 * k + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * k + 4, 1) AS INT)
       + CAST(substr(bits, 5 * k + 5, 1) AS INT) AS INT), 1)), '') AS digest FROM b),
