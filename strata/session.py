@@ -103,5 +103,5 @@ def materialize(df, name: str):
     each later branch reads only its columns and pushes its filters into the
     scan."""
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
