@@ -19,17 +19,18 @@ import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMO = 150_000
-PIECES = 250_000
+#: Entries held at most, by stretch and by piece.
+MEMO = 300_000
+PIECES = 600_000
 #: A stretch for the byte vocabulary: a word with at most one space before
 #: it, or white space as its pattern takes it.
 _BYTE_STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
-_WORD_SPLIT = re.compile(r"[ \t\n\r]+")
 #: Python and the library disagree on whether these are white space.
-_ODD = re.compile("[\x1c-\x1f\x85᠎​﻿]|<\\|")
+_ODD = re.compile("[\x1c-\x1f\x85\u180e\u200b\ufeff]")
 
-#: Words of these letters are composed already and lower-case letter by letter.
-_PLAIN = re.compile("[\x00-\u012f\u0131-\u024f]*")
+#: Texts of these characters are composed already, lower-case letter by letter
+#: and have no character on which Python and the library may disagree.
+_PLAIN = re.compile("[^\x1c-\x1f\x85\u0130\u0250-\U0010ffff]*")
 #: The pre-tokenizers' patterns as the vocabulary files state them.
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -68,39 +69,43 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def stretches(self, text: str) -> list[str] | None:
-        if _ODD.search(text):
-            return None
+    def stretches(self, text: str) -> list[str]:
+        return text.split() if self.words else _BYTE_STRETCH.findall(text)
+
+    def piece(self, p: str) -> bytes:
+        ids = self.pieces.get(p)
+        if ids is None:
+            letters = p.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
+            self.pieces[p] = ids
+        return ids
+
+    def plain(self, s: str) -> bytes:
+        """A stretch of plain characters."""
         if self.words:
-            return _WORD_SPLIT.split(text)
-        return _BYTE_STRETCH.findall(text)
+            s = s.lower()
+        if s.isalpha() or (s[0] == " " and s[1:].isalpha()):
+            return self.piece(s)
+        return b"".join([self.piece(p) for p in self.pattern.findall(s)])
 
     def stretch(self, s: str) -> bytes:
-        if not _PLAIN.fullmatch(s):
-            return self.whole(s)
-        known, out = self.pieces, []
-        for p in self.pattern.findall(s.lower() if self.words else s):
-            ids = known.get(p)
-            if ids is None:
-                letters = p.encode().decode("latin-1").translate(_LETTERS)
-                known[p] = ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return self.plain(s) if _PLAIN.fullmatch(s) else self.whole(s)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out = []
         for t in texts:
-            parts = self.stretches(t)
-            if parts is None:
+            plain = _PLAIN.fullmatch(t) is not None
+            if "<|" in t or (not plain and _ODD.search(t)):
                 out.append(self.whole(t))
                 continue
             if len(self.memo) > MEMO:
                 self.memo = {}
             if len(self.pieces) > PIECES:
                 self.pieces = {}
-            memo = self.memo
+            parts = self.stretches(t)
+            memo, one = self.memo, self.plain if plain else self.stretch
             for s in set(parts).difference(memo):
-                memo[s] = self.stretch(s)
+                memo[s] = one(s)
             out.append(b"".join(map(memo.__getitem__, parts)))
         return out
