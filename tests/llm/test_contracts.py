@@ -188,3 +188,13 @@ def test_language_model_is_normalised_and_learns(spark):
 @pytest.mark.parametrize("name", list(Q.QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     assert Q.QUERIES[name](spark, empty_dir).collect() == []
+
+
+def test_longest_repeats(spark):
+    from strata.llm import substrings
+
+    body = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(body)), (2, "x " + " ".join(body[:55]) + " y"), (3, "z " + " ".join(body[20:35])), (4, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["longest"] for r in substrings.dedup(docs, maximal=True).collect()}
+    assert got == {1: 0, 2: 52, 3: 13, 4: 0}
