@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.llm.skew import split_join
+
 #: Fixed value: the alphabet of RFC 4648 base 32.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -62,7 +64,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     facts.write.parquet(f"{path}/facts")  # without bytes: what the joins below move
     facts = pages.sparkSession.read.parquet(f"{path}/facts")
     newest = facts.groupBy("strong").agg(F.max("key").alias("newest"))
-    joined = facts.join(newest, "strong")
+    joined = split_join(facts, newest, "strong")
     response_id = F.when(F.col("newest") > _LEAST, F.col("newest"))
     kind = F.when((F.col("size") >= min_bytes) & (F.col("key") < F.col("newest")), "revisit").otherwise("response")
     joined.withColumn("response_id", response_id).select("strong", _header(kind, date).alias("header")) \
