@@ -20,7 +20,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries held at most, by stretch and by piece.
-MEMO = 300_000
+MEMO = 500_000
 PIECES = 600_000
 #: A stretch for the byte vocabulary: a word with at most one space before
 #: it, or white space as its pattern takes it.
@@ -34,6 +34,19 @@ _PLAIN = re.compile("[^\x1c-\x1f\x85\u0130\u0250-\U0010ffff]*")
 #: The pre-tokenizers' patterns as the vocabulary files state them.
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_ODD_LATIN = "\x1c\x1d\x1e\x1f\x85"
+#: White space that is not one space between words or one line break.
+_GAPS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\xa0", "\0")
+#: Marks that end words; both patterns make one a piece of its own there.
+_MARKS = (".", ",", ";", ":", "!", "?", ")", "|")
+
+
+def is_plain(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _PLAIN.fullmatch(text) is not None
+    return not any(c in text for c in _ODD_LATIN)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,7 +83,12 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def stretches(self, text: str) -> list[str]:
-        return text.split() if self.words else _BYTE_STRETCH.findall(text)
+        """``text`` cut where its pieces cannot reach over."""
+        if self.words:
+            return text.split()
+        if any(w in text for w in _GAPS) or text[:1].isspace() or text[-1:].isspace():
+            return _BYTE_STRETCH.findall(text)
+        return text.replace(" ", "\0 ").split("\0")
 
     def piece(self, p: str) -> bytes:
         ids = self.pieces.get(p)
@@ -84,18 +102,21 @@ class Encoder:
         """A stretch of plain characters."""
         if self.words:
             s = s.lower()
-        if s.isalpha() or (s[0] == " " and s[1:].isalpha()):
+        core = s[1:] if s[:1] == " " else s
+        if core.isalpha():
             return self.piece(s)
+        if core[-1:] in _MARKS and core[:-1].isalpha():
+            return self.piece(s[:-1]) + self.piece(s[-1])
         return b"".join([self.piece(p) for p in self.pattern.findall(s)])
 
     def stretch(self, s: str) -> bytes:
-        return self.plain(s) if _PLAIN.fullmatch(s) else self.whole(s)
+        return self.plain(s) if is_plain(s) else self.whole(s)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out = []
         for t in texts:
-            plain = _PLAIN.fullmatch(t) is not None
+            plain = is_plain(t)
             if "<|" in t or (not plain and _ODD.search(t)):
                 out.append(self.whole(t))
                 continue

@@ -35,7 +35,7 @@ from strata.llm.encode import Encoder
 
 END_ID = 2
 SCALE = 20
-LANES, STEPS, CHECK_EVERY = 1024, 512, 256
+LANES, STEPS, CHECK_EVERY = 2048, 512, 256
 SEGMENT = 2_000_000
 _LOW = np.uint64(1 << 31)
 _S, _32 = np.uint64(SCALE), np.uint64(32)
