@@ -129,7 +129,16 @@ class Classes:
 
 
 def classes(counts: DataFrame) -> Classes:
-    top = counts.where(F.col("w") != END).orderBy(F.desc("c"), "w").limit(FREQUENT).collect()  # a fixed number
+    word = counts.where(F.col("w") != END)
+    # the least count that at most FREQUENT words reach, by steps of about one part in 64: 4096 at most
+    step = F.floor(F.log2("c") * 64).cast("int")
+    least, room = 1 << 20, FREQUENT
+    for r in sorted(word.groupBy(step.alias("s")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["s"]
+    top = sorted(word.where(step >= least).collect(), key=lambda r: (-r["c"], r["w"]))  # at most FREQUENT
     words, n = np.array([r["w"] for r in top], np.int64), np.array([r["c"] for r in top], np.int64)
     label = np.where(np.arange(len(top)) < VOCABULARY, np.arange(len(top)), -1)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
