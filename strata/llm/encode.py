@@ -4,7 +4,8 @@ Both vocabularies split a text into pieces that never reach over certain
 places (``word``: white space; ``byte``: before a space that precedes a
 character), so a text's ids are those of its stretches between such places,
 end to end. Stretches repeat; a memo of their ids spares the library most of
-the work. The memo is emptied when it is full, which costs time only. Texts
+the work. What a memo
+forgets costs time only. Texts
 with special-token strings or rare separators go to the library whole.
 """
 
@@ -20,8 +21,7 @@ import regex
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries held at most, by stretch and by piece.
-MEMO = 500_000
-PIECES = 600_000
+MEMO, PIECES = 500_000, 600_000
 #: A stretch for the byte vocabulary: a word with at most one space before
 #: it, or white space as its pattern takes it.
 _BYTE_STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -58,6 +58,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Memo(dict):
+    """Results of ``make`` by key."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size = make, size
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = value = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.size:
+            self.clear()
+
+
 _LETTERS = _byte_letters()
 _open: dict[str, Encoder] = {}
 
@@ -69,8 +84,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.words = self.tok.normalizer is not None
         self.pattern = _WORD_PIECES if self.words else _BYTE_PIECES
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memo, self.pieces = Memo(self.stretch, MEMO), Memo(self.piece, PIECES)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -91,12 +105,8 @@ class Encoder:
         return text.replace(" ", "\0 ").split("\0")
 
     def piece(self, p: str) -> bytes:
-        ids = self.pieces.get(p)
-        if ids is None:
-            letters = p.encode().decode("latin-1").translate(_LETTERS)
-            ids = array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
-            self.pieces[p] = ids
-        return ids
+        letters = p.encode().decode("latin-1").translate(_LETTERS)
+        return array("I", [t.id for t in self.tok.model.tokenize(letters)]).tobytes()
 
     def plain(self, s: str) -> bytes:
         """A stretch of plain characters."""
@@ -104,10 +114,10 @@ class Encoder:
             s = s.lower()
         core = s[1:] if s[:1] == " " else s
         if core.isalpha():
-            return self.piece(s)
+            return self.pieces[s]
         if core[-1:] in _MARKS and core[:-1].isalpha():
-            return self.piece(s[:-1]) + self.piece(s[-1])
-        return b"".join([self.piece(p) for p in self.pattern.findall(s)])
+            return self.pieces[s[:-1]] + self.pieces[s[-1]]
+        return b"".join([self.pieces[p] for p in self.pattern.findall(s)])
 
     def stretch(self, s: str) -> bytes:
         return self.plain(s) if is_plain(s) else self.whole(s)
@@ -120,13 +130,8 @@ class Encoder:
             if "<|" in t or (not plain and _ODD.search(t)):
                 out.append(self.whole(t))
                 continue
-            if len(self.memo) > MEMO:
-                self.memo = {}
-            if len(self.pieces) > PIECES:
-                self.pieces = {}
-            parts = self.stretches(t)
-            memo, one = self.memo, self.plain if plain else self.stretch
-            for s in set(parts).difference(memo):
-                memo[s] = one(s)
-            out.append(b"".join(map(memo.__getitem__, parts)))
+            self.memo.trim()
+            self.pieces.trim()
+            self.memo.make = self.plain if plain else self.stretch
+            out.append(b"".join(map(self.memo.__getitem__, self.stretches(t))))
         return out
