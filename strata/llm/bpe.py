@@ -48,6 +48,18 @@ def tokens_of(enc: Encoder, text: str) -> Tokens:
     return Tokens(np.array(e.ids, np.int64), at[:, 0], at[:, 1])
 
 
+def pack_tokens(t: Tokens) -> tuple[bytes, bytes]:
+    """Ids, and for each the characters skipped before it and those it covers."""
+    gap = t.begin - np.concatenate([[0], t.end[:-1]])
+    return t.ids.astype("<u4").tobytes(), np.stack([gap, t.end - t.begin]).astype("<i4").tobytes()
+
+
+def unpack_tokens(ids: bytes, spans: bytes) -> Tokens:
+    gap, size = np.frombuffer(spans, "<i4").reshape(2, -1).astype(np.int64)
+    end = np.cumsum(gap + size)
+    return Tokens(np.frombuffer(ids, "<u4").astype(np.int64), end - size, end)
+
+
 def _meet(side: Tokens, window: Tokens, low: int, high: int, from_end: bool) -> tuple[int, int] | None:
     """Two tokens in a row that both have, within characters low..high:
     (index in side, index in window)."""
@@ -133,32 +145,33 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF) -> DataF
     def encode(batches):
         enc = Encoder.at(tokenizer)
         for batch in batches:
-            all_tokens = [tokens_of(enc, p) for p in batch.column("part").to_pylist()]
-            packed = [pa.array([getattr(t, k).astype("<u4").tobytes() for t in all_tokens], pa.binary())
-                      for k in ("ids", "begin", "end")]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "leaf", "part")] + packed,
-                                             names=["doc_id", "row", "leaf", "part", "ids", "begin", "end"])
+            for i in range(batch.num_rows):
+                t = tokens_of(enc, batch.column("part")[i].as_py())
+                packed = [pa.array([x], pa.binary()) for x in pack_tokens(t)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1) for c in kept] + packed,
+                                                 names=[*kept, "ids", "spans"])
 
     def join(batches):
         enc = Encoder.at(tokenizer)
         for batch in batches:
-            out = []
-            for leaves in batch.column("leaves").to_pylist():
-                leaves.sort(key=lambda x: x["leaf"])
-                tokens = [Tokens(*(np.frombuffer(x[k], "<u4").astype(np.int64) for k in ("ids", "begin", "end"))) for x in leaves]
-                out.append(join_tree(enc, [x["part"] for x in leaves], tokens).ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("copies"), pa.array(out, pa.binary())],
-                                             names=["doc_id", "copies", "ids"])
+            for i in range(batch.num_rows):
+                leaves = sorted(batch.column("leaves")[i].as_py(), key=lambda x: x["leaf"])
+                ids = join_tree(enc, [x["part"] for x in leaves], [unpack_tokens(x["ids"], x["spans"]) for x in leaves]).ids
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, 1), batch.column("copies").slice(i, 1),
+                     pa.array([ids.astype("<u4").tobytes()], pa.binary())], names=["doc_id", "copies", "ids"])
 
+    kept = ["doc_id", "row", "leaf", "copies", "part"]
+    leaf_key = ["doc_id", "row", "leaf"]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     long = rows.where(F.length("text") > leaf)
-    leaves = long.mapInArrow(split, "doc_id long, row string, leaf int, part string") \
-        .repartition("row", "leaf").mapInArrow(
-            encode, "doc_id long, row string, leaf int, part string, ids binary, begin binary, end binary")
-    # one list a document and text, of that document's own parts; equal rows share it
-    whole = leaves.groupBy("doc_id", "row", "leaf").agg(F.count("*").alias("copies"), *(
-        F.first(c).alias(c) for c in ("part", "ids", "begin", "end"))) \
-        .groupBy("doc_id", "row").agg(F.first("copies").alias("copies"), F.collect_list(
-            F.struct("leaf", "part", "ids", "begin", "end")).alias("leaves"))
+    # equal rows share their leaves; dealt evenly, as encoding is the work here
+    leaves = long.mapInArrow(split, "doc_id long, row string, leaf int, part string").repartition(parts, *leaf_key) \
+        .groupBy(*leaf_key).agg(F.count("*").alias("copies"), F.first("part").alias("part")).select(*kept) \
+        .mapInArrow(encode, "doc_id long, row string, leaf int, copies long, part string, ids binary, spans binary")
+    # one list a document and text, of that document's own parts
+    whole = leaves.groupBy("doc_id", "row").agg(F.first("copies").alias("copies"), F.collect_list(
+        F.struct("leaf", "part", "ids", "spans")).alias("leaves"))
     joined = whole.select("doc_id", "copies", "leaves").mapInArrow(join, "doc_id long, copies long, ids binary") \
         .select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc_id", "ids")
     return rows.where(F.length("text") <= leaf).mapInArrow(short, "doc_id long, ids binary").unionByName(joined)
