@@ -2,8 +2,9 @@
 
 The rules count (:func:`rule_counts`). The classifier sees, of each whole
 text, which hashed features occur: lower-case words, pairs of neighbouring
-words, and four-byte character n-grams, each a 64-bit hash (wide enough that
-very long texts do not light up a feature by collision). It is trained on a
+words, and character n-grams of four, six and eight bytes, each a 64-bit hash
+(wide enough that very long texts do not light up a feature by collision),
+with the logarithm of how often. It is trained on a
 bounded, stratified sample of the labelled rows (``per_cell`` a combination of
 labels, smallest hash of ``doc_id`` first): the ``features`` features that
 separate the labels best get weights, by gradient descent with an L2 penalty;
@@ -27,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.arrays import Block, blocks, hash_spans, mix, per_text, runs, text_of, windows
+from strata.session import materialize
 
 #: Fixed by the contract.
 MIN_WORDS, MAX_REPEAT_PCT, REPEAT_WINDOW, SYMBOLS = 10, 20, 5, b"#*$%&|<>"
-PER_CELL, FEATURES, MIN_SUPPORT = 600, 2048, 4
+PER_CELL, FEATURES, MIN_SUPPORT = 1000, 256, 8
+#: Bytes in a character n-gram.
+GRAMS = (4, 6, 8)
 THRESHOLDS = {"low_quality": 0.5, "toxic": 0.5}
 
 _SYMBOL = np.zeros(256, bool)
@@ -94,12 +98,14 @@ def features_of(b: Block) -> tuple[np.ndarray, np.ndarray]:
     pair = b.doc[1:] == b.doc[:-1]
     keys.append(mix(w[:-1] * np.uint64(3) + w[1:] + _B)[pair])
     doc.append(b.doc[1:][pair])
-    if len(b.data) >= 4:
-        four = np.ndarray((len(b.data) - 3,), "<u4", np.ascontiguousarray(b.data), strides=(1,)).astype(np.uint64)
-        of = np.repeat(np.arange(b.n), np.diff(b.off))
-        inside = of[3:] == of[:-3]
-        keys.append(mix((four << np.uint64(8)) + _C)[inside])
-        doc.append(of[3:][inside])
+    of = np.repeat(np.arange(b.n), np.diff(b.off))
+    eight = np.ndarray((len(b.data) + 1,), "<u8", np.concatenate([b.data, np.zeros(8, np.uint8)]), strides=(1,))
+    for k in GRAMS:
+        if len(b.data) >= k:
+            inside = of[k - 1:] == of[:len(of) - k + 1]
+            low = eight[:len(of) - k + 1][inside] & np.uint64((1 << 8 * k) - 1)
+            keys.append(mix(low + _C * np.uint64(k)))
+            doc.append(of[k - 1:][inside])
     return np.concatenate(keys), np.concatenate(doc)
 
 
@@ -123,36 +129,17 @@ class Head:
         if len(hit) and len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys[hit]), len(self.keys) - 1)
             hit, at = hit[self.keys[at] == keys[hit]], at[self.keys[at] == keys[hit]]
-            once = np.unique(doc[hit] * len(self.keys) + at)
-            z += np.bincount(once // len(self.keys), self.weights[once % len(self.keys)], n)
+            once, many = np.unique(doc[hit] * len(self.keys) + at, return_counts=True)
+            z += np.bincount(once // len(self.keys), self.weights[once % len(self.keys)] * np.log2(1 + many), n)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -60, 60)))
 
 
-def _fit(keys: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int) -> Head:
-    """keys, doc: distinct features of each sample text. A third of the texts
-    (by position) only calibrates."""
-    if y.min(initial=1) == y.max(initial=0):
-        return Head()
-    train = np.arange(len(y)) % 3 != 0
-    own = train[doc]
-    feats, inv = np.unique(keys[own], return_inverse=True)
-    pos = y[doc[own]] == 1
+def _fit(chosen: np.ndarray, x: np.ndarray, y: np.ndarray, train: np.ndarray, weight: np.ndarray) -> Head:
+    """Weights of the sorted features ``chosen``; ``x`` has a row a text. Rows
+    outside ``train`` calibrate."""
     n1, n0 = int((y[train] == 1).sum()), int((y[train] == 0).sum())
-    if not n1 or not n0:
+    if not n1 or not n0 or not len(chosen):
         return Head()
-    a, c = np.bincount(inv, pos, len(feats)), np.bincount(inv, ~pos, len(feats))
-    p1, p0 = a / n1, c / n0
-    p = (a + c) / (n1 + n0)
-    chi = np.where((a + c >= MIN_SUPPORT) & (p < 1), (p1 - p0) ** 2 / np.maximum(p * (1 - p), 1e-9), 0)
-    best = np.sort(np.argsort(-chi, kind="stable")[:n_features])
-    best = best[chi[best] > 0]
-    chosen = feats[best]
-    if not len(chosen):
-        return Head()
-    at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-    hit = chosen[at] == keys
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    x[doc[hit], at[hit]] = 1
     balance = np.where(y == 1, 0.5 / n1, 0.5 / n0) * train
     w, bias, g2, b2 = np.zeros(len(chosen), np.float32), 0.0, np.full(len(chosen), 1e-8, np.float32), 1e-8
     for _ in range(300):  # AdaGrad, full batch
@@ -162,7 +149,7 @@ def _fit(keys: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, n
         b2 += e.sum() ** 2
         w -= 0.3 * g / np.sqrt(g2)
         bias -= 0.3 * e.sum() / np.sqrt(b2)
-    z, v = (x @ w + bias)[~train], (weight * ~train)[~train]
+    z, v = (x @ w + bias)[~train], weight[~train]
     t, slope, shift = y[~train], 1.0, 0.0
     if t.min(initial=1) != t.max(initial=0):
         for _ in range(50):  # Platt scaling by Newton steps, with a prior on slope 1
@@ -174,53 +161,100 @@ def _fit(keys: np.ndarray, doc: np.ndarray, y: np.ndarray, weight: np.ndarray, n
     return Head(chosen, w.astype(float), float(bias), float(max(slope, 0.05)), float(shift))
 
 
+def _distinct(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text index, how often), each feature of a text once."""
+    k, d = features_of(b)
+    order = np.lexsort((k, d))
+    k, d = k[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])) if len(k) else np.zeros(0, int)
+    return k[new], d[new], np.diff(np.append(new, len(k)))
+
+
+def _lower_blocks(batch: pa.RecordBatch):
+    texts = text_of(batch)
+    for a, e in blocks(texts):
+        b = Block(texts, a, e)
+        b.lower()
+        b.split()
+        yield a, e, b
+
+
+def _support(sample: DataFrame) -> DataFrame:
+    """``(key, c0..c3)``: in how many training texts of each cell a feature is."""
+    def work(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            for a, e, b in _lower_blocks(batch):
+                k, d, _ = _distinct(b)
+                for c in range(4):
+                    keys, n = np.unique(k[cell[a:e][d] == c], return_counts=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), c, np.int32)), pa.array(n)],
+                        names=["key", "cell", "n"])
+
+    counts = sample.where("train").mapInArrow(work, "key long, cell int, n long")
+    return counts.groupBy("key").agg(*(F.sum(F.when(F.col("cell") == c, F.col("n")).otherwise(0)).alias(f"c{c}")
+                                       for c in range(4))).where(f"c0 + c1 + c2 + c3 >= {MIN_SUPPORT}")
+
+
+def _choose(support: DataFrame, ones: list[int], sizes: list[int], n_features: int) -> np.ndarray:
+    """The ``n_features`` features whose shares among the texts of the cells
+    ``ones`` and of the others differ most (chi-square)."""
+    zeros = [c for c in range(4) if c not in ones]
+    n1, n0 = sum(sizes[c] for c in ones), sum(sizes[c] for c in zeros)
+    if not n1 or not n0:
+        return np.zeros(0, np.uint64)
+    a, b = (sum((F.col(f"c{c}") for c in cells), F.lit(0)) for cells in (ones, zeros))
+    p = (a + b) / (n1 + n0)
+    chi = (a / n1 - b / n0) ** 2 / (p * (1 - p) + 1e-9)
+    rows = support.select("key", chi.alias("chi")).where("chi > 0").orderBy(F.desc("chi"), "key").limit(n_features).collect()
+    return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
+
+
 def train(docs: DataFrame, labels: DataFrame, per_cell: int = PER_CELL, n_features: int = FEATURES) -> dict[str, Head]:
     """The heads ``low_quality`` and ``toxic``. At most ``4 * per_cell`` texts
     are looked at, whatever the size of ``labels``."""
+    none = {"low_quality": Head(), "toxic": Head()}
     lab = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)") \
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"),
-                F.col("toxic").cast("int").alias("toxic"))
-    sizes = {(r["quality"], r["toxic"]): r["count"] for r in lab.groupBy("quality", "toxic").count().collect()}
-    sample = []
-    for q, t in sorted(sizes):
-        sample += lab.where((F.col("quality") == q) & (F.col("toxic") == t)) \
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_cell).collect()
-    if not sample:
-        return {"low_quality": Head(), "toxic": Head()}
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample, lab.schema).dropDuplicates(["doc_id"]))
+        .select(F.col("doc_id").cast("long").alias("doc_id"), (2 * F.col("quality") + F.col("toxic")).cast("int").alias("cell"))
+    total = {r["cell"]: r["count"] for r in lab.groupBy("cell").count().collect()}
+    picked = []
+    for c in sorted(total):
+        picked += lab.where(F.col("cell") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_cell).collect()
+    if not picked:
+        return none
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, lab.schema).dropDuplicates(["doc_id"]))
+    sample = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+                         .withColumn("train", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0), "labelled-sample")
+    sizes = [0] * 4
+    for r in sample.where("train").groupBy("cell").count().collect():
+        sizes[r["cell"]] = r["count"]
+    support = materialize(_support(sample), "feature-support")
+    keys = {"low_quality": _choose(support, [0, 1], sizes, n_features), "toxic": _choose(support, [1, 3], sizes, n_features)}
+    both = np.unique(np.concatenate(list(keys.values())))
+    if not len(both):
+        return none
 
     def work(batches):
         for batch in batches:
-            texts = text_of(batch)
-            for a, e in blocks(texts):
-                b = Block(texts, a, e)
-                b.lower()
-                b.split()
-                k, d = features_of(b)
-                order = np.lexsort((k, d))
-                k, d = k[order], d[order]
-                new = np.ones(len(k), bool)
-                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                k, d = k[new], d[new]
-                cut = np.searchsorted(d, np.arange(e - a + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(c).slice(a, e - a) for c in ("doc_id", "quality", "toxic")]
-                    + [pa.array([k[cut[i]:cut[i + 1]].tobytes() for i in range(e - a)], pa.binary())],
-                    names=["doc_id", "quality", "toxic", "keys"])
-
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
-    rows = sorted(few.mapInArrow(work, few.select("doc_id", "quality", "toxic").schema.add("keys", "binary")).collect(),
-                  key=lambda r: (r["quality"], r["toxic"], r["doc_id"], bytes(r["keys"])))  # at most 4 * per_cell
-    if not rows:
-        return {"low_quality": Head(), "toxic": Head()}
-    each = [np.frombuffer(r["keys"], np.uint64) for r in rows]
-    keys, doc = np.concatenate(each), np.repeat(np.arange(len(rows)), [len(x) for x in each])
-    taken: dict[tuple, int] = {}
-    for r in rows:
-        taken[r["quality"], r["toxic"]] = taken.get((r["quality"], r["toxic"]), 0) + 1
-    weight = np.array([sizes[r["quality"], r["toxic"]] / taken[r["quality"], r["toxic"]] for r in rows])
-    return {"low_quality": _fit(keys, doc, np.array([1 - r["quality"] for r in rows]), weight, n_features),
-            "toxic": _fit(keys, doc, np.array([r["toxic"] for r in rows]), weight, n_features)}
+            for a, e, b in _lower_blocks(batch):
+                k, d, many = _distinct(b)
+                at = np.minimum(np.searchsorted(both, k), len(both) - 1)
+                hit = both[at] == k
+                x = np.zeros((e - a, len(both)), np.float32)
+                x[d[hit], at[hit]] = np.log2(1 + many[hit])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, e - a) for c in ("doc_id", "cell", "train")),
+                                                  pa.array([r.tobytes() for r in x], pa.binary())],
+                                                 names=["doc_id", "cell", "train", "x"])
+
+    rows = sorted(sample.mapInArrow(work, "doc_id long, cell int, train boolean, x binary").collect(),
+                  key=lambda r: (r["doc_id"], bytes(r["x"])))  # at most 4 * per_cell, of a fixed width
+    x = np.stack([np.frombuffer(r["x"], np.float32) for r in rows])
+    cell, is_train = np.array([r["cell"] for r in rows]), np.array([r["train"] for r in rows])
+    taken = np.bincount(cell, minlength=4)
+    weight = np.array([total[c] / taken[c] for c in cell])
+    of = {"low_quality": cell < 2, "toxic": cell % 2 == 1}
+    return {h: _fit(keys[h], x[:, np.isin(both, keys[h])], of[h].astype(int), is_train, weight) for h in keys}
 
 
 # ------------------------------------------------------------------- score

@@ -35,7 +35,7 @@ from strata.llm.encode import Encoder
 
 END_ID = 2
 SCALE = 20
-LANES, STEPS, CHECK_EVERY = 2048, 512, 256
+LANES, STEPS, CHECK_EVERY = 4096, 256, 128
 SEGMENT = 2_000_000
 _LOW = np.uint64(1 << 31)
 _S, _32 = np.uint64(SCALE), np.uint64(32)
@@ -73,7 +73,8 @@ class Table:
     @property
     def symbol(self) -> np.ndarray:
         if self._symbol is None:
-            self._symbol = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
+            kind = np.uint16 if len(self.f) <= 1 << 16 else np.uint32
+            self._symbol = np.repeat(np.arange(len(self.f), dtype=kind), self.f.astype(np.int64))
         return self._symbol
 
     def pack(self) -> bytes:
@@ -135,6 +136,8 @@ def decode_block(raw: bytes, table: Table, first: int = 0, end: int | None = Non
         out[(t - start) * lanes:(t - start) * lanes + m] = s
         y = table.f[s] * (y >> _S) + slot - table.c[s]
         low = np.flatnonzero(y < _LOW)
+        if pos + len(low) > n_words:
+            raise ValueError("a token block's states do not close")
         if len(low):
             y[low] = (y[low] << _32) | words[pos:pos + len(low)].astype(np.uint64)
             pos += len(low)

@@ -61,16 +61,17 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     rows = _pages(pages)
     facts = rows.select("page_id", "key", "url", "strong", F.octet_length("payload").cast("long").alias("size"),
                         base32_sha1(F.col("payload")).alias("sha1"))
-    facts.write.parquet(f"{path}/facts")  # without bytes: what the joins below move
+    facts.write.option("compression", "zstd").parquet(f"{path}/facts")  # without bytes: what the joins below move
     facts = pages.sparkSession.read.parquet(f"{path}/facts")
     newest = facts.groupBy("strong").agg(F.max("key").alias("newest"))
     joined = split_join(facts, newest, "strong")
     response_id = F.when(F.col("newest") > _LEAST, F.col("newest"))
     kind = F.when((F.col("size") >= min_bytes) & (F.col("key") < F.col("newest")), "revisit").otherwise("response")
     joined.withColumn("response_id", response_id).select("strong", _header(kind, date).alias("header")) \
-        .write.parquet(f"{path}/headers")
-    rows.select("strong", "key", "payload").join(newest.withColumnRenamed("newest", "key"), ["strong", "key"]) \
-        .dropDuplicates(["strong"]).select("strong", "payload").write.parquet(f"{path}/payloads")
+        .write.option("compression", "zstd").parquet(f"{path}/headers")
+    # equal digests meet in each map task first, so a payload of many pages moves once a task
+    rows.select("strong", "payload").dropDuplicates(["strong"]) \
+        .write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
