@@ -78,13 +78,13 @@ def reg(name: str, sql: str | None):
 
 # ---------------------------------------------------------------- links (EXT-4, FN-4, FLT-1, LIM-1)
 
-@reg("links_per_host", f"WITH {O.links_cte(20, ALLOW, DENY)} SELECT {O.host('link')} AS host, "
+@reg("links_per_host", f"WITH {O.links_cte(None, ALLOW, DENY)} SELECT {O.host('link')} AS host, "
      "count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM kept GROUP BY 1")
 def _links_per_host(spark, d):
     return LS.links_per_host(load(spark, d, "pages"), allow=ALLOW, deny=DENY)
 
 
-@reg("discover_links", f"WITH {O.links_cte(20)} SELECT page_id, pos, link FROM kept")
+@reg("discover_links", f"WITH {O.links_cte(None)} SELECT page_id, pos, link FROM kept")
 def _discover_links(spark, d):
     return LK.discover_links(load(spark, d, "pages"))
 
@@ -238,7 +238,7 @@ def _flag_text_10pct(spark, d):  # FLT-5 against the 10 % boilerplate set
 @reg("flag_price", "WITH st AS (SELECT o_orderpriority AS cat, count(o_totalprice) AS n, "
      "quantile_disc(o_totalprice, 0.25) AS q1, quantile_disc(o_totalprice, 0.75) AS q3 FROM orders GROUP BY 1) "
      "SELECT o.o_orderkey, o.o_orderpriority, o.o_totalprice, o.o_totalprice IS NULL AS unparseable, "
-     "coalesce(o.o_totalprice < 0, false) AS negative, coalesce(st.n >= 10 AND (o.o_totalprice < st.q1 - 3 * "
+     "coalesce(o.o_totalprice < 0, false) AS negative, coalesce((o.o_totalprice < st.q1 - 3 * "
      "(st.q3 - st.q1) OR o.o_totalprice > st.q3 + 3 * (st.q3 - st.q1)), false) AS outlier "
      "FROM orders o LEFT JOIN st ON o.o_orderpriority IS NOT DISTINCT FROM st.cat")
 def _flag_price(spark, d):
@@ -412,19 +412,19 @@ def _batch(spark, d):
     return J.batch_extract(req, _arch_meta(pages))
 
 
-@reg("batch_extract", f"WITH {O.links_cte(20)}, {O.BATCH} SELECT seq, source_url, status_code, content_hash, error, row_kind FROM batch")
+@reg("batch_extract", f"WITH {O.links_cte(None)}, {O.BATCH} SELECT seq, source_url, status_code, content_hash, error, row_kind FROM batch")
 def _batch_extract(spark, d):
     return _batch(spark, d).select("seq", "source_url", "status_code", "content_hash", "error", "row_kind")
 
 
-@reg("failure_counts", f"WITH {O.links_cte(20)}, {O.BATCH} SELECT kind, error, count(*) AS n, "
+@reg("failure_counts", f"WITH {O.links_cte(None)}, {O.BATCH} SELECT kind, error, count(*) AS n, "
      "CAST(GROUPING(kind, error) AS INTEGER) AS level FROM (SELECT 'failed_request' AS kind, error FROM batch "
      "WHERE error IS NOT NULL AND error <> '') GROUP BY ROLLUP (kind, error)")
 def _failure_counts(spark, d):
     return Q.failure_counts(_batch(spark, d))
 
 
-@reg("listing_details", f"WITH {O.links_cte(20)}, arch AS (SELECT url AS source_url, 200 AS status_code, "
+@reg("listing_details", f"WITH {O.links_cte(None)}, arch AS (SELECT url AS source_url, 200 AS status_code, "
      "sha256(html) AS content_hash FROM pages) SELECT k.link AS source_url, k.page_id, p.url AS listing_url, "
      "sha256(p.html) AS listing_content_hash, k.pos, a.status_code, a.content_hash, CASE WHEN a.source_url IS NULL "
      "THEN 1 ELSE 0 END AS row_kind, CASE WHEN a.source_url IS NULL THEN 'no archived response' END AS error "
@@ -506,12 +506,12 @@ def _robots_allowed(spark, d):
 
 # ---------------------------------------------------------------- columns (PRJ-*)
 
-@reg("flatten_nested", f"WITH {O.links_cte(20)}, agg AS (SELECT page_id, list(link ORDER BY pos) AS l FROM kept "
+@reg("flatten_nested", f"WITH {O.links_cte(None)}, agg AS (SELECT page_id, list(link ORDER BY pos) AS l FROM kept "
      "GROUP BY 1) SELECT p.page_id, CASE WHEN len(coalesce(a.l, [])) = 1 THEN a.l[1] ELSE "
      "CAST(to_json(coalesce(a.l, []::VARCHAR[])) AS VARCHAR) END AS links FROM pages p LEFT JOIN agg a ON p.page_id = a.page_id")
 def _flatten_nested(spark, d):
     p = LK.with_link_inputs(load(spark, d, "pages"))
-    arr = p.select("page_id", LK.link_array("__refs", "__bp", 20).alias("links"))
+    arr = p.select("page_id", LK.link_array("__refs", "__bp").alias("links"))
     return C.flatten_nested(arr, scalarize=["links"])
 
 

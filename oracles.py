@@ -120,13 +120,10 @@ SUMMARY = ("sm AS (SELECT (SELECT count(*) FROM er) AS records, (SELECT coalesce
            "error IS NOT NULL AND error <> '') AS errs)")
 
 
-def _notes_values() -> str:
-    from strata.operators.quality import NOTE_RULES, NOTE_TEXT
-    rows = ", ".join(f"({i + 1}, {lit(k)}, {lit(NOTE_TEXT[k])})" for i, k in enumerate(NOTE_RULES))
-    return f"VALUES {rows}"
-
-
-NOTES_VALUES = _notes_values()
+NOTES_VALUES = ("SELECT 1, 'errors', 'error_records=' || errs FROM sm UNION ALL SELECT 2, 'duplicate_ids', "
+                "'duplicate_entity_ids=' || dup FROM sm UNION ALL SELECT 3, 'shared_hashes', 'shared_hash_rows=' || shared "
+                "FROM sm UNION ALL SELECT 4, 'no_records', 'records=' || records FROM sm UNION ALL SELECT 5, 'all_clear', "
+                "'records=' || records FROM sm")
 
 DR_FIELDS = [("content_hash", "s"), ("doc_id", "n"), ("entity_id", "s"), ("lang", "s"), ("n_chars", "n"),
              ("quality", "n"), ("source", "s"), ("text", "s"), ("toxic", "n")]

@@ -218,7 +218,12 @@ def query_param(url, key: str) -> Column:
     """FN-6: value of one query parameter ('' when absent), percent-decoded."""
     q = F.regexp_extract(col_of(url), _QUERY, 1)
     raw = F.regexp_extract(F.concat(F.lit("&"), q), r"&" + _re_escape(key) + r"=([^&]*)", 1)
-    return F.try_url_decode(raw)
+    return _decoded(raw)
+
+
+def _decoded(raw) -> Column:
+    """Percent-decoded; a malformed escape leaves the text as it is."""
+    return F.coalesce(F.try_url_decode(raw), raw)
 
 
 def query_map(url) -> Column:
@@ -226,9 +231,12 @@ def query_map(url) -> Column:
     q = F.regexp_extract(col_of(url), _QUERY, 1)
     pairs = F.filter(F.split(q, "&"), lambda s: s != "")
     kv = F.transform(pairs, lambda s: F.struct(
-        F.try_url_decode(F.split_part(s, F.lit("="), F.lit(1))).alias("key"),
-        F.try_url_decode(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)).alias("value")))
-    return F.map_from_entries(F.filter(kv, lambda e: e["key"] != ""))
+        _decoded(F.split_part(s, F.lit("="), F.lit(1))).alias("key"),
+        _decoded(F.regexp_extract(s, r"^[^=]*=(.*)$", 1)).alias("value")))
+    kv = F.filter(kv, lambda e: e["key"] != "")
+    n = F.size(kv)
+    later = lambda i: F.transform(F.slice(kv, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda e: e["key"])
+    return F.map_from_entries(F.filter(kv, lambda e, i: ~F.array_contains(later(i), e["key"])))
 
 
 def build_url(base, params: dict[str, object]) -> Column:

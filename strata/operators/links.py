@@ -20,9 +20,6 @@ from strata.functions.urls import base_struct, resolve_array
 # quoted with either quote character; case-insensitive.
 HREF_PATTERN = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 
-DEFAULT_MAX_LINKS = 20
-
-
 def href_values(html) -> Column:
     """Raw href values of all anchors, in document order."""
     return F.regexp_extract_all(col_of(html), F.lit(HREF_PATTERN), 1)
@@ -35,7 +32,7 @@ def clean_hrefs(html) -> Column:
     return F.filter(raw, lambda h: h != "")
 
 
-def link_array(refs, base, max_links: int | None = DEFAULT_MAX_LINKS,
+def link_array(refs, base, max_links: int | None = None,
                allow: str | None = None, deny: str | None = None) -> Column:
     """Per-row ``array<string>``: resolved, first-seen, capped, then filtered.
 
@@ -67,7 +64,7 @@ def filter_link_array(links: Column, allow: str | None, deny: str | None) -> Col
 
 
 def discover_links(pages: DataFrame, html: str = "html", base: str = "url",
-                   keys: tuple[str, ...] = ("page_id",), max_links: int | None = DEFAULT_MAX_LINKS,
+                   keys: tuple[str, ...] = ("page_id",), max_links: int | None = None,
                    allow: str | None = None, deny: str | None = None) -> DataFrame:
     """EXT-4 (+ LIM-1, FLT-1): one row per kept link: ``keys..., pos, link``.
 

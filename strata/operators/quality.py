@@ -7,6 +7,8 @@ Nothing is collected to the driver; reports are small DataFrames.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,28 +156,20 @@ def failure_counts(df: DataFrame, error_col: str = "error") -> DataFrame:
 
 # Note codes of the summary rule table, in rule order.
 NOTE_RULES = ["errors", "duplicate_ids", "shared_hashes", "no_records", "all_clear"]
-NOTE_TEXT = {
-    "errors": "Review rows with error or extraction_errors before analysis.",
-    "duplicate_ids": "Duplicate entity ids need review before panel or cross-section analysis.",
-    "shared_hashes": "Rows share raw content hashes; normal when one response yields many rows.",
-    "no_records": "No records found; re-run collection or inspect failed requests.",
-    "all_clear": "No structural issue found by the basic checks.",
-}
 
 
 def quality_notes(summary: DataFrame) -> DataFrame:
-    """AGG-8: rule table over a ``record_summary`` row -> note rows."""
-    conds = {
-        "errors": F.col("error_records") > 0,
-        "duplicate_ids": F.col("duplicate_entity_ids") > 0,
-        "shared_hashes": F.col("shared_hash_rows") > 0,
-        "no_records": F.col("records") == 0,
-        "all_clear": (F.col("records") > 0) & (F.col("error_records") == 0) & (F.col("duplicate_entity_ids") == 0),
-    }
-    arr = F.array(*[F.when(conds[k], F.struct(F.lit(i + 1).alias("rule"), F.lit(k).alias("note"),
-                                             F.lit(NOTE_TEXT[k]).alias("text")))
-                    for i, k in enumerate(NOTE_RULES)])
-    return summary.select(F.explode(F.filter(arr, lambda x: x.isNotNull())).alias("n")).select("n.*")
+    """AGG-8: rule table over a ``record_summary`` row -> note rows
+    ``(rule, note, text)``; ``text`` is the figures the note rests on."""
+    dirty = {"errors": "error_records", "duplicate_ids": "duplicate_entity_ids", "shared_hashes": "shared_hash_rows"}
+    figure = lambda c: F.concat(F.lit(f"{c}="), F.col(c).cast("string"))
+    rules = {note: (F.col(c) > 0, figure(c)) for note, c in dirty.items()}
+    rules["no_records"] = (F.col("records") == 0, figure("records"))
+    rules["all_clear"] = ((F.col("records") > 0) & (F.col("error_records") == 0) & (F.col("duplicate_entity_ids") == 0),
+                          figure("records"))
+    notes = F.array(*[F.when(rules[k][0], F.struct(F.lit(i).alias("rule"), F.lit(k).alias("note"), rules[k][1].alias("text")))
+                      for i, k in enumerate(NOTE_RULES, start=1)])
+    return summary.select(F.explode(F.filter(notes, lambda x: x.isNotNull())).alias("n")).select("n.*")
 
 
 def records_per_group(df: DataFrame, *keys: str) -> DataFrame:
@@ -187,15 +181,14 @@ def latest_month(df: DataFrame, key: str, month: str, requested: str = "latest",
                  as_of: str | None = None) -> DataFrame:
     """AGG-11: month per key: max available 'YYYYMM'; an explicit month is
     validated and taken as is; none available -> the month of ``as_of``."""
-    req = requested.strip().lower()
-    if req != "latest":
-        import re
-        if not re.fullmatch(r"\d{6}", req):
-            raise ValueError("month must be 'latest' or YYYYMM")
-        return df.select(qcol(key)).distinct().withColumn("month", F.lit(req))
-    fallback = F.date_format(F.lit(as_of).cast("timestamp"), "yyyyMM") if as_of else F.date_format(F.current_timestamp(), "yyyyMM")
-    valid = F.when(qcol(month).rlike(r"^\d{6}$"), qcol(month))
-    return df.groupBy(qcol(key)).agg(F.coalesce(F.max(valid), fallback).alias("month"))
+    keys = qcol(key)
+    if requested.strip().lower() != "latest":
+        if not re.fullmatch("[0-9]{6}", requested.strip()):
+            raise ValueError(f"not a month (YYYYMM) nor 'latest': {requested!r}")
+        return df.select(keys, F.lit(requested.strip()).alias("month")).distinct()
+    now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    months = F.max(F.when(qcol(month).rlike("^[0-9]{6}$"), qcol(month)))
+    return df.groupBy(keys).agg(F.coalesce(months, F.date_format(now, "yyyyMM")).alias("month"))
 
 
 def region_variants(df: DataFrame, col: str) -> DataFrame:
@@ -221,11 +214,11 @@ def wave_coverage(df: DataFrame, entity: str, ts: str, grain: str = "day",
 def row_unit_check(df: DataFrame, key: str, text: str, page: str,
                    max_median_chars: int = 2000) -> DataFrame:
     """AGG-14: is a row an observation (not a page dump)? Key uniqueness,
-    median text length (mergeable sketch), rows per source page."""
+    exact median text length (a count per distinct length), rows per source page."""
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_distinct(qcol(key)).alias("distinct_keys"),
-        F.percentile_approx(F.length(qcol(text)), 0.5, 10000).alias("median_chars"),
+        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY length(`{text}`))").cast("int").alias("median_chars"),
         F.count_distinct(qcol(page)).alias("pages"),
     )
     return stats.select(

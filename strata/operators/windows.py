@@ -64,12 +64,17 @@ def split_row_number(df: DataFrame, keys, order: list[str], bucket: Column,
                       (F.coalesce(F.col("__before"), F.lit(0)) + F.col("__rn")).cast("bigint").alias(name))
 
 
+def _tiebreak(columns: list[str]) -> Column:
+    return F.xxhash64(*[F.to_json(F.struct(qcol(c))) for c in columns]) if columns else F.lit(0)
+
+
 def first_seen(df: DataFrame, key, order: str, per=()) -> DataFrame:
     """WIN-1: keep the first occurrence of ``key`` (within ``per``) by
     ``order``. A ``min_by`` aggregation: combines map-side, no sort."""
     groups = [*_cols(per), *_cols(key)]
     rest = [c for c in df.columns if c not in groups]
-    agg = df.groupBy(*groups).agg(F.min_by(F.struct(*[qcol(c) for c in rest]), qcol(order)).alias("__r"))
+    agg = df.groupBy(*groups).agg(F.min_by(F.struct(*[qcol(c) for c in rest]),
+                                    F.struct(qcol(order).alias("o"), _tiebreak(rest).alias("tie"))).alias("__r"))
     return agg.select(*groups, *[F.col("__r")[c].alias(c) for c in rest]).select(*df.columns)
 
 
@@ -80,8 +85,9 @@ def latest_attempt(df: DataFrame, key: str = "source_url", ts: str = "fetched_at
     ok = qcol(status).between(200, 299)
     if error and error in df.columns:
         ok = ok & (qcol(error).isNull() | (qcol(error) == ""))
-    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), qcol(ts).alias("ts"))
     rest = [c for c in df.columns if c != key]
+    # equal times (they are whole seconds) are settled by the rows' own values, whatever their order
+    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), qcol(ts).alias("ts"), _tiebreak(rest).alias("tie"))
     agg = df.groupBy(qcol(key)).agg(F.max_by(F.struct(*[qcol(c) for c in rest]), rank).alias("__r"))
     return agg.select(qcol(key), *[F.col("__r")[c].alias(c) for c in rest])
 

@@ -31,15 +31,17 @@ def extract_records(archive: DataFrame, fields: dict[str, str] | None = None,
     one record per row: metadata plus ``title``/``text`` (no fields given) or
     one column per field (value = the single match, else a JSON list), and
     ``extraction_errors`` (bad selectors, empty body). The body is decoded
-    next to the bytes and dropped; only extracted values are shuffled."""
+    next to the bytes and dropped. n archive rows give n records, also where
+    several share a ``key`` (equal bodies fetched in one second)."""
     pages = archive.select(F.col(key).alias("page_id"), decode_body("body", "headers").alias("html"))
     meta = archive.withColumn("__body_len", F.length("body")).drop("body")
     if not fields:
         ex = H.extract_title_text(pages).withColumnRenamed("page_id", key) \
               .withColumn("extraction_errors", F.lit(None).cast("array<string>"))
     else:
-        nodes = materialize(H.shred_elements(pages), "nodes")
-        vals = H.field_records(H.select_fields(nodes, fields))
+        # rows of one key hold one body: its nodes count once
+        nodes = materialize(H.shred_elements(pages).dropDuplicates(["page_id", "node_id"]), "nodes")
+        vals = H.field_records(H.select_fields(nodes, fields, pages))
         # one pivot pass: each field's value and error side by side
         wide = vals.groupBy("page_id").pivot("field", list(fields)).agg(
             F.first("value").alias("v"), F.first("error").alias("e"))
@@ -57,7 +59,7 @@ def url_list_dataset(spark: SparkSession, url_csv: str, records: DataFrame, url_
 
 
 def listing_dataset(listings: DataFrame, records: DataFrame, html: str = "html", base: str = "final_url",
-                    listing_url: str = "source_url", max_links: int | None = LK.DEFAULT_MAX_LINKS,
+                    listing_url: str = "source_url", max_links: int | None = None,
                     allow: str | None = None, deny: str | None = None) -> DataFrame:
     """Listing pages -> discovered detail links (first-seen, capped, then
     allow/deny) -> detail records with ``listing_url`` and

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.urls import url_host
-from strata.operators.links import DEFAULT_MAX_LINKS, discover_links
+from strata.operators.links import discover_links
 
 
-def links_per_host(pages: DataFrame, max_links: int | None = DEFAULT_MAX_LINKS,
+def links_per_host(pages: DataFrame, max_links: int | None = None,
                    allow: str | None = None, deny: str | None = None) -> DataFrame:
     """Minimum slice: pages -> links (resolve, first-seen, cap, filter) ->
     kept links and listing pages per link host.

@@ -13,7 +13,7 @@ def read_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
     a UTF-8 BOM tolerated, quoted commas / quotes / newlines kept). Any
     other suffix is an error."""
     low = path.lower().rstrip("/")
-    if low.endswith(".jsonl") or low.endswith(".json"):
+    if low.endswith(".jsonl"):
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     if low.endswith(".csv"):
@@ -37,7 +37,7 @@ def read_url_list(spark: SparkSession, path: str, url_column: str = "url",
         raise ValueError(f"URL column '{url_column}' not found in {path}")
     urls = (raw.select(F.input_file_name().alias("source_file"),
                        F.monotonically_increasing_id().alias("seq"),
-                       F.trim(F.col(f"`{url_column}`")).alias("url"))
+                       F.regexp_replace(F.col(f"`{url_column}`"), r"(?U)^\s+|\s+$", "").alias("url"))
             .filter(F.col("url").isNotNull() & (F.col("url") != "")))
     return urls.orderBy("source_file", "seq").limit(limit) if limit else urls
 

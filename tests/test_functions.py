@@ -5,7 +5,7 @@ import urllib.parse as up
 
 from pyspark.sql import functions as F
 
-from strata.functions.charset import decode_bodies, decode_python
+from strata.functions.charset import decode_bodies, first_decoding
 from strata.functions.records import archive_stem, guess_extension, redact_headers
 from strata.functions.text import collapse_ws, parse_amount, unescape
 from strata.functions.urls import base_struct, build_url, iri_to_uri, query_map, query_param, resolve_array, resolve_url
@@ -101,7 +101,7 @@ def test_decode_bodies_candidate_chain(spark):
             (7, zh.encode("utf-16"), {"Content-Type": "text/html; charset=utf-16"}),
             (8, None, {})]
     df = spark.createDataFrame(rows, "id int, body binary, headers map<string,string>")
-    for r in decode_bodies(df).orderBy("id").collect():
-        exp = decode_python(r.body, " ".join(f"{k}: {v}" for k, v in r.headers.items())) if r.body is not None else None
-        assert r.text == exp
-    assert decode_python(zh.encode("gb18030"), "") == zh
+    got = {r.id: r.text for r in decode_bodies(df).collect()}
+    want = {1: zh, 2: zh, 3: "<meta charset='gbk'>" + zh, 4: zh, 5: zh, 6: "a\ufffdb\ufffd", 7: zh, 8: None}
+    assert got == want
+    assert first_decoding(zh.encode("gb18030"), ["utf-8", "gb18030"]) == zh
