@@ -35,6 +35,8 @@ MIN_WORDS, MAX_REPEAT_PCT, REPEAT_WINDOW, SYMBOLS = 10, 20, 5, b"#*$%&|<>"
 PER_CELL, FEATURES, MIN_SUPPORT = 1000, 256, 8
 #: Bytes in a character n-gram.
 GRAMS = (4, 6, 8)
+#: Bytes of text whose features are held at once (a longer text is whole).
+HELD = 1 << 19
 THRESHOLDS = {"low_quality": 0.5, "toxic": 0.5}
 
 _SYMBOL = np.zeros(256, bool)
@@ -172,7 +174,7 @@ def _distinct(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _lower_blocks(batch: pa.RecordBatch):
     texts = text_of(batch)
-    for a, e in blocks(texts):
+    for a, e in blocks(texts, HELD):
         b = Block(texts, a, e)
         b.lower()
         b.split()
@@ -285,7 +287,7 @@ def score(docs: DataFrame, heads: dict[str, Head], thresholds: dict[str, float]
     def work(batches):
         for batch in batches:
             texts, ids = text_of(batch), batch.column("doc_id")
-            for a, e in blocks(texts):
+            for a, e in blocks(texts, HELD):
                 cols = _score(texts.slice(a, e - a), heads, thresholds)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, e - a), *map(pa.array, cols)], names=names)
 
@@ -297,7 +299,7 @@ def keep_good(docs: DataFrame, heads: dict[str, Head], thresholds: dict[str, flo
     def work(batches):
         for batch in batches:
             texts = text_of(batch)
-            for a, e in blocks(texts):
+            for a, e in blocks(texts, HELD):
                 kept = _score(texts.slice(a, e - a), heads, thresholds)[-1]
                 yield batch.slice(a, e - a).filter(pa.array(kept))
 
