@@ -94,6 +94,11 @@ def _filter_links(spark, d):
     return LK.discover_links(load(spark, d, "pages"), max_links=5, allow=ALLOW, deny=DENY)
 
 
+@reg("discover_links_selector", f"WITH {O.links_cte(None, page=O.NAV)} SELECT page_id, pos, link FROM kept")
+def _discover_links_selector(spark, d):  # EXT-4 with a link selector
+    return LK.discover_links_selector(load(spark, d, "pages"), "nav a::attr(href)")
+
+
 @reg("iri_to_uri", f"WITH {O.links_cte(None)} SELECT page_id, pos, {O.iri_to_uri('link')} AS uri FROM kept")  # FN-5
 def _iri_to_uri(spark, d):
     links = LK.discover_links(load(spark, d, "pages"), max_links=None)
@@ -683,7 +688,7 @@ def _shred_anchor_counts(spark, d):
 def _select_fields(spark, d):
     # the node table feeds several branches: parse once, cut lineage with a
     # Parquet table in the shared checkpoint folder (branches read only their columns)
-    nodes = materialize(H.shred_elements(load(spark, d, "pages")), "nodes")
+    nodes = materialize(H.shred_elements(load(spark, d, "pages"), path_attrs=H.selector_attrs(*SELECT_SPEC.values())), "nodes")
     return H.field_records(H.select_fields(nodes, SELECT_SPEC))
 
 

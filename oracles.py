@@ -12,7 +12,9 @@ AUTH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 QUERY = r"^[^?#]*\?([^#]*)"
 FRAGMENT = r"^[^#]*#(.*)$"
-HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+HREF = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+BARE_HREF = "regexp_replace(hrefs[i], '^[\"''](.*)[\"'']$', '\\1', 's')"
+SHOWN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
@@ -63,7 +65,11 @@ def host(expr: str) -> str:
     return f"lower({rx(expr, HOST)})"
 
 
-def links_cte(max_links: int | None = 20, allow: str | None = None, deny: str | None = None) -> str:
+NAV = "regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1)"
+
+
+def links_cte(max_links: int | None = 20, allow: str | None = None, deny: str | None = None,
+              page: str = SHOWN) -> str:
     """Kept links per page: first-seen order, capped, then filtered."""
     flt = []
     if allow:
@@ -71,9 +77,9 @@ def links_cte(max_links: int | None = 20, allow: str | None = None, deny: str |
     if deny:
         flt.append(f"NOT regexp_matches(link, {lit(deny)})")
     where = ("WHERE " + " AND ".join(flt)) if flt else ""
-    href = f"trim({unescape_basic('trim(hrefs[i])')})"
+    href = f"trim({unescape_basic(f'trim({BARE_HREF})')})"
     return f"""
-hr AS (SELECT page_id, url, regexp_extract_all(html, {lit(HREF)}, 1) AS hrefs FROM pages),
+hr AS (SELECT page_id, url, regexp_extract_all({page}, {lit(HREF)}, 1) AS hrefs FROM pages),
 h1 AS (SELECT page_id, url, i, {href} AS href FROM hr, range(1, len(hrefs) + 1) t(i)),
 h2 AS (SELECT page_id, i, {resolve('url', 'href')} AS link FROM h1 WHERE href <> ''),
 h3 AS (SELECT page_id, link, min(i) AS first_i FROM h2 GROUP BY page_id, link),

@@ -15,14 +15,20 @@ from pyspark.sql import functions as F
 from strata.functions._util import col_of
 from strata.functions.text import unescape
 from strata.functions.urls import base_struct, resolve_array
+from strata.session import materialize
 
 # Anchors' href attribute values (the default selector ``a::attr(href)``),
-# quoted with either quote character; case-insensitive.
-HREF_PATTERN = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
+# in either quote or bare; case-insensitive.
+HREF_PATTERN = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+COMMENT_PATTERN = r"(?s)<!--.*?-->"
+
 
 def href_values(html) -> Column:
-    """Raw href values of all anchors, in document order."""
-    return F.regexp_extract_all(col_of(html), F.lit(HREF_PATTERN), 1)
+    """Raw href values of all anchors outside comments, in document order."""
+    page = col_of(html)
+    shown = F.when(page.contains("<!--"), F.regexp_replace(page, COMMENT_PATTERN, "")).otherwise(page)
+    return F.transform(F.regexp_extract_all(shown, F.lit(HREF_PATTERN), 1), lambda h: F.when(
+        h.rlike("^[\"']"), F.substring(h, F.lit(2), F.length(h) - 2)).otherwise(h))
 
 
 def clean_hrefs(html) -> Column:
@@ -76,6 +82,26 @@ def discover_links(pages: DataFrame, html: str = "html", base: str = "url",
             .select(*keys, (F.col("pos0") + 1).cast("long").alias("pos"), "link"))
 
 
+def discover_links_selector(pages: DataFrame, selector: str = "a::attr(href)", key: str = "page_id",
+                            html: str = "html", base: str = "url", max_links: int | None = None,
+                            allow: str | None = None, deny: str | None = None) -> DataFrame:
+    """EXT-4 with a link selector: as ``discover_links``, for the values of
+    ``selector`` (an ``::attr(x)`` or ``::text`` one) on the parsed page, by
+    a unique ``key``. Only matched values are shuffled, one list a page. An
+    unsupported selector raises."""
+    from strata.operators import html as H
+    H.parse_selector(selector)
+    nodes = materialize(H.shred_elements(pages, key, html, H.selector_attrs(selector)), "nodes")
+    values = H.select_fields(nodes, {"link": selector}).filter(F.col("pos").isNotNull())
+    ref = F.trim(F.regexp_replace("value", r"[\t\r\n]", ""))
+    refs = (values.select("page_id", "pos", ref.alias("ref")).filter("ref != ''").groupBy("page_id")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias("__refs")))
+    bases = pages.select(col_of(key).alias("page_id"), base_struct(base).alias("__bp"))
+    arr = link_array("__refs", "__bp", max_links, allow, deny)
+    return (bases.join(refs, "page_id").select("page_id", F.posexplode(arr).alias("pos0", "link"))
+            .select(F.col("page_id").alias(key), (F.col("pos0") + 1).cast("long").alias("pos"), "link"))
+
+
 def filter_links(df: DataFrame, allow: str | None = None, deny: str | None = None,
                  col: str = "link") -> DataFrame:
     """FLT-1 on a link table: regex search semantics, allow then deny."""

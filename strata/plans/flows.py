@@ -1,5 +1,5 @@
-"""End-to-end flows of the reference's three lifecycles, as one lazy plan
-each over many inputs (survey section 3).
+"""End-to-end flows of the three lifecycles, each over many inputs (survey
+section 3). With CSS fields the parsed node table is written once; the rest is lazy.
 
 * ``extract_records``    – archived responses -> decoded -> default title/text
   or CSS fields -> merged with their metadata (FN-2, EXT-1/2/3, PRJ-5)
@@ -40,7 +40,8 @@ def extract_records(archive: DataFrame, fields: dict[str, str] | None = None,
               .withColumn("extraction_errors", F.lit(None).cast("array<string>"))
     else:
         # rows of one key hold one body: its nodes count once
-        nodes = materialize(H.shred_elements(pages).dropDuplicates(["page_id", "node_id"]), "nodes")
+        nodes = materialize(H.shred_elements(pages, path_attrs=H.selector_attrs(*fields.values()))
+                            .dropDuplicates(["page_id", "node_id"]), "nodes")
         vals = H.field_records(H.select_fields(nodes, fields, pages))
         # one pivot pass: each field's value and error side by side
         wide = vals.groupBy("page_id").pivot("field", list(fields)).agg(
