@@ -841,14 +841,60 @@ def _stream_health(spark, d):
      "(SELECT user_id, ts, sha256(event_type) AS h, lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts, "
      "event_id) AS prev FROM events) WHERE prev IS NULL OR prev <> h")
 def _stream_changes(spark, d):
-    ST.use_rocksdb_state(spark)
     src = ST.table_stream(spark, d, "events").withColumn("h", R.content_hash("event_type"))
-    path = ST.run_to_table(ST.stream_changes(src, "user_id", "ts", "h", tiebreak="event_id"),
-                           scratch_path(spark, "stream-changes"), scratch_path(spark, "stream-ck"))
+    with ST.rocksdb_state(spark):
+        path = ST.run_to_table(ST.stream_changes(src, "user_id", "ts", "h", tiebreak="event_id"),
+                               scratch_path(spark, "stream-changes"), scratch_path(spark, "stream-ck"))
     out = spark.read.parquet(path)
     return out.select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
 
 
+# Three arrivals of the events: by ten-day span, every 20th event one arrival late.
+WAVES_CTE = (f"w0 AS (SELECT *, least(CAST(floor((extract(day FROM ts) - 1) / 10) AS INTEGER), 2) AS span FROM events), "
+             "wv AS (SELECT *, CASE WHEN event_id % 20 = 0 AND span < 2 THEN span + 1 ELSE span END AS wave FROM w0)")
+
+
+def _waves(spark, d):
+    span = F.least(F.floor((F.dayofmonth("ts") - 1) / 10).cast("int"), F.lit(2))
+    late = F.when((F.col("event_id") % 20 == 0) & (span < 2), span + 1).otherwise(span)
+    ev = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("wave", late)
+    return [ev.filter(F.col("wave") == i) for i in range(3)]
+
+
+@reg("stream_changes_waves", f"WITH {WAVES_CTE}, f AS (SELECT *, max((ts, event_id)) OVER (PARTITION BY user_id "
+     "ORDER BY wave RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM wv), "
+     "k AS (SELECT user_id, ts, sha256(event_type) AS h, lag(sha256(event_type)) OVER (PARTITION BY user_id "
+     "ORDER BY ts, event_id) AS prev FROM f WHERE known IS NULL OR (ts, event_id) > known) "
+     "SELECT CAST(user_id AS VARCHAR) AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, h AS content_hash, "
+     "prev AS prev_hash, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' END AS change FROM k "
+     "WHERE prev IS NULL OR prev <> h")
+def _stream_changes_waves(spark, d):  # STR-4 over three arrivals, with late rows
+    with ST.rocksdb_state(spark):
+        path = ST.run_waves(_waves(spark, d), scratch_path(spark, "arrivals") + "/events",
+                            lambda s: ST.stream_changes(s.withColumn("h", R.content_hash("event_type")),
+                                                        "user_id", "ts", "h", tiebreak="event_id"),
+                            scratch_path(spark, "stream-changes"), scratch_path(spark, "stream-ck"))
+    return spark.read.parquet(path).select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
+
+
+@reg("stream_dedup_waves", f"WITH {WAVES_CTE}, p AS (SELECT 'https://u' || CAST(user_id AS VARCHAR) || '.example.com/' "
+     "AS source_url, sha256(event_type) AS content_hash, bool_or(wave = 0) AS p0, bool_or(wave = 1) AS p1, "
+     "bool_or(wave = 2) AS p2 FROM wv GROUP BY 1, 2) SELECT source_url, content_hash, 0 AS wave FROM p WHERE p0 "
+     "UNION ALL SELECT source_url, content_hash, 1 FROM p WHERE p1 AND NOT p0 "
+     "UNION ALL SELECT source_url, content_hash, 2 FROM p WHERE p2 AND NOT (p1 AND NOT p0)")
+def _stream_dedup_waves(spark, d):
+    """STR-2 over three crawls a day apart: a copy is dropped while the first
+    one is in state, which is until the watermark passes it by an hour."""
+    crawl = F.make_timestamp(F.lit(2024), F.lit(1), F.col("wave") + 1, F.lit(0), F.lit(0), F.lit(0))
+    waves = [w.select(F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/"))
+                      .alias("source_url"), R.content_hash("event_type").alias("content_hash"), "wave",
+                      crawl.alias("fetched_at")) for w in _waves(spark, d)]
+    path = ST.run_waves(waves, scratch_path(spark, "arrivals") + "/events",
+                        lambda s: ST.stream_dedup(s, "fetched_at", ["source_url", "content_hash"]),
+                        scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-ck"))
+    return spark.read.parquet(path).select("source_url", "content_hash", "wave")
+
+
 def _shipping(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)

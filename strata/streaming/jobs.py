@@ -11,6 +11,7 @@ trigger.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -67,13 +68,15 @@ CHANGE_SCHEMA = T.StructType([
     T.StructField("prev_hash", T.StringType()),
     T.StructField("change", T.StringType()),
 ])
-_STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("ts", T.TimestampType())])
+_STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("ts", T.TimestampType()),
+                              T.StructField("tiebreak", T.LongType())])
 
 
 class ChangeDetector(StatefulProcessor):
-    """Per entity: the last content hash and its time. Emits a row when the
-    hash of a new observation differs ('changed') or none is known ('new').
-    Rows of one micro-batch are ordered by time (then tiebreak) first."""
+    """Per entity: the last content hash and its (time, tiebreak). Emits a row
+    when the hash of a new observation differs ('changed') or none is known
+    ('new'). Rows of one micro-batch are ordered by (time, tiebreak) first;
+    rows not after the stored place are late and change nothing."""
 
     def __init__(self, ttl_ms: int | None) -> None:
         self.ttl_ms = ttl_ms
@@ -83,15 +86,20 @@ class ChangeDetector(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tiebreak"], kind="stable")
-        prev = self.last.get()[0] if self.last.exists() else None
-        out = []
-        last_ts = None
-        for h, t in zip(pdf["content_hash"], pdf["ts"]):
-            if prev is None or h != prev:
-                out.append((key[0], t, h, prev, "new" if prev is None else "changed"))
-            prev, last_ts = h, t
-        if last_ts is not None:
-            self.last.update((prev, last_ts.to_pydatetime() if hasattr(last_ts, "to_pydatetime") else last_ts))
+        known = self.last.get() if self.last.exists() else None
+        if known:
+            when = pd.Timestamp(known[1])
+            pdf = pdf[(pdf["ts"] > when) | ((pdf["ts"] == when) & (pdf["tiebreak"] > known[2]))]
+        prev = known[0] if known else None
+        # a row counts where its hash differs from the one before it
+        before = pdf["content_hash"].shift(1)
+        before.iloc[:1] = prev
+        change = pdf[["ts", "content_hash"]].assign(prev_hash=before)
+        out = [(key[0], t, h, p, "changed" if p else "new")
+               for t, h, p in change[change["content_hash"] != before].itertuples(index=False)]
+        if len(pdf):
+            end = pdf.iloc[-1]
+            self.last.update((end["content_hash"], end["ts"].to_pydatetime(), int(end["tiebreak"])))
         yield pd.DataFrame(out, columns=CHANGE_SCHEMA.fieldNames())
 
     def close(self) -> None:
@@ -101,7 +109,8 @@ class ChangeDetector(StatefulProcessor):
 def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: str | None = None,
                    ttl_days: int | None = None) -> DataFrame:
     """STR-4: changes of an entity's content hash across the stream, with
-    keyed state (last hash + time).
+    keyed state (last hash + place). Rows without a time or a hash are left
+    out. Bound a micro-batch with ``max_files_per_trigger``.
 
     ``ttl_days`` (e.g. 30) expires an entity's state after that long without
     updates; it needs processing-time mode, so use it with a continuous
@@ -109,7 +118,8 @@ def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: st
     the query scheduling empty batches and it would not stop."""
     src = df.select(qcol(entity).cast("string").alias("entity"), qcol(ts).alias("ts"),
                     qcol(chash).alias("content_hash"),
-                    (qcol(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("tiebreak"))
+                    (qcol(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("tiebreak")) \
+        .filter(F.col("ts").isNotNull() & F.col("content_hash").isNotNull())
     ttl = ttl_days * 24 * 3600 * 1000 if ttl_days else None
     return src.groupBy("entity").transformWithStateInPandas(
         statefulProcessor=ChangeDetector(ttl), outputStructType=CHANGE_SCHEMA,
@@ -144,10 +154,28 @@ def table_stream(spark: SparkSession, folder: str, name: str,
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def use_rocksdb_state(spark: SparkSession) -> None:
-    """Keyed state (STR-4) needs the RocksDB state store; set it only when the
-    session names no provider of its own."""
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Start stateful queries (STR-4) on the RocksDB state store when the
+    session names no provider of its own; its setting is put back after."""
     key = "spark.sql.streaming.stateStore.providerClass"
     current = spark.conf.get(key, None)
-    if not current or current.endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set(key, ROCKSDB)
+    if current and not current.endswith("HDFSBackedStateStoreProvider"):
+        yield
+        return
+    spark.conf.set(key, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if current is None else spark.conf.set(key, current)
+
+
+def run_waves(waves: list[DataFrame], folder: str, job, path: str, checkpoint: str) -> str:
+    """Append each batch ``DataFrame`` of ``waves`` to ``folder`` in turn and
+    drain ``job(stream over folder)`` into ``path`` after each: every run
+    resumes from the checkpoint and sees one wave of new files."""
+    spark = waves[0].sparkSession
+    for wave in waves:
+        wave.write.mode("append").parquet(folder)
+        run_to_table(job(spark.readStream.schema(wave.schema).parquet(folder)), path, checkpoint)
+    return path

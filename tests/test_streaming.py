@@ -49,8 +49,6 @@ def test_archive_ingest_resumes_without_duplicates(spark):
 
 
 def test_dedup_and_changes_across_batches(spark):
-    from strata.streaming.jobs import use_rocksdb_state
-    use_rocksdb_state(spark)
     src_dir = scratch_path(spark, "src")
     sink_d, ck_d = scratch_path(spark, "sink"), scratch_path(spark, "ck")
     sink_c, ck_c = scratch_path(spark, "sink"), scratch_path(spark, "ck")
@@ -58,12 +56,26 @@ def test_dedup_and_changes_across_batches(spark):
     changes = lambda: S.stream_changes(spark.readStream.schema(SCHEMA).parquet(src_dir), "url", "ts", "h")
     _write(spark, src_dir, [("u1", "a", "200", _t(1)), ("u1", "a", "200", _t(1, 5)), ("u1", "b", "200", _t(1, 10))])
     _drain(spark, dedup(), sink_d, ck_d)
-    _drain(spark, changes(), sink_c, ck_c)
+    with S.rocksdb_state(spark):
+        _drain(spark, changes(), sink_c, ck_c)
     _write(spark, src_dir, [("u1", "b", "200", _t(1, 20)), ("u1", "a", "200", _t(1, 30))])
     d = _drain(spark, dedup(), sink_d, ck_d)
-    c = _drain(spark, changes(), sink_c, ck_c)
+    with S.rocksdb_state(spark):
+        c = _drain(spark, changes(), sink_c, ck_c)
     # (u1, b) re-fetched within the watermark is dropped; (u1, a) is still in state as well
     assert sorted((r.url, r.h) for r in d.collect()) == [("u1", "a"), ("u1", "b")]
     # state carries the last hash across batches: a -> b (changed), b -> b (no row), b -> a (changed)
     got = sorted((r.ts.minute, r.change, r.prev_hash) for r in c.collect())
     assert got == [(0, "new", None), (10, "changed", "a"), (30, "changed", "b")]
+
+
+def test_late_rows_change_nothing(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    src_dir, sink, ck = scratch_path(spark, "src"), scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    for rows in ([("u", "a", "200", _t(5)), ("n", None, "200", _t(5))], [("u", "b", "200", _t(1))],
+                 [("u", "a", "200", _t(6)), ("u", "c", "200", _t(2)), ("v", "a", "200", _t(1))]):
+        _write(spark, src_dir, rows)
+        with S.rocksdb_state(spark):
+            out = _drain(spark, S.stream_changes(spark.readStream.schema(SCHEMA).parquet(src_dir), "url", "ts", "h"), sink, ck)
+    assert sorted((r.entity, r.ts.hour, r.change) for r in out.collect()) == [("u", 5, "new"), ("v", 1, "new")]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
