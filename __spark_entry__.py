@@ -220,7 +220,7 @@ def _boilerplate_lines(spark, d):
 
 
 @reg("flag_text", f"WITH {O.DOC_LINES} SELECT dd.doc_id, false AS empty_title, "
-     f"regexp_matches(dd.text, {O.lit(FL.BLOCK_PATTERN)}) AS blocked, "
+     f"{O.blocked('dd.text')} AS blocked, "
      "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only "
      "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key")
 def _flag_text(spark, d):
@@ -233,7 +233,7 @@ def _boilerplate_lines_10pct(spark, d):  # AGG-9 at a 10 % share, so the set is
 
 
 @reg("flag_text_10pct", f"WITH {O.doc_lines(0.1)} SELECT dd.doc_id, false AS empty_title, "
-     f"regexp_matches(dd.text, {O.lit(FL.BLOCK_PATTERN)}) AS blocked, "
+     f"{O.blocked('dd.text')} AS blocked, "
      "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only "
      "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key")
 def _flag_text_10pct(spark, d):  # FLT-5 against the 10 % boilerplate set
@@ -392,6 +392,17 @@ def _new_and_gone_daily(spark, d):  # SET-2 between two consecutive day waves
                           ev.filter(F.col("wave") == F.lit("2024-01-02").cast("timestamp")), "user_id")
 
 
+@reg("wave_turnover", "WITH s AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS wave FROM events), "
+     "w AS (SELECT wave, lag(wave) OVER (ORDER BY wave) AS prev FROM (SELECT DISTINCT wave FROM s)), "
+     "x AS (SELECT s.user_id, w.wave, 'new' AS status FROM s JOIN w USING (wave) WHERE prev IS NOT NULL AND NOT EXISTS "
+     "(SELECT 1 FROM s t WHERE t.user_id = s.user_id AND t.wave = w.prev) UNION ALL "
+     "SELECT s.user_id, w.wave, 'gone' FROM s JOIN w ON s.wave = w.prev WHERE NOT EXISTS "
+     "(SELECT 1 FROM s t WHERE t.user_id = s.user_id AND t.wave = w.wave)) "
+     "SELECT user_id, strftime(wave, '%Y-%m-%d %H:%M:%S.%f') AS wave, status FROM x")
+def _wave_turnover(spark, d):  # SET-2 over all consecutive waves
+    return W.wave_turnover(load(spark, d, "events"), "user_id", "ts").select("user_id", ts("wave").alias("wave"), "status")
+
+
 @reg("coverage_drops_5pct", "WITH c AS (SELECT date_trunc('day', ts) AS wave, count(DISTINCT user_id) AS entities "
      "FROM events GROUP BY 1), l AS (SELECT wave, entities, lag(entities) OVER (ORDER BY wave) AS prev_entities "
      "FROM c) SELECT strftime(wave, '%Y-%m-%d %H:%M:%S.%f') AS wave, entities, prev_entities, "
@@ -464,6 +475,40 @@ def _panel_publish(spark, d):  # JN-3 -> PRJ-2/3 -> SNK-5: the published final P
     return spark.read.parquet(root + "/final/panel.parquet")
 
 
+# Events spread over three months by user, for month choices that can differ.
+MONTHS_CTE = "em AS (SELECT * REPLACE (ts + to_months(CAST(user_id % 3 AS INTEGER)) AS ts) FROM events), "
+MONTHS_OBS = MONTHS_CTE + O.OBS.replace("FROM events", "FROM em")
+
+
+def _month_events(spark, d):
+    ev = load(spark, d, "events")
+    return ev.withColumn("ts", F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("user_id") % 3).cast("int")))
+
+
+@reg("panel_explicit_month", f"WITH {MONTHS_OBS} SELECT * FROM obs WHERE \"月份\" = '202402' UNION ALL "
+     "SELECT 'aqistudy:' || city || ':202402:no_data', city, '202402', '', '', '', '', '', '', '', '', '', '', "
+     "'no_items', 'API returned no day-level items', NULL FROM (SELECT DISTINCT city FROM ev EXCEPT "
+     "SELECT city FROM ev WHERE month = '202402')")
+def _panel_explicit_month(spark, d):  # JN-3 with a month that many cities lack
+    return PN.assemble_panel(_month_events(spark, d), "202402")
+
+
+@reg("latest_month_spread", f"WITH {MONTHS_CTE[:-2]} SELECT user_id, max(strftime(ts, '%Y%m')) AS month FROM em GROUP BY 1")
+def _latest_month_spread(spark, d):  # AGG-11 over several months
+    ev = _month_events(spark, d).withColumn("m", F.date_format("ts", "yyyyMM"))
+    return Q.latest_month(ev, "user_id", "m", as_of="2024-02-01")
+
+
+@reg("panel_report", f"WITH {MONTHS_OBS}, p AS (SELECT * FROM obs WHERE (\"城市\", \"月份\") IN (SELECT (city, max(month)) "
+     "FROM ev GROUP BY city)) SELECT count(*) AS records, CAST(6 AS BIGINT) AS fields, CAST(0 AS BIGINT) AS "
+     "duplicate_entity_ids, CAST(0 AS BIGINT) AS shared_hash_rows, count(extraction_errors) AS error_records FROM p")
+def _panel_report(spark, d):  # the audit of the published panel
+    root = scratch_path(spark, "panel")
+    _, report = PN.panel_dataset(_month_events(spark, d), root + "/processed", root + "/final", PROJECT_REQUEST, "en",
+                                 formats=("parquet",))
+    return report["summary"]
+
+
 @reg("seed_or_discovered", "WITH b AS (SELECT c_name, c_custkey, 0 AS prio FROM customer WHERE c_mktsegment = 'SEED' "
      "UNION ALL SELECT c_name, c_custkey, 1 FROM customer) SELECT c_name, c_custkey FROM b "
      "WHERE prio = (SELECT min(prio) FROM b) ORDER BY c_custkey LIMIT 50")
@@ -895,6 +940,110 @@ def _stream_dedup_waves(spark, d):
     return spark.read.parquet(path).select("source_url", "content_hash", "wave")
 
 
+# ---------------------------------------------------------------- rows that the tables lack, derived from them
+
+# Nation names misspelled by customer: capitals, blanks at the ends, a blank inside, missing, unknown.
+SPELLED_CTE = ("sp AS (SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN lower(n_name) WHEN 1 THEN ' ' || n_name "
+               "WHEN 2 THEN left(n_name, 2) || ' ' || substr(n_name, 3) WHEN 3 THEN NULL WHEN 4 THEN 'Atlantis' "
+               "ELSE n_name END AS region FROM customer JOIN nation ON c_nationkey = n_nationkey)")
+
+
+def _spelled(spark, d):
+    n, kind = F.col("n_name"), F.col("c_custkey") % 7
+    region = (F.when(kind == 0, F.lower(n)).when(kind == 1, F.concat(F.lit(" "), n))
+              .when(kind == 2, F.concat(F.substring(n, 1, 2), F.lit(" "), F.expr("substring(n_name, 3)")))
+              .when(kind == 3, F.lit(None)).when(kind == 4, F.lit("Atlantis")).otherwise(n))
+    return (load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+            .select("c_custkey", region.alias("region")))
+
+
+@reg("region_variants_spelled", f"WITH {SPELLED_CTE}, x AS (SELECT DISTINCT replace(lower(trim(region)), ' ', '') AS "
+     "normalized, region AS variant FROM sp WHERE region IS NOT NULL), y AS (SELECT normalized, count(*) AS spellings "
+     "FROM x GROUP BY 1 HAVING count(*) > 1) SELECT x.normalized, x.variant, y.spellings FROM x JOIN y USING (normalized)")
+def _region_variants_spelled(spark, d):  # AGG-12
+    return Q.region_variants(_spelled(spark, d), "region")
+
+
+@reg("unmatched_regions_spelled", f"WITH {SPELLED_CTE} SELECT c_custkey, region, CASE WHEN region IS NULL THEN 'missing' "
+     "ELSE 'unknown' END AS reason FROM sp WHERE region IS NULL OR region NOT IN (SELECT n_name FROM nation)")
+def _unmatched_regions_spelled(spark, d):  # JN-7
+    return J.unmatched_regions(_spelled(spark, d), "region", load(spark, d, "nation"), "n_name")
+
+
+@reg("extract_months_links", "SELECT event_id, unnest(list_sort(list_distinct([strftime(ts, '%Y%m'), "
+     "strftime(ts - to_months(CAST(user_id % 2 AS INTEGER)), '%Y%m')]))) AS month FROM events")
+def _extract_months_links(spark, d):  # EXT-6 over index pages written from the events; '&amp;' links do not count
+    link = lambda m, amp="&": F.concat(F.lit("<a href='daydata.php?city="), F.col("user_id").cast("string"),
+                                       F.lit(f"{amp}month="), m, F.lit("'>x</a>"))
+    month = F.date_format("ts", "yyyyMM")
+    past = F.date_format(F.col("ts") - F.make_ym_interval(F.lit(0), (F.col("user_id") % 2).cast("int")), "yyyyMM")
+    page = load(spark, d, "events").select("event_id", F.concat(
+        link(month), link(past), link(F.lit("199901"), "&amp;")).alias("html"))
+    return API.extract_months(page, "html").select("event_id", F.explode("months").alias("month"))
+
+
+# Titles and texts of documents, some blank, blocked or made of one shared line.
+NOTED_TITLE = "CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN ' ' || chr(10) ELSE 'Document ' || CAST(doc_id AS VARCHAR) END"
+NOTED_TEXT = ("CASE doc_id % 7 WHEN 0 THEN 'Please solve the CAPTCHA' WHEN 1 THEN text || chr(10) || '访问被拒绝' "
+              "WHEN 2 THEN 'Terms of use' WHEN 3 THEN ' Terms  of use' ELSE 'Terms of use' || chr(10) || text END")
+
+
+@reg("flag_text_noted", f"WITH documents AS (SELECT doc_id, source, {NOTED_TITLE} AS title, {NOTED_TEXT} AS text FROM "
+     f"read_docs), {O.doc_lines(0.5)} SELECT dd.doc_id, (dd.title IS NULL OR trim(regexp_replace(dd.title, "
+     f"{O.lit(O.WS)}, ' ', 'g')) = '') AS empty_title, {O.blocked('dd.text')} AS blocked, "
+     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only FROM documents dd "
+     "LEFT JOIN per_key p ON dd.doc_id = p.key".replace("documents", "noted").replace("read_docs", "documents"))
+def _flag_text_noted(spark, d):  # FLT-5 with every flag both ways
+    k5, k7, terms = F.col("doc_id") % 5, F.col("doc_id") % 7, F.lit("Terms of use")
+    title = (F.when(k5 == 0, F.lit(None)).when(k5 == 1, F.lit(" \n"))
+             .otherwise(F.concat(F.lit("Document "), F.col("doc_id").cast("string"))))
+    text = (F.when(k7 == 0, F.lit("Please solve the CAPTCHA")).when(k7 == 1, F.concat_ws("\n", "text", F.lit("访问被拒绝")))
+            .when(k7 == 2, terms).when(k7 == 3, F.lit(" Terms  of use")).otherwise(F.concat_ws("\n", terms, "text")))
+    noted = load(spark, d, "documents").select("doc_id", "source", title.alias("title"), text.alias("text"))
+    return FL.flag_text(noted, "doc_id", "source", "title", "text")
+
+
+@reg("flag_price_text", "WITH t AS (SELECT o_orderkey, o_orderpriority AS cat, CASE o_orderkey % 11 WHEN 0 THEN NULL WHEN 1 "
+     "THEN -o_totalprice WHEN 2 THEN o_totalprice * 100 ELSE o_totalprice END AS price FROM (SELECT * REPLACE "
+     "(CAST(o_totalprice AS DECIMAL(18, 2)) AS o_totalprice) FROM orders)), st AS (SELECT cat, quantile_disc(price, 0.25) "
+     "AS q1, quantile_disc(price, 0.75) AS q3 FROM t GROUP BY 1) SELECT o_orderkey, price IS NULL AS unparseable, "
+     "coalesce(price < 0, false) AS negative, coalesce(price < q1 - 3 * (q3 - q1) OR price > q3 + 3 * (q3 - q1), false) "
+     "AS outlier FROM t LEFT JOIN st ON t.cat IS NOT DISTINCT FROM st.cat")
+def _flag_price_text(spark, d):  # FN-12 + FLT-6: price texts, some without a number, negative or extreme
+    k, price = F.col("o_orderkey") % 11, F.col("o_totalprice").cast("decimal(18,2)")
+    value = F.when(k == 1, -price).when(k == 2, price * 100).otherwise(price).cast("decimal(18,2)")
+    text = F.when(k == 0, F.lit("面议")).otherwise(F.concat(F.lit("¥"), value.cast("string"), F.lit("/件")))
+    o = load(spark, d, "orders").select("o_orderkey", "o_orderpriority", TX.parse_amount(text)["amount"].alias("price"))
+    return FL.flag_price(o, "price", "o_orderpriority").select("o_orderkey", "unparseable", "negative", "outlier")
+
+
+@reg("verify_archive_damaged", "SELECT 'raw/' || CAST(page_id AS VARCHAR) AS raw_file_path, CASE page_id % 9 WHEN 0 THEN "
+     "'missing_file' WHEN 1 THEN 'altered' WHEN 2 THEN 'unrecorded' ELSE 'ok' END AS status FROM pages")
+def _verify_archive_damaged(spark, d):  # JN-9 with every status
+    k = F.col("page_id") % 9
+    p = load(spark, d, "pages").select(F.concat(F.lit("raw/"), F.col("page_id").cast("string")).alias("raw_file_path"),
+                                       "html", k.alias("k"))
+    recorded = p.filter("k <> 2").select("raw_file_path", R.content_hash("html").alias("content_hash"))
+    stored = p.filter("k <> 0").select(F.col("raw_file_path").alias("path"), F.encode(
+        F.when(F.col("k") == 1, F.concat("html", F.lit(" "))).otherwise(F.col("html")), "UTF-8").alias("content"))
+    return J.verify_archive(recorded, stored).select("raw_file_path", "status")
+
+
+@reg("batch_extract_attempts", "WITH a AS (SELECT *, 'https://u' || CAST(user_id AS VARCHAR) || '.example.com/' AS u, "
+     "CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS st, sha256(props) AS h, "
+     "date_trunc('hour', ts) AS fetched FROM events), b AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY "
+     "(st BETWEEN 200 AND 299) DESC, fetched DESC, h DESC) AS rn FROM a), r AS (SELECT c_custkey AS seq, 'https://u' || "
+     "CAST(c_custkey % 300 AS VARCHAR) || '.example.com/' AS u FROM customer) SELECT r.seq, r.u AS source_url, "
+     "b.st AS status_code, b.h AS content_hash FROM r LEFT JOIN b ON r.u = b.u AND b.rn = 1")
+def _batch_extract_attempts(spark, d):  # JN-1 over an archive with several attempts a URL, one record a request
+    site = lambda c: F.concat(F.lit("https://u"), c.cast("string"), F.lit(".example.com/"))
+    arch = load(spark, d, "events").select(site(F.col("user_id")).alias("source_url"), F.when(
+        F.col("event_type") == "error", 500).otherwise(200).alias("status_code"), R.content_hash("props").alias("content_hash"),
+        F.date_trunc("hour", "ts").alias("fetched_at"))
+    req = load(spark, d, "customer").select(F.col("c_custkey").alias("seq"), site(F.col("c_custkey") % 300).alias("url"))
+    return J.batch_extract(req, arch).select("seq", "source_url", "status_code", "content_hash")
+
+
 def _shipping(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -912,7 +1061,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     out = {k: sql for k, (_, sql) in _REG.items() if sql}
-    out["safe_columns"] = O.safe_columns_sql(C.safe_names(O.OBS_COLUMNS))
+    out["safe_columns"] = O.safe_columns_sql()
     if LLM:
         out |= LLM.ORACLE_SQL
         if PIPELINE.ORACLE_SQL:

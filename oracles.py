@@ -185,11 +185,20 @@ OBS = (
     "ELSE 'API returned no day-level items' END AS extraction_errors, event_id FROM ev)")
 
 
-def safe_columns_sql(pairs) -> str:
-    cols = ", ".join(f'"{src}" AS "{safe}"' for src, (safe, _) in zip(OBS_COLUMNS, pairs))
+SAFE_NAMES = ["entity_id", "v2", "v3", "v4", "aqi", "v6", "pm2_5", "pm10", "so2", "no2", "co", "o3", "v13", "v14",
+              "extraction_errors", "event_id"]
+
+
+def safe_columns_sql() -> str:
+    cols = ", ".join(f'"{src}" AS "{safe}"' for src, safe in zip(OBS_COLUMNS, SAFE_NAMES))
     return f"WITH {OBS} SELECT {cols} FROM obs"
 
 
+def blocked(text: str) -> str:
+    phrases = ["captcha", "access denied", "forbidden", "verify you are human", "验证码", "访问被拒绝"]
+    return "(" + " OR ".join(f"contains(lower({text}), '{p}')" for p in phrases) + ")"
+
+
 ROBOTS_SQL = (
     f"WITH u AS (SELECT page_id, url, {host('url')} AS h, CASE WHEN regexp_extract(url, "
     "'^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, "
@@ -201,11 +210,20 @@ ROBOTS_SQL = (
     "SELECT u.page_id, u.url, coalesce(m.win, true) AS allowed FROM u LEFT JOIN m ON u.page_id = m.page_id")
 
 
+# What publication must hide, written for RE2.
+HIDDEN_TEXT = [
+    r"[\w.%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}",
+    r"(?i)bearer\s+[\w.~+/\-]+=*",
+    r"(?i)\b(?:api_key|api-key|apikey|access_token|access-token|accesstoken|token|password|passwd|secret)\s*[:=]\s*[^\s,;]+",
+    r"(?i)\b(?:cookie|set-cookie)\s*:\s*[^\r\n]+",
+    r"\+\d[\d ()\-]{7,}\d|\(\d{2,5}\)[ \-]?\d{3,4}[ \-]\d{3,4}\b|\b\d{3}[ \-]\d{3,4}[ \-]\d{4}\b|\b1[3-9]\d{9}\b",
+]
+
+
 def _minimize_sql() -> str:
-    from strata.operators.columns import MASKS, REDACTED
     out = "text"
-    for _, pattern in MASKS:
-        out = f"regexp_replace({out}, {lit(pattern)}, {lit(REDACTED)}, 'g')"
+    for pattern in HIDDEN_TEXT:
+        out = f"regexp_replace({out}, {lit(pattern)}, '[redacted]', 'g')"
     return f"SELECT doc_id, {out} AS text FROM documents"
 
 

@@ -99,16 +99,15 @@ def duplicates_by(df: DataFrame, key: str) -> DataFrame:
 
 
 def record_summary(df: DataFrame) -> DataFrame:
-    """AGG-1: records, fields, duplicate ids, shared-hash rows, error rows."""
-    base = df.agg(F.count(F.lit(1)).alias("records"),
-                  F.count_if(has_error(df)).alias("error_records"))
-    # three one-row results folded into one row (union + max), no join
-    parts = (base.unionByName(duplicate_entities(df), allowMissingColumns=True)
-             .unionByName(shared_hash_rows(df), allowMissingColumns=True))
-    return parts.agg(F.max("records").alias("records"), F.lit(len(df.columns)).cast("bigint").alias("fields"),
-                     F.max("duplicate_entity_ids").alias("duplicate_entity_ids"),
-                     F.max("shared_hash_rows").alias("shared_hash_rows"),
-                     F.max("error_records").alias("error_records"))
+    """AGG-1: records, fields, duplicate ids, shared-hash rows, error rows, in
+    one scan: the extra rows of a key are its non-empty values less the
+    distinct ones."""
+    keyed = df.select(has_error(df).alias("err"), *[F.nullif(first_text(df, fields), F.lit("")).alias(name)
+                                                    for name, fields in (("id", ENTITY_FIELDS), ("hash", HASH_FIELDS))])
+    extra = lambda c: (F.count(c) - F.count_distinct(F.col(c))).cast("bigint")
+    return keyed.agg(F.count(F.lit(1)).alias("records"), F.lit(len(df.columns)).cast("bigint").alias("fields"),
+                     extra("id").alias("duplicate_entity_ids"), extra("hash").alias("shared_hash_rows"),
+                     F.count_if("err").alias("error_records"))
 
 
 def status_distribution(df: DataFrame, fields: list[str] = STATUS_FIELDS) -> DataFrame:

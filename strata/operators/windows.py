@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.plans.sizing import bounded_broadcast
 from strata.functions._util import qcol
 
 
@@ -81,13 +82,15 @@ def first_seen(df: DataFrame, key, order: str, per=()) -> DataFrame:
 def latest_attempt(df: DataFrame, key: str = "source_url", ts: str = "fetched_at",
                    status: str = "status_code", error: str | None = "error") -> DataFrame:
     """WIN-2: per URL the best attempt: a success (2xx and no error) first,
-    then the newest. One ``max_by`` aggregation."""
+    then the newest, then the larger ``content_hash``. One ``max_by`` aggregation."""
     ok = qcol(status).between(200, 299)
     if error and error in df.columns:
         ok = ok & (qcol(error).isNull() | (qcol(error) == ""))
     rest = [c for c in df.columns if c != key]
-    # equal times (they are whole seconds) are settled by the rows' own values, whatever their order
-    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), qcol(ts).alias("ts"), _tiebreak(rest).alias("tie"))
+    # equal times (they are whole seconds) are settled by the content hash, then by the rows' own values
+    body = qcol("content_hash") if "content_hash" in rest else F.lit(None)
+    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), qcol(ts).alias("ts"), body.alias("body"),
+                    _tiebreak(rest).alias("tie"))
     agg = df.groupBy(qcol(key)).agg(F.max_by(F.struct(*[qcol(c) for c in rest]), rank).alias("__r"))
     return agg.select(qcol(key), *[F.col("__r")[c].alias(c) for c in rest])
 
@@ -193,3 +196,22 @@ def new_and_gone(prev: DataFrame, curr: DataFrame, key: str) -> DataFrame:
     new = c.join(p, key, "left_anti").withColumn("status", F.lit("new"))
     gone = p.join(c, key, "left_anti").withColumn("status", F.lit("gone"))
     return new.unionByName(gone)
+
+
+def wave_turnover(df: DataFrame, key: str, ts: str, grain: str = "day") -> DataFrame:
+    """SET-2 between every two consecutive waves that have rows: ``(wave,
+    key, status)``, 'new' in ``wave`` only or 'gone' since the wave before.
+    Each (key, wave) stands for itself and for the wave after it; one
+    aggregation tells which of both a key has. Waves are numbered over the
+    one-row-per-wave table."""
+    seen = df.select(qcol(key), F.date_trunc(grain, qcol(ts)).alias("wave")).filter(F.col("wave").isNotNull()).distinct()
+    w = Window.orderBy("wave")  # one row per wave
+    waves = seen.select("wave").distinct().select("wave", F.lead("wave").over(w).alias("next"), F.row_number().over(w).alias("no"))
+    rows = seen.join(bounded_broadcast(waves), "wave")
+    side = lambda wave, judged, now: F.struct(
+        F.col(wave).alias("wave"), judged.alias("judged"), F.lit(now).alias("now"), F.lit(1 - now).alias("before"))
+    sides = rows.select(qcol(key), F.explode(F.array(side("wave", F.col("no") > 1, 1), side("next", F.lit(True), 0))).alias("s"))
+    both = (sides.filter(F.col("s.wave").isNotNull() & F.col("s.judged")).groupBy(qcol(key), F.col("s.wave").alias("wave"))
+            .agg(F.max("s.now").alias("now"), F.max("s.before").alias("before")))
+    return (both.filter(F.col("now") != F.col("before"))
+            .select("wave", qcol(key), F.when(F.col("now") == 1, "new").otherwise("gone").alias("status")))

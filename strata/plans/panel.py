@@ -50,11 +50,12 @@ def assemble_panel(events: DataFrame, requested_month: str = "latest",
                    as_of: str = "2024-02-01") -> DataFrame:
     """JN-3 + AGG-11: cities -> months available per city -> chosen month
     -> that month's documents -> observations (multi-way equi join on
-    (city, month); the month choice is a per-city aggregate)."""
+    (city, month); the month choice is a per-city aggregate). A city
+    without a document for its month keeps one 'no_items' row."""
     docs = api_documents(events)
     months = docs.select("city", "month").distinct()
     chosen = latest_month(months, "city", "month", requested_month, as_of)
-    picked = docs.join(chosen, ["city", "month"], "inner")
+    picked = chosen.join(docs, ["city", "month"], "left")
     parsed = parse_api_documents(picked, "body_text")
     return observations_from_api(parsed, "doc", "city", "month", keep=["event_id"])
 
@@ -65,11 +66,13 @@ def panel_dataset(events: DataFrame, processed_dir: str, final_dir: str | None,
                   requested_month: str = "latest", as_of: str = "2024-02-01") -> tuple[DataFrame, dict]:
     """The whole city-day flow: panel -> requested columns -> localized
     names -> published in every format to the processed and final folders
-    -> audit tables. Returns the published dataset and the report tables."""
+    -> audit tables. Returns the published dataset (read from its Parquet
+    export, so the report does not compute the panel again) and the report."""
     from strata.operators.columns import localize_columns, project_columns
     from strata.plans.flows import quality_report
     from strata.sinks.writers import publish
     obs = assemble_panel(events, requested_month, as_of)
     ds = localize_columns(project_columns(obs, requested), language)
-    publish(ds, processed_dir, final_dir, list(formats), stem=stem)
-    return ds, quality_report(ds)
+    out = publish(ds, processed_dir, final_dir, list(formats), stem=stem)
+    published = events.sparkSession.read.parquet(out["parquet"]) if "parquet" in out else ds
+    return published, quality_report(published)

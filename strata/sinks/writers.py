@@ -1,15 +1,15 @@
 """Writers (SNK-1..6). Each writes one dataset with the cluster's writers;
-``publish`` computes the dataset once and writes every requested format."""
+``publish`` computes the dataset once and writes every requested format from that."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.records import redact_headers
 from strata.operators.columns import flatten_nested
+from strata.session import scratch_path
 
 FORMATS = ("jsonl", "csv", "parquet", "table")
 # ISO-8601 with microseconds and offset, so text round trips keep full precision.
@@ -52,27 +52,28 @@ def write_table(df: DataFrame, name: str = "records", path: str | None = None) -
 def publish(df: DataFrame, processed_dir: str, final_dir: str | None, formats: list[str],
             stem: str = "records", table: str | None = None) -> dict[str, str]:
     """SNK-5: several formats from one dataset, into the processed folder and
-    (when given) the final folder. The dataset is persisted once and
-    released after the writes. Unknown formats raise."""
+    (when given) the final folder. Nested values are flattened (PRJ-1) once,
+    for every format. The dataset is computed once, as Parquet (the processed
+    export, or a scratch table when Parquet is not asked for), and every other
+    export reads that table. Unknown formats raise."""
     unknown = [f for f in formats if f not in FORMATS]
     if unknown:
         raise ValueError(f"unknown export formats: {unknown}")
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out: dict[str, str] = {}
-    try:
-        targets = [("", processed_dir)] + ([("final_", final_dir)] if final_dir else [])
-        for prefix, root in targets:
-            base = f"{root.rstrip('/')}/{stem}"
-            if "jsonl" in formats:
-                out[prefix + "jsonl"] = write_jsonl(cached, base + ".jsonl")
-            if "csv" in formats:
-                out[prefix + "csv"] = write_csv(cached, base + ".csv")
-            if "parquet" in formats:
-                out[prefix + "parquet"] = write_parquet(cached, base + ".parquet")
-        if "table" in formats:
-            out["table"] = write_table(cached, table or stem, f"{processed_dir.rstrip('/')}/{stem}.table")
-    finally:
-        cached.unpersist()
+    home = f"{processed_dir.rstrip('/')}/{stem}"
+    spark = df.sparkSession
+    first = home + ".parquet" if "parquet" in formats else scratch_path(spark, "publish") + "/dataset"
+    data = spark.read.parquet(write_parquet(flatten_nested(df), first))
+    out: dict[str, str] = {"parquet": first} if "parquet" in formats else {}
+    for prefix, root in [("", processed_dir)] + ([("final_", final_dir)] if final_dir else []):
+        base = f"{root.rstrip('/')}/{stem}"
+        if "jsonl" in formats:
+            out[prefix + "jsonl"] = write_jsonl(data, base + ".jsonl")
+        if "csv" in formats:
+            out[prefix + "csv"] = write_csv(data, base + ".csv")
+        if "parquet" in formats and prefix:
+            out[prefix + "parquet"] = write_parquet(data, base + ".parquet")
+    if "table" in formats:
+        out["table"] = write_table(data, table or stem, home + ".table")
     return out
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 _CSV = {"header": True, "multiLine": True, "escape": '"', "inferSchema": False, "encoding": "UTF-8"}
 
 
-def read_records(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema=None, multiline: bool = True) -> DataFrame:
     """SRC-1: JSON Lines (blank lines skipped) or CSV (every value a string,
     a UTF-8 BOM tolerated, quoted commas / quotes / newlines kept). Any
-    other suffix is an error."""
+    other suffix is an error. A CSV file with line breaks inside quotes is one
+    task; ``multiline=False`` states that there are none, so that it is split."""
     low = path.lower().rstrip("/")
     if low.endswith(".jsonl"):
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
     if low.endswith(".csv"):
-        return spark.read.options(**_CSV).csv(path)
+        return spark.read.options(**{**_CSV, "multiLine": multiline}).csv(path)
     raise ValueError(f"Unsupported input format: {path}")
 
 

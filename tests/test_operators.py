@@ -280,3 +280,21 @@ def test_months_and_latest_month(spark):
         raise AssertionError("malformed month must fail")
     except ValueError:
         pass
+
+
+def test_panel_keeps_cities_without_documents(spark):
+    import datetime as dt
+    from strata.plans import panel as PN
+    ev = spark.createDataFrame([(1, 7, dt.datetime(2024, 1, 5), "view", 1.0, '{"k": 3}'),
+                                (2, 8, dt.datetime(2024, 2, 5), "view", 2.0, '{"k": 4}')],
+                               "event_id long, user_id long, ts timestamp, event_type string, value double, props string")
+    got = {r["城市"]: (r["数据状态"], r["extraction_errors"]) for r in PN.assemble_panel(ev, "202402").collect()}
+    assert got == {"7": ("no_items", "API returned no day-level items"), "8": ("ok", None)}
+
+
+def test_summary_counts_extra_rows(spark):
+    from strata.operators import quality as Q
+    df = spark.createDataFrame([("a", "h", None), ("a", "h", "x"), ("", "h", None), (None, None, ""), ("b", "", None)],
+                               "entity_id string, content_hash string, error string")
+    assert tuple(Q.record_summary(df).first()) == (5, 3, 1, 2, 1)
+    assert tuple(Q.record_summary(df.limit(0)).first()) == (0, 3, 0, 0, 0)

@@ -73,3 +73,32 @@ def test_read_archive_joins_bodies_and_sidecars(spark):
     for stem, body in bodies.items():
         assert bytes(rows[stem].body) == body and rows[stem].status_code == 200
         assert rows[stem].content_hash == hashlib.sha256(body).hexdigest()
+
+
+def test_csv_without_line_breaks_is_split(spark):
+    from strata.sinks import writers as SK
+    from strata.sources import files as SRC
+    from strata.session import scratch_path
+    path = SK.write_csv(spark.range(20_000).selectExpr("id", "concat('a, \"', id, '\"') t").coalesce(1),
+                        scratch_path(spark, "csv") + "/r.csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        parts = [SRC.read_records(spark, path, multiline=m) for m in (True, False)]
+        assert parts[0].rdd.getNumPartitions() == 1 and parts[1].rdd.getNumPartitions() > 2
+        assert sorted(parts[1].collect()) == sorted(parts[0].collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_publish_flattens_every_format(spark):
+    from strata.sinks import writers as SK
+    from strata.session import scratch_path
+    df = spark.createDataFrame([(1, ["a", "b"], (1, None))], "k int, l array<string>, s struct<x:int,y:string>")
+    root = scratch_path(spark, "publish")
+    out = SK.publish(df, root + "/p", root + "/f", ["jsonl", "csv"])
+    assert sorted(out) == ["csv", "final_csv", "final_jsonl", "jsonl"]
+    want = ("1", '["a","b"]', '{"x":1,"y":null}')
+    for p in (out["final_jsonl"], out["final_csv"]):
+        row = (spark.read.json(p) if "json" in p else spark.read.option("header", True).option("escape", '"').csv(p)).first()
+        assert (str(row["k"]), row["l"], row["s"]) == want
