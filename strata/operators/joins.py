@@ -1,7 +1,7 @@
 """Relations between requests, archives, listings, panels and rules (JN-*).
 
-Bodies never cross a shuffle: archives are projected to metadata (and
-already-extracted fields) before any join. Dimension-like sides (rules,
+Archives are projected to metadata (and already-extracted fields) before
+any join. Dimension-like sides (rules,
 canonical names) are broadcast only behind a row-count bound.
 """
 
