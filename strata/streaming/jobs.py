@@ -10,10 +10,12 @@ trigger.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from strata.functions._util import qcol
 
+# The stateful runner starts before shipped files are on its path, so what
+# this module defines travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stream_archive(spark: SparkSession, source: str, schema: T.StructType, sink: str, checkpoint: str,
                    fmt: str = "parquet", ts: str | None = None, partition_by: list[str] | None = None,

@@ -79,3 +79,13 @@ def test_late_rows_change_nothing(spark):
             out = _drain(spark, S.stream_changes(spark.readStream.schema(SCHEMA).parquet(src_dir), "url", "ts", "h"), sink, ck)
     assert sorted((r.entity, r.ts.hour, r.change) for r in out.collect()) == [("u", 5, "new"), ("v", 1, "new")]
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
+
+
+def test_change_detector_loads_without_the_package(tmp_path):
+    import subprocess
+    import sys
+    from pyspark import cloudpickle
+    file = tmp_path / "detector.pkl"
+    file.write_bytes(cloudpickle.dumps(S.ChangeDetector(None)))
+    code = f"import pickle, sys; d = pickle.load(open({str(file)!r}, 'rb')); assert d.ttl_ms is None and 'strata' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
