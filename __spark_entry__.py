@@ -486,7 +486,7 @@ def _month_events(spark, d):
 
 
 @reg("panel_explicit_month", f"WITH {MONTHS_OBS} SELECT * FROM obs WHERE \"月份\" = '202402' UNION ALL "
-     "SELECT 'aqistudy:' || city || ':202402:no_data', city, '202402', '', '', '', '', '', '', '', '', '', '', "
+     "SELECT 'city-api:' || city || ':202402:no_data', city, '202402', '', '', '', '', '', '', '', '', '', '', "
      "'no_items', 'API returned no day-level items', NULL FROM (SELECT DISTINCT city FROM ev EXCEPT "
      "SELECT city FROM ev WHERE month = '202402')")
 def _panel_explicit_month(spark, d):  # JN-3 with a month that many cities lack

@@ -176,7 +176,7 @@ OBS = (
     "ev AS (SELECT event_id, event_type, CAST(user_id AS VARCHAR) AS city, strftime(ts, '%Y%m') AS month, "
     "strftime(ts, '%Y-%m-%d') AS tp, json_extract_string(props, '$.k') AS aqi, CAST(value AS VARCHAR) AS pm25, "
     "CAST(user_id AS VARCHAR) AS rnk, event_type NOT IN ('error', 'signup') AS ok FROM events), "
-    "obs AS (SELECT CASE WHEN ok THEN 'aqistudy:' || city || ':' || tp ELSE 'aqistudy:' || city || ':' || month "
+    "obs AS (SELECT CASE WHEN ok THEN 'city-api:' || city || ':' || tp ELSE 'city-api:' || city || ':' || month "
     "|| ':no_data' END AS entity_id, city AS \"城市\", month AS \"月份\", CASE WHEN ok THEN tp ELSE '' END AS \"日期\", "
     "CASE WHEN ok THEN coalesce(aqi, '') ELSE '' END AS \"AQI\", CASE WHEN ok THEN event_type ELSE '' END AS "
     "\"质量等级\", CASE WHEN ok THEN pm25 ELSE '' END AS \"PM2.5\", '' AS \"PM10\", '' AS \"SO2\", '' AS \"NO2\", "

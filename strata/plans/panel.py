@@ -17,6 +17,7 @@ from strata.operators.quality import latest_month
 from strata.sources.api import observations_from_api, parse_api_documents
 
 UPSTREAM_ERROR = "upstream error"
+SOURCE = "city-api"  # first part of the entity ids
 
 
 def api_documents(events: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def api_documents(events: DataFrame) -> DataFrame:
 def api_observations(events: DataFrame) -> DataFrame:
     """SRC-5 + EXT-7 over every derived document."""
     docs = parse_api_documents(api_documents(events), "body_text")
-    return observations_from_api(docs, "doc", "city", "month", keep=["event_id"])
+    return observations_from_api(docs, "doc", "city", "month", SOURCE, keep=["event_id"])
 
 
 def assemble_panel(events: DataFrame, requested_month: str = "latest",
@@ -57,7 +58,7 @@ def assemble_panel(events: DataFrame, requested_month: str = "latest",
     chosen = latest_month(months, "city", "month", requested_month, as_of)
     picked = chosen.join(docs, ["city", "month"], "left")
     parsed = parse_api_documents(picked, "body_text")
-    return observations_from_api(parsed, "doc", "city", "month", keep=["event_id"])
+    return observations_from_api(parsed, "doc", "city", "month", SOURCE, keep=["event_id"])
 
 
 def panel_dataset(events: DataFrame, processed_dir: str, final_dir: str | None,

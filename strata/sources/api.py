@@ -32,7 +32,7 @@ def parse_api_documents(df: DataFrame, json_col: str, out: str = "doc") -> DataF
 
 
 def observations_from_api(docs: DataFrame, doc: str, city: str, month: str,
-                          source: str = "aqistudy", keep: list[str] | None = None) -> DataFrame:
+                          source: str, keep: list[str] | None = None) -> DataFrame:
     """EXT-7: one row per item when ``success`` is true and the item list is
     non-empty (status 'ok'); otherwise exactly one placeholder row with blank
     measures, status 'no_items' and ``extraction_errors`` = errmsg or a

@@ -66,11 +66,11 @@ def test_api_documents_edge_cases(spark):
         ('{"success": false, "errmsg": "denied"}',),
     ]
     df = spark.createDataFrame([(i, d, "bj", "202401") for i, (d,) in enumerate(docs)], "i int, j string, city string, month string")
-    out = observations_from_api(parse_api_documents(df, "j"), "doc", "city", "month", keep=["i"]).orderBy("i").collect()
+    out = observations_from_api(parse_api_documents(df, "j"), "doc", "city", "month", "city-api", keep=["i"]).orderBy("i").collect()
     assert len(out) == 7  # one item row + six placeholders
-    assert out[0]["数据状态"] == "ok" and out[0]["AQI"] == "50" and out[0]["entity_id"] == "aqistudy:bj:2024-01-01"
+    assert out[0]["数据状态"] == "ok" and out[0]["AQI"] == "50" and out[0]["entity_id"] == "city-api:bj:2024-01-01"
     assert all(r["数据状态"] == "no_items" for r in out[1:])
-    assert out[6]["extraction_errors"] == "denied" and out[1]["entity_id"] == "aqistudy:bj:202401:no_data"
+    assert out[6]["extraction_errors"] == "denied" and out[1]["entity_id"] == "city-api:bj:202401:no_data"
 
 
 def test_safe_names_rules():
