@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strata.llm.arrays import blocks, text_of
@@ -43,8 +43,11 @@ def shingle_hashes(text: str, k: int = SHINGLE) -> list[int]:
     return [digest(join(w), SEED) for w in zip(*(words[i:] for i in range(k)), strict=False)]
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: a bit is set if it is set in over half the hashes."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp)``: a bit is set if it is set in over half the hashes.
+    With ``digest`` also ``sha``, the text's."""
+    names = ["doc_id", "sha", "fp"] if digest else ["doc_id", "fp"]
+
     def work(batches):
         for batch in batches:
             texts, ids = text_of(batch), batch.column("doc_id")
@@ -59,10 +62,16 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                     at = np.concatenate([[0], np.cumsum(n[some])[:-1]])
                     votes = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
                     out[some] = np.packbits(votes * 2 > n[some][:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(out.view(np.int64))],
-                                                 names=["doc_id", "fp"])
+                sha = [batch.column("sha").slice(a, b - a)] if digest else []
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), *sha, pa.array(out.view(np.int64))], names=names)
+
+    more = [_sha("text").alias("sha")] if digest else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *more).mapInArrow(
+        work, "doc_id long, " + "sha binary, " * digest + "fp long")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "doc_id long, fp long")
+def _sha(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256))
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -91,9 +100,10 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE,
-                    segments: int = SEGMENTS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs``."""
-    rows = materialize(fingerprints(docs, shingle), "fingerprints")
+                    segments: int = SEGMENTS, digest: bool = False) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row of ``docs``, with ``digest``
+    also ``sha``."""
+    rows = materialize(fingerprints(docs, shingle, digest), "fingerprints")
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     joined = components(links(prints, distance, segments))
     member = prints.join(joined, prints["fp"] == joined["node"], "left") \
@@ -101,14 +111,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     member = materialize(member, "members")
     names = member.groupBy("component").agg(F.min("first").alias("component_id"))
     names = member.join(names, "component").select("fp", "component_id")
-    return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(names, "fp").select(*rows.columns, "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that name their component:
-    one document of each group. Rows that share a ``doc_id`` are one document.
-    Only the ids of rows that go are joined back."""
-    rows = near_duplicates(docs, shingle, distance, segments)
+    one document of each group. Rows that share a ``doc_id`` and a group are one
+    document. Only the ids and text digests of rows that go are joined back:
+    an id alone may stand for other texts, in groups of their own."""
+    rows = near_duplicates(docs, shingle, distance, segments, digest=True)
     gone = rows.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))) \
-        .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__gone")).distinct()
-    return docs.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__gone"), "left_anti")
+        .select(F.col("doc_id").alias("__gone"), F.col("sha").alias("__sha")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (_sha("text") == gone["__sha"])
+    return docs.join(gone, same, "left_anti")
