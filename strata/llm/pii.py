@@ -45,9 +45,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NOT_DIGIT = re.compile("[^0-9]+")
 
-#: Stretches that may be personal data; at most so many digits matter.
-_STRETCH = re.compile(r"[A-Za-z0-9._%+-]{0,64}\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]{1,64}(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]{1,64}){0,8}"
-                      r"|(?:\+|\b00)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,23}")
+#: Stretches that may be personal data: a name, a mark and a domain of any
+#: length, or digits, of which no kind has more than 19.
+_MARKS = ("@", "(at)", "[at]")
+_MAIL = re.compile(r"\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)[A-Za-z0-9-]+)*")
+_NUMBER = re.compile(r"(?:\+|\b00)?\(?[0-9](?:[\x20().-]{0,2}[0-9]){5,23}")
 
 Span = tuple[int, int, int]  # start, end, kind
 
@@ -80,6 +82,31 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Leftmost stretches, none over another; at one start mail goes first."""
+    out, done = [], 0
+    mail = _MAIL.search(text) if any(m in text for m in _MARKS) else None
+    number, name = _NUMBER.search(text), -1
+    while mail or number:
+        if mail and name < 0:  # back from the mark, once
+            name = mail.start()
+            while name > done and text[name - 1] in _LOCAL:
+                name -= 1
+        if mail and (not number or max(name, done) <= number.start()):
+            out.append((max(name, done), mail.end()))
+            done, name = mail.end(), -1
+            mail = _MAIL.search(text, done)
+            if number and number.start() < done:
+                number = _NUMBER.search(text, done)
+        else:
+            out.append(number.span())
+            done = number.end()
+            if mail and mail.start() < done:
+                mail, name = _MAIL.search(text, done), -1
+            number = _NUMBER.search(text, done)
+    return out
+
+
 def base_spans(text: str) -> list[Span]:
     """All spans of the patterns, by start, then kind."""
     out = [(a, b, 0) for a, b in _emails(text)] if "@" in text else []
@@ -144,8 +171,7 @@ def nodes_of(text: str, base: list[Span]) -> tuple[list[Span], list[int]]:
     out = [(a, b, k + 1) for a, b, k in base]
     taken = sorted((a, b) for a, b, _ in base)
     i = 0
-    for m in _STRETCH.finditer(text):
-        a, b = m.start(), m.end()
+    for a, b in _stretches(text):
         while i < len(taken) and taken[i][1] <= a:
             i += 1
         if not any(x < b and a < y for x, y in taken[i:i + 2]):
@@ -187,7 +213,7 @@ def gather(docs: DataFrame) -> DataFrame:
             counts: dict[tuple, int] = {}
             texts = text_of(batch)
             for text in (t for a, b in blocks(texts) for t in texts.slice(a, b - a).to_pylist()):
-                if not _DIGIT.search(text) and "@" not in text:
+                if not _DIGIT.search(text) and not any(m in text for m in _MARKS):
                     continue
                 nodes, labels = nodes_of(text, base_spans(text))
                 chain, skip = edges_of(text, nodes)
@@ -298,7 +324,7 @@ def find(docs: DataFrame, field: Field) -> DataFrame:
                 rows = []
                 for t in texts.slice(a, b - a).to_pylist():
                     base = base_spans(t)
-                    new = added_spans(t, base, field) if base else []
+                    new = added_spans(t, base, field)
                     rows.append((*(sum(s[2] == k for s in base) for k in range(len(KINDS))),
                                  hashlib.sha256(show(base).encode()).hexdigest(), show(base + new), len(new)))
                 kinds = [pa.int64()] * len(KINDS) + [pa.string()] * 2 + [pa.int64()]
@@ -318,10 +344,11 @@ def mask(docs: DataFrame, field: Field) -> DataFrame:
 
     def hide(t: str | None) -> str | None:
         base = base_spans(t) if t else []
-        if not base:
+        spans = base + added_spans(t, base, field) if t else []
+        if not spans:
             return t
         out, at = [], 0
-        for a, b, k in sorted(base + added_spans(t, base, field), key=lambda s: (s[0], -s[1], s[2])):
+        for a, b, k in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
             if a >= at:
                 out += [t[at:a], f"[{KINDS[k].upper()}]"]
             at = max(at, b)
