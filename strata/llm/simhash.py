@@ -31,6 +31,8 @@ from strata.llm.graph import components
 from strata.session import materialize
 
 SHINGLE, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
+#: Bytes of text at a time: the votes take up to 8 bytes a bit of every hash.
+BLOCK = 1 << 19
 
 
 def shingle_hashes(text: str, k: int = SHINGLE) -> list[int]:
@@ -51,7 +53,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, digest: bool = False)
     def work(batches):
         for batch in batches:
             texts, ids = text_of(batch), batch.column("doc_id")
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, BLOCK):
                 each = [shingle_hashes(t, shingle) for t in texts.slice(a, b - a).to_pylist()]
                 n = np.array([len(x) for x in each], np.int64)
                 out = np.zeros(b - a, np.uint64)
