@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, chunks, lbl, packing, pii, quality, simhash, substrings, token_files, warc
+from strata.llm import bpe, chunks, lbl, packing, pii, quality, search, simhash, substrings, token_files, warc
 from strata.session import scratch_path
 
 
@@ -70,9 +70,14 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(_documents(spark, sf_dir))
 
 
+def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_skip_chain_crf, op3_content_chunks, op4_tree_bpe, op5_rans_files, op6_level_doubling,
-    op7_ngram_quality, op8_multi_index_hashing, op9_content_addressed, op10_log_bilinear)}
+    op7_ngram_quality, op8_multi_index_hashing, op9_content_addressed, op10_log_bilinear,
+    op13_limited_accumulators)}
 
 _OP6_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -99,6 +104,23 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, digest AS payload_di
        CASE WHEN page_id < newest THEN newest END AS refers_to
 FROM m"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_OP13_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+dn AS (SELECT doc_id, ts, len(ts) AS n FROM d WHERE len(ts) > 0),
+tot AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM dn),
+post AS (SELECT doc_id, n, t AS term, count(*) AS tf FROM dn, unnest(ts) u(t) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+q AS (SELECT item_id, t AS term, count(*) AS qtf FROM (SELECT item_id, {_TERMS} AS ts FROM benchmark), unnest(ts) u(t) GROUP BY ALL),
+w AS (SELECT item_id, term, qtf * CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+      FROM q JOIN dfs USING (term), tot),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+      FROM w JOIN post USING (term), tot GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 20"""
+
 #: The others need a tokenizer, XXH64 or a trained model, which SQL lacks;
 #: tests/llm holds them against brute force.
-ORACLE_SQL = {"op6_level_doubling": _OP6_SQL, "op9_content_addressed": _OP9_SQL}
+ORACLE_SQL = {"op6_level_doubling": _OP6_SQL, "op9_content_addressed": _OP9_SQL,
+              "op13_limited_accumulators": _OP13_SQL}
