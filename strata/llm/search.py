@@ -45,7 +45,7 @@ from strata.session import materialize
 
 TOP = 20
 #: An item's terms, rarest first, are dealt to rounds that end at these ranks.
-ROUNDS = (4, 8, 16, 32, 64)
+ROUNDS = (6, 12, 18, 24, 32, 64)
 MAX_PAIRS = 200_000
 
 _INSIDE = np.zeros(256, bool)
