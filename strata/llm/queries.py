@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import bpe, chunks, lbl, packing, phrases, pii, quality, search, simhash, substrings, token_files, warc
+from strata.llm import bpe, chunks, lbl, packing, phrases, pii, quality, search, sharding, simhash, substrings, token_files, warc
 from strata.session import scratch_path
 
 
@@ -70,6 +70,19 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(_documents(spark, sf_dir))
 
 
+#: The old layout of op11 and its new number of shards.
+OLD_SHARDS, NEW_SHARDS = 16, 24
+
+
+def op11_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _documents(spark, sf_dir), scratch_path(spark, "shards")
+    old = sharding.table(spark, sharding.write_shards(docs, f"{path}/old", OLD_SHARDS, F.xxhash64("doc_id")), docs)
+    folders, _ = sharding.reshard(old, NEW_SHARDS, f"{path}/moved")
+    return sharding.resharded(old, folders, sharding.table(spark, f"{path}/moved", docs)).select(
+        F.col("row.doc_id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op12_suffix_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_documents(spark, sf_dir))
 
@@ -81,7 +94,7 @@ def op13_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_best_fit_packing, op2_skip_chain_crf, op3_content_chunks, op4_tree_bpe, op5_rans_files, op6_level_doubling,
     op7_ngram_quality, op8_multi_index_hashing, op9_content_addressed, op10_log_bilinear,
-    op12_suffix_quicksort, op13_limited_accumulators)}
+    op11_flow_resharding, op12_suffix_quicksort, op13_limited_accumulators)}
 
 _OP6_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
