@@ -287,8 +287,9 @@ def sort(routed: DataFrame, hot: dict[int, list[tuple]], least: int) -> DataFram
             for d in range(1, DEPTH + 1):
                 starts, ends = three_way(cols[d - 1], starts, ends, order, weight, flags[d], least)
                 mass = np.concatenate([[0], np.cumsum(weight[order])])
+                kept = np.concatenate([[0], np.cumsum(flags[d][order])])
                 first = order[starts]
-                use = (cols[d - 1][first] > 0) & ((mass[ends] - mass[starts] >= least) | flags[d][first])
+                use = (cols[d - 1][first] > 0) & ((mass[ends] - mass[starts] >= least) | (kept[ends] > kept[starts]))
                 starts, ends, first = starts[use], ends[use], first[use]
                 if d > 1 and len(starts):
                     yield pa.RecordBatch.from_arrays(

@@ -19,6 +19,10 @@ def edge_dir(tmp_path_factory, spark):
              (None, "http://e", "<p>x</p>"), (5, "http://f", "only"), (5, "http://f", "only"), (None, None, "alone é")]
     spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr(
         "*", "1 as strong", "2 as key", "'k' as payload").write.parquet(f"file://{d}/pages.parquet")
+    items = [(1, f"{brute.PASSAGE} nobody"), (2, None), (3, ""), (None, "the éà 漢字 STRASSE idiot"), (4, "two words"),
+             (4, "two words"), (4, "one and the same"), (5, "🙂 x" + " xx" * 3000)]
+    spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as q", "2 as row", "'t' as term") \
+        .write.parquet(f"file://{d}/benchmark.parquet")
     return str(d)
 
 
@@ -28,6 +32,7 @@ def empty_dir(tmp_path_factory, spark):
     spark.createDataFrame([], brute.DOCS).write.parquet(f"file://{d}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality long, toxic long").write.parquet(f"file://{d}/labels.parquet")
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"file://{d}/pages.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"file://{d}/benchmark.parquet")
     return str(d)
 
 
