@@ -49,3 +49,13 @@ def redact_headers(headers) -> Column:
     return F.transform_values(
         col_of(headers),
         lambda k, v: F.when(F.lower(k).isin(SENSITIVE_HEADERS), F.lit(REDACTED)).otherwise(v))
+
+
+def archive_row_id(columns: list[str], body: str = "body") -> Column:
+    """SHA-256 of a row's metadata (URL, fetch time, path and all other
+    ``columns``) and of its body: never null, and equal for equal rows alone,
+    so that extractions can be keyed by it where paths are missing or shared.
+    A null value and a missing body differ from empty ones."""
+    meta = F.to_json(F.struct(*[col_of(f"`{c}`") for c in columns if c != body]), {"ignoreNullFields": "false"})
+    own = F.coalesce(F.sha2(F.col(f"`{body}`"), 256), F.lit("no body")) if body in columns else F.lit("")
+    return F.sha2(F.concat(meta, F.lit("\n"), own), 256)

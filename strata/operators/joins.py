@@ -33,8 +33,7 @@ def _records_or_failures(req: DataFrame, records: DataFrame, key: str) -> DataFr
     """One left outer join: matched rows are records (``row_kind`` 0), the
     rest failure rows (``row_kind`` 1, ``error``). The request side is
     computed once, not once per branch of a union."""
-    if "status_code" in records.columns and "fetched_at" in records.columns:
-        records = latest_attempt(records, key)  # one record a URL, whatever the number of attempts
+    records = latest_attempt(records, key)  # one record a URL, whatever the archive's columns and attempts
     rec = records.withColumn("__found", F.lit(True))
     j = req.join(rec, key, "left")
     missing = F.col("__found").isNull()

@@ -82,15 +82,21 @@ def first_seen(df: DataFrame, key, order: str, per=()) -> DataFrame:
 def latest_attempt(df: DataFrame, key: str = "source_url", ts: str = "fetched_at",
                    status: str = "status_code", error: str | None = "error") -> DataFrame:
     """WIN-2: per URL the best attempt: a success (2xx and no error) first,
-    then the newest, then the larger ``content_hash``. One ``max_by`` aggregation."""
-    ok = qcol(status).between(200, 299)
-    if error and error in df.columns:
+    then the newest, then the larger ``content_hash``. One ``max_by`` aggregation.
+    Of ``status``, ``ts``, ``error`` and ``content_hash`` those that ``df`` has
+    count; the rows' own values settle what is left, so one row a URL remains
+    whatever the columns."""
+    have = lambda c: c is not None and c in df.columns
+    ok = qcol(status).between(200, 299) if have(status) else F.lit(True)
+    if have(error):
         ok = ok & (qcol(error).isNull() | (qcol(error) == ""))
     rest = [c for c in df.columns if c != key]
     # equal times (they are whole seconds) are settled by the content hash, then by the rows' own values
-    body = qcol("content_hash") if "content_hash" in rest else F.lit(None)
-    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), qcol(ts).alias("ts"), body.alias("body"),
+    value = lambda c: qcol(c) if have(c) and c != key else F.lit(None).cast("string")
+    rank = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), value(ts).alias("ts"), value("content_hash").alias("body"),
                     _tiebreak(rest).alias("tie"))
+    if not rest:
+        return df.select(qcol(key)).distinct()
     agg = df.groupBy(qcol(key)).agg(F.max_by(F.struct(*[qcol(c) for c in rest]), rank).alias("__r"))
     return agg.select(qcol(key), *[F.col("__r")[c].alias(c) for c in rest])
 
