@@ -11,6 +11,7 @@ from strata.functions._util import col_of, qcol
 from strata.functions.text import collapse_ws
 from strata.functions.urls import url_host
 from strata.plans.sizing import bounded_broadcast
+from strata.session import materialize
 
 # Phrases that mark a blocked / challenge page (case-insensitive).
 BLOCK_PHRASES = ["captcha", "access denied", "forbidden", "verify you are human", "验证码", "访问被拒绝"]
@@ -119,28 +120,55 @@ def flag_text(df: DataFrame, key: str, group: str, title: str | None, text: str,
                     .alias("boilerplate_only")))
 
 
+#: A wanted rank's range of values is cut into this many at each step.
+CUTS = 256
+#: A range of so few distinct values is not cut any more.
+FEW = 1 << 16
+_LARGEST = 1.7976931348623157e308
+
+
 def exact_quantiles(df: DataFrame, value: str, group: str, shares: dict[str, float]) -> DataFrame:
     """``(__cat, __n, *shares)``: per group the smallest value that at least
-    the share of its non-null values does not exceed, at every size. Values are
-    counted first, so repeated ones meet map-side; ranks are running sums
-    within ranges of values, which one small table carries across."""
-    counts = (df.select(qcol(group).alias("__cat"), qcol(value).alias("__v")).filter(F.col("__v").isNotNull())
-              .groupBy("__cat", "__v").agg(F.count(F.lit(1)).alias("__c")))
-    span = counts.groupBy("__cat").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    width = (F.col("__hi") - F.col("__lo")).cast("double")
-    place = F.when(width > 0, F.floor((F.col("__v") - F.col("__lo")).cast("double") / width * 256)).otherwise(0).cast("int")
-    placed = counts.join(bounded_broadcast(span.withColumnRenamed("__cat", "__g")), F.col("__cat").eqNullSafe(F.col("__g"))) \
-        .drop("__g").withColumn("__b", place)
-    ranges = placed.groupBy("__cat", "__b").agg(F.sum("__c").alias("__s"))
-    before = ranges.select(F.col("__cat").alias("__g"), F.col("__b").alias("__k"), F.coalesce(F.sum("__s").over(
-        Window.partitionBy("__cat").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.sum("__c").over(Window.partitionBy("__cat", "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = (placed.withColumn("__in", inside)
-              .join(before, F.col("__cat").eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__k")))
-              .withColumn("__rank", F.col("__before") + F.col("__in")))
-    return ranked.groupBy("__cat").agg(F.max("__n").alias("__n"), *[
-        F.min(F.when(F.col("__rank") >= F.ceil(F.col("__n") * share), F.col("__v"))).alias(name)
-        for name, share in shares.items()])
+    the share of its non-null values does not exceed, at every size.
+
+    Selection by refinement: values are counted once (repeated ones meet
+    map-side) and the counts written. For each group and share, the range that
+    holds the wanted rank is cut into ``CUTS`` equal parts, the parts are
+    counted, and the part with the rank is the next range, until it holds at
+    most ``FEW`` distinct values, whose running counts then give the value. A
+    step moves at most ``CUTS`` partial counts a group, share and task, and
+    values far out, which make the other parts empty, only cost a step. Values
+    are doubles in the cuts alone, so the result is a value of ``df``."""
+    counts = materialize(
+        df.select(qcol(group).alias("__cat"), qcol(value).alias("__v")).filter(F.col("__v").isNotNull())
+        .groupBy("__cat", "__v").agg(F.count(F.lit(1)).alias("__c")), "value-counts")
+    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("__share"), F.lit(share).alias("__q")) for name, share in shares.items()]))
+    same = lambda a, b: F.col(f"{a}.__cat").eqNullSafe(F.col(f"{b}.__cat"))
+    state = counts.groupBy("__cat").agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"),
+                                          F.count("*").alias("__d")) \
+        .select("*", wanted.alias("__w")).select("__cat", "__n", "__w.__share", F.ceil(F.col("__n") * F.col("__w.__q")).alias("__rank"),
+                                               F.lit(0).cast("long").alias("__before"), "__lo", "__hi", "__d")
+    state = materialize(state, "ranges")
+    inside = lambda: counts.alias("c").join(bounded_broadcast(state).alias("s"), same("c", "s") & F.col(
+        "c.__v").between(F.col("s.__lo"), F.col("s.__hi")))
+    while not state.where(F.col("__d") > FEW).isEmpty():
+        v = F.col("c.__v").cast("double")
+        # halves, so that no difference overflows; what is not finite has parts of its own
+        lo, hi, at = (F.greatest(F.least(F.col(c).cast("double"), F.lit(_LARGEST)), F.lit(-_LARGEST)) / 2 for c in ("s.__lo", "s.__hi", "c.__v"))
+        part = F.when(F.col("s.__d") <= FEW, 0).when(F.isnan(v), CUTS + 1).when(v > _LARGEST, CUTS).when(v < -_LARGEST, -1).when(
+            lo >= hi, (F.col("c.__v") > F.col("s.__lo")).cast("int")).otherwise(
+            F.least(F.floor((at - lo) / F.nullif(hi - lo, F.lit(0.0)) * CUTS), F.lit(CUTS - 1))).cast("int")
+        parts = inside().groupBy("s.__cat", "s.__n", "s.__share", "s.__rank", "s.__before", part.alias("__part")).agg(
+            F.sum("c.__c").alias("__c"), F.min("c.__v").alias("__lo"), F.max("c.__v").alias("__hi"), F.count("*").alias("__d"))
+        upto = F.sum("__c").over(Window.partitionBy("__cat", "__share").orderBy("__part"))
+        parts = parts.withColumn("__upto", F.col("__before") + upto).where(
+            (F.col("__upto") >= F.col("__rank")) & (F.col("__upto") - F.col("__c") < F.col("__rank")))
+        state = materialize(parts.select("__cat", "__n", "__share", "__rank", (F.col("__upto") - F.col("__c")).alias("__before"),
+                                         "__lo", "__hi", "__d"), "ranges")
+    upto = F.col("s.__before") + F.sum("c.__c").over(Window.partitionBy("s.__cat", "s.__share").orderBy("c.__v"))
+    last = inside().select("s.__cat", "s.__n", "s.__share", "s.__rank", "c.__v", upto.alias("__upto")).where("__upto >= __rank")
+    return last.groupBy("__cat").agg(F.max("__n").alias("__n"), *[
+        F.min(F.when(F.col("__share") == name, F.col("__v"))).alias(name) for name in shares])
 
 
 def flag_price(df: DataFrame, amount: str, category: str, k: float = 3.0, min_rows: int = 1) -> DataFrame:
