@@ -7,9 +7,12 @@ be wrong (a merge, a word end or a pattern may reach over it), so a window
 around the cut is encoded anew. Where the window's tokens agree with the left
 side's and, further on, with the right side's (same ids at the same
 characters, two in a row), it is spliced in; until both agree it grows
-twofold, at worst to the whole of both sides. Neighbouring tokens that a BPE
-encoding put side by side stay so in any longer text, which makes the splice
-exact.
+twofold, at worst to the whole of both sides. A window's edges are moved
+outward to places that no composed character, run of combining marks or
+special token reaches over, and a side's tokens count only up to such a place
+before (or after) the cut: the normaliser reorders marks over any distance.
+Between such places neighbouring tokens that a BPE encoding put side by side
+stay so in any longer text, which makes the splice exact.
 
 Edge cases: a null text counts as empty and has no ids; a null ``doc_id``,
 repeated rows and rows that share a ``doc_id`` come out once each; an empty
@@ -19,6 +22,8 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -60,6 +65,39 @@ def unpack_tokens(ids: bytes, spans: bytes) -> Tokens:
     return Tokens(np.frombuffer(ids, "<u4").astype(np.int64), end - size, end)
 
 
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that may compose with one before them: the second of any
+    canonical pair, and the vowels and finals of Hangul."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(found | {chr(c) for c in [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]})
+
+
+def _stable(text: str, p: int, specials: tuple[str, ...]) -> bool:
+    """No normalisation and no special token reaches over place ``p``: what is
+    on either side there is the same with and without the other side."""
+    if not 0 < p < len(text):
+        return True
+    c = text[p]
+    if c > "\x7f" and (unicodedata.combining(c) or c in _seconds() or not unicodedata.is_normalized("NFC", c)
+                       or unicodedata.combining(unicodedata.normalize("NFD", c)[0])):
+        return False
+    for s in specials:
+        i = text.find(s, max(0, p - len(s) + 1), p + len(s) - 1)
+        while 0 <= i < p:
+            if p < i + len(s):
+                return False
+            i = text.find(s, i + 1, p + len(s) - 1)
+    return True
+
+
+def _outward(text: str, p: int, step: int, specials: tuple[str, ...]) -> int:
+    while not _stable(text, p, specials):
+        p += step
+    return p
+
+
 def _meet(side: Tokens, window: Tokens, low: int, high: int, from_end: bool) -> tuple[int, int] | None:
     """Two tokens in a row that both have, within characters low..high:
     (index in side, index in window)."""
@@ -79,15 +117,19 @@ def _meet(side: Tokens, window: Tokens, low: int, high: int, from_end: bool) ->
 def concatenate(enc: Encoder, text: str, cut: int, left: Tokens, right: Tokens, window: int = WINDOW) -> Tokens:
     """The tokens of ``text`` from those of ``text[:cut]`` and ``text[cut:]``."""
     right = Tokens(right.ids, right.begin + cut, right.end + cut)
+    specials = tuple(t.content for t in enc.tok.get_added_tokens_decoder().values())
+    # a side's own tokens hold up to here only: beyond, the other side may change its characters
+    before, after = _outward(text, cut, -1, specials), _outward(text, cut, 1, specials)
     while True:
-        a, b = max(0, cut - window), min(len(text), cut + window)
+        a = _outward(text, max(0, min(before, cut - window)), -1, specials)
+        b = _outward(text, min(len(text), max(after, cut + window)), 1, specials)
         mid = tokens_of(enc, text[a:b])
         mid = Tokens(mid.ids, mid.begin + a, mid.end + a)
         if a == 0 and b == len(text):
             return mid
         # the first tokens of a window may be wrong, so those further in decide
-        head = (0, 0) if a == 0 else _meet(left, mid, a, cut, from_end=False)
-        tail = (len(right.ids), len(mid.ids)) if b == len(text) else _meet(right, mid, cut, b, from_end=True)
+        head = (0, 0) if a == 0 else _meet(left, mid, a, before, from_end=False)
+        tail = (len(right.ids), len(mid.ids)) if b == len(text) else _meet(right, mid, after, b, from_end=True)
         if head and tail and head[1] <= tail[1]:
             i, k = head
             j, m = tail
