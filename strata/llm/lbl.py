@@ -42,6 +42,8 @@ DIM, NOISE, BATCH, RATE = 16, 32, 4096, 0.05
 #: The end token's key among word keys (no word's: its suffix bits differ).
 END = -1
 HELD = 300_000
+#: Training tokens a part.
+PART = 1 << 22
 
 
 def held_out(doc_ids: list) -> np.ndarray:
@@ -243,8 +245,16 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def dealt(docs: DataFrame, tokens: int) -> DataFrame:
+    """``docs`` in parts of about ``PART`` training tokens, by a hash of id and
+    text and in an order of their own: the same rows give the same parts
+    however they were split before, and parts grow in number with the rows."""
+    h = F.xxhash64("doc_id", "text")
+    return _read(docs).repartition(max(1, -(-tokens // PART)), h).sortWithinPartitions(h, "doc_id", "text")
+
+
 def train(docs: DataFrame, cls: Classes, rounds: int = 1) -> Model:
-    model = Model(cls.n, cls.prior)
+    model, docs = Model(cls.n, cls.prior), dealt(docs, cls.tokens)
     for _ in range(rounds):
         start = model.flat()
 
@@ -266,7 +276,7 @@ def train(docs: DataFrame, cls: Classes, rounds: int = 1) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p) + 1)), pa.array(np.append(p, seen))],
                                                  names=["i", "v"])
 
-        rows = _read(docs).mapInArrow(work, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+        rows = docs.mapInArrow(work, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
         if not rows:
             break
         flat = np.zeros(len(start) + 1)
@@ -301,9 +311,9 @@ def score(docs: DataFrame) -> DataFrame:
                 lm += per_text(np.where(shared, seen - cls.size[np.clip(c - VOCABULARY, 0, SUFFIXES - 1)], 0), b.woff)
                 base = per_text(seen, b.woff) + np.log10(end_count + 1)
                 known = per_text(n > 0, b.woff) + (end_count > 0)
-                tag = np.array([xxhash.xxh32_intdigest(b.bytes_of(i)) for i in range(b.n)], np.int64)
+                tag = pa.array([xxhash.xxh3_128_digest(b.bytes_of(i)) for i in range(b.n)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(tag), pa.nulls(b.n, pa.int64()), pa.array(np.diff(b.woff) + 1), pa.array(known),
+                    [ids, tag, pa.nulls(b.n, pa.int64()), pa.array(np.diff(b.woff) + 1), pa.array(known),
                      pa.array(base), pa.array(lm)], names=names)
                 rare = np.flatnonzero(n < 0)
                 if len(rare):
@@ -315,11 +325,11 @@ def score(docs: DataFrame) -> DataFrame:
                     d, w = d[first], w[first]
                     k = len(d)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(d)), pa.array(tag[d]), pa.array(w), pa.array(many), pa.nulls(k, pa.int64()),
+                        [ids.take(pa.array(d)), tag.take(pa.array(d)), pa.array(w), pa.array(many), pa.nulls(k, pa.int64()),
                          pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64())], names=names)
 
     names = ["doc_id", "tag", "w", "n", "known", "base", "lm"]
-    parts = materialize(_read(docs).mapInArrow(work, "doc_id long, tag long, w long, n long, known long, base double, lm double"),
+    parts = materialize(_read(docs).mapInArrow(work, "doc_id long, tag binary, w long, n long, known long, base double, lm double"),
                         "score-parts")
     whole = parts.where("w is null").groupBy("doc_id", "tag").agg(
         F.count("*").alias("copies"), F.first("n").alias("n"), F.first("known").alias("known"), F.first("base").alias("base"),
