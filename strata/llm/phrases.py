@@ -44,6 +44,7 @@ LEAST, COVER, TOP, DEPTH = 30, 80, 2000, 4
 HOT = 1 / 2048
 POINTERS = 1 << 20
 BITS = 24
+PARTS = 64
 BLOCK = 1 << 23
 
 #: Fixed by the contract: what ends a piece, and what ends a word inside one.
@@ -68,7 +69,7 @@ class Words:
         self.lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[doc]
         number, self.words = numbered(block.data, starts, ends)
         self.number = number + 1
-        cuts = np.cumsum(_CUT[block.data], dtype=np.int64)[starts] if len(starts) else np.zeros(0, np.int64)
+        cuts = np.cumsum(_CUT[block.data], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int64)
         self.joined = np.zeros(len(starts), bool)
         self.joined[:-1] = (doc[1:] == doc[:-1]) & (cuts[1:] == cuts[:-1])
         self.base = len(self.words) + 1
@@ -195,70 +196,72 @@ def route(docs: DataFrame, frequent: np.ndarray, hot: dict[int, list[tuple]], pa
                 group = p * len(w.langs) + lang
                 order = np.argsort(group, kind="stable")
                 edges = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-                for s, e in zip(edges, np.append(edges[1:], len(order)), strict=True):
-                    rows = order[s:e]
-                    table = np.stack([c[rows] for c in cols])
-                    used, local = np.unique(table, return_inverse=True)
-                    if used[0] != 0:
-                        used, local = np.concatenate([[0], used]), local + 1
-                    names = w.words.take(pa.array(used[1:] - 1)).to_pylist()
-                    local = local.astype("<i4")
-                    yield pa.RecordBatch.from_pylist([{
-                        "p": int(p[rows[0]]), "lang": w.langs[int(lang[rows[0]])].as_py(), "words": names,
-                        "pointers": (local.astype("<u2") if len(used) <= 0xFFFF else local).tobytes(),
-                        "weights": weight[rows].astype("<i4").tobytes()}], schema=ROUTED)
+                packed = [_pack(w.words, [c[rows] for c in cols], weight[rows]) for rows in np.split(order, edges[1:])]
+                at = order[edges]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p[at].astype(np.int32)), w.langs.take(pa.array(lang[at])).cast(pa.string()),
+                     pa.array([len(x) for x in packed], pa.int32()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in packed], pa.binary())],
+                    names=["p", "lang", "size", "packed"])
 
     out = docs.select("lang", "text").mapInArrow(
-        work, "p int, lang string, words array<string>, pointers binary, weights binary")
+        work, "p int, lang string, size int, packed binary")
     return out.repartitionById(partitions, "p")
 
 
-ROUTED = pa.schema([("p", pa.int32()), ("lang", pa.string()), ("words", pa.list_(pa.string())),
-                    ("pointers", pa.binary()), ("weights", pa.binary())])
-
-
-def three_way(key: np.ndarray, starts: np.ndarray, ends: np.ndarray, order: np.ndarray, weight: np.ndarray,
-              kept: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts each segment ``order[start:end]`` by ``key``: partitions smaller
-    than, equal to and greater than a pivot, round by round, all segments at
-    once. Returns the edges of the equal partitions; segments that weigh under
-    ``least`` and have no pointer in ``kept`` are abandoned. ``order`` changes
-    in place."""
-    done_s, done_e = [], []
-
-    def heavy(s, e):
-        mass = np.concatenate([[0], np.cumsum(weight[order])])
-        keep = np.concatenate([[0], np.cumsum(kept[order])])
-        use = (mass[e] - mass[s] >= least) | (keep[e] > keep[s])
-        return s[use], e[use]
-
-    starts, ends = heavy(starts, ends)
-    while len(starts):
-        n = ends - starts
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        seg = np.repeat(np.arange(len(n)), n)
-        rows = order[at]
+def _pack(words: pa.Array, cols: list[np.ndarray], weight: np.ndarray) -> bytes:
+    """Pointers as numbers of their own words, column by column, the places
+    and values of weights above 1, and the words joined by spaces."""
+    used, local = np.unique(np.stack(cols), return_inverse=True)
+    if used[0] != 0:
+        used, local = np.concatenate([[0], used]), local + 1
+    blob = " ".join(words.take(pa.array(used[1:] - 1)).to_pylist()).encode()
+    more = np.flatnonzero(weight > 1)
+    head = np.array([len(used), len(weight), len(more)], "<i4").tobytes()
+    number = "<u2" if len(used) <= 0xFFFF else "<i4"
+    return b"".join([head, local.astype(number).tobytes(), more.astype("<i4").tobytes(), weight[more].astype("<i4").tobytes(), blob])
+
+
+def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the words, pointers as numbers from 1 of them, weights)"""
+    n_used, n, n_more = np.frombuffer(data, "<i4", 3).tolist()
+    number = np.dtype("<u2" if n_used <= 0xFFFF else "<i4")
+    at = 12
+    cols = np.frombuffer(data, number, DEPTH * n, at).astype(np.int64)
+    at += DEPTH * n * number.itemsize
+    weight = np.ones(n, np.int64)
+    weight[np.frombuffer(data, "<i4", n_more, at)] = np.frombuffer(data, "<i4", n_more, at + 4 * n_more)
+    words = pc.split_pattern(pa.array([data[at + 8 * n_more:].decode()], pa.large_string()), " ").flatten()
+    return words, cols.reshape(DEPTH, n), weight
+
+
+def three_way(key: np.ndarray, rows: np.ndarray, lens: np.ndarray, weight: np.ndarray,
+              kept: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts each segment of ``rows`` (of ``lens`` rows each) by ``key``: rows
+    smaller than, equal to and greater than a pivot, round by round, all
+    segments at once. Returns the equal partitions in the same form. A segment
+    that weighs under ``least`` and has no row in ``kept`` is abandoned."""
+    done_rows, done_lens = [rows[:0]], [lens[:0]]
+    while len(lens):
+        starts = np.cumsum(lens) - lens
+        use = np.add.reduceat(weight[rows], starts) >= least
+        if kept is not None:
+            use |= np.logical_or.reduceat(kept[rows], starts)
+        if not use.all():
+            rows, lens = rows[np.repeat(use, lens)], lens[use]
+            if not len(lens):
+                break
+            starts = np.cumsum(lens) - lens
         k = key[rows]
-        probe = np.sort(np.stack([key[order[starts]], key[order[(starts + ends) // 2]], key[order[ends - 1]]]), axis=0)[1]
-        pivot = probe[seg]
-        less, same = k < pivot, k == pivot
-        lo = np.concatenate([[0], np.cumsum(n)])
-        rank = []
-        for part in (less, same, ~(less | same)):
-            run = np.concatenate([[0], np.cumsum(part)])
-            rank.append((run[1:] - 1 - run[lo[:-1]][seg], run[lo[1:]] - run[lo[:-1]]))
-        n_less, n_same = rank[0][1], rank[1][1]
-        place = np.where(less, rank[0][0], np.where(same, n_less[seg] + rank[1][0], (n_less + n_same)[seg] + rank[2][0]))
-        order[starts[seg] + place] = rows
-        done_s.append(starts + n_less)
-        done_e.append(starts + n_less + n_same)
-        left_s = np.concatenate([starts, starts + n_less + n_same])
-        left_e = np.concatenate([starts + n_less, ends])
-        some = left_e > left_s
-        starts, ends = heavy(left_s[some], left_e[some])
-    if not done_s:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(done_s), np.concatenate(done_e)
+        pivot = np.sort(np.stack([k[starts], k[starts + lens // 2], k[starts + lens - 1]]), axis=0)[1]
+        seg, pivot = np.repeat(np.arange(len(lens)), lens), np.repeat(pivot, lens)
+        same, less = k == pivot, k < pivot
+        more = ~(same | less)
+        n_same, n_less, n_more = (np.bincount(seg[x], minlength=len(lens)) for x in (same, less, more))
+        done_rows.append(rows[same])
+        done_lens.append(n_same)
+        rows = np.concatenate([rows[less], rows[more]])
+        lens = np.concatenate([n_less[n_less > 0], n_more[n_more > 0]])
+    return np.concatenate(done_rows), np.concatenate(done_lens)
 
 
 def sort(routed: DataFrame, hot: dict[int, list[tuple]], least: int) -> DataFrame:
@@ -268,34 +271,36 @@ def sort(routed: DataFrame, hot: dict[int, list[tuple]], least: int) -> DataFram
     def work(batches):
         held: dict[str, list] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                held.setdefault(r["lang"], []).append((r["words"], r["pointers"], r["weights"]))
-        for lang, parts in held.items():
-            every = pa.chunked_array([pa.array(w, pa.large_string()) for w, _, _ in parts]).dictionary_encode()
-            numbers = [c.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1 for c in every.unify_dictionaries().chunks]
-            words = every.unify_dictionaries().chunks[-1].dictionary
-            tables, weights = [], []
-            for (own, pointers, weight), number in zip(parts, numbers, strict=True):
-                local = np.frombuffer(pointers, "<u2" if len(own) + 1 <= 0xFFFF else "<i4").astype(np.int64)
-                tables.append(np.concatenate([[0], number])[local].reshape(DEPTH, -1))
-                weights.append(np.frombuffer(weight, "<i4").astype(np.int64))
-            cols, weight = np.concatenate(tables, axis=1), np.concatenate(weights)
+            for lang, size, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "size", "packed")), strict=True):
+                held.setdefault(lang, []).append(_unpack(pa.decompress(packed, size, codec="zstd", asbytes=True)))
+        for lang in list(held):
+            parts = held.pop(lang)
+            every = pa.chunked_array([own for own, _, _ in parts]).dictionary_encode().unify_dictionaries()
+            words = every.chunks[-1].dictionary
+            tables = [np.concatenate([[0], c.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])[local]
+                      for c, (_, local, _) in zip(every.chunks, parts, strict=True)]
+            cols, weight = np.concatenate(tables, axis=1), np.concatenate([x for _, _, x in parts])
             code = np.zeros(cols.shape[1], np.int64)
             flags = {d: _hot(hot[d], pa.array([lang]), words, code, list(cols[:d])) for d in (2, 3)}
-            flags |= {1: flags[2], 4: np.zeros(len(code), bool)}
-            order, starts, ends = np.arange(len(code)), np.array([0]), np.array([len(code)])
+            flags = {d: f if f.any() else None for d, f in (flags | {1: flags[2]}).items()}
+            rows, lens = np.arange(len(code)), np.array([len(code)])
             for d in range(1, DEPTH + 1):
-                starts, ends = three_way(cols[d - 1], starts, ends, order, weight, flags[d], least)
-                mass = np.concatenate([[0], np.cumsum(weight[order])])
-                kept = np.concatenate([[0], np.cumsum(flags[d][order])])
-                first = order[starts]
-                use = (cols[d - 1][first] > 0) & ((mass[ends] - mass[starts] >= least) | (kept[ends] > kept[starts]))
-                starts, ends, first = starts[use], ends[use], first[use]
-                if d > 1 and len(starts):
+                kept = flags.get(d)
+                rows, lens = three_way(cols[d - 1], rows, lens, weight, kept, least)
+                if not len(lens):
+                    break
+                starts = np.cumsum(lens) - lens
+                mass = np.add.reduceat(weight[rows], starts)
+                use = mass >= least
+                if kept is not None:
+                    use |= np.logical_or.reduceat(kept[rows], starts)
+                use &= cols[d - 1][rows[starts]] > 0
+                first, mass = rows[starts[use]], mass[use]
+                rows, lens = rows[np.repeat(use, lens)], lens[use]
+                if d > 1 and len(first):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(first), pa.string()), _text(words, [c[first] for c in cols[:d]]).cast(pa.string()),
-                         pa.array(np.full(len(first), d, np.int32)), pa.array(mass[ends] - mass[starts])],
-                        names=["lang", "phrase", "depth", "c"])
+                         pa.array(np.full(len(first), d, np.int32)), pa.array(mass)], names=["lang", "phrase", "depth", "c"])
 
     return routed.mapInArrow(work, "lang string, phrase string, depth int, c long")
 
@@ -342,6 +347,10 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: i
     kept = scored.join(inner, ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | F.expr(f"100 * {wide('longer')} < {cover} * {wide('a')}"))
     order = Window.partitionBy("lang").orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
+    # a language's best are among the best of its parts, which are of bounded size
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    few = Window.partitionBy("lang", salt).orderBy(F.col("cut.score").desc(), F.col("a").desc(), "phrase")
+    kept = kept.withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= top)
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).join(sizes, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"),
         "n", F.col("cut.score").alias("score"))

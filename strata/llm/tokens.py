@@ -18,11 +18,11 @@ def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np
     Strings are compared whole, not by a hash."""
     n = ends - starts
     off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
-    step = np.ones(int(off[-1]), np.int64)
+    step = np.ones(int(off[-1]), np.int32)  # a block is far below 2^31 bytes, an Arrow text too
     if len(n):
         step[0] = starts[0]
         step[off[1:-1]] = starts[1:] - ends[:-1] + 1
-    flat = data[np.cumsum(step)] if len(step) else np.zeros(0, np.uint8)
+    flat = data[np.cumsum(step, dtype=np.int32)] if len(step) else np.zeros(0, np.uint8)
     words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(flat)))
     coded = words.dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
