@@ -221,8 +221,8 @@ def _boilerplate_lines(spark, d):
 
 @reg("flag_text", f"WITH {O.DOC_LINES} SELECT dd.doc_id, false AS empty_title, "
      f"{O.blocked('dd.text')} AS blocked, "
-     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only "
-     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key")
+     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only, coalesce(g.pages >= 3, false) AS judged "
+     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key LEFT JOIN per_group g ON dd.source = g.grp")
 def _flag_text(spark, d):
     return FL.flag_text(load(spark, d, "documents"), "doc_id", "source", None, "text")
 
@@ -234,8 +234,8 @@ def _boilerplate_lines_10pct(spark, d):  # AGG-9 at a 10 % share, so the set is
 
 @reg("flag_text_10pct", f"WITH {O.doc_lines(0.1)} SELECT dd.doc_id, false AS empty_title, "
      f"{O.blocked('dd.text')} AS blocked, "
-     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only "
-     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key")
+     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only, coalesce(g.pages >= 3, false) AS judged "
+     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key LEFT JOIN per_group g ON dd.source = g.grp")
 def _flag_text_10pct(spark, d):  # FLT-5 against the 10 % boilerplate set
     return FL.flag_text(load(spark, d, "documents"), "doc_id", "source", None, "text", min_share=0.1)
 
@@ -991,8 +991,8 @@ NOTED_TEXT = ("CASE doc_id % 7 WHEN 0 THEN 'Please solve the CAPTCHA' WHEN 1 THE
 @reg("flag_text_noted", f"WITH documents AS (SELECT doc_id, source, {NOTED_TITLE} AS title, {NOTED_TEXT} AS text FROM "
      f"read_docs), {O.doc_lines(0.5)} SELECT dd.doc_id, (dd.title IS NULL OR trim(regexp_replace(dd.title, "
      f"{O.lit(O.WS)}, ' ', 'g')) = '') AS empty_title, {O.blocked('dd.text')} AS blocked, "
-     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only FROM documents dd "
-     "LEFT JOIN per_key p ON dd.doc_id = p.key".replace("documents", "noted").replace("read_docs", "documents"))
+     "(coalesce(p.n_lines, 0) > 0 AND p.n_lines = p.n_bp) AS boilerplate_only, coalesce(g.pages >= 3, false) AS judged "
+     "FROM documents dd LEFT JOIN per_key p ON dd.doc_id = p.key LEFT JOIN per_group g ON dd.source = g.grp".replace("documents", "noted").replace("read_docs", "documents"))
 def _flag_text_noted(spark, d):  # FLT-5 with every flag both ways
     k5, k7, terms = F.col("doc_id") % 5, F.col("doc_id") % 7, F.lit("Terms of use")
     title = (F.when(k5 == 0, F.lit(None)).when(k5 == 1, F.lit(" \n"))

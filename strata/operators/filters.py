@@ -62,17 +62,52 @@ def text_lines(df: DataFrame, key: str, group: str, text: str, keep_text: bool =
     return lines.select(*cols).dropDuplicates(["grp", "key", "lk"])
 
 
+#: Parts a group's rows are dealt to where they meet the group's one row.
+SALTS = 32
+#: At most so many lines are joined as frequent ones.
+MAX_FREQUENT = 20_000
+
+
+def page_counts(df: DataFrame, key: str, group: str) -> DataFrame:
+    """``(grp, pages)``: distinct keys of each group that is not null."""
+    return (df.select(qcol(group).alias("grp"), qcol(key).alias("key")).where("grp IS NOT NULL").distinct()
+            .groupBy("grp").agg(F.count(F.lit(1)).alias("pages")))
+
+
+def _with_pages(rows: DataFrame, pages: DataFrame, spread: Column, how: str = "inner") -> DataFrame:
+    """``rows`` (with ``grp``) joined to their group's pages. ``spread`` deals
+    a group's rows to ``SALTS`` parts and the group's row is repeated for each,
+    so that a group that holds half of all rows spans many tasks."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt")
+    return rows.withColumn("__salt", F.pmod(F.hash(spread), F.lit(SALTS))) \
+        .join(pages.select("grp", "pages", salts), ["grp", "__salt"], how).drop("__salt")
+
+
 def boilerplate_keys(df: DataFrame, key: str, group: str, text: str,
                      min_share: float = 0.5, min_pages: int = 3) -> DataFrame:
     """(group, line fingerprint, pages_with_line, pages) of boilerplate lines."""
     lines = text_lines(df, key, group, text)
     per_line = lines.groupBy("grp", "lk").agg(F.count(F.lit(1)).alias("pages_with_line"))
-    per_group = (df.select(qcol(group).alias("grp"), qcol(key).alias("key")).distinct()
-                 .groupBy("grp").agg(F.count(F.lit(1)).alias("pages")))
-    return (per_line.join(per_group, "grp")
+    return (_with_pages(per_line, page_counts(df, key, group), F.col("lk"))
             .filter((F.col("pages") >= min_pages) & (F.col("pages_with_line") >= F.col("pages") * min_share)))
 
 
+def mark_lines(lines: DataFrame, marked: DataFrame, total: int) -> DataFrame:
+    """``lines(grp, key, lk)`` with ``is_bp``: whether ``marked(grp, lk,
+    pages_with_line)`` holds the line. The most frequent lines, each at least
+    one of ``MAX_FREQUENT`` of all ``total`` line rows and so at most that many,
+    are a summary that every task gets; their rows, which one key of a shuffle
+    join would bring to one task, never move. All others are joined by key."""
+    least = max(2, -(-total // MAX_FREQUENT))
+    marked = marked.select("grp", "lk", "pages_with_line")
+    often = F.broadcast(marked.where(F.col("pages_with_line") >= least).select("grp", "lk", F.lit(True).alias("__often")))
+    rest = marked.where(F.col("pages_with_line") < least).select("grp", "lk", F.lit(True).alias("__seldom"))
+    known = lines.join(often, ["grp", "lk"], "left")
+    return known.where("__often").select("grp", "key", "lk", F.lit(True).alias("is_bp")).unionByName(
+        known.where("__often IS NULL").join(rest, ["grp", "lk"], "left")
+        .select("grp", "key", "lk", F.col("__seldom").isNotNull().alias("is_bp")))
+
+
 def boilerplate_lines(df: DataFrame, key: str, group: str, text: str,
                       min_share: float = 0.5, min_pages: int = 3) -> DataFrame:
     """AGG-9: lines found on at least ``min_share`` of a group's (host's)
@@ -98,26 +133,31 @@ def flag_text(df: DataFrame, key: str, group: str, title: str | None, text: str,
     """FLT-5: empty title, blocked/captcha text, boilerplate-only body.
 
     boilerplate-only = every non-blank line of the text is a boilerplate line
-    of its group (AGG-9). Line fingerprints are joined to the boilerplate
-    set on (group, fingerprint) and folded back per key with one
-    aggregation; no line text is shuffled.
+    of its group (AGG-9). ``judged`` is false where that cannot be told: the
+    group has under ``min_pages`` pages or is null. The line fingerprints are
+    written once, frequent ones are marked where they are (``mark_lines``), and
+    one aggregation folds the lines back per key; no line text is shuffled.
     """
+    lines = materialize(text_lines(df, key, group, text), "lines")
+    pages = page_counts(df, key, group)
     if boilerplate is None:
-        bp = boilerplate_keys(df, key, group, text, min_share, min_pages).select("grp", "lk")
+        per_line = lines.groupBy("grp", "lk").agg(F.count(F.lit(1)).alias("pages_with_line"))
+        bp = _with_pages(per_line, pages, F.col("lk")).filter(
+            (F.col("pages") >= min_pages) & (F.col("pages_with_line") >= F.col("pages") * min_share))
     else:
-        bp = boilerplate.select(F.col(group).alias("grp"), line_key("line").alias("lk"))
-    bp = bp.withColumn("is_bp", F.lit(True))
-    lines = text_lines(df, key, group, text)
-    per_key = (lines.join(bp, ["grp", "lk"], "left")
-               .groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"),
-                                   F.count_if(F.col("is_bp").isNotNull()).alias("n_bp")))
+        given = boilerplate.select(F.col(group).alias("grp"), line_key("line").alias("lk")).distinct()
+        bp = lines.join(given, ["grp", "lk"], "left_semi").groupBy("grp", "lk").agg(F.count(F.lit(1)).alias("pages_with_line"))
+    per_key = (mark_lines(lines, materialize(bp, "boilerplate"), lines.count())
+               .groupBy("key").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("is_bp").alias("n_bp")))
     title_blank = (collapse_ws(qcol(title)) == "") | qcol(title).isNull() if title else F.lit(False)
-    base = df.select(qcol(key).alias("key"), title_blank.alias("empty_title"),
+    base = df.select(qcol(key).alias("key"), qcol(group).alias("grp"), title_blank.alias("empty_title"),
                      blocked_text(qcol(text)).alias("blocked"))
+    base = _with_pages(base, pages, F.col("key"), "left")
     return (base.join(per_key, "key", "left")
             .select(F.col("key").alias(key), "empty_title", "blocked",
                     ((F.coalesce(F.col("n_lines"), F.lit(0)) > 0) & (F.col("n_lines") == F.col("n_bp")))
-                    .alias("boilerplate_only")))
+                    .alias("boilerplate_only"),
+                    F.coalesce(F.col("pages") >= min_pages, F.lit(False)).alias("judged")))
 
 
 #: A wanted rank's range of values is cut into this many at each step.

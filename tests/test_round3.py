@@ -88,3 +88,42 @@ def test_one_far_value_leaves_no_heavy_range(spark, monkeypatch):
     assert abs(got["q1"] - 1.05) < 1e-4 and abs(got["q3"] - 1.15) < 1e-4
     flags = FL.flag_price(df, "v", "g").groupBy("outlier").count().collect()
     assert {r["outlier"]: r["count"] for r in flags} == {False: 19_999, True: 1}
+
+
+def _pages():
+    menu = [(k, "big", f"Menu\nHome\nstory {k}" if k % 4 else "Menu\n  Home ") for k in range(400)]
+    return menu + [(1000, "one", "Menu"), (1001, "two", "Menu"), (1002, "two", "Menu"), (1003, None, "Menu"), (1004, "big", None)]
+
+
+@pytest.mark.parametrize("frequent", [1, 20_000])
+def test_text_flags_say_what_was_judged(spark, monkeypatch, frequent):
+    monkeypatch.setattr(FL, "MAX_FREQUENT", frequent)
+    df = spark.createDataFrame(_pages(), "id long, host string, text string").repartition(6)
+    given = spark.createDataFrame([("big", "Home"), ("big", "Menu"), ("one", "Menu")], "host string, line string")
+    for lines in (None, given):
+        got = {r["id"]: r for r in FL.flag_text(df, "id", "host", None, "text", lines).collect()}
+        assert len(got) == 405
+        assert [k for k in range(400) if got[k]["boilerplate_only"]] == list(range(0, 400, 4))
+        assert {k: got[k]["judged"] for k in (0, 1000, 1001, 1002, 1003, 1004)} == {
+            0: True, 1000: False, 1001: False, 1002: False, 1003: False, 1004: True}
+        assert got[1000]["boilerplate_only"] == (lines is not None) and not got[1004]["boilerplate_only"]
+    bp = {(r["host"], r["line"], r["pages_with_line"], r["pages"]) for r in FL.boilerplate_lines(df, "id", "host", "text").collect()}
+    assert bp == {("big", "Menu", 400, 401), ("big", "Home", 400, 401)}
+
+
+def test_a_line_on_every_page_spans_many_tasks(spark):
+    """Without adaptive execution: the frequent line's rows stay where they are."""
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = spark.range(4000).repartition(6).selectExpr("'h' as grp", "id as key", "struct(1L as h1, 2 as h2) as lk")
+        marked = lines.groupBy("grp", "lk").agg(F.count("*").alias("pages_with_line"))
+        out = FL.mark_lines(lines, marked, 4000).select("is_bp", F.spark_partition_id().alias("p"))
+        assert out.where("is_bp").count() == 4000 and out.select("p").distinct().count() >= 6
+        pages = spark.createDataFrame([("h", 4000)], "grp string, pages long")
+        spread = FL._with_pages(lines, pages, F.col("key")).select(F.spark_partition_id().alias("p"))
+        assert spread.count() == 4000 and spread.distinct().count() >= 5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
