@@ -688,7 +688,7 @@ def _build_url(spark, d):
         "type": F.col("event_type")}).alias("url"))
 
 
-@reg("page_titles", f"SELECT page_id, trim(regexp_replace({O.unescape_named(O.TITLE_EXPR)}, "
+@reg("page_titles", f"SELECT page_id, trim(regexp_replace({O.unescape_html5(O.TITLE_EXPR)}, "
      f"{O.lit(O.WS)}, ' ', 'g')) AS title FROM pages")
 def _page_titles(spark, d):
     t = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)

@@ -93,19 +93,6 @@ WS = r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{2
 
 TITLE_EXPR = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
 
-NAMED = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "),
-         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
-
-
-def unescape_named(expr: str) -> str:
-    """Entity decoding for the entities occurring in the test pages' titles
-    (&amp; last so '&amp;lt;' stays '&lt;')."""
-    out = expr
-    for ent, ch in NAMED:
-        out = f"replace({out}, {lit(ent)}, {lit(ch)})"
-    return out
-
-
 ER = ("er AS (SELECT 'user:' || CAST(user_id AS VARCHAR) || ':' || strftime(ts, '%Y-%m-%d') AS entity_id, "
       "event_id, user_id, ts AS observed_at, event_type, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END "
       "AS status_code, sha256(props) AS content_hash, CASE WHEN event_type = 'error' THEN 'server error' END "

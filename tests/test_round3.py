@@ -1,10 +1,14 @@
 """Rows keyed by content, ranks found by refinement, lines on every page."""
 
+import html
+import random
 import statistics
+from html.entities import html5
 
 import pytest
 from pyspark.sql import functions as F
 
+from strata.functions.text import unescape
 from strata.operators import columns as C
 from strata.operators import filters as FL
 from strata.operators import joins as J
@@ -127,3 +131,18 @@ def test_a_line_on_every_page_spans_many_tasks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_every_entity_as_the_standard_library_decodes_it(spark):
+    """All names with and without a semicolon, before letters and signs, and numbers of all kinds."""
+    rng = random.Random(2)
+    texts = [f"a &{n}{tail}" for n in html5 for tail in ("", "x;", "=1&amp;lt;")]
+    texts += [f"&#{z}{n}{e}x" for n in [*range(300), 0xD800, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000, 10**9, 10**30] for z, e in (("", ";"), ("00", ""))]
+    texts += [f"&#x{n:x}{e}g" for n in (0, 9, 13, 0x80, 0x9F, 0xA0, 0x1F600, 0xDFFF, 0x110000, 16**20) for e in ("", ";")]
+    texts += ["".join(rng.choice(["&", "#", "x", ";", "amp", "not", "in", "copy", "é", " ", "9", "\t", "="]) for _ in range(12)) for _ in range(500)]
+    texts += ["", "&", "&;", "&&", "no entity", "&" + "a" * 50 + ";", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r["i"]: r["u"] for r in df.select("i", unescape("t").alias("u")).collect()}
+    bad = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if t is not None and got[i] != html.unescape(t)]
+    assert not bad, bad[:5]
+    assert got[len(texts) - 1] is None
