@@ -840,8 +840,10 @@ def _url_list(spark, d):
 def _archive_roundtrip(spark, d):
     arch = with_archive_paths(archive_from_pages(load(spark, d, "pages")), "raw")
     arch = arch.withColumn("headers", F.map_concat("headers", F.create_map(F.lit("Set-Cookie"), F.lit("sid=1"))))
-    path = SK.write_archive(arch, scratch_path(spark, "archive"))
-    stored = spark.read.parquet(path)
+    path = scratch_path(spark, "archive")
+    for part, batch in ((arch.where("page_id % 2 = 0"), "even"), (arch.where("page_id % 2 = 1"), "odd"), (arch, "even")):
+        SK.write_archive(part, path, batch)  # a batch that comes again changes nothing
+    stored = SK.read_archive_table(spark, path)
     checked = J.verify_archive(stored, stored.select(F.col("raw_file_path").alias("path"), F.col("body").alias("content")))
     return checked.join(stored.select("raw_file_path", F.col("headers")["Set-Cookie"].alias("cookie")), "raw_file_path") \
         .select("raw_file_path", "status", "cookie")

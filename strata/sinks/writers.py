@@ -3,12 +3,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.records import redact_headers
 from strata.operators.columns import flatten_nested
+from strata.plans.sizing import bounded_broadcast
 from strata.session import scratch_path
 
 FORMATS = ("jsonl", "csv", "parquet", "table")
@@ -55,12 +58,15 @@ def publish(df: DataFrame, processed_dir: str, final_dir: str | None, formats: l
     (when given) the final folder. Nested values are flattened (PRJ-1) once,
     for every format. The dataset is computed once, as Parquet (the processed
     export, or a scratch table when Parquet is not asked for), and every other
-    export reads that table. Unknown formats raise."""
+    export reads that table. Unknown formats raise. A state beside the exports
+    says ``open`` while they are written and lists them when all are there:
+    ``publication`` returns nothing for a run that was cut off."""
     unknown = [f for f in formats if f not in FORMATS]
     if unknown:
         raise ValueError(f"unknown export formats: {unknown}")
     home = f"{processed_dir.rstrip('/')}/{stem}"
     spark = df.sparkSession
+    _state(spark, home, [("open", None)])
     first = home + ".parquet" if "parquet" in formats else scratch_path(spark, "publish") + "/dataset"
     data = spark.read.parquet(write_parquet(flatten_nested(df), first))
     out: dict[str, str] = {"parquet": first} if "parquet" in formats else {}
@@ -74,16 +80,62 @@ def publish(df: DataFrame, processed_dir: str, final_dir: str | None, formats: l
             out[prefix + "parquet"] = write_parquet(data, base + ".parquet")
     if "table" in formats:
         out["table"] = write_table(data, table or stem, home + ".table")
+    _state(spark, home, sorted(out.items()))
     return out
 
 
-def write_archive(df: DataFrame, path: str, mode: str = "append") -> str:
+def _state(spark, home: str, rows: list[tuple]) -> None:
+    spark.createDataFrame(rows, "format string, path string").coalesce(1).write.mode("overwrite").json(home + ".publication")
+
+
+def publication(spark, processed_dir: str, stem: str = "records") -> dict[str, str] | None:
+    """What ``publish`` wrote, or None if its last run did not finish."""
+    home = f"{processed_dir.rstrip('/')}/{stem}.publication"
+    rows = spark.read.schema("format string, path string").json(home).collect() if _there(spark, home) else []
+    return {r["format"]: r["path"] for r in rows} if rows and all(r["format"] != "open" for r in rows) else None
+
+
+COMMIT = "batch string, attempt string"
+
+
+def write_archive(df: DataFrame, path: str, batch: str) -> str:
     """SNK-6: one archive table (not two files per response): headers
     redacted, body kept as binary, partitioned by fetch date so later reads
-    prune by date."""
+    prune by date.
+
+    A run writes its rows to a folder of its own (batch and a fresh attempt)
+    and, when all are there, one commit row; readers (``read_archive_table``)
+    follow the commits. So a batch is in the archive once: repeating it writes
+    nothing, a run killed before its commit leaves files that nothing reads,
+    and of two runs at once the smaller attempt's rows count."""
+    spark = df.sparkSession
+    if not archive_batches(spark, path).where(F.col("batch") == batch).isEmpty():
+        return path
     out = df
     if "headers" in df.columns and isinstance(df.schema["headers"].dataType, T.MapType):
         out = out.withColumn("headers", redact_headers("headers"))
-    out = out.withColumn("fetch_date", F.to_date("fetched_at"))
-    out.write.mode(mode).partitionBy("fetch_date").parquet(path)
+    attempt = f"a-{uuid.uuid4().hex}"
+    out = out.withColumns({"fetch_date": F.to_date("fetched_at"), "archive_batch": F.lit(f"b-{batch}"), "archive_attempt": F.lit(attempt)})
+    out.write.mode("append").partitionBy("archive_batch", "archive_attempt", "fetch_date").parquet(f"{path}/data")
+    spark.createDataFrame([(batch, attempt)], COMMIT).coalesce(1).write.mode("append").json(f"{path}/commits")
     return path
+
+
+def _there(spark, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def archive_batches(spark, path: str) -> DataFrame:
+    """``(batch, attempt)``: what was committed, one attempt a batch."""
+    if not _there(spark, f"{path}/commits"):
+        return spark.createDataFrame([], COMMIT)
+    return spark.read.schema(COMMIT).json(f"{path}/commits").groupBy("batch").agg(F.min("attempt").alias("attempt"))
+
+
+def read_archive_table(spark, path: str) -> DataFrame:
+    """The rows of all committed batches of ``write_archive``, each once."""
+    commits = archive_batches(spark, path).select(F.concat(F.lit("b-"), "batch").alias("archive_batch"),
+                                                  F.col("attempt").alias("archive_attempt"))
+    return spark.read.parquet(f"{path}/data").join(bounded_broadcast(commits), ["archive_batch", "archive_attempt"], "left_semi") \
+        .drop("archive_batch", "archive_attempt")

@@ -14,6 +14,8 @@ from strata.operators import filters as FL
 from strata.operators import joins as J
 from strata.operators import windows as W
 from strata.plans import flows
+from strata.session import scratch_path
+from strata.sinks import writers as SK
 
 
 def _archive(spark, rows):
@@ -146,3 +148,36 @@ def test_every_entity_as_the_standard_library_decodes_it(spark):
     bad = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if t is not None and got[i] != html.unescape(t)]
     assert not bad, bad[:5]
     assert got[len(texts) - 1] is None
+
+
+def test_a_batch_is_archived_once(spark, monkeypatch):
+    path = scratch_path(spark, "archive")
+    rows = lambda *ids: spark.createDataFrame(
+        [(i, {"Cookie": "x"}, "2024-01-02 03:04:05", b"b") for i in ids], "id int, headers map<string,string>, fetched_at string, body binary")
+    have = lambda: sorted(r["id"] for r in SK.read_archive_table(spark, path).collect())
+    SK.write_archive(rows(1, 2), path, "2024")
+    SK.write_archive(rows(1, 2), path, "2024")
+    assert have() == [1, 2]
+    write = type(rows(1).write).json
+    monkeypatch.setattr(type(rows(1).write), "json", lambda *a, **b: 1 / 0)
+    with pytest.raises(ZeroDivisionError):  # killed between the data and the commit
+        SK.write_archive(rows(3), path, "a/b =1")
+    monkeypatch.setattr(type(rows(1).write), "json", write)
+    assert have() == [1, 2]
+    SK.write_archive(rows(3), path, "a/b =1")
+    assert have() == [1, 2, 3]
+    other = spark.createDataFrame([("2024", "a-0"), ("2024", "a-zz")], SK.COMMIT)  # two runs at once
+    other.write.mode("append").json(f"{path}/commits")
+    assert SK.archive_batches(spark, path).where("batch = '2024'").collect() == [("2024", "a-0")]
+    assert SK.read_archive_table(spark, path).first()["headers"] == {"Cookie": "[redacted]"}
+
+
+def test_a_publication_that_was_cut_off_does_not_count(spark, monkeypatch):
+    root, df = scratch_path(spark, "publish"), spark.range(3)
+    assert SK.publication(spark, root) is None
+    out = SK.publish(df, root, None, ["jsonl", "csv"])
+    assert SK.publication(spark, root) == out
+    monkeypatch.setattr(SK, "write_csv", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        SK.publish(df, root, None, ["jsonl", "csv"])
+    assert SK.publication(spark, root) is None
