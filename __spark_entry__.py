@@ -29,6 +29,7 @@ from strata.operators import joins as J  # noqa: E402
 from strata.operators import links as LK  # noqa: E402
 from strata.operators import quality as Q  # noqa: E402
 from strata.operators import windows as W  # noqa: E402
+from strata.schemas import DATASETS  # noqa: E402
 from strata.plans import datasets as DS  # noqa: E402
 from strata.plans import listing as LS  # noqa: E402
 from strata.plans import panel as PN  # noqa: E402
@@ -594,6 +595,91 @@ def _conform_price(spark, d):
                       F.size("conform_errors").alias("n_conform_errors"))
 
 
+@reg("localize_zh", f"WITH {O.OBS} SELECT entity_id AS \"实体ID\", \"城市\", \"日期\", \"AQI\", extraction_errors AS \"抽取错误\" FROM obs")
+def _localize_zh(spark, d):  # PRJ-3, Chinese output; 'auto' picks it by the table's own columns
+    obs = PN.api_observations(load(spark, d, "events")).select("entity_id", "城市", "日期", "AQI", "extraction_errors")
+    return C.localize_columns(obs, "auto")
+
+
+def _conformed(df, dataset, mapping):
+    return C.conform(df, dataset, mapping).withColumn("conform_errors", F.array_join("conform_errors", ","))
+
+
+def _text_unless(period, key, word, other):
+    """``other`` as text, but ``word`` where the key is a multiple of ``period``."""
+    return F.when(F.col(key) % period == 0, F.lit(word)).otherwise(other.cast("string"))
+
+
+def _conform_sql(dataset, table, values, bad):
+    """The declared columns of ``dataset`` in order: ``values`` by name, else
+    null of the type; ``bad`` are (name, condition) of casts that fail."""
+    names = {"timestamp": "TIMESTAMP", "date": "DATE", "double": "DOUBLE", "int": "INTEGER", "string": "VARCHAR", "decimal(18,2)": "DECIMAL(18, 2)"}
+    cols = [f"TRY_CAST({values.get(n, 'NULL')} AS {names[t.simpleString()]}) AS \"{n}\"" for n, t in DATASETS[dataset]]
+    errors = ", ".join(f"CASE WHEN {cond} THEN '{n}' END" for n, cond in bad)
+    return f"SELECT {', '.join(cols)}, concat_ws(',', {errors}) AS conform_errors FROM {table}"
+
+
+@reg("conform_housing", _conform_sql("housing", "orders", {
+    "entity_id": "'order:' || CAST(o_orderkey AS VARCHAR)", "标题": "o_orderpriority", "城市": "o_orderstatus",
+    "总价": "CASE WHEN o_orderkey % 11 = 0 THEN '面议' ELSE CAST(o_custkey AS VARCHAR) || '.25' END",
+    "面积": "CASE WHEN o_orderkey % 7 = 0 THEN 'large' ELSE CAST(o_custkey AS VARCHAR) END"},
+    [("总价", "o_orderkey % 11 = 0"), ("面积", "o_orderkey % 7 = 0")]))
+def _conform_housing(spark, d):  # PRJ-8 with failed casts to decimal and double
+    cust = F.col("o_custkey").cast("string")
+    return _conformed(load(spark, d, "orders"), "housing", {
+        "entity_id": F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")), "标题": F.col("o_orderpriority"),
+        "城市": F.col("o_orderstatus"), "总价": _text_unless(11, "o_orderkey", "面议", F.concat(cust, F.lit(".25"))),
+        "面积": _text_unless(7, "o_orderkey", "large", cust)})
+
+
+@reg("conform_jobs", _conform_sql("jobs", "events", {
+    "entity_id": "CAST(event_id AS VARCHAR)", "observed_at": "ts", "职位名称": "event_type", "薪资": "CAST(user_id AS VARCHAR)",
+    "发布日期": "CASE WHEN event_id % 5 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d') END"}, [("发布日期", "event_id % 5 = 0")])
+    .replace('TRY_CAST(ts AS TIMESTAMP) AS "observed_at"', "strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS observed_at")
+    .replace('AS DATE) AS "发布日期"', 'AS DATE)::VARCHAR AS "发布日期"'))
+def _conform_jobs(spark, d):  # PRJ-8 with failed casts to dates
+    out = _conformed(load(spark, d, "events"), "jobs", {
+        "entity_id": F.col("event_id").cast("string"), "observed_at": F.col("ts"), "职位名称": F.col("event_type"),
+        "薪资": F.col("user_id").cast("string"), "发布日期": _text_unless(5, "event_id", "soon", F.date_format("ts", "yyyy-MM-dd"))})
+    return out.withColumns({"observed_at": ts("observed_at"), "发布日期": F.col("发布日期").cast("string")})
+
+
+@reg("conform_announcements", _conform_sql("announcements", "documents", {
+    "entity_id": "'doc:' || CAST(doc_id AS VARCHAR)", "标题": "lang", "发布机构": "source", "正文": "text",
+    "发布日期": "CASE WHEN doc_id % 3 = 0 THEN '2024-13-01' ELSE '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END"},
+    [("发布日期", "doc_id % 3 = 0")]).replace('AS DATE) AS "发布日期"', 'AS DATE)::VARCHAR AS "发布日期"'))
+def _conform_announcements(spark, d):  # PRJ-8: dates that no calendar has
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    out = _conformed(load(spark, d, "documents"), "announcements", {
+        "entity_id": F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "标题": F.col("lang"), "发布机构": F.col("source"),
+        "正文": F.col("text"), "发布日期": _text_unless(3, "doc_id", "2024-13-01", day)})
+    return out.withColumn("发布日期", F.col("发布日期").cast("string"))
+
+
+@reg("conform_air_quality", _conform_sql("air_quality", "events", {
+    "entity_id": "CAST(event_id AS VARCHAR)", "城市": "CAST(user_id AS VARCHAR)",
+    "AQI": "CASE WHEN event_id % 9 = 0 THEN 'high' ELSE CAST(event_id % 500 AS VARCHAR) END",
+    "PM2.5": "CASE WHEN event_id % 6 = 0 THEN '--' ELSE CAST(event_id % 100 AS VARCHAR) || '.5' END"},
+    [("AQI", "event_id % 9 = 0"), ("PM2.5", "event_id % 6 = 0")]))
+def _conform_air_quality(spark, d):  # PRJ-8 with failed casts to int and double, also both in one row
+    return _conformed(load(spark, d, "events"), "air_quality", {
+        "entity_id": F.col("event_id").cast("string"), "城市": F.col("user_id").cast("string"),
+        "AQI": _text_unless(9, "event_id", "high", F.col("event_id") % 500),
+        "PM2.5": _text_unless(6, "event_id", "--", F.concat((F.col("event_id") % 100).cast("string"), F.lit(".5")))})
+
+
+@reg("union_by_wave", "SELECT wave, outcome, count(*) AS n, count(error) AS n_errors, CAST(sum(user_id) AS BIGINT) AS users FROM "
+     "(SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS wave, 'record' AS outcome, user_id, NULL AS error FROM events "
+     "WHERE event_type <> 'error' UNION ALL SELECT strftime(date_trunc('week', ts), '%Y-%m-%d'), 'failure', NULL, event_type "
+     "FROM events WHERE event_type = 'error') GROUP BY ALL")
+def _union_by_wave(spark, d):  # SET-1 + FN-13: records and failures have different columns
+    ev = load(spark, d, "events").withColumn("wave", F.date_format(TX.wave("ts", "week"), "yyyy-MM-dd"))
+    ok = ev.where("event_type <> 'error'").select("wave", F.lit("record").alias("outcome"), "user_id")
+    failed = ev.where("event_type = 'error'").select("wave", F.lit("failure").alias("outcome"), F.col("event_type").alias("error"))
+    return W.union_records(ok, failed).groupBy("wave", "outcome").agg(
+        F.count("*").alias("n"), F.count("error").alias("n_errors"), F.sum("user_id").alias("users"))
+
+
 @reg("minimize_text", O.MINIMIZE_SQL)
 def _minimize_text(spark, d):
     return C.minimize(load(spark, d, "documents"), ["doc_id", "text"], ["text"])
