@@ -46,8 +46,8 @@ from strata.session import materialize, scratch_path, ship_package  # noqa: E402
 try:  # the operators of the training-data pipeline are a part that may be left out
     import corpus_pipeline as PIPELINE  # noqa: E402
     from strata.llm import queries as LLM  # noqa: E402
-except ModuleNotFoundError as e:
-    if e.name not in ("corpus_pipeline", "strata.llm"):
+except ModuleNotFoundError as e:  # that part, or a package that only it needs
+    if (e.name or "").startswith("strata.") and not e.name.startswith("strata.llm"):
         raise
     PIPELINE = LLM = None
 
