@@ -62,6 +62,26 @@ def test_rows_under_one_id_whose_tags_share_32_bits(spark):
     assert set(left) == {t.split(" ")[-1] for t in (one, two)}
 
 
+def test_substrings_of_long_texts_and_of_rows_that_differ_in_spaces(spark):
+    """Passages beyond one chunk of places, and copies under one id."""
+    p = brute.PASSAGE
+    far = " ".join([*(f"w{i}" for i in range(70_000)), p, *(f"v{i}" for i in range(70_000)), p])
+    rows = [(1, p), (4, far), (4, far), (5, p), (5, p.replace(" ", "  ")), (5, p + " end"), (None, far + " end"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.dedup(docs).collect())
+    assert got == brute.dedup(rows)
+    assert all(n > 0 for i, _, n, _ in got if i in (4, 5))
+
+
+def test_dropping_repeats_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "__id", "__marks", "__more", "row", "marks", "id", "tag", "more"]
+    rows = [(1, brute.PASSAGE, *range(8)), (2, f"own {brute.PASSAGE}", *range(8, 16))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names[2:]))
+    out = substrings.drop_repeats(docs)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == [rows[0], (2, "own", *range(8, 16))]
+
+
 def test_scores_do_not_follow_the_splits(spark, monkeypatch):
     monkeypatch.setattr(lbl, "PART", 9000)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
