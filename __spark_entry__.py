@@ -510,6 +510,30 @@ def _panel_report(spark, d):  # the audit of the published panel
     return report["summary"]
 
 
+# Each user's events spread over three months; a day page has 15 characters and 42 a record.
+LINEAGE_OBS = "em AS (SELECT * REPLACE (ts + to_months(CAST(event_id % 3 AS INTEGER)) AS ts) FROM events), " \
+    + O.OBS.replace("FROM events", "FROM em")
+
+
+@reg("panel_lineage", f"WITH {LINEAGE_OBS}, c AS (SELECT city, max(month) AS month FROM ev GROUP BY city), "
+     "p AS (SELECT city, month, count(*) AS n FROM ev JOIN c USING (city, month) GROUP BY ALL) "
+     "SELECT obs.* EXCLUDE (event_id), obs.event_id, 'https://api.example.com/history?city=' || city || '&month=' || month AS source_url, "
+     "source_url AS final_url, CASE WHEN 15 + 42 * n < 1000 THEN 'https://www.example.com/monthdata.php?city=' || city "
+     "ELSE 'https://www.example.com/daydata.php?city=' || city || '&month=' || month END AS page_url, "
+     "strftime(em.ts, '%Y-%m-%d %H:%M:%S.%f') AS fetched_at, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code, "
+     "'raw/api/' || CAST(em.event_id AS VARCHAR) || '.json' AS raw_file_path, CASE WHEN 15 + 42 * n < 1000 THEN "
+     "'raw/month/' || city || '.html' ELSE 'raw/day/' || city || '_' || month || '.html' END AS page_raw_file_path, "
+     "'meta/api/' || CAST(em.event_id AS VARCHAR) || '.json' AS metadata_file_path, 'history-api' AS extractor_name, "
+     "'0.1.0' AS extractor_version, 'getHistory' AS api_method, 15 + 42 * n < 1000 AS used_fallback, 64 AS hash_chars "
+     "FROM obs JOIN em USING (event_id) JOIN p ON p.city = obs.\"城市\" AND p.month = obs.\"月份\"")
+def _panel_lineage(spark, d):  # EXT-6, AGG-11, JN-3, FLT-4, EXT-7, PRJ-6, SNK-5: published, read back
+    ev = load(spark, d, "events")
+    ev = ev.withColumn("ts", F.col("ts") + F.make_ym_interval(F.lit(0), (F.col("event_id") % 3).cast("int")))
+    root = scratch_path(spark, "panel")
+    out, _ = PN.panel_lineage_dataset(ev, root + "/processed", root + "/final")
+    return out.withColumns({"fetched_at": ts("fetched_at"), "hash_chars": F.length("content_hash")}).drop("content_hash")
+
+
 @reg("seed_or_discovered", "WITH b AS (SELECT c_name, c_custkey, 0 AS prio FROM customer WHERE c_mktsegment = 'SEED' "
      "UNION ALL SELECT c_name, c_custkey, 1 FROM customer) SELECT c_name, c_custkey FROM b "
      "WHERE prio = (SELECT min(prio) FROM b) ORDER BY c_custkey LIMIT 50")

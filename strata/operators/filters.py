@@ -29,11 +29,12 @@ def blocked_text(text) -> Column:
     return out
 
 
-def fallback_short_page(df: DataFrame, html: str, own: list[str], fallback: list[str],
-                        min_chars: int = 1000) -> DataFrame:
+def fallback_short_page(df: DataFrame, html: str | None, own: list[str], fallback: list[str],
+                        min_chars: int = 1000, chars: str | None = None) -> DataFrame:
     """FLT-4: when the page text is shorter than ``min_chars``, take the
-    metadata columns ``own`` from the ``fallback`` columns instead."""
-    short = F.length(qcol(html)) < min_chars
+    metadata columns ``own`` from the ``fallback`` columns instead. ``chars``
+    names the page's length where the text itself was left behind."""
+    short = (qcol(chars) if chars else F.length(qcol(html))) < min_chars
     out = df.withColumn("used_fallback", short)
     for o, fb in zip(own, fallback):
         out = out.withColumn(o, F.when(short, qcol(fb)).otherwise(qcol(o)))

@@ -14,6 +14,8 @@ from strata.operators import filters as FL
 from strata.operators import joins as J
 from strata.operators import windows as W
 from strata.plans import flows
+from strata.plans import panel as PN
+from strata.schemas import API_PROVENANCE
 from strata.session import scratch_path
 from strata.sinks import writers as SK
 
@@ -181,3 +183,36 @@ def test_a_publication_that_was_cut_off_does_not_count(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         SK.publish(df, root, None, ["jsonl", "csv"])
     assert SK.publication(spark, root) is None
+
+
+def test_panel_lineage_takes_the_month_page_where_the_day_page_is_short(spark):
+    link = lambda c, *ms: "".join(f'<a href="daydata.php?city={c}&month={m}">' for m in ms)
+    months = spark.createDataFrame(
+        [(c, f"m/{c}", link(c, *ms), f"raw/m/{c}") for c, ms in
+         {"long": ["202401", "202403"], "short": ["202402"], "none": ["202402"], "empty": ["202402"], "silent": ["202402"], "unlisted": []}.items()],
+        "city string, url string, html string, raw_file_path string")
+    page = "x" * 1000
+    days = spark.createDataFrame(
+        [("long", "202403", page), ("long", "202401", ""), ("short", "202402", page[1:]), ("empty", "202402", None),
+         ("silent", "202402", page), ("unlisted", "202312", page)], "city string, month string, html string") \
+        .selectExpr("*", "concat('d/', city, month) AS url", "concat('raw/d/', city, month) AS raw_file_path")
+    body = '{"success": true, "result": {"data": {"items": [{"time_point": "2024-03-01"}, {"time_point": "2024-03-02"}]}}}'
+    api = spark.createDataFrame([(c, m, body if c != "empty" else "not json") for c, m in
+                                 [("long", "202403"), ("long", "202401"), ("short", "202402"), ("short", "202402"), ("none", "202402"),
+                                  ("empty", "202402"), ("stranger", "202402")]], "city string, month string, body_text string") \
+        .selectExpr("*", "concat('a/', city) AS source_url", "concat('a/', city) AS final_url", "timestamp'2024-03-05' AS fetched_at",
+                    "200 AS status_code", "sha2(body_text, 256) AS content_hash", "concat('raw/a/', city) AS raw_file_path",
+                    "concat('meta/', city) AS metadata_file_path")
+    out = PN.panel_records(months, days, api, as_of="2023-12-15")
+    assert set(API_PROVENANCE) <= set(out.columns)
+    rows = {}
+    for r in out.collect():
+        rows.setdefault(r["城市"], []).append((r["月份"], r["数据状态"], r["page_raw_file_path"], r["used_fallback"], r["raw_file_path"]))
+    assert rows == {
+        "long": [("202403", "ok", "raw/d/long202403", False, "raw/a/long")] * 2,
+        "short": [("202402", "ok", "raw/m/short", True, "raw/a/short")] * 4,
+        "none": [("202402", "ok", "raw/m/none", True, "raw/a/none")] * 2,
+        "empty": [("202402", "no_items", "raw/m/empty", True, "raw/a/empty")],
+        "silent": [("202402", "no_items", "raw/d/silent202402", False, None)],
+        "unlisted": [("202312", "no_items", "raw/d/unlisted202312", False, None)],
+    }
