@@ -1034,6 +1034,43 @@ def _stream_changes_waves(spark, d):  # STR-4 over three arrivals, with late row
     return spark.read.parquet(path).select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
 
 
+# The three arrivals 40 days further apart; every third user's second span comes with the first, so that
+# nothing is seen of them for longer than state is kept.
+QUIET_CTE = ("w0 AS (SELECT *, least(CAST(floor((extract(day FROM ts) - 1) / 10) AS INTEGER), 2) AS span FROM events), "
+             "w1 AS (SELECT * REPLACE (CASE WHEN user_id % 3 = 1 AND span = 1 THEN 0 ELSE span END AS span) FROM w0), "
+             "wv AS (SELECT * REPLACE (ts + to_days(40 * span) AS ts), CASE WHEN event_id % 20 = 0 AND span < 2 "
+             "THEN span + 1 ELSE span END AS wave FROM w1), "
+             "mark AS (SELECT wave, date_trunc('milliseconds', max(max(ts)) OVER (ORDER BY wave ROWS BETWEEN UNBOUNDED "
+             "PRECEDING AND 1 PRECEDING)) - to_days(30) AS mark FROM wv GROUP BY wave), "
+             "seen AS (SELECT wv.*, mark FROM wv JOIN mark USING (wave) WHERE mark IS NULL OR ts > mark)")
+
+
+def _quiet_waves(spark, d):
+    span = F.least(F.floor((F.dayofmonth("ts") - 1) / 10).cast("int"), F.lit(2))
+    ev = load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = ev.withColumn("span", F.when((F.col("user_id") % 3 == 1) & (span == 1), 0).otherwise(span))
+    late = F.when((F.col("event_id") % 20 == 0) & (F.col("span") < 2), F.col("span") + 1).otherwise(F.col("span"))
+    ev = ev.withColumn("wave", late).withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.col("span") * 40)).drop("span")
+    return [ev.filter(F.col("wave") == i) for i in range(3)]
+
+
+@reg("stream_changes_expiry", f"WITH {QUIET_CTE}, f AS (SELECT *, max((ts, event_id)) OVER (PARTITION BY user_id ORDER BY "
+     "wave RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place FROM seen), "
+     "g AS (SELECT *, CASE WHEN mark IS NULL OR date_trunc('milliseconds', place[1]) > mark THEN place END AS known FROM f), "
+     "k AS (SELECT user_id, ts, sha256(event_type) AS h, CASE WHEN known IS NOT NULL OR row_number() OVER (PARTITION BY user_id, "
+     "wave ORDER BY ts, event_id) > 1 THEN lag(sha256(event_type)) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS prev "
+     "FROM g WHERE known IS NULL OR (ts, event_id) > known) "
+     "SELECT CAST(user_id AS VARCHAR) AS entity, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, h AS content_hash, "
+     "prev AS prev_hash, CASE WHEN prev IS NULL THEN 'new' ELSE 'changed' END AS change FROM k WHERE prev IS NULL OR prev <> h")
+def _stream_changes_expiry(spark, d):  # STR-4: entities unseen for 30 days are new again
+    with ST.rocksdb_state(spark):
+        path = ST.run_waves(_quiet_waves(spark, d), scratch_path(spark, "arrivals") + "/events",
+                            lambda s: ST.stream_changes(s.withColumn("h", R.content_hash("event_type")),
+                                                        "user_id", "ts", "h", tiebreak="event_id"),
+                            scratch_path(spark, "stream-changes"), scratch_path(spark, "stream-ck"))
+    return spark.read.parquet(path).select("entity", ts("ts").alias("ts"), "content_hash", "prev_hash", "change")
+
+
 @reg("stream_dedup_waves", f"WITH {WAVES_CTE}, p AS (SELECT 'https://u' || CAST(user_id AS VARCHAR) || '.example.com/' "
      "AS source_url, sha256(event_type) AS content_hash, bool_or(wave = 0) AS p0, bool_or(wave = 1) AS p1, "
      "bool_or(wave = 2) AS p2 FROM wv GROUP BY 1, 2) SELECT source_url, content_hash, 0 AS wave FROM p WHERE p0 "

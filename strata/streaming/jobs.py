@@ -82,17 +82,26 @@ class ChangeDetector(StatefulProcessor):
     """Per entity: the last content hash and its (time, tiebreak). Emits a row
     when the hash of a new observation differs ('changed') or none is known
     ('new'). Rows of one micro-batch are ordered by (time, tiebreak) first;
-    rows not after the stored place are late and change nothing."""
+    rows not after the stored place are late and change nothing.
 
-    def __init__(self, ttl_ms: int | None) -> None:
+    With ``expires``, what is known of an entity ends when the watermark
+    reaches its time. One timer an entity is pending as long as it has state:
+    when it fires, it is set again for the newer time seen since, or the state
+    goes."""
+
+    def __init__(self, ttl_ms: int | None, expires: bool = False) -> None:
         self.ttl_ms = ttl_ms
+        self.expires = expires
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", _STATE_SCHEMA, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tiebreak"], kind="stable")
-        known = self.last.get() if self.last.exists() else None
+        held = known = self.last.get() if self.last.exists() else None
+        if known and self.expires and _millis(known[1]) <= timerValues.getCurrentWatermarkInMs():
+            known = None
         if known:
             when = pd.Timestamp(known[1])
             pdf = pdf[(pdf["ts"] > when) | ((pdf["ts"] == when) & (pdf["tiebreak"] > known[2]))]
@@ -106,18 +115,39 @@ class ChangeDetector(StatefulProcessor):
         if len(pdf):
             end = pdf.iloc[-1]
             self.last.update((end["content_hash"], end["ts"].to_pydatetime(), int(end["tiebreak"])))
+            if self.expires and not held:
+                self.handle.registerTimer(_millis(end["ts"]))
         yield pd.DataFrame(out, columns=CHANGE_SCHEMA.fieldNames())
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            at = _millis(self.last.get()[1])
+            if at > timerValues.getCurrentWatermarkInMs():
+                self.handle.registerTimer(at)
+            else:
+                self.last.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
+def _millis(when) -> int:
+    return pd.Timestamp(when).value // 1_000_000
+
+
 def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: str | None = None,
-                   ttl_days: int | None = None) -> DataFrame:
+                   ttl_days: int | None = None, expire_days: int | None = 30) -> DataFrame:
     """STR-4: changes of an entity's content hash across the stream, with
     keyed state (last hash + place). Rows without a time or a hash are left
     out. Bound a micro-batch with ``max_files_per_trigger``.
 
+    An entity not seen for ``expire_days`` of the stream's own time is
+    forgotten, and 'new' when it comes back: the watermark follows the newest
+    row by that much, and timers on it end the state, under ``AvailableNow``
+    too. Rows older than the watermark are left out. With None for it state is
+    kept for good; it does not count beside ``ttl_days``.
+
     ``ttl_days`` (e.g. 30) expires an entity's state after that long without
     updates; it needs processing-time mode, so use it with a continuous
     (processing-time) trigger: under ``AvailableNow`` pending expiries keep
@@ -127,9 +157,12 @@ def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: st
                     (qcol(tiebreak) if tiebreak else F.lit(0)).cast("long").alias("tiebreak")) \
         .filter(F.col("ts").isNotNull() & F.col("content_hash").isNotNull())
     ttl = ttl_days * 24 * 3600 * 1000 if ttl_days else None
+    expires = bool(expire_days) and not ttl
+    if expires:
+        src = src.withWatermark("ts", f"{expire_days} days")
     return src.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=ChangeDetector(ttl), outputStructType=CHANGE_SCHEMA,
-        outputMode="Append", timeMode="ProcessingTime" if ttl else "None")
+        statefulProcessor=ChangeDetector(ttl, expires), outputStructType=CHANGE_SCHEMA,
+        outputMode="Append", timeMode="ProcessingTime" if ttl else "EventTime" if expires else "None")
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:

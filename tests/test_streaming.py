@@ -81,6 +81,23 @@ def test_late_rows_change_nothing(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == before
 
 
+def test_entities_unseen_for_long_are_new_again(spark):
+    """State ends by the stream's own time: 'gone' and 'late' were last seen 30 days before the newest row."""
+    src_dir, sink, ck = scratch_path(spark, "src"), scratch_path(spark, "sink"), scratch_path(spark, "ck")
+    at = lambda m, d: dt.datetime(2024, m, d)
+    job = lambda: S.stream_changes(spark.readStream.schema(SCHEMA).parquet(src_dir), "url", "ts", "h")
+    for rows in ([("gone", "a", "200", at(1, 1)), ("kept", "a", "200", at(1, 1)), ("late", "a", "200", at(1, 1))],
+                 [("kept", "a", "200", at(1, 25)), ("other", "a", "200", at(2, 5))],
+                 [("gone", "a", "200", at(2, 6)), ("kept", "b", "200", at(2, 6)), ("late", "b", "200", at(1, 3))],
+                 [("gone", "b", "200", at(2, 7))]):
+        _write(spark, src_dir, rows)
+        with S.rocksdb_state(spark):
+            out = _drain(spark, job(), sink, ck)
+    got = sorted((r.entity, r.ts.month, r.ts.day, r.change, r.prev_hash) for r in out.collect() if r.entity != "other")
+    assert got == [("gone", 1, 1, "new", None), ("gone", 2, 6, "new", None), ("gone", 2, 7, "changed", "a"),
+                   ("kept", 1, 1, "new", None), ("kept", 2, 6, "changed", "a"), ("late", 1, 1, "new", None)]
+
+
 def test_change_detector_loads_without_the_package(tmp_path):
     import subprocess
     import sys
