@@ -35,6 +35,7 @@ from strata.plans import listing as LS  # noqa: E402
 from strata.plans import panel as PN  # noqa: E402
 from strata.plans import flows as FLOWS  # noqa: E402
 from strata.sources import api as API  # noqa: E402
+from strata.sources import archive as A  # noqa: E402
 from strata.sources.archive import archive_from_pages, with_archive_paths  # noqa: E402
 from strata.sources.tables import load  # noqa: E402
 from strata.sources import files as SRC  # noqa: E402
@@ -534,6 +535,25 @@ def _panel_lineage(spark, d):  # EXT-6, AGG-11, JN-3, FLT-4, EXT-7, PRJ-6, SNK-5
     return out.withColumns({"fetched_at": ts("fetched_at"), "hash_chars": F.length("content_hash")}).drop("content_hash")
 
 
+@reg("archive_files", "SELECT page_id, CASE WHEN (page_id % 11 = 3 OR html IS NULL) THEN 'no_body' WHEN page_id % 13 = 5 THEN 'no_sidecar' "
+     "WHEN page_id % 17 = 7 THEN 'partial' ELSE 'ok' END AS archive_status, "
+     "CASE WHEN page_id % 13 <> 5 OR (page_id % 11 = 3 OR html IS NULL) THEN url END AS source_url, CASE WHEN (page_id % 11 = 3 OR html IS NULL) THEN NULL "
+     "WHEN page_id % 17 = 7 THEN sha256('<') ELSE sha256(html) END AS body_sha256 FROM pages")
+def _archive_files(spark, d):  # SRC-3: body and sidecar a response, some lost or cut off
+    root, page = scratch_path(spark, "archive-files"), F.col("page_id")
+    arch = A.archive_from_pages(load(spark, d, "pages"))
+    lost, alone, cut = (page % 11 == 3) | F.col("body").isNull(), page % 13 == 5, page % 17 == 7
+    meta = F.to_json(F.struct("source_url", "final_url", F.col("fetched_at").cast("string").alias("fetched_at"), "status_code",
+                              "content_hash", "headers"))
+    files = arch.select(F.concat(F.lit("page-"), page).alias("stem"), "headers",
+                        F.when(lost, None).when(cut, F.lit(b"<")).otherwise(F.col("body")).alias("body"),
+                        F.when(alone & ~lost, None).otherwise(meta).alias("meta"))
+    A.write_archive_files(files, root + "/raw", root + "/meta")
+    out = A.read_archive_files(spark, root + "/raw", root + "/meta")
+    return out.select(F.substring_index("stem", "-", -1).cast("long").alias("page_id"), "archive_status", "source_url",
+                      R.content_hash("body").alias("body_sha256"))
+
+
 @reg("seed_or_discovered", "WITH b AS (SELECT c_name, c_custkey, 0 AS prio FROM customer WHERE c_mktsegment = 'SEED' "
      "UNION ALL SELECT c_name, c_custkey, 1 FROM customer) SELECT c_name, c_custkey FROM b "
      "WHERE prio = (SELECT min(prio) FROM b) ORDER BY c_custkey LIMIT 50")

@@ -1,5 +1,6 @@
 """Rows keyed by content, ranks found by refinement, lines on every page."""
 
+import hashlib
 import html
 import random
 import statistics
@@ -216,3 +217,19 @@ def test_panel_lineage_takes_the_month_page_where_the_day_page_is_short(spark):
         "silent": [("202402", "no_items", "raw/d/silent202402", False, None)],
         "unlisted": [("202312", "no_items", "raw/d/unlisted202312", False, None)],
     }
+
+
+def test_two_file_archive_reports_what_is_lost(spark):
+    from strata.sources import archive as A
+    root = scratch_path(spark, "files")
+    meta = lambda url, body: '{"source_url": "%s", "content_hash": "%s"}' % (url, hashlib.sha256(body).hexdigest())
+    rows = [("whole", b"<p>1</p>", meta("w", b"<p>1</p>")), ("empty", b"", meta("e", b"")), ("cut", b"<p", meta("c", b"<p>1</p>")),
+            ("no body", None, meta("n", b"x")), ("no-sidecar", b"y", None), ("broken", b"z", '{"source_url": "b'), ("unhashed", b"u", '{"final_url": "u"}')]
+    df = spark.createDataFrame([(s, {"Content-Type": "text/html"}, b, m) for s, b, m in rows],
+                               "stem string, headers map<string,string>, body binary, meta string")
+    A.write_archive_files(df, root + "/raw", root + "/meta")
+    A.write_archive_files(df, root + "/raw", root + "/meta")  # the same files again
+    got = {r["stem"]: (r["archive_status"], None if r["body"] is None else bytes(r["body"]))
+           for r in A.read_archive_files(spark, root + "/raw", root + "/meta").collect()}
+    want = {"whole": "ok", "empty": "ok", "cut": "partial", "no body": "no_body", "no-sidecar": "no_sidecar", "broken": "partial", "unhashed": "ok"}
+    assert got == {s: (want[s], b) for s, b, _ in rows}
