@@ -457,6 +457,33 @@ def _listing_details(spark, d):
                       "content_hash", "row_kind", "error")
 
 
+def _extracted(pages):
+    return FLOWS.extract_records(archive_from_pages(pages).drop("page_id"))
+
+
+@reg("listing_records", f"WITH {O.links_cte(None)}, arch AS (SELECT url AS source_url, 200 AS status_code, "
+     "sha256(html) AS content_hash FROM pages) SELECT k.link AS source_url, p.url AS listing_url, "
+     "sha256(p.html) AS listing_content_hash, k.pos, a.status_code, a.content_hash, a.source_url IS NOT NULL AS extracted, "
+     "CASE WHEN a.source_url IS NULL THEN 'no archived response' END AS error "
+     "FROM kept k JOIN pages p ON k.page_id = p.page_id LEFT JOIN arch a ON a.source_url = k.link")
+def _listing_records(spark, d):  # the listing flow: links -> extracted detail records, or failures
+    pages = load(spark, d, "pages")
+    out = FLOWS.listing_dataset(pages, _extracted(pages), base="url", listing_url="url")
+    return out.select("source_url", "listing_url", "listing_content_hash", "pos", "status_code", "content_hash",
+                      F.col("text").isNotNull().alias("extracted"), "error")
+
+
+@reg("url_list_records", f"WITH {O.links_cte(None)}, {O.BATCH} SELECT source_url, status_code, content_hash, error, "
+     "row_kind = 0 AS extracted FROM batch")
+def _url_list_records(spark, d):  # the URL-list flow: a file of URLs -> extracted records, or failures
+    pages = load(spark, d, "pages")
+    path = scratch_path(spark, "urls") + "/urls.csv"
+    urls = pages.select("url").unionByName(LK.discover_links(pages).select(F.col("link").alias("url")))
+    urls.write.option("header", True).option("escape", '"').csv(path)
+    out = FLOWS.url_list_dataset(spark, path, _extracted(pages))
+    return out.select("source_url", "status_code", "content_hash", "error", F.col("text").isNotNull().alias("extracted"))
+
+
 @reg("api_observations", f"WITH {O.OBS} SELECT * FROM obs")
 def _api_observations(spark, d):
     return PN.api_observations(load(spark, d, "events"))
