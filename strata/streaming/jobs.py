@@ -13,10 +13,10 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -74,15 +74,26 @@ CHANGE_SCHEMA = T.StructType([
     T.StructField("prev_hash", T.StringType()),
     T.StructField("change", T.StringType()),
 ])
-_STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("ts", T.TimestampType()),
+#: A row an entity and micro-batch: where its hash differs from the one before
+#: (microseconds since the epoch), the hashes there, and the one known before.
+_OUT_SCHEMA = T.StructType([T.StructField("entity", T.StringType()), T.StructField("at", T.ArrayType(T.LongType())),
+                            T.StructField("hashes", T.ArrayType(T.StringType())), T.StructField("known", T.StringType())])
+_STATE_SCHEMA = T.StructType([T.StructField("hash", T.StringType()), T.StructField("at", T.LongType()),
                               T.StructField("tiebreak", T.LongType())])
 
 
+def _place(at: int, tiebreak: int | None) -> tuple:
+    """Order of an entity's rows; a missing tiebreak comes last."""
+    return at, tiebreak is None, tiebreak or 0
+
+
 class ChangeDetector(StatefulProcessor):
-    """Per entity: the last content hash and its (time, tiebreak). Emits a row
-    when the hash of a new observation differs ('changed') or none is known
-    ('new'). Rows of one micro-batch are ordered by (time, tiebreak) first;
-    rows not after the stored place are late and change nothing.
+    """Per entity: the last content hash and its (time, tiebreak). Emits
+    where the hash of a new observation differs ('changed') or none is known
+    ('new'), all of an entity's in one row. Rows of one micro-batch are
+    ordered by (time, tiebreak) first; rows not after the stored place are
+    late and change nothing. A data frame or an output row for each of them
+    would cost many times the work itself.
 
     With ``expires``, what is known of an entity ends when the watermark
     reaches its time. One timer an entity is pending as long as it has state:
@@ -97,31 +108,31 @@ class ChangeDetector(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", _STATE_SCHEMA, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "tiebreak"], kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = sorted(((_place(r.at, r.tiebreak), r.content_hash) for r in rows), key=itemgetter(0))
         held = known = self.last.get() if self.last.exists() else None
-        if known and self.expires and _millis(known[1]) <= timerValues.getCurrentWatermarkInMs():
+        if known and self.expires and known[1] // 1000 <= timerValues.getCurrentWatermarkInMs():
             known = None
         if known:
-            when = pd.Timestamp(known[1])
-            pdf = pdf[(pdf["ts"] > when) | ((pdf["ts"] == when) & (pdf["tiebreak"] > known[2]))]
-        prev = known[0] if known else None
-        # a row counts where its hash differs from the one before it
-        before = pdf["content_hash"].shift(1)
-        before.iloc[:1] = prev
-        change = pdf[["ts", "content_hash"]].assign(prev_hash=before)
-        out = [(key[0], t, h, p, "changed" if p else "new")
-               for t, h, p in change[change["content_hash"] != before].itertuples(index=False)]
-        if len(pdf):
-            end = pdf.iloc[-1]
-            self.last.update((end["content_hash"], end["ts"].to_pydatetime(), int(end["tiebreak"])))
+            place = _place(known[1], known[2])
+            new = [r for r in new if r[0] > place]
+        first = prev = known[0] if known else None
+        at, hashes = [], []
+        for place, h in new:
+            if h != prev:
+                at.append(place[0])
+                hashes.append(h)
+            prev = h
+        if new:
+            end, missing, tiebreak = new[-1][0]
+            self.last.update((prev, end, None if missing else tiebreak))
             if self.expires and not held:
-                self.handle.registerTimer(_millis(end["ts"]))
-        yield pd.DataFrame(out, columns=CHANGE_SCHEMA.fieldNames())
+                self.handle.registerTimer(end // 1000)
+        return iter([Row(entity=key[0], at=at, hashes=hashes, known=first)] if at else [])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.last.exists():
-            at = _millis(self.last.get()[1])
+            at = self.last.get()[1] // 1000
             if at > timerValues.getCurrentWatermarkInMs():
                 self.handle.registerTimer(at)
             else:
@@ -132,10 +143,6 @@ class ChangeDetector(StatefulProcessor):
         pass
 
 
-def _millis(when) -> int:
-    return pd.Timestamp(when).value // 1_000_000
-
-
 def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: str | None = None,
                    ttl_days: int | None = None, expire_days: int | None = 30) -> DataFrame:
     """STR-4: changes of an entity's content hash across the stream, with
@@ -160,9 +167,13 @@ def stream_changes(df: DataFrame, entity: str, ts: str, chash: str, tiebreak: st
     expires = bool(expire_days) and not ttl
     if expires:
         src = src.withWatermark("ts", f"{expire_days} days")
-    return src.groupBy("entity").transformWithStateInPandas(
-        statefulProcessor=ChangeDetector(ttl, expires), outputStructType=CHANGE_SCHEMA,
+    found = src.withColumn("at", F.unix_micros("ts")).groupBy("entity").transformWithState(
+        statefulProcessor=ChangeDetector(ttl, expires), outputStructType=_OUT_SCHEMA,
         outputMode="Append", timeMode="ProcessingTime" if ttl else "EventTime" if expires else "None")
+    prev = F.when(F.col("i") > 0, F.get("hashes", F.col("i") - 1)).otherwise(F.col("known"))
+    return found.select("*", F.posexplode("at").alias("i", "micros")).select(
+        "entity", F.timestamp_micros("micros").alias("ts"), F.get("hashes", F.col("i")).alias("content_hash"),
+        prev.alias("prev_hash"), F.when(F.coalesce(prev, F.lit("")) == "", "new").otherwise("changed").alias("change"))
 
 
 def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> str:

@@ -106,3 +106,41 @@ def test_change_detector_loads_without_the_package(tmp_path):
     file.write_bytes(cloudpickle.dumps(S.ChangeDetector(None)))
     code = f"import pickle, sys; d = pickle.load(open({str(file)!r}, 'rb')); assert d.ttl_ms is None and 'strata' not in sys.modules"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
+
+
+class _Held:
+    """State and timers of one entity, kept here."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+
+    def update(self, value):
+        self.value = value
+
+    def getValueState(self, *args):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return 0
+
+
+def test_change_detector_takes_plain_rows_and_gives_one_an_entity():
+    from pyspark.sql import Row
+    held = _Held()
+    d = S.ChangeDetector(None, expires=True)
+    d.init(held)
+    obs = lambda *rows: iter([Row(at=a, tiebreak=t, content_hash=h) for a, t, h in rows])
+    out = list(d.handleInputRows(("e",), obs((3000, 1, "b"), (1000, 1, "a"), (2000, 1, "a")), held))
+    assert out == [Row(entity="e", at=[1000, 3000], hashes=["a", "b"], known=None)]
+    assert held.value == ("b", 3000, 1) and held.timers == [3]
+    # the same time with no tiebreak comes last; an earlier row is late
+    out = list(d.handleInputRows(("e",), obs((2500, 9, "z"), (3000, None, "c")), held))
+    assert out == [Row(entity="e", at=[3000], hashes=["c"], known="b")]
+    assert held.value == ("c", 3000, None) and held.timers == [3]
+    assert not list(d.handleInputRows(("e",), obs((3000, 5, "q")), held))
