@@ -48,7 +48,7 @@ def op5_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_level_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substrings.dedup(_documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")  # runs all levels
 
 
 def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

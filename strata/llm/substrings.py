@@ -10,9 +10,10 @@ double, and only what repeats at one length is looked at at twice that length:
   windows have equal anchors, and neighbouring windows mostly share one.
   Anchors seen in one document alone end here, with the windows around them.
 * level 1, ``window`` words: windows around repeated anchors; those that also
-  start in an earlier document are hits, and their words go.
-* further levels (``maximal=True``) join hits at twice the length for as long
-  as any survive, and report the longest length found in each document.
+  start in an earlier document are hits.
+* further levels make windows of twice the length from two repeated halves, for
+  as long as any survive. Words go by the longest windows found: a hit that a
+  hit of the next level begins or ends with is not reported again.
 
 Equal documents are settled first, by a digest of their word sequence, so a
 group of copies costs one row a copy. Texts cross a shuffle twice: to their
@@ -241,85 +242,91 @@ def _with_rows(found: DataFrame, by_chunk: DataFrame) -> DataFrame:
     return by_chunk.join(found.select("id", "row", "tag", "more", "base", F.explode(chunks).alias("chunk")), "chunk")
 
 
-def longest(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(id, tag, more, longest)``: the longest of ``window``, twice, four
-    times ... as many words at which a passage of the row also starts in an
-    earlier document. Ends when no candidates survive."""
+def levels(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(id, chunk, low, length)``: the windows of ``window``, twice, four
+    times ... as many words that also start in an earlier document, by place;
+    of these only such as no window of the next level covers by its own start
+    or by its second half's. Ends when no candidates survive."""
+    at = [F.shiftright("place", CHUNK).alias("chunk"),
+          F.col("place").bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int").alias("low")]
     out, length = None, window
-    level = _windows(found)
+    level = materialize(_survivors(_windows(found)), "level")
     while True:
-        level = materialize(_survivors(level), "level")
-        if not level.take(1):
-            break
-        here = level.where("id > lo").select(F.shiftright("place", CHUNK).alias("chunk"), F.lit(length).alias("longest")).distinct()
-        out = here if out is None else out.unionByName(here)
+        hits = level.where("id > lo").select("id", "place")
         tail = level.select((F.col("place") - length).alias("place"), F.col("dig").alias("tail"))
-        level = level.join(tail, "place").select("id", "place", F.xxhash64("dig", "tail").alias("dig"))
-        length *= 2
-    if out is None:
-        return found.select("id", "tag", "more", F.lit(0).alias("longest")).limit(0)
-    return _with_rows(found, out.groupBy("chunk").agg(F.max("longest").alias("longest"))) \
-        .groupBy("id", "tag", "more").agg(F.max("longest").alias("longest"))
-
-
-def _hits(found: DataFrame) -> DataFrame:
-    """``(id, row, tag, more, gone)``: where the windows begin that go from a
-    row. Written, so that no window's shuffle is held while texts move."""
-    low = F.col("place").bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int")
-    by_chunk = _survivors(_windows(found)).where("id > lo").groupBy(F.shiftright("place", CHUNK).alias("chunk")) \
-        .agg(F.collect_set(low).alias("low"))  # at most a chunk's words
+        twice = level.join(tail, "place").select("id", "place", F.xxhash64("dig", "tail").alias("dig"))
+        above = materialize(_survivors(twice), "level")
+        more = bool(above.take(1))
+        if more:
+            starts = above.where("id > lo").select(F.explode(F.array("place", F.col("place") + length)).alias("place"))
+            hits = hits.join(starts, "place", "left_anti")
+        here = hits.select("id", *at, F.lit(length).alias("length"))
+        out = here if out is None else out.unionByName(here)
+        if not more:
+            return out
+        level, length = above, 2 * length
+
+
+def _hits(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(id, row, tag, more, longest, gone)``: from which words (``at``) how
+    many (``n``) go from a row. Written, so that no window's shuffle is held
+    while texts move."""
+    by_chunk = levels(found, window).groupBy("chunk").agg(
+        F.collect_set(F.struct("low", "length")).alias("low"))  # at most a chunk's words
     from_base = (F.shiftleft("chunk", CHUNK) - F.col("base")).cast("int")
-    held = _with_rows(found, by_chunk).select("id", "row", "tag", "more", F.transform("low", lambda x: x + from_base).alias("gone"))
-    return materialize(held.groupBy("id", "row", "tag", "more").agg(F.flatten(F.collect_list("gone")).alias("gone")), "hits")
+    held = _with_rows(found, by_chunk).select("id", "row", "tag", "more", F.transform("low", lambda x: F.struct(
+        (x["low"] + from_base).alias("at"), x["length"].alias("n"))).alias("gone"))
+    return materialize(held.groupBy("id", "row", "tag", "more").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+                       .withColumn("longest", F.array_max(F.col("gone")["n"])), "hits")
 
 
-def _cut(words: list[bytes], first: np.ndarray, window: int) -> list[bytes]:
+def _cut(words: list[bytes], first: np.ndarray, n: np.ndarray) -> list[bytes]:
     edge = np.zeros(len(words) + 1, np.int64)
     np.add.at(edge, first.astype(np.int64), 1)
-    np.add.at(edge, first.astype(np.int64) + window, -1)
+    np.add.at(edge, first.astype(np.int64) + n, -1)
     return [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
 
 
-def _removed(docs: DataFrame, hits: DataFrame, window: int) -> DataFrame:
-    """``(id, whole, n_removed, kept_sha256, kept_text)`` of the rows that lose
+def _removed(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(id, whole, n_removed, kept_sha256, kept_text, longest)`` of the rows that lose
     words by hits."""
     def cut(batches):
         for batch in batches:
             rows = []
             tags = zip(batch.column("tag").to_pylist(), batch.column("more").to_pylist(), strict=True)
-            for i, tag, t, gone in zip(batch.column("id").to_pylist(), tags,
-                                       text_of(batch).to_pylist(), batch.column("gone"), strict=True):
+            for i, tag, t, gone, far in zip(batch.column("id").to_pylist(), tags, text_of(batch).to_pylist(),
+                                            batch.column("gone"), batch.column("longest").to_pylist(), strict=True):
                 words = t.encode().split()
                 whole = _digest(words)
                 if _tag(whole) == tag:
-                    left = _cut(words, gone.values.to_numpy(), window)
-                    rows.append((i, whole, len(words) - len(left), _digest(left), b" ".join(left).decode()))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+                    left = _cut(words, *(gone.values.field(c).to_numpy() for c in ("at", "n")))
+                    rows.append((i, whole, len(words) - len(left), _digest(left), b" ".join(left).decode(), far))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                                             names=["id", "whole", "n_removed", "kept_sha256", "kept_text"])
+                                             names=["id", "whole", "n_removed", "kept_sha256", "kept_text", "longest"])
 
     return split_join(_keyed(docs), hits.drop("id"), "row").mapInArrow(
-        cut, "id long, whole string, n_removed long, kept_sha256 string, kept_text string")
+        cut, "id long, whole string, n_removed long, kept_sha256 string, kept_text string, longest int")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, maximal: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256, kept_text)`` per row of
     ``docs``: ``kept_text`` is the words left, joined by single spaces, or null
-    where none was removed; ``kept_sha256`` the digest of the words left. ``maximal`` adds ``longest`` (see :func:`longest`)."""
+    where none was removed; ``kept_sha256`` the digest of the words left. ``maximal`` adds
+    ``longest``, the longest level of a hit (0: none, or a copy of an earlier document)."""
     plain = materialize(plain_rows(docs), "plain")
     copies = materialize(_copies(plain, window), "copies")
     found = materialize(candidates(docs, copies, window, anchor), "candidates")
     emptied = copies.select("id", "whole").distinct().select("id", "whole", F.lit(None).cast("long").alias("n_removed"),
-                            F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text"))
-    changed = _removed(docs, _hits(found), window).dropDuplicates(["id", "whole"]).unionByName(emptied)
+                            F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text"),
+                            F.lit(None).cast("int").alias("longest"))
+    changed = _removed(docs, _hits(found, window)).dropDuplicates(["id", "whole"]).unionByName(emptied)
     out = plain.join(changed, ["id", "whole"], "left")
     lost = F.col("kept_sha256").isNotNull()
     cols = ["doc_id", "n_words", F.when(lost, F.coalesce("n_removed", "n_words")).otherwise(F.lit(0)).alias("n_removed"),
             F.coalesce("kept_sha256", "whole").alias("kept_sha256"), "kept_text"]
     if maximal:
-        far = longest(found, window)
-        out = out.select("*", *_tag_columns("whole")).join(far, ["id", "tag", "more"], "left")
         cols.append(F.coalesce("longest", F.lit(0)).alias("longest"))
     return out.select(*cols)
 
@@ -330,8 +337,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     lose none stay as they are."""
     plain = materialize(plain_rows(docs), "plain")
     copies = materialize(_copies(plain, window), "copies")
-    hits = _hits(materialize(candidates(docs, copies, window, anchor), "candidates"))
-    copied = copies.select("row", *_tag_columns("whole"), F.lit(None).cast("array<int>").alias("gone"))
+    hits = _hits(materialize(candidates(docs, copies, window, anchor), "candidates"), window)
+    copied = copies.select("row", *_tag_columns("whole"), F.lit(None).cast(hits.schema["gone"].dataType).alias("gone"))
     names = docs.columns
     marks = "marks" + "_" * max((len(n) for n in names), default=0)  # no column of docs is named so
     here = "row" + "_" * max((len(n) for n in names), default=0)
@@ -350,7 +357,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
                     for m in marks_[int(i)].as_py():
                         if (m["tag"], m["more"]) == tag:
                             new[i] = "" if m["gone"] is None else \
-                                b" ".join(_cut(words, np.array(m["gone"]), window)).decode()
+                                b" ".join(_cut(words, *(np.array([g[c] for g in m["gone"]]) for c in ("at", "n")))).decode()
                 cols = {n: some.column(n) for n in names}
                 cols["text"] = pa.array(new, cols["text"].type)
                 if "n_chars" in cols:

@@ -190,6 +190,22 @@ def test_empty_tables(spark, empty_dir, name):
     assert Q.QUERIES[name](spark, empty_dir).collect() == []
 
 
+def test_words_go_by_the_longest_windows_found(spark):
+    """A passage of 60 words goes by windows of 52, made by doubling, not by its 13-word ones."""
+    from strata.llm import substrings
+    passage = [f"p{i}" for i in range(60)]
+    texts = {1: ["a"] * 3 + passage, 2: ["b"] * 5 + passage + ["c"] * 4, 3: passage[:20] + ["d"], 4: passage[10:40]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    copies = substrings._copies(substrings.plain_rows(docs), substrings.WINDOW)
+    hits = substrings._hits(substrings.candidates(docs, copies, substrings.WINDOW, substrings.ANCHOR)).collect()
+    got = {r["id"]: {(g["at"], g["n"]) for g in r["gone"]} for r in hits}
+    assert got == {2: {(5 + k, 52) for k in range(9)} | {(5 + k, 26) for k in range(9, 26)},
+                   3: {(k, 13) for k in range(8)},
+                   4: {(k, 26) for k in range(5)} | {(k, 13) for k in range(5, 13)}}
+    left = {r["doc_id"]: r["n_removed"] for r in substrings.dedup(docs).collect()}
+    assert left == {1: 0, 2: 60, 3: 20, 4: 30}
+
+
 def test_longest_repeats(spark):
     from strata.llm import substrings
 
