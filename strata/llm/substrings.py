@@ -11,16 +11,20 @@ double, and only what repeats at one length is looked at at twice that length:
   Anchors seen in one document alone end here, with the windows around them.
 * level 1, ``window`` words: windows around repeated anchors; those that also
   start in an earlier document are hits.
+* neighbouring windows that survive make a stretch. What documents with an equal
+  stretch have in common is settled by its digest: all its windows, of all
+  lengths, repeat. Only one stretch of each kind goes on.
 * further levels make windows of twice the length from two repeated halves, for
-  as long as any survive. Words go by the longest windows found: a hit that a
-  hit of the next level begins or ends with is not reported again.
+  as long as any survive that stretches of different words share. Words go by
+  the longest windows found: a hit that a hit of the next level begins or ends
+  with is not reported again.
 
 Equal documents are settled first, by a digest of their word sequence, so a
 group of copies costs one row a copy. Texts cross a shuffle twice: to their
 repeated anchors, and to their hits. Both times a row is found by ``row``, 64
 bits of its id and text, and then known by 96 bits of its words' digest: what
 rows under one (null) id repeat stays apart. A window that crosses a shuffle is
-three numbers: its document, its place (see :func:`_bases`) and its digest.
+a few numbers: its document, its place (see :func:`_bases`) and its digest.
 
 Edge cases: a null or empty text has no words; ``doc_id`` null sorts after
 every other and takes no words from others; rows that share a ``doc_id`` take
@@ -35,13 +39,15 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.arrays import Block, blocks, hash_spans, signed, text_of, windows
+from strata.llm.arrays import Block, blocks, hash_spans, mix, signed, text_of, windows
 from strata.llm.skew import split_join
-from strata.session import materialize
+from strata.session import free_shuffles, materialize
 
 WINDOW, ANCHOR = 13, 6
 #: Stands for a null ``doc_id`` in comparisons: larger than any other.
@@ -79,6 +85,13 @@ def _key(ids: pa.Array) -> np.ndarray:
     return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``; the shuffle files that went into the table go at once,
+    not when the driver next collects its garbage."""
+    with free_shuffles(df.sparkSession):
+        return materialize(df, name)
+
+
 def _read(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -174,10 +187,10 @@ def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) ->
     hold a repeated anchor: where the windows around those begin, and their
     digests; ``base`` and ``last`` are the places of the first word and of the
     last window."""
-    hot = materialize(_seen(docs, "id", window, anchor).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    hot = _written(_seen(docs, "id", window, anchor).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
                       .where("lo < hi").select("h"), "repeated-anchors")
     gone = copies.groupBy("row").agg(F.collect_set("whole").alias("gone"))
-    marked = _seen(docs, "row", window, anchor).join(hot, "h").groupBy("row").agg(F.collect_set("h").alias("hot")) \
+    marked = _seen(docs, "row", window, anchor).join(hot.hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_set("h").alias("hot")) \
         .join(gone, "row", "left")  # at most a row's own anchors
 
     def around(batches):
@@ -187,9 +200,10 @@ def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) ->
             for a, e in blocks(texts):
                 b = Block(texts, a, e)
                 b.split()
-                h, doc, first, last = _anchors(hash_spans(b.data, b.starts, b.ends), b.woff, window, anchor)
+                words = hash_spans(b.data, b.starts, b.ends)
+                h, doc, first, last = _anchors(words, b.woff, window, anchor)
                 h = signed(h)
-                long, _ = windows(hash_spans(b.data, b.starts, b.ends), b.woff, window)
+                long, _ = windows(words, b.woff, window)
                 long = signed(long)
                 room = np.maximum(np.diff(b.woff) - window + 1, 0)
                 start = np.cumsum(room) - room
@@ -223,60 +237,230 @@ def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) ->
         around, "id long, row long, tag int, more long, base long, last long, pos array<int>, dig array<long>")
 
 
-def _survivors(level: DataFrame) -> DataFrame:
-    """The windows of ``level`` whose digest two documents have, with the
+def _survivors(windows: DataFrame) -> DataFrame:
+    """The rows of ``windows`` whose digest two documents have, with the
     smallest of their ids as ``lo``."""
-    two = level.groupBy("dig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("dig", "lo")
-    return split_join(level, two, "dig")
+    two = windows.groupBy("dig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("dig", "lo")
+    return split_join(windows, two.hint("shuffle_hash"), "dig")
 
 
 def _windows(found: DataFrame) -> DataFrame:
-    """``(id, place, dig)``, a row a window."""
+    """``(id, base, place, dig)``, a row a window."""
     return found.select("id", "base", F.explode(F.arrays_zip("pos", "dig")).alias("w")) \
-        .select("id", (F.col("base") + F.col("w.pos")).alias("place"), "w.dig")
+        .select("id", "base", (F.col("base") + F.col("w.pos")).alias("place"), "w.dig")
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
-def _with_rows(found: DataFrame, by_chunk: DataFrame) -> DataFrame:
-    """``by_chunk``, one row a ``chunk`` of places, with its row's keys and ``base``."""
-    chunks = F.sequence(F.shiftright("base", CHUNK), F.shiftright("last", CHUNK))
-    return by_chunk.join(found.select("id", "row", "tag", "more", "base", F.explode(chunks).alias("chunk")), "chunk")
+def _stretches(level: DataFrame) -> DataFrame:
+    """``(id, base, place, n, same, dig, hit)``: the runs of ``n`` neighbouring
+    windows of ``(id, base, place, dig, hit)``, with a digest ``same`` of all
+    their words. Windows of two rows are never neighbours (see :func:`_bases`)."""
+    names = ["id", "base", "place", "dig", "hit"]
 
+    def cut(cols, cuts):
+        i, base, place, dig, hit = cols
+        first = cuts[:-1]
+        same = [xxhash.xxh64_intdigest(dig[x:y].tobytes()) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(i[first]), pa.array(base[first]), pa.array(place[first]), pa.array(np.diff(cuts).astype(np.int32)),
+             pa.array(signed(np.array(same, np.uint64))), _lists(dig, cuts, pa.int64()), _lists(hit, cuts, pa.bool_())],
+            names=["id", "base", "place", "n", "same", "dig", "hit"])
+
+    def runs(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(cols[2]) != 1) + 1])
+            held = [c[cuts[-1]:] for c in cols]
+            if len(cuts) > 1:
+                yield cut([c[:cuts[-1]] for c in cols], cuts)
+        if held is not None:
+            yield cut(held, np.array([0, len(held[0])]))
+
+    return level.repartition("base").sortWithinPartitions("place").mapInArrow(
+        runs, "id long, base long, place long, n int, same long, dig array<long>, hit array<boolean>")
+
+
+_PAIRED = "kind long, place long, lo long, hi long, dig long"
+
+
+def _paired(rows: list[np.ndarray], length: int) -> pa.RecordBatch:
+    """Windows of ``2 * length`` words from two of ``length`` in one stretch;
+    ``rows`` by place: stretch, place, lo, hi, digest."""
+    kind, place, lo, hi, dig = rows
+    tail = np.searchsorted(place, place + length)
+    ok = tail < len(place)
+    tail[~ok] = 0
+    ok &= (place[tail] == place + length) & (kind[tail] == kind)
+    tail = tail[ok]
+    with np.errstate(over="ignore"):
+        twice = signed(mix(mix(dig[ok].view(np.uint64) + np.uint64(length)) ^ (dig[tail].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (kind[ok], place[ok], lo[ok], hi[ok], twice)],
+                                      names=["kind", "place", "lo", "hi", "dig"])
+
+
+def _first_pairs(kinds: DataFrame, length: int) -> DataFrame:
+    """The windows of twice the first length in the stretches ``(place, lo, hi, dig)``."""
+    def pairs(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                digs = some.column("dig")
+                n = pc.list_value_length(digs).to_numpy(zero_copy_only=False).astype(np.int64)
+                kind, lo, hi = (np.repeat(some.column(c).to_numpy(zero_copy_only=False), n) for c in ("place", "lo", "hi"))
+                place = kind + np.arange(len(kind)) - np.repeat(np.cumsum(n) - n, n)
+                order = np.argsort(place, kind="stable")
+                yield _paired([c[order] for c in (kind, place, lo, hi, digs.flatten().to_numpy(zero_copy_only=False))], length)
 
-def levels(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(id, chunk, low, length)``: the windows of ``window``, twice, four
-    times ... as many words that also start in an earlier document, by place;
-    of these only such as no window of the next level covers by its own start
-    or by its second half's. Ends when no candidates survive."""
-    at = [F.shiftright("place", CHUNK).alias("chunk"),
-          F.col("place").bitwiseAND(F.lit((1 << CHUNK) - 1)).cast("int").alias("low")]
-    out, length = None, window
-    level = materialize(_survivors(_windows(found)), "level")
+    return kinds.select("place", "lo", "hi", "dig").mapInArrow(pairs, _PAIRED)
+
+
+def _next_pairs(level: DataFrame, length: int) -> DataFrame:
+    """The windows of twice ``length`` words from the windows of ``level``."""
+    names = ["kind", "place", "lo", "hi", "dig"]
+
+    def pairs(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
+            held = [c[last:] for c in cols]
+            if last:
+                yield _paired([c[:last] for c in cols], length)
+        if held is not None:
+            yield _paired(held, length)
+
+    return level.select(*names).repartition("kind").sortWithinPartitions("place").mapInArrow(pairs, _PAIRED)
+
+
+def _shared(windows: DataFrame) -> DataFrame:
+    """The rows of ``windows`` whose digest two stretches of different words
+    and two documents have, with the smallest id as ``least``."""
+    two = windows.groupBy("dig").agg(F.min("lo").alias("least"), F.max("hi").alias("most"), F.min("kind").alias("a"), F.max("kind").alias("b")) \
+        .where("least < most and a < b").select("dig", "least")
+    return split_join(windows, two.hint("shuffle_hash"), "dig")
+
+
+def levels(kinds: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(kind, at, length)``: the windows of twice, four times ... ``window``
+    words that an earlier document has than any with the same stretch, by their
+    place in the stretch. Each is made from two repeated halves; ends when no
+    candidates survive. What documents with the same stretch have in common
+    needs no search: all its windows, of all lengths."""
+    out, length, twice = None, window, _first_pairs(kinds, window)
     while True:
-        hits = level.where("id > lo").select("id", "place")
-        tail = level.select((F.col("place") - length).alias("place"), F.col("dig").alias("tail"))
-        twice = level.join(tail, "place").select("id", "place", F.xxhash64("dig", "tail").alias("dig"))
-        above = materialize(_survivors(twice), "level")
-        more = bool(above.take(1))
-        if more:
-            starts = above.where("id > lo").select(F.explode(F.array("place", F.col("place") + length)).alias("place"))
-            hits = hits.join(starts, "place", "left_anti")
-        here = hits.select("id", *at, F.lit(length).alias("length"))
+        length *= 2
+        level = _written(_shared(twice), "level")
+        here = level.where("least < lo").select("kind", (F.col("place") - F.col("kind")).cast("int").alias("at"), F.lit(length).alias("length"))
         out = here if out is None else out.unionByName(here)
-        if not more:
+        if not level.take(1):
             return out
-        level, length = above, 2 * length
+        twice = _next_pairs(level, length)
+
+
+def _uncovered(hits: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(at, length) of the hits, by length in ``hits``, that no hit of the next
+    level begins or ends with."""
+    at, lengths = [], []
+    for length, here in sorted(hits.items()):
+        above = hits.get(2 * length)
+        if above is not None:
+            here = np.setdiff1d(here, np.concatenate([above, above + length]))
+        at.append(here)
+        lengths.append(np.full(len(here), length))
+    return np.concatenate(at), np.concatenate(lengths)
+
+
+_GONE = "id long, row long, tag int, more long, gone array<struct<at:int,n:int>>"
+
+
+def _gone(batch: pa.RecordBatch, keep: np.ndarray, at: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+    here = pa.array(keep)
+    spans = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (at, n)], names=["at", "n"])
+    return pa.RecordBatch.from_arrays([batch.column(c).take(here) for c in ("id", "row", "tag", "more")]
+                                      + [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), spans)],
+                                      names=["id", "row", "tag", "more", "gone"])
+
+
+def _all_spans(rows: DataFrame, window: int) -> DataFrame:
+    """``gone`` of stretches all whose windows, of all lengths, are hits; ``at``
+    is a stretch's first word. As :func:`_uncovered` gives: the longest that
+    fit, and of half their length those between the first of these and the last."""
+    def spans(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1024):
+                some = batch.slice(a, 1024)
+                words = some.column("n").to_numpy(zero_copy_only=False).astype(np.int64) + window - 1
+                top = np.full(len(words), window)
+                while (short := 2 * top <= words).any():
+                    top = np.where(short, 2 * top, top)
+                counts = np.maximum(words - top + 1, np.where(top > window, top // 2, 0))
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                at = np.arange(cuts[-1]) - np.repeat(cuts[:-1], counts)
+                top_, room = np.repeat(top, counts), np.repeat(words - top, counts)
+                begin = np.repeat(some.column("at").to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                yield _gone(some, np.arange(len(words)), begin + at, np.where(at <= room, top_, top_ // 2), cuts)
+
+    return rows.select("id", "row", "tag", "more", "n", "at").mapInArrow(spans, _GONE)
+
+
+def _spans(rows: DataFrame, window: int) -> DataFrame:
+    """``gone`` of stretches of which only the windows that ``hit`` marks and
+    those in ``longer`` are hits; ``at`` is a stretch's first word."""
+    def spans(batches):
+        for batch in batches:
+            hit, longer = batch.column("hit"), batch.column("longer")
+            begin = batch.column("at").to_numpy(zero_copy_only=False)
+            marks = hit.flatten().to_numpy(zero_copy_only=False)
+            to, far = (np.cumsum(pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)) for c in (hit, longer))
+            flat = longer.flatten()
+            off, length = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "length"))
+            keep, ats, ns = [], [], []
+            for i in range(batch.num_rows):
+                x, y = (to[i - 1], far[i - 1]) if i else (0, 0)
+                here = np.flatnonzero(marks[x:to[i]])
+                if not len(here):
+                    continue
+                hits = {window: here}
+                if far[i] > y:
+                    mine = length[y:far[i]]
+                    hits |= {int(z): off[y:far[i]][mine == z] for z in np.unique(mine)}
+                at, n = _uncovered(hits)
+                keep.append(i)
+                ats.append(at + begin[i])
+                ns.append(n)
+            if keep:
+                yield _gone(batch, np.array(keep), np.concatenate(ats), np.concatenate(ns),
+                            np.concatenate([[0], np.cumsum([len(z) for z in ats])]))
+
+    return rows.select("id", "row", "tag", "more", "at", "hit", "longer").mapInArrow(spans, _GONE)
 
 
 def _hits(found: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(id, row, tag, more, longest, gone)``: from which words (``at``) how
     many (``n``) go from a row. Written, so that no window's shuffle is held
     while texts move."""
-    by_chunk = levels(found, window).groupBy("chunk").agg(
-        F.collect_set(F.struct("low", "length")).alias("low"))  # at most a chunk's words
-    from_base = (F.shiftleft("chunk", CHUNK) - F.col("base")).cast("int")
-    held = _with_rows(found, by_chunk).select("id", "row", "tag", "more", F.transform("low", lambda x: F.struct(
-        (x["low"] + from_base).alias("at"), x["length"].alias("n"))).alias("gone"))
-    return materialize(held.groupBy("id", "row", "tag", "more").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    found = _written(found, "candidates")  # places hold for one run of its tasks
+    level = _survivors(_windows(found)).select("id", "base", "place", "dig", (F.col("id") > F.col("lo")).alias("hit"))
+    runs = _written(_stretches(level), "stretches")
+    kinds = _written(runs.groupBy("same").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("place").alias("kind")), "kinds")
+    one = _written(runs.select(F.col("place").alias("kind"), "dig").join(kinds, "kind")
+                      .select(F.col("kind").alias("place"), "lo", "hi", "dig"), "one-each")  # one stretch of a kind
+    longer = levels(one, window).groupBy("kind").agg(F.collect_list(F.struct("at", "length")).alias("longer"))  # at most a stretch's windows
+    member = split_join(runs.drop("dig"), kinds.select("same", "lo", "kind"), "same") \
+        .join(found.select("base", "row", "tag", "more"), "base").withColumn("at", (F.col("place") - F.col("base")).cast("int"))
+    first = member.where("id = lo").join(longer, "kind", "left")
+    gone = _spans(first, window).unionByName(_all_spans(member.where("id > lo"), window))
+    return _written(gone.groupBy("id", "row", "tag", "more").agg(F.flatten(F.collect_list("gone")).alias("gone"))
                        .withColumn("longest", F.array_max(F.col("gone")["n"])), "hits")
 
 
@@ -315,9 +499,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, maximal:
     ``docs``: ``kept_text`` is the words left, joined by single spaces, or null
     where none was removed; ``kept_sha256`` the digest of the words left. ``maximal`` adds
     ``longest``, the longest level of a hit (0: none, or a copy of an earlier document)."""
-    plain = materialize(plain_rows(docs), "plain")
-    copies = materialize(_copies(plain, window), "copies")
-    found = materialize(candidates(docs, copies, window, anchor), "candidates")
+    plain = _written(plain_rows(docs), "plain")
+    copies = _written(_copies(plain, window), "copies")
+    found = candidates(docs, copies, window, anchor)
     emptied = copies.select("id", "whole").distinct().select("id", "whole", F.lit(None).cast("long").alias("n_removed"),
                             F.sha2(F.lit(""), 256).alias("kept_sha256"), F.lit("").alias("kept_text"),
                             F.lit(None).cast("int").alias("longest"))
@@ -335,9 +519,9 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     """``docs`` with all its columns, ``text`` without the repeated words (the
     rest joined by single spaces, ``n_chars`` following, if there); texts that
     lose none stay as they are."""
-    plain = materialize(plain_rows(docs), "plain")
-    copies = materialize(_copies(plain, window), "copies")
-    hits = _hits(materialize(candidates(docs, copies, window, anchor), "candidates"), window)
+    plain = _written(plain_rows(docs), "plain")
+    copies = _written(_copies(plain, window), "copies")
+    hits = _hits(candidates(docs, copies, window, anchor), window)
     copied = copies.select("row", *_tag_columns("whole"), F.lit(None).cast(hits.schema["gone"].dataType).alias("gone"))
     names = docs.columns
     marks = "marks" + "_" * max((len(n) for n in names), default=0)  # no column of docs is named so

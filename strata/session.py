@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -99,6 +100,22 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+@contextlib.contextmanager
+def free_shuffles(spark: SparkSession):
+    """Shuffle files of queries that end in here are removed at their end. For
+    queries that run once, as those that write a table; a setting of the
+    session holds if there is one."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    mine = spark.conf.get(key, None) is None
+    if mine:
+        spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if mine:
+            spark.conf.unset(key)
+
+
 def materialize(df, name: str):
     """Cut lineage with a written Parquet table in the shared checkpoint
     folder and read it back. Unlike ``checkpoint()`` the result is columnar:
