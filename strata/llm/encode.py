@@ -7,6 +7,11 @@ end to end. Stretches repeat; a memo of their ids spares the library most of
 the work. What a memo
 forgets costs time only. Texts
 with special-token strings or rare separators go to the library whole.
+
+For the byte vocabulary, plain texts are taken apart into the pattern's pieces
+at once. Each distinct piece has a number; a block's new pieces go to the
+library many to a call, between letters that no merge takes, and the texts'
+ids are gathered by number.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections import defaultdict
+from itertools import chain, count, islice
 
 import numpy as np
 import regex
@@ -22,6 +29,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries held at most, by stretch and by piece.
 MEMO, PIECES = 500_000, 600_000
+#: Entries held at most when a block begins, for the byte vocabulary, and
+#: pieces a library call and a string.
+HELD, CALL, STRING = 800_000, 4096, 64
 #: A stretch for the byte vocabulary: a word with at most one space before
 #: it, or white space as its pattern takes it.
 _BYTE_STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -34,6 +44,9 @@ _PLAIN = re.compile("[^\x1c-\x1f\x85\u0130\u0250-\U0010ffff]*")
 #: The pre-tokenizers' patterns as the vocabulary files state them.
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for plain texts, whose letters and numbers are spelt out.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _ODD_LATIN = "\x1c\x1d\x1e\x1f\x85"
 #: White space that is not one space between words or one line break.
 _GAPS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\xa0", "\0")
@@ -74,9 +87,67 @@ class Memo(dict):
 
 
 _LETTERS = _byte_letters()
+_LETTER = np.array([ord(_LETTERS[b]) for b in range(256)], "<u2")
+#: A byte that UTF-8 never has.
+_BETWEEN = b"\xc0"
 _open: dict[str, Encoder] = {}
 
 
+class Numbered:
+    """Distinct pieces by number, in order of arrival, and their ids end to
+    end: piece ``i`` has ``ids[off[i]:off[i + 1]]``."""
+
+    def __init__(self, tok):
+        from tokenizers import Tokenizer
+
+        self.tok, self.end = Tokenizer(tok.model), tok.token_to_id(_LETTERS[_BETWEEN[0]])
+        self.clear()
+
+    @staticmethod
+    def suits(tok) -> bool:
+        """Whether the letter between pieces is a token that no merge takes."""
+        letter, vocab = _LETTERS[_BETWEEN[0]], tok.get_vocab(with_added_tokens=False)
+        return letter in vocab and not any(letter in v for v in vocab if v != letter)
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.ids, self.off = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def learn(self) -> None:
+        """The ids of the pieces that have a number and none yet."""
+        new = [*islice(reversed(self.number), len(self.number) - len(self.off) + 1)][::-1]
+        ids, off = [self.ids], [self.off]
+        for a in range(0, len(new), CALL):
+            strings = []
+            for b in range(a, min(a + CALL, len(new)), STRING):
+                raw = _BETWEEN.join([*map(str.encode, new[b:min(b + STRING, a + CALL)]), b""])
+                strings.append(_LETTER[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le"))
+            coded = self.tok.encode_batch_fast(strings, add_special_tokens=False)
+            flat = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
+            ends = np.flatnonzero(flat == self.end)
+            if len(ends) != len(new[a:a + CALL]):
+                raise ValueError("pieces and their ids do not pair")
+            ids.append(flat[flat != self.end])
+            off.append(off[-1][-1] + ends - np.arange(len(ends)))
+        self.ids, self.off = np.concatenate(ids), np.concatenate(off)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        get = self.number.__getitem__
+        numbers = [np.fromiter(map(get, p), np.int32, len(p)) for p in map(_PLAIN_PIECES.findall, texts)]
+        self.learn()
+        ends = np.cumsum([len(n) for n in numbers])
+        n = np.concatenate(numbers)
+        first = self.off[n]
+        size = self.off[n + 1] - first
+        to = np.concatenate([[0], np.cumsum(size)])
+        raw = self.ids[np.repeat(first - to[:-1], size) + np.arange(to[-1])].tobytes()
+        cut = [0, *(4 * to[ends]).tolist()]
+        return [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -85,6 +156,7 @@ class Encoder:
         self.words = self.tok.normalizer is not None
         self.pattern = _WORD_PIECES if self.words else _BYTE_PIECES
         self.memo, self.pieces = Memo(self.stretch, MEMO), Memo(self.piece, PIECES)
+        self.numbered = Numbered(self.tok) if not self.words and Numbered.suits(self.tok) else None
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -124,14 +196,24 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        out = []
+        if self.numbered is not None and len(self.memo) + len(self.pieces) + len(self.numbered) > HELD:
+            for held in (self.memo, self.pieces, self.numbered):
+                held.clear()
+        out, later = [], []
         for t in texts:
             plain = is_plain(t)
             if "<|" in t or (not plain and _ODD.search(t)):
                 out.append(self.whole(t))
                 continue
+            if plain and self.numbered is not None:
+                later.append(len(out))
+                out.append(b"")
+                continue
             self.memo.trim()
             self.pieces.trim()
             self.memo.make = self.plain if plain else self.stretch
             out.append(b"".join(map(self.memo.__getitem__, self.stretches(t))))
+        if later:
+            for i, ids in zip(later, self.numbered.encode([texts[i] for i in later]), strict=True):
+                out[i] = ids
         return out
