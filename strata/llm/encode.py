@@ -8,8 +8,8 @@ the work. What a memo
 forgets costs time only. Texts
 with special-token strings or rare separators go to the library whole.
 
-For the byte vocabulary, plain texts are taken apart into the pattern's pieces
-at once. Each distinct piece has a number; a block's new pieces go to the
+For the byte vocabulary, a block's plain texts are cut into the pattern's
+pieces in array steps. Each distinct piece has a number; new ones go to the
 library many to a call, between letters that no merge takes, and the texts'
 ids are gathered by number.
 """
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from array import array
 from collections import defaultdict
 from itertools import chain, count, islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,7 +33,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MEMO, PIECES = 500_000, 600_000
 #: Entries held at most when a block begins, for the byte vocabulary, and
 #: pieces a library call and a string.
-HELD, CALL, STRING = 800_000, 4096, 64
+HELD, CALL, STRING = 300_000, 4096, 64
 #: A stretch for the byte vocabulary: a word with at most one space before
 #: it, or white space as its pattern takes it.
 _BYTE_STRETCH = re.compile(r" ?\S+|\s+(?!\S)|\s")
@@ -44,9 +46,6 @@ _PLAIN = re.compile("[^\x1c-\x1f\x85\u0130\u0250-\U0010ffff]*")
 #: The pre-tokenizers' patterns as the vocabulary files state them.
 _WORD_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _BYTE_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: The same for plain texts, whose letters and numbers are spelt out.
-_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PLAIN_PIECES = re.compile(rf" ?[{_L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
 _ODD_LATIN = "\x1c\x1d\x1e\x1f\x85"
 #: White space that is not one space between words or one line break.
 _GAPS = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\xa0", "\0")
@@ -88,14 +87,42 @@ class Memo(dict):
 
 _LETTERS = _byte_letters()
 _LETTER = np.array([ord(_LETTERS[b]) for b in range(256)], "<u2")
-#: A byte that UTF-8 never has.
-_BETWEEN = b"\xc0"
+#: Plain texts' characters: 0 letter, 1 number, 2 another, 3 white space, 4 the space.
+_KIND = np.array([4 if c == " " else 3 if c.isspace() else {"L": 0, "N": 1}.get(unicodedata.category(c)[0], 2)
+                  for c in map(chr, range(0x250))], np.uint8)
+#: A byte that UTF-8 never has, and a character that is not plain.
+_BETWEEN, _BREAK = b"\xc0", "\ue000"
 _open: dict[str, Encoder] = {}
 
 
+def cut_plain(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of plain texts end to end, where the byte vocabulary's
+    pieces start, where texts start and the last ends)."""
+    codes = np.frombuffer("".join(texts).encode("utf-16-le"), "<u2")
+    off, n = np.cumsum([0, *map(len, texts)]), len(codes)
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    kind = _KIND[codes]
+    white = kind >= 3
+    start = first[:n].copy()  # a run starts there, but for one that the space before it belongs to
+    start[1:] |= (kind[1:] != kind[:-1]) & ~((kind[:-1] == 4) & ~white[1:]) & ~(white[1:] & white[:-1])
+    start[:-1] |= white[:-1] & ~white[1:] & ~first[1:n]  # of white space before a character, the last stands apart
+    at = np.flatnonzero(start & (codes == ord("'")))
+    at = at[~first[at + 1]]
+    if len(at):  # 's 't 'm 'd 're 've 'll
+        a, b = codes[at + 1], np.where(first[at + 2], 0, codes[np.minimum(at + 2, n - 1)])
+        pair = np.isin(a, [ord("r"), ord("v")]) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        size = np.where(np.isin(a, [ord(c) for c in "stmd"]), 2, 3 * pair)
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        end = at + size
+        start[end[end < n]] = True
+    return codes, np.flatnonzero(start), off
+
+
 class Numbered:
-    """Distinct pieces by number, in order of arrival, and their ids end to
-    end: piece ``i`` has ``ids[off[i]:off[i + 1]]``."""
+    """Distinct pieces (UTF-16) by number, in order of arrival, and their ids
+    end to end: piece ``i`` has ``ids[off[i]:off[i + 1]]``."""
 
     def __init__(self, tok):
         from tokenizers import Tokenizer
@@ -113,7 +140,7 @@ class Numbered:
         return len(self.number)
 
     def clear(self) -> None:
-        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.ids, self.off = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def learn(self) -> None:
@@ -123,7 +150,8 @@ class Numbered:
         for a in range(0, len(new), CALL):
             strings = []
             for b in range(a, min(a + CALL, len(new)), STRING):
-                raw = _BETWEEN.join([*map(str.encode, new[b:min(b + STRING, a + CALL)]), b""])
+                raw = _BREAK.encode("utf-16-le").join([*new[b:min(b + STRING, a + CALL)], b""]).decode("utf-16-le")
+                raw = raw.encode().replace(_BREAK.encode(), _BETWEEN)
                 strings.append(_LETTER[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le"))
             coded = self.tok.encode_batch_fast(strings, add_special_tokens=False)
             flat = np.fromiter(chain.from_iterable(c.ids for c in coded), "<u4")
@@ -135,11 +163,14 @@ class Numbered:
         self.ids, self.off = np.concatenate(ids), np.concatenate(off)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        get = self.number.__getitem__
-        numbers = [np.fromiter(map(get, p), np.int32, len(p)) for p in map(_PLAIN_PIECES.findall, texts)]
+        codes, starts, off = cut_plain(texts)
+        edges = 2 * np.append(starts, len(codes)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(codes)]).dictionary_encode()
+        own = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        n = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))[pieces.indices.to_numpy()]
         self.learn()
-        ends = np.cumsum([len(n) for n in numbers])
-        n = np.concatenate(numbers)
+        ends = np.searchsorted(starts, off[1:])
         first = self.off[n]
         size = self.off[n + 1] - first
         to = np.concatenate([[0], np.cumsum(size)])

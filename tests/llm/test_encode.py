@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
 import numpy as np
 
 from strata.llm import encode, queries as Q
@@ -34,8 +31,12 @@ def test_new_pieces_share_library_calls(monkeypatch):
     assert 4 <= len(calls) <= 12 and len(enc.pieces) < 20  # not a call for each piece
 
 
-def test_plain_letters_and_numbers():
-    for u in range(0x250):
-        kind = unicodedata.category(chr(u))[0]
-        assert bool(re.match(f"[{encode._L}]", chr(u))) == (kind == "L")
-        assert bool(re.match(f"[{encode._N}]", chr(u))) == (kind == "N")
+def test_plain_texts_cut_as_the_library_does():
+    rng = np.random.default_rng(5)
+    enc = encode.Encoder(Q.tokenizer("byte_bpe_50k.json"))
+    texts = [f"a{c}b {c} 1{c}1'{c}{c}  {c}x'll{c}" for c in map(chr, range(0x250))]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    some = [*"astrmdl1²!é\xa0\0ª\r\n\t '", "re", "ve", "ll", "''", "  ", "\n\n", "'s", "don't"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(some, rng.integers(0, 12))) for _ in range(5)]
+        assert enc.encode(texts) == [enc.whole(t) for t in texts]
