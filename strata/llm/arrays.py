@@ -101,6 +101,9 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
         return h
     words = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(9, np.uint8)]), strides=(1,))
     pos, live = 0, np.flatnonzero((n > 0) & (n <= _LONG))
+    if len(live) == len(n):  # the first eight bytes of all
+        h = mix((h ^ (words[starts] & _MASK[np.minimum(n, 8)])) * _M1 + np.uint64(1))
+        pos, live = 8, np.flatnonzero(n > 8)
     while len(live):
         left = np.minimum(n[live] - pos, 8)
         limb = words[starts[live] + pos] & _MASK[left]
@@ -112,15 +115,32 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return h
 
 
+def _rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """One number for each ``k`` neighbours of ``h``. More than three: the sum
+    of ``h[i + j] * _M1 ** (k - 1 - j)``, put together from sums of 1, 2, 4 ..."""
+    n = len(h) - k + 1
+    acc = np.zeros(n, np.uint64)
+    if k <= 3:
+        for i in range(k):
+            acc = mix((acc ^ h[i:i + n]) * _M1 + np.uint64(i + 1))
+        return acc
+    part, size, done = h, 1, 0
+    while True:
+        up = np.uint64(pow(int(_M1), size, 1 << 64))
+        if k & size:
+            acc = acc * up + part[done:done + n] if done else part[:n]
+            done += size
+        if done == k:
+            return acc
+        part, size = part[:-size] * up + part[size:], 2 * size
+
+
 def windows(h: np.ndarray, woff: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word windows that stay in one text, and where each
     begins (an index of words)."""
-    n = len(h) - k + 1
-    if n <= 0:
+    if len(h) < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    acc = np.zeros(n, np.uint64)
-    for i in range(k):
-        acc = mix((acc ^ h[i:i + n]) * _M1 + np.uint64(i + 1)) if k <= 3 else (acc * _M1) + h[i:i + n]
+    acc = _rolled(h, k)
     counts = np.diff(woff)
     room = np.maximum(counts - k + 1, 0)
     at = np.repeat(woff[:-1] - np.concatenate([[0], np.cumsum(room)[:-1]]), room) + np.arange(room.sum())

@@ -23,8 +23,10 @@ Equal documents are settled first, by a digest of their word sequence, so a
 group of copies costs one row a copy. Texts cross a shuffle twice: to their
 repeated anchors, and to their hits. Both times a row is found by ``row``, 64
 bits of its id and text, and then known by 96 bits of its words' digest: what
-rows under one (null) id repeat stays apart. A window that crosses a shuffle is
-a few numbers: its document, its place (see :func:`_bases`) and its digest.
+rows under one (null) id repeat stays apart. An anchor or a window crosses one
+shuffle to its equals, as a few numbers: its document, its place (see
+:func:`_bases`) and its digest. Of those that several ids of one block have,
+only the smallest id's and one more go there; the others are known to repeat.
 
 Edge cases: a null or empty text has no words; ``doc_id`` null sorts after
 every other and takes no words from others; rows that share a ``doc_id`` take
@@ -54,31 +56,32 @@ WINDOW, ANCHOR = 13, 6
 NO_ID = (1 << 63) - 1
 
 
+def _lowest(x: np.ndarray, span: int) -> np.ndarray:
+    """The smallest of each ``span`` neighbours."""
+    size = 1
+    while size < span:
+        step = min(size, span - size)
+        x, size = np.minimum(x[:-step], x[step:]), size + step
+    return x
+
+
 def _anchors(h: np.ndarray, woff: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """All anchors: (hash, text, first, last), where windows starting at words
-    first..last (within the text) choose this one."""
-    short, at = windows(h, woff, anchor)
-    span = window - anchor + 1
+    first..last (within the text) choose this one, or an equal one beside it."""
     counts = np.maximum(np.diff(woff) - window + 1, 0)  # windows a text
     total = int(counts.sum())
     if not total:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 3)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    begin = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-    shorts = np.maximum(np.diff(woff) - anchor + 1, 0)
-    base = (np.cumsum(shorts) - shorts)[doc] + begin
-    best = base.copy()
-    low = short[base]
-    for k in range(1, span):
-        x = short[base + k]
-        less = x < low
-        low = np.where(less, x, low)
-        best = np.where(less, base + k, best)
+    start = np.cumsum(counts) - counts
+    short, _ = windows(h, np.array([0, len(h)]), anchor)  # those that two texts share are in no text's window
+    low = _lowest(short, window - anchor + 1)[np.arange(total) + np.repeat(woff[:-1] - start, counts)]
     new = np.ones(total, bool)
-    new[1:] = (best[1:] != best[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = low[1:] != low[:-1]
+    new[start[counts > 0]] = True
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [total]]) - 1
-    return low[first], doc[first], begin[first], begin[last]
+    doc = np.searchsorted(start + counts, first, "right")
+    return low[first], doc, first - start[doc], last - start[doc]
 
 
 def _key(ids: pa.Array) -> np.ndarray:
@@ -161,25 +164,96 @@ def _copies(plain: DataFrame, window: int) -> DataFrame:
     return split_join(long, first, "whole").where("id > lo").select("id", "row", "whole").distinct()
 
 
-def _seen(docs: DataFrame, by: str, window: int, anchor: int) -> DataFrame:
-    """``(h, <by>)``: the anchors of each row, with one of its keys."""
+def _first_of_each(*cols: np.ndarray) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.ones(len(cols[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+    return new
+
+
+def _seen(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """``(h, id, row)``: the anchors of each row. Of those that two ids of a
+    block have, one row with the smallest and one with the largest keep
+    their ``id``; it is null in the others, as these are known to repeat."""
     def anchors(batches):
         for batch in batches:
-            texts, keys = text_of(batch), batch.column(by).to_numpy(zero_copy_only=False)
+            texts = text_of(batch)
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
             for a, e in blocks(texts):
                 b = Block(texts, a, e)
                 b.split()
                 h, doc, _, _ = _anchors(hash_spans(b.data, b.starts, b.ends), b.woff, window, anchor)
                 if not len(h):
                     continue
-                h, key = signed(h), keys[a:e][doc]
-                order = np.lexsort((key, h))
-                h, key = h[order], key[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(h[new]), pa.array(key[new])], names=["h", by])
+                h, doc = signed(h), doc + a
+                order = np.argsort(h)
+                h, doc = h[order], doc[order]
+                new = _first_of_each(h)
+                alone = new & np.append(new[1:], True)
+                more, i, key = h[~alone], ids[doc[~alone]], keys[doc[~alone]]
+                order = np.lexsort((key, i, more))
+                more, i, key = more[order], i[order], key[order]
+                new = _first_of_each(more, i, key)
+                more, i, key = more[new], i[new], key[new]
+                known = np.zeros(len(more), bool)
+                if len(more):
+                    first = np.flatnonzero(_first_of_each(more))
+                    last = np.append(first[1:], len(more)) - 1
+                    known = np.repeat(i[first] < i[last], last - first + 1)
+                    known[first] = known[last] = False
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([h[alone], more])),
+                     pa.array(np.concatenate([ids[doc[alone]], i]), mask=np.concatenate([np.zeros(alone.sum(), bool), known])),
+                     pa.array(np.concatenate([keys[doc[alone]], key]))], names=["h", "id", "row"])
+
+    return _keyed(docs).select("id", "row", "text").mapInArrow(anchors, "h long, id long, row long")
+
+
+def _by_run(batches, names: list[str]):
+    """The columns of sorted rows as arrays, never cut within a run of the first."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [pc.fill_null(x, pa.scalar(0).cast(x.type)).to_numpy(zero_copy_only=False) for x in map(batch.column, names)]
+        cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+        other = np.flatnonzero(cols[0] != cols[0][-1])
+        last = int(other[-1]) + 1 if len(other) else 0
+        held = [c[last:] for c in cols]
+        if last:
+            yield [c[:last] for c in cols]
+    if held is not None:
+        yield held
+
+
+def _least_and_most(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest and largest id of its run of equal ``key``."""
+    first = np.flatnonzero(_first_of_each(key))
+    n = np.diff(np.append(first, len(key)))
+    return np.repeat(np.minimum.reduceat(ids, first), n), np.repeat(np.maximum.reduceat(ids, first), n)
+
+
+def _repeated(seen: DataFrame) -> DataFrame:
+    """``(row, h)``: the anchors of ``(h, id, row)`` that two ids have. Equal
+    ones meet in a task; those known to repeat (no id) go anywhere."""
+    def twice(batches):
+        for h, ids, row, known in _by_run(batches, ["h", "id", "row", "known"]):
+            lo, hi = _least_and_most(h, ids)
+            hot = (lo < hi) | known
+            yield pa.RecordBatch.from_arrays([pa.array(row[hot]), pa.array(h[hot])], names=["row", "h"])
+
+    return seen.repartition(F.when(F.col("id").isNull(), F.col("row")).otherwise(F.col("h"))).sortWithinPartitions("h") \
+        .select("h", "id", "row", F.col("id").isNull().alias("known")).mapInArrow(twice, "row long, h long")
+
+
+def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
-    return _keyed(docs).select(by, "text").mapInArrow(anchors, f"h long, {by} long")
+
+def _of_text(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for an anchor and its text. Should two pairs ever share one,
+    some windows more are looked at, and none less."""
+    return mix(h ^ mix(doc.astype(np.uint64) + np.uint64(1)))
 
 
 def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -187,11 +261,10 @@ def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) ->
     hold a repeated anchor: where the windows around those begin, and their
     digests; ``base`` and ``last`` are the places of the first word and of the
     last window."""
-    hot = _written(_seen(docs, "id", window, anchor).groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-                      .where("lo < hi").select("h"), "repeated-anchors")
+    hot = _written(_repeated(_seen(docs, window, anchor)).groupBy("row").agg(F.collect_set("h").alias("hot")),
+                   "repeated-anchors")  # at most a row's own anchors
     gone = copies.groupBy("row").agg(F.collect_set("whole").alias("gone"))
-    marked = _seen(docs, "row", window, anchor).join(hot.hint("shuffle_hash"), "h").groupBy("row").agg(F.collect_set("h").alias("hot")) \
-        .join(gone, "row", "left")  # at most a row's own anchors
+    marked = hot.join(gone, "row", "left")
 
     def around(batches):
         task, used = TaskContext.get().partitionId(), 0
@@ -202,56 +275,85 @@ def candidates(docs: DataFrame, copies: DataFrame, window: int, anchor: int) ->
                 b.split()
                 words = hash_spans(b.data, b.starts, b.ends)
                 h, doc, first, last = _anchors(words, b.woff, window, anchor)
-                h = signed(h)
-                long, _ = windows(words, b.woff, window)
-                long = signed(long)
-                room = np.maximum(np.diff(b.woff) - window + 1, 0)
-                start = np.cumsum(room) - room
-                keep, tags, more, pos, dig = [], [], [], [], []
-                for i in range(e - a):
-                    lo, hi = np.searchsorted(doc, [i, i + 1])
-                    mine = np.isin(h[lo:hi], hots[a + i].values.to_numpy())
-                    if not mine.any():
-                        continue
+                here = hots.slice(a, e - a)
+                whose = np.repeat(np.arange(e - a), pc.list_value_length(here).to_numpy(zero_copy_only=False))
+                mine = np.isin(_of_text(h, doc), _of_text(here.flatten().to_numpy(zero_copy_only=False).view(np.uint64), whose))
+                tags, keep = [], []
+                for i in np.unique(doc[mine]):
                     d = _digest(b.bytes_of(i).split())
-                    if d in (gones[a + i] or ()):
-                        continue
-                    at = np.concatenate([np.arange(x, y + 1) for x, y in
-                                         zip(first[lo:hi][mine], last[lo:hi][mine], strict=True)])
-                    keep.append(a + i)
-                    tags.append(_tag(d)[0])
-                    more.append(_tag(d)[1])
-                    pos.append(at.astype(np.int32))
-                    dig.append(long[start[i] + at])
+                    if d not in (gones[a + i] or ()):
+                        keep.append(i)
+                        tags.append(_tag(d))
                 if not keep:
                     continue
-                base, used = _bases(np.diff(b.woff)[np.array(keep) - a], used, task)
-                here = pa.array(keep)
+                keep = np.array(keep)
+                mine &= np.isin(doc, keep)
+                doc, first, n = doc[mine], first[mine], (last - first + 1)[mine]
+                pos = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                doc = np.repeat(doc, n)
+                long, _ = windows(words, b.woff, window)
+                room = np.maximum(np.diff(b.woff) - window + 1, 0)
+                dig = signed(long)[(np.cumsum(room) - room)[doc] + pos]
+                cuts = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=e - a)[keep])])
+                base, used = _bases(np.diff(b.woff)[keep], used, task)
+                rows = pa.array(keep + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").take(here), batch.column("row").take(here), pa.array(tags, pa.int32()),
-                     pa.array(more, pa.int64()), pa.array(base), pa.array(base + [x[-1] for x in pos]),
-                     pa.array(pos, pa.list_(pa.int32())), pa.array(dig, pa.list_(pa.int64()))],
+                    [batch.column("id").take(rows), batch.column("row").take(rows), pa.array([x for x, _ in tags], pa.int32()),
+                     pa.array([x for _, x in tags], pa.int64()), pa.array(base), pa.array(base + pos[cuts[1:] - 1]),
+                     _lists(pos, cuts, pa.int32()), _lists(dig, cuts, pa.int64())],
                     names=["id", "row", "tag", "more", "base", "last", "pos", "dig"])
 
     return split_join(_keyed(docs), marked, "row").mapInArrow(
         around, "id long, row long, tag int, more long, base long, last long, pos array<int>, dig array<long>")
 
 
-def _survivors(windows: DataFrame) -> DataFrame:
-    """The rows of ``windows`` whose digest two documents have, with the
-    smallest of their ids as ``lo``."""
-    two = windows.groupBy("dig").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("dig", "lo")
-    return split_join(windows, two.hint("shuffle_hash"), "dig")
+#: Windows that are looked at together before they cross a shuffle, unless one row has more.
+TOGETHER = 1 << 19
 
 
 def _windows(found: DataFrame) -> DataFrame:
-    """``(id, base, place, dig)``, a row a window."""
-    return found.select("id", "base", F.explode(F.arrays_zip("pos", "dig")).alias("w")) \
-        .select("id", "base", (F.col("base") + F.col("w.pos")).alias("place"), "w.dig")
+    """``(dig, id, base, place, hit)``, a row a window. ``hit`` is true where
+    some rows of ``found`` looked at together show it, else null. Of a digest
+    that repeats there, the smallest id's windows and one of the largest go
+    on unknown."""
+    def spread(batches):
+        for batch in batches:
+            n = pc.list_value_length(batch.column("dig")).to_numpy(zero_copy_only=False).astype(np.int64)
+            end, a = np.cumsum(n), 0
+            while a < batch.num_rows:
+                e = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + TOGETHER, "right")))
+                some = batch.slice(a, e - a)
+                ids, base = (np.repeat(some.column(c).to_numpy(zero_copy_only=False), n[a:e]) for c in ("id", "base"))
+                pos, dig = (some.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "dig"))
+                a = e
+                if not len(dig):
+                    continue
+                order = np.lexsort((ids, dig))
+                ids, base, pos, dig = ids[order], base[order], pos[order], dig[order]
+                lo, _ = _least_and_most(dig, ids)
+                hit = ids > lo
+                hit[np.append(np.flatnonzero(_first_of_each(dig))[1:], len(dig)) - 1] = False
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(dig), pa.array(ids), pa.array(base), pa.array(base + pos), pa.array(hit, mask=~hit)],
+                    names=["dig", "id", "base", "place", "hit"])
 
+    return found.select("id", "base", "pos", "dig").mapInArrow(
+        spread, "dig long, id long, base long, place long, hit boolean")
 
-def _lists(values: np.ndarray, cuts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
+
+def _survivors(windows: DataFrame) -> DataFrame:
+    """``(id, base, place, dig, hit)``: the windows whose digest two documents
+    have; ``hit`` where one of them has a smaller id. Windows with equal
+    digests meet in a task; known hits go anywhere."""
+    def twice(batches):
+        for dig, ids, base, place, hit in _by_run(batches, ["dig", "id", "base", "place", "hit"]):
+            lo, hi = _least_and_most(dig, ids)
+            on = (lo < hi) | hit
+            yield pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (ids, base, place, dig, hit | (ids > lo))],
+                                             names=["id", "base", "place", "dig", "hit"])
+
+    return windows.repartition(F.when(F.col("hit"), F.col("base")).otherwise(F.col("dig"))).sortWithinPartitions("dig") \
+        .mapInArrow(twice, "id long, base long, place long, dig long, hit boolean")
 
 
 def _stretches(level: DataFrame) -> DataFrame:
@@ -326,18 +428,8 @@ def _next_pairs(level: DataFrame, length: int) -> DataFrame:
     names = ["kind", "place", "lo", "hi", "dig"]
 
     def pairs(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            cols = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1 if (cols[0] != cols[0][-1]).any() else 0
-            held = [c[last:] for c in cols]
-            if last:
-                yield _paired([c[:last] for c in cols], length)
-        if held is not None:
-            yield _paired(held, length)
+        for cols in _by_run(batches, names):
+            yield _paired(cols, length)
 
     return level.select(*names).repartition("kind").sortWithinPartitions("place").mapInArrow(pairs, _PAIRED)
 
@@ -450,8 +542,7 @@ def _hits(found: DataFrame, window: int = WINDOW) -> DataFrame:
     many (``n``) go from a row. Written, so that no window's shuffle is held
     while texts move."""
     found = _written(found, "candidates")  # places hold for one run of its tasks
-    level = _survivors(_windows(found)).select("id", "base", "place", "dig", (F.col("id") > F.col("lo")).alias("hit"))
-    runs = _written(_stretches(level), "stretches")
+    runs = _written(_stretches(_survivors(_windows(found))), "stretches")
     kinds = _written(runs.groupBy("same").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("place").alias("kind")), "kinds")
     one = _written(runs.select(F.col("place").alias("kind"), "dig").join(kinds, "kind")
                       .select(F.col("kind").alias("place"), "lo", "hi", "dig"), "one-each")  # one stretch of a kind

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from strata.llm import arrays
 from strata.llm import substrings as sub
 
 
@@ -59,3 +63,59 @@ def test_written_steps_free_their_shuffles(spark):
         assert spark.conf.get(key) == "true"
     assert spark.conf.get(key, None) == before
     assert sub._written(spark.range(50).groupBy("id").count(), "few").count() == 50
+
+
+def test_anchors_and_windows_move_once(spark, monkeypatch):
+    calls, seen = [], sub._seen
+    monkeypatch.setattr(sub, "_seen", lambda *a: calls.append(1) or seen(*a))
+    docs = docs_of(spark, {i: [f"w{k}" for k in range(i, 60)] for i in range(1, 6)})
+    found = sub._written(sub.candidates(docs, sub._copies(sub.plain_rows(docs), sub.WINDOW), sub.WINDOW, sub.ANCHOR), "found")
+    assert len(calls) == 1
+    plan = sub._survivors(sub._windows(found))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_one_block_sends_few_rows_of_a_common_passage(spark):
+    passage = [f"p{i}" for i in range(40)]
+    docs = docs_of(spark, {i: [f"a{i}", *passage, f"b{i}"] for i in range(1, 301)}).coalesce(1)
+    seen = sub._seen(docs, sub.WINDOW, sub.ANCHOR).groupBy("h").agg(F.count("*").alias("n"), F.count("id").alias("unknown")).collect()
+    assert max(r["n"] for r in seen) == 300 and max(r["unknown"] for r in seen) == 2
+    found = sub._written(sub.candidates(docs, sub._copies(sub.plain_rows(docs), sub.WINDOW), sub.WINDOW, sub.ANCHOR).coalesce(1), "found")
+    sent = sub._windows(found).groupBy("dig").agg(F.count("*").alias("n"), F.count("hit").alias("known")).collect()
+    assert max(r["n"] for r in sent) == 300 and max(r["n"] - r["known"] for r in sent) == 2
+
+
+def test_hits_do_not_hang_on_what_is_looked_at_together(spark, monkeypatch):
+    rnd, base = random.Random(11), [f"w{i}" for i in range(120)] + ["x"] * 30
+    rows = [(rnd.choice([None, i % 17, i]), " ".join([f"own{i}", *base[(a := rnd.randrange(140)):a + 40]])) for i in range(60)]
+    got = []
+    for parts, together in ((1, sub.TOGETHER), (7, sub.TOGETHER), (3, 1)):
+        monkeypatch.setattr(sub, "TOGETHER", together)
+        docs = spark.createDataFrame(rows + rows[:9], "doc_id long, text string").repartition(parts)
+        got.append(sorted(map(str, sub.dedup(docs, maximal=True).collect())))
+    assert got[0] == got[1] == got[2]
+    ids = [sub.NO_ID if i is None else i for i, _ in rows]
+    first = {}
+    for i, (_, t) in zip(ids, rows, strict=True):
+        ws = t.split()
+        for k in range(len(ws) - 12):
+            g = tuple(ws[k:k + 13])
+            first[g] = min(first.get(g, i), i)
+    want = []
+    for i, (doc_id, t) in zip(ids, rows, strict=True):
+        ws, gone = t.split(), set()
+        for k in range(len(ws) - 12):
+            if first[tuple(ws[k:k + 13])] < i:
+                gone |= set(range(k, k + 13))
+        want.append((str(doc_id), len(ws), len(gone)))
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in sub.dedup(docs).collect()) == sorted(want + want[:9])
+
+
+def test_sums_of_neighbours_are_as_one_by_one():
+    h = np.random.default_rng(3).integers(0, 1 << 63, 90).astype(np.uint64)
+    for k in range(4, 20):
+        slow = np.zeros(len(h) - k + 1, np.uint64)
+        for i in range(k):
+            slow = slow * arrays._M1 + h[i:i + len(slow)]
+        assert (arrays._rolled(h, k) == slow).all()
+        assert (sub._lowest(h, k) == [h[i:i + k].min() for i in range(len(slow))]).all()
