@@ -11,7 +11,11 @@ place. Three passes:
    that holds more than ``HOT`` of all words is routed by the next word too
    (and a three-word start by all four), so no partition holds a hot one whole.
    A pointer ends before a word that is rarer than ``least``: no phrase with it
-   can count. Equal pointers of a block travel once, with their number.
+   can count. Equal pointers of a block travel once, with their number. The
+   ``FREQUENT`` most frequent words travel as numbers that all workers know,
+   others with the part of a block that goes to a partition. Parts are packed
+   and unpacked in array steps, many to a step: their number grows with blocks
+   times partitions, which is faster than the corpus.
 3. ``sort``: each partition's pointers are three-way partitioned word by word
    to full depth, all segments of a round at once. The size of an equal
    partition is the phrase's count; segments lighter than ``least`` are
@@ -19,8 +23,8 @@ place. Three passes:
 
 The workers hold one partition's pointers at a time, about ``POINTERS``, a
 number of partitions that grows with the corpus keeps them so; what is
-broadcast is a bitmap of frequent words of a fixed size and at most 4 / HOT
-hot starts.
+broadcast is a bitmap of frequent words of a fixed size, ``FREQUENT`` words
+and at most 4 / HOT hot starts.
 
 Edge cases: null, empty and blank texts have no words; rows count as often as
 they occur, ids do not matter; a null language and ``und`` are one; very long
@@ -36,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.arrays import Block, blocks, mix, runs, signed, text_of
+from strata.llm.arrays import Block, blocks, mix, offsets, runs, signed, text_of
 from strata.llm.tokens import bitmap, hashes, may_hold, numbered
 from strata.session import materialize
 
@@ -44,8 +48,10 @@ LEAST, COVER, TOP, DEPTH = 30, 80, 2000, 4
 HOT = 1 / 2048
 POINTERS = 1 << 20
 BITS = 24
+FREQUENT = 1 << 17
 PARTS = 64
 BLOCK = 1 << 23
+BATCH = 1 << 26
 
 #: Fixed by the contract: what ends a piece, and what ends a word inside one.
 _CUT, _WORD = np.zeros(256, bool), np.ones(256, bool)
@@ -76,8 +82,8 @@ class Words:
         self.word_hash = np.concatenate([[np.uint64(0)], hashes(self.words)])
         self.lang_hash = hashes(self.langs, 1)
 
-    def hash(self, *columns: np.ndarray) -> np.ndarray:
-        h = self.lang_hash[self.lang]
+    def hash(self, lang: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+        h = self.lang_hash[lang]
         for c in columns:
             h = mix(h ^ self.word_hash[c])
         return h
@@ -94,19 +100,28 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     that are frequent in a block, counted there, with depths 2 and 3."""
 
     def rows(w: Words):
-        key, first, c = np.unique(w.lang * w.base + w.number, return_index=True, return_counts=True)
-        yield 1, first, [w.number[first]], c
-        at = np.arange(len(w.number))
         level = w.lang * w.base + w.number
+        share = max(2.0, HOT / 2 * len(level))
+        if len(w.langs) * w.base <= 4 * len(level):
+            every = np.bincount(level)
+            key = np.flatnonzero(every)
+            c, heavy = every[key], every[level] >= share
+        else:
+            key, back, c = np.unique(level, return_inverse=True, return_counts=True)
+            heavy = c[back] >= share
+        yield 1, key // w.base, [key % w.base], c
+        at = np.flatnonzero(heavy)  # a start is at most as frequent as each of its words
         for depth in (2, 3):
             at = at[w.joined[at + depth - 2]]
+            at = at[heavy[at + depth - 1]]
             if not len(at):
                 return
             key = level[at] * w.base + w.number[at + depth - 1]
             _, first, back, c = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            heavy = c >= max(2.0, HOT / 2 * len(w.number))
-            yield depth, at[first[heavy]], None, c[heavy]
-            keep = heavy[back]
+            enough = c >= share
+            some = at[first[enough]]
+            yield depth, w.lang[some], [w.number[some + k] for k in range(depth)], c[enough]
+            keep = enough[back]
             at, back = at[keep], back[keep]
             level[at] = back
 
@@ -115,12 +130,11 @@ def vocabulary(docs: DataFrame) -> DataFrame:
             texts = text_of(batch)
             for a, b in blocks(texts, BLOCK):
                 w = Words(texts, batch.column("lang"), a, b)
-                for depth, at, columns, c in rows(w):
-                    columns = columns or [w.number[at + k] for k in range(depth)]
-                    h = w.hash(w.number)[at] if depth == 1 else np.zeros(len(at), np.uint64)
+                for depth, lang, columns, c in rows(w):
+                    h = w.hash(lang, *columns) if depth == 1 else np.zeros(len(lang), np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [w.langs.take(pa.array(w.lang[at])).cast(pa.string()), _text(w.words, columns).cast(pa.string()),
-                         pa.array(np.full(len(at), depth, np.int32)), pa.array(signed(h)), pa.array(c.astype(np.int64))],
+                        [w.langs.take(pa.array(lang)).cast(pa.string()), _text(w.words, columns).cast(pa.string()),
+                         pa.array(np.full(len(lang), depth, np.int32)), pa.array(signed(h)), pa.array(c.astype(np.int64))],
                         names=["lang", "phrase", "depth", "h", "c"])
 
     return docs.select("lang", "text").mapInArrow(work, "lang string, phrase string, depth int, h long, c long") \
@@ -146,7 +160,7 @@ def _hot(keys: list[tuple], langs: pa.Array, words: pa.Array, lang: np.ndarray,
     want = np.array(codes, np.int64)
     live = np.flatnonzero(np.isin(lang * base + columns[0], want[:, 0] * base + want[:, 1]))
     for d in range(2, want.shape[1]):  # two columns at a time keep the keys within 64 bits
-        code = columns[d - 2][live] * base + columns[d - 1][live]
+        code = columns[d - 2][live].astype(np.int64) * base + columns[d - 1][live]
         live = live[np.isin(code, want[:, d - 1] * base + want[:, d])]
     keys = set(codes)
     for i in live:
@@ -154,13 +168,27 @@ def _hot(keys: list[tuple], langs: pa.Array, words: pa.Array, lang: np.ndarray,
     return out
 
 
-def route(docs: DataFrame, frequent: np.ndarray, hot: dict[int, list[tuple]], partitions: int) -> DataFrame:
-    """``(p, lang, words, pointers, weights)``: a block's pointers of one
-    language for one partition, as numbers of their own words."""
+def common_words(often: DataFrame) -> pa.Array:
+    """The words of ``often`` that are most frequent in some language, at most
+    ``FREQUENT``, the most frequent first."""
+    step = F.floor(F.log2("c") * 64).cast("int")  # of about one part in 64: 4096 at most
+    least, room = 1 << 20, FREQUENT
+    for r in sorted(often.groupBy(step.alias("s")).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["s"]
+    top = sorted(often.where(step >= least).select("phrase", "c").collect(), key=lambda r: (-r["c"], r["phrase"]))  # at most FREQUENT
+    return pa.array(list(dict.fromkeys(r["phrase"] for r in top)), pa.large_string())
+
+
+def route(docs: DataFrame, frequent: np.ndarray, hot: dict[int, list[tuple]], common: pa.Array, partitions: int) -> DataFrame:
+    """``(p, lang, numbers, far, weights, heavy, words)``: a block's pointers
+    of one language for one partition, packed by ``_pack``."""
 
     def pointers(w: Words):
         n = len(w.number)
-        fine = may_hold(frequent, w.hash(w.number)) if n else np.zeros(0, bool)
+        fine = may_hold(frequent, w.hash(w.lang, w.number)) if n else np.zeros(0, bool)
         follow = np.zeros(n, bool)
         follow[:-1] = w.joined[:-1] & fine[1:]
         at = np.flatnonzero(fine & follow)
@@ -180,58 +208,107 @@ def route(docs: DataFrame, frequent: np.ndarray, hot: dict[int, list[tuple]], pa
                     continue
                 front, back = (lang * w.base + cols[0]) * w.base + cols[1], cols[2] * w.base + cols[3]
                 order = np.lexsort((back, front))
+                front, back = front[order], back[order]
                 new = np.ones(len(order), bool)
-                new[1:] = (front[order][1:] != front[order][:-1]) | (back[order][1:] != back[order][:-1])
+                new[1:] = (front[1:] != front[:-1]) | (back[1:] != back[:-1])
                 first = np.flatnonzero(new)
                 weight = np.diff(np.append(first, len(order)))
                 at = order[first]
                 lang, cols = lang[at], [c[at] for c in cols]
-                h = w.lang_hash[lang]
-                for c in cols[:2]:
-                    h = mix(h ^ w.word_hash[c])
+                h = w.hash(lang, *cols[:2])
                 for d in (2, 3):
                     more = np.flatnonzero(_hot(hot[d], w.langs, w.words, lang, cols[:d]))
                     h[more] = mix(h[more] ^ w.word_hash[cols[d][more]] ^ np.uint64(d))
                 p = (h % np.uint64(partitions)).astype(np.int64)
                 group = p * len(w.langs) + lang
                 order = np.argsort(group, kind="stable")
-                edges = np.flatnonzero(np.append(True, np.diff(group[order]) != 0))
-                packed = [_pack(w.words, [c[rows] for c in cols], weight[rows]) for rows in np.split(order, edges[1:])]
+                group = group[order]
+                edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
                 at = order[edges]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p[at].astype(np.int32)), w.langs.take(pa.array(lang[at])).cast(pa.string()),
-                     pa.array([len(x) for x in packed], pa.int32()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in packed], pa.binary())],
-                    names=["p", "lang", "size", "packed"])
+                packed = _pack(w.words, common, np.stack(cols, axis=1)[order], weight[order], edges)
+                whole = [pa.array(p[at].astype(np.int32)), w.langs.take(pa.array(lang[at])).cast(pa.string()), *packed]
+                for i, j in blocks(packed[0], BATCH):
+                    yield pa.RecordBatch.from_arrays(
+                        [c.slice(i, j - i).cast(pa.binary()) if pa.types.is_large_binary(c.type) else c.slice(i, j - i) for c in whole],
+                        names=["p", "lang", "numbers", "far", "weights", "heavy", "words"])
 
     out = docs.select("lang", "text").mapInArrow(
-        work, "p int, lang string, size int, packed binary")
+        work, "p int, lang string, numbers binary, far binary, weights binary, heavy binary, words binary")
     return out.repartitionById(partitions, "p")
 
 
-def _pack(words: pa.Array, cols: list[np.ndarray], weight: np.ndarray) -> bytes:
-    """Pointers as numbers of their own words, column by column, the places
-    and values of weights above 1, and the words joined by spaces."""
-    used, local = np.unique(np.stack(cols), return_inverse=True)
-    if used[0] != 0:
-        used, local = np.concatenate([[0], used]), local + 1
-    blob = " ".join(words.take(pa.array(used[1:] - 1)).to_pylist()).encode()
-    more = np.flatnonzero(weight > 1)
-    head = np.array([len(used), len(weight), len(more)], "<i4").tobytes()
-    number = "<u2" if len(used) <= 0xFFFF else "<i4"
-    return b"".join([head, local.astype(number).tobytes(), more.astype("<i4").tobytes(), weight[more].astype("<i4").tobytes(), blob])
-
-
-def _unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(the words, pointers as numbers from 1 of them, weights)"""
-    n_used, n, n_more = np.frombuffer(data, "<i4", 3).tolist()
-    number = np.dtype("<u2" if n_used <= 0xFFFF else "<i4")
-    at = 12
-    cols = np.frombuffer(data, number, DEPTH * n, at).astype(np.int64)
-    at += DEPTH * n * number.itemsize
-    weight = np.ones(n, np.int64)
-    weight[np.frombuffer(data, "<i4", n_more, at)] = np.frombuffer(data, "<i4", n_more, at + 4 * n_more)
-    words = pc.split_pattern(pa.array([data[at + 8 * n_more:].decode()], pa.large_string()), " ").flatten()
-    return words, cols.reshape(DEPTH, n), weight
+def _joined(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between consecutive ``edges``."""
+    off = (edges * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _parted(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(what ``_joined`` put into ``column``, end to end; how much in each row)"""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    size = np.dtype(kind).itemsize
+    data = column.buffers()[2]
+    values = np.frombuffer(data, kind, (off[-1] - off[0]) // size, off[0]) if off[-1] > off[0] else np.zeros(0, kind)
+    return values, np.diff(off) // size
+
+
+def _narrow(values: np.ndarray, edges: np.ndarray, kind: str) -> tuple[pa.Array, pa.Array]:
+    """``_joined`` as ``kind``, whose largest value stands for those that are
+    too large for it; these, whole."""
+    top = np.iinfo(kind).max
+    far = values >= top
+    among = np.concatenate([[0], np.cumsum(far)])
+    return _joined(np.where(far, top, values).astype(kind), edges), _joined(values[far].astype("<i4"), among[edges])
+
+
+def _wide(near: pa.Array, far: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    values, n = _parted(near, kind)
+    out = values.astype(np.int32)
+    out[values == np.iinfo(kind).max] = _parted(far, "<i4")[0]
+    return out, n
+
+
+def _pack(words: pa.Array, common: pa.Array, rows: np.ndarray, weight: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Pointers (``rows`` of numbers of ``words``), a row for each stretch that
+    begins at ``first``: their words as numbers, 0 for none, from 1 those of
+    ``common``, then those of the stretch's own words, each ended by a space."""
+    base, edges = len(words) + 1, np.append(first, len(rows))
+    known = pc.fill_null(pc.index_in(words, value_set=common), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    table = np.concatenate([[0], np.where(known >= 0, known + 1, len(common) + 1)])
+    local, number = rows.ravel(), table[rows].ravel()
+    at = np.flatnonzero(number > len(common))
+    of = np.searchsorted(edges * DEPTH, at, "right") - 1
+    used, place = np.unique(of * base + local[at], return_inverse=True)
+    begin = np.searchsorted(used, np.arange(len(edges)) * base)
+    number[at] += place - begin[of]
+    empty, space = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+    own = pc.binary_join_element_wise(words.take(pa.array(used % base - 1)).cast(pa.large_string()), empty, space)
+    off = offsets(own)
+    data = np.frombuffer(own.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
+    return [*_narrow(number, edges * DEPTH, "<u2"), *_narrow(weight, edges, "u1"), _joined(data, off[begin] - off[0])]
+
+
+def _unpack(batches: list[pa.RecordBatch], common: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(``common`` and the other words, pointers as columns of numbers from 1
+    of them, weights)"""
+    numbers, weights, texts, seen = [], [], [], 0
+    for batch in batches:
+        number, n = _wide(batch.column("numbers"), batch.column("far"), "<u2")
+        text, size = _parted(batch.column("words"), "u1")
+        ends = np.concatenate([[0], np.cumsum(text == 0x20)])
+        begin = seen + ends[np.cumsum(size) - size]
+        at = np.flatnonzero(number > len(common))
+        number[at] += begin[np.searchsorted(np.cumsum(n), at, "right")].astype(np.int32)
+        seen += int(ends[-1])
+        numbers.append(number)
+        weights.append(_wide(batch.column("weights"), batch.column("heavy"), "u1")[0])
+        texts.append(text)
+    number, text = np.concatenate(numbers), np.concatenate(texts)
+    ends = np.flatnonzero(text == 0x20)
+    index, own = numbered(text, np.concatenate([[0], ends[:-1] + 1])[:len(ends)], ends)
+    at = np.flatnonzero(number > len(common))
+    number[at] = len(common) + 1 + index[number[at] - len(common) - 1]
+    return pa.concat_arrays([common, own]), np.ascontiguousarray(number.reshape(-1, DEPTH).T), np.concatenate(weights).astype(np.int64)
 
 
 def three_way(key: np.ndarray, rows: np.ndarray, lens: np.ndarray, weight: np.ndarray,
@@ -264,43 +341,39 @@ def three_way(key: np.ndarray, rows: np.ndarray, lens: np.ndarray, weight: np.nd
     return np.concatenate(done_rows), np.concatenate(done_lens)
 
 
-def sort(routed: DataFrame, hot: dict[int, list[tuple]], least: int) -> DataFrame:
+def sort(routed: DataFrame, hot: dict[int, list[tuple]], common: pa.Array, least: int) -> DataFrame:
     """``(lang, phrase, depth, c)``: counts of the phrases of 2 to ``DEPTH``
     words; those of hot starts are of one partition only."""
 
     def work(batches):
-        held: dict[str, list] = {}
-        for batch in batches:
-            for lang, size, packed in zip(*(batch.column(c).to_pylist() for c in ("lang", "size", "packed")), strict=True):
-                held.setdefault(lang, []).append(_unpack(pa.decompress(packed, size, codec="zstd", asbytes=True)))
-        for lang in list(held):
-            parts = held.pop(lang)
-            every = pa.chunked_array([own for own, _, _ in parts]).dictionary_encode().unify_dictionaries()
-            words = every.chunks[-1].dictionary
-            tables = [np.concatenate([[0], c.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1])[local]
-                      for c, (_, local, _) in zip(every.chunks, parts, strict=True)]
-            cols, weight = np.concatenate(tables, axis=1), np.concatenate([x for _, _, x in parts])
-            code = np.zeros(cols.shape[1], np.int64)
-            flags = {d: _hot(hot[d], pa.array([lang]), words, code, list(cols[:d])) for d in (2, 3)}
-            flags = {d: f if f.any() else None for d, f in (flags | {1: flags[2]}).items()}
-            rows, lens = np.arange(len(code)), np.array([len(code)])
-            for d in range(1, DEPTH + 1):
-                kept = flags.get(d)
-                rows, lens = three_way(cols[d - 1], rows, lens, weight, kept, least)
-                if not len(lens):
-                    break
-                starts = np.cumsum(lens) - lens
-                mass = np.add.reduceat(weight[rows], starts)
-                use = mass >= least
-                if kept is not None:
-                    use |= np.logical_or.reduceat(kept[rows], starts)
-                use &= cols[d - 1][rows[starts]] > 0
-                first, mass = rows[starts[use]], mass[use]
-                rows, lens = rows[np.repeat(use, lens)], lens[use]
-                if d > 1 and len(first):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(first), pa.string()), _text(words, [c[first] for c in cols[:d]]).cast(pa.string()),
-                         pa.array(np.full(len(first), d, np.int32)), pa.array(mass)], names=["lang", "phrase", "depth", "c"])
+        batches = [batch for batch in batches if batch.num_rows]
+        if not batches:
+            return
+        coded = pa.chunked_array([batch.column("lang") for batch in batches]).combine_chunks().dictionary_encode()
+        n = np.concatenate([_parted(batch.column("weights"), "u1")[1] for batch in batches])
+        langs, code = coded.dictionary, np.repeat(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), n)
+        words, cols, weight = _unpack(batches, common)
+        batches.clear()
+        flags = {d: _hot(hot[d], langs, words, code, list(cols[:d])) for d in (2, 3)}
+        flags = {d: f if f.any() else None for d, f in (flags | {1: flags[2]}).items()}
+        rows, lens = np.argsort(code, kind="stable"), np.bincount(code)
+        for d in range(1, DEPTH + 1):
+            kept = flags.get(d)
+            rows, lens = three_way(cols[d - 1], rows, lens, weight, kept, least)
+            if not len(lens):
+                break
+            starts = np.cumsum(lens) - lens
+            mass = np.add.reduceat(weight[rows], starts)
+            use = mass >= least
+            if kept is not None:
+                use |= np.logical_or.reduceat(kept[rows], starts)
+            use &= cols[d - 1][rows[starts]] > 0
+            first, mass = rows[starts[use]], mass[use]
+            rows, lens = rows[np.repeat(use, lens)], lens[use]
+            if d > 1 and len(first):
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(code[first])).cast(pa.string()), _text(words, [c[first] for c in cols[:d]]).cast(pa.string()),
+                     pa.array(np.full(len(first), d, np.int32)), pa.array(mass)], names=["lang", "phrase", "depth", "c"])
 
     return routed.mapInArrow(work, "lang string, phrase string, depth int, c long")
 
@@ -316,9 +389,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     for r in seen.where((F.col("depth") > 1) & (F.col("c") >= HOT / 2 * total)).collect():  # at most 4 / HOT rows
         hot[r["depth"]].append((r["lang"], *r["phrase"].split(" ")))
     often = words.where(F.col("c") >= least)
-    frequent = bitmap(often, "h", BITS)
+    frequent, common = bitmap(often, "h", BITS), common_words(often)
     partitions = max(1, -(-total // POINTERS))
-    found = sort(route(docs, frequent, hot, partitions), hot, least) \
+    found = sort(route(docs, frequent, hot, common, partitions), hot, common, least) \
         .groupBy("lang", "phrase", "depth").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
     return materialize(found.union(often.select("lang", "phrase", "depth", F.col("c").alias("f"))), "phrases"), sizes
 
